@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 
 
 def queries():
-    return {"op4_exact_dedup": exact_dedup.op4_exact_dedup}
+    return {
+        "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_simhash": simhash.op5_simhash,
+    }
 
 
 def oracle_sql():

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, simhash
 
 
 def queries():
     return {
+        "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_simhash": simhash.op5_simhash,
     }

@@ -100,7 +100,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = rows.join(ids, "row_key", "left").select("doc_id", "row_key", "n", "sha", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("name", F.lit(-1)).alias("name"))
     member = stash(member, folder, "members")
     best = F.struct(-F.col("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
-    classes = member.groupBy("level", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    classes = stash(member.groupBy("level", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), folder, "classes")
     out = member.join(classes, ["level", "name"])
     kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (-F.col("n") == F.col("best.col1"))
     if not unique:  # several rows may be the best one; the first of them stays

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash, toxicity
+from . import decontaminate, exact_dedup, packing, simhash, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_simhash": simhash.op5_simhash,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_toxicity_chain": toxicity.op10_toxicity_chain,
     }
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, simhash, toxicity
+from . import decontaminate, exact_dedup, line_dedup, packing, sharding, simhash, toxicity
 
 
 def queries():
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_simhash": simhash.op5_simhash,
+        "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_toxicity_chain": toxicity.op10_toxicity_chain,
     }
 
 
 def oracle_sql():
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, packing, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, language_id, line_dedup, packing, sharding, simhash, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_simhash": simhash.op5_simhash,
+        "op6_language_codes": language_id.op6_language_codes,
         "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_toxicity_chain": toxicity.op10_toxicity_chain,

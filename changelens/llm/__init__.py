@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, packing, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, line_dedup, packing, sharding, simhash, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_language_codes": language_id.op6_language_codes,
         "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_min_cut_extraction": html_extract.op9_min_cut_extraction,
         "op10_toxicity_chain": toxicity.op10_toxicity_chain,
     }
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -34,7 +35,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: White space to str.split() that is none to the tokenizer.
 _OTHER = ("\x1c", "\x1d", "\x1e", "\x1f")
-_CACHED = 300_000
+#: Words remembered by a Python worker, in each of two generations.
+_CACHED = 800_000
 
 
 class Encoder:
@@ -55,22 +57,21 @@ class Encoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            text = text or ""
-            found = text.split() if not any(c in text for c in _OTHER) else text.replace("\n", " ").split(" ")
-            new, old = self.new, self.old
-            unknown = [w for w in set(found) if w not in new]
-            if unknown:
-                again = [w for w in unknown if w in old]
-                for w in again:
-                    new[w] = old[w]
-                fresh = [w for w in unknown if w not in old] if again else unknown
-                for w, x in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                    new[w] = np.array(x.ids, "<u4").tobytes()
-            yield b"".join(map(new.__getitem__, found))
-            if len(new) > _CACHED:
-                self.old, self.new = new, {}
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        found = [t.split() if not any(c in t for c in _OTHER) else t.replace("\n", " ").split(" ") for t in (t or "" for t in texts)]
+        new, old = self.new, self.old
+        unknown = [w for w in set().union(*found) if w not in new]
+        if old:
+            new.update((w, old[w]) for w in unknown if w in old)
+            unknown = [w for w in unknown if w not in old]
+        for at in range(0, len(unknown), 20_000):
+            part = unknown[at : at + 20_000]
+            for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                new[w] = array("I", x.ids).tobytes()
+        out = [b"".join(map(new.__getitem__, words)) for words in found]
+        if len(new) > _CACHED:
+            self.old, self.new = new, {}
+        return out
 
 
 _encoders: dict[str | None, Encoder] = {}
@@ -91,7 +92,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, data in enumerate(own.encode(batch.column("text").to_pylist())):
+            texts = batch.column("text").to_pylist()
+            encoded = (x for at in range(0, len(texts), 500) for x in own.encode(texts[at : at + 500]))
+            for i, data in enumerate(encoded):
                 data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]

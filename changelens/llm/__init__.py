@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, language_id, line_dedup, packing, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, html_extract, katz, language_id, line_dedup, packing, sharding, simhash, toxicity
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_katz_scores": katz.op2_katz_scores,
         "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_simhash": simhash.op5_simhash,

@@ -79,4 +79,9 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_records(table(spark, sf_dir, "documents"))
+    """Whole records go through both passes; the digest is taken from the records as they were laid down."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.encode(F.coalesce("record.text", F.lit("")), "utf-8")
+    laid = shard_records(docs, carry=docs.columns)
+    digest = {"doc_id": F.col("record.doc_id"), "size": (F.octet_length(text) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text)}
+    return laid.withColumns(digest).drop("record")

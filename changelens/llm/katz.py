@@ -46,9 +46,9 @@ from .simhash import LOWER
 
 K = 5
 SLIVER = 0.01
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 3_000_000
 CHUNK_DOCS = 60_000
-BUCKET_TOKENS = 8_000_000
+BUCKET_TOKENS = 4_000_000
 LEAST_BUCKETS = 12
 #: No word holds a blank, so these hashes are of no word's spelling.
 START, END = np.uint64(xxh64_intdigest(b" start")), np.uint64(xxh64_intdigest(b" end"))

@@ -1,0 +1,106 @@
+import pytest
+from pyspark.sql import functions as F
+
+from changelens.functions import scalar as sc
+from changelens.functions.series import comparison_window, grain_for, merge_intervals, subtract_intervals, trend_width
+from changelens.functions.udf import normalize_command, safe_to_explain, tokens, verb
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
+    return row.select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("select * from t where id = 12 and n = 'a''b'", "select * from t where id=? and n=?"),
+        ("SELECT a /* hint */ FROM t -- tail\nWHERE x IN (1, 2,3)", "SELECT a FROM t WHERE x IN(?)"),
+        ("insert into t (a, b) values (1, 'x'), (2, 'y');", "insert into t(a,b)values(?)"),
+        ("update user_3 set v = -1.5e3 where k = 0xFF", "update user_3 set v=? where k=?"),
+        ("a=12 and @1=5", "a=? and @1=?"),
+        ("", ""),
+    ],
+)
+def test_normalize(spark, sql, want):
+    assert one(spark, sc.normalize_sql(F.lit(sql))) == want
+
+
+def test_long_text_is_cut(spark):
+    out = one(spark, sc.normalize_sql(F.lit("select " + "abc " * 3000)))
+    assert len(out) == 4098 and out.endswith(" …")
+
+
+def test_actions(spark):
+    got = [one(spark, sc.sql_action(F.lit(s))) for s in ("/* x */ create table t (a int)", " (select 1)", "COMMIT", "set @a=1", "foo", "")]
+    assert got == ["DDL", "SELECT", "TRANSACTION", "ADMIN", "OTHER", "OTHER"]
+    assert [one(spark, sc.classify_query(F.lit(s))) for s in ("replace into t", "drop table x", "begin", "select 1")] == ["INSERT", "DDL", "TRANSACTION", "QUERY"]
+
+
+def test_profile_priority(spark):
+    base = {"sql_kind": "", "sql_text": "", "row_query": "", "operation": "UPDATE", "database_name": "d", "table_name": "t"}
+    pick = lambda **k: one(spark, sc.statement_profile(), **{**base, **k})
+    assert pick(sql_kind="BOUNDARY", sql_text="XID").source == "boundary"
+    assert pick(sql_kind="ORIGINAL", sql_text="BEGIN").source == "boundary"
+    assert pick(sql_kind="ORIGINAL", sql_text="update t set a=1", row_query="x").source == "original"
+    assert pick(sql_kind="PSEUDO", sql_text="p", row_query="update t set a=2").source == "row_query"
+    assert pick(sql_kind="PSEUDO", sql_text="update t set a=3").source == "reconstructed"
+    made = pick()
+    assert (made.source, made.text) == ("synthetic", "UPDATE d.t")
+    assert pick(sql_kind="PSEUDO", row_query="update t set a=2").fingerprint == pick(sql_kind="PSEUDO", row_query="update t set a=77").fingerprint
+
+
+def test_secrets(spark):
+    for text, gone in (("alter user x identified by 'pw1'", "pw1"), ("x password = 'abc'", "abc"), ("Authorization: Bearer abcdefghijkl", "abcdefghijkl"), ("http://u:secretpw@h/", "secretpw")):
+        out = one(spark, sc.redact_secrets(F.lit(text)))
+        assert gone not in out.text and out.changed
+    assert not one(spark, sc.redact_secrets(F.lit("select 1"))).changed
+
+
+def test_small_helpers(spark):
+    assert one(spark, sc.bucket(F.lit(-1), 10)) == -10
+    assert one(spark, sc.key_shape(F.lit("user:12:{tag9}:zz"), ["user"])).startswith("user:*:{*}:#")
+    assert [one(spark, sc.client_host(F.lit(x))) for x in ("h:80", "[::1]:5", "::1", "h")] == ["h", "::1", "::1", "h"]
+    assert one(spark, sc.duration_ms(F.lit("1h2m3.5s"))) == 3_723_500.0
+    assert one(spark, sc.duration_ms(F.lit("250ms"))) == 250.0 and one(spark, sc.duration_ms(F.lit("x"))) is None
+    assert [one(spark, sc.finite(F.lit(x))) for x in ("1.5", "-1", "NaN", "x")] == [1.5, None, None, None]
+    assert one(spark, sc.sql_template(F.lit("insert into log_12(a)values(?)"))).startswith("insert into log_#")
+    assert one(spark, sc.default_database(F.lit("select * from shop.t"))).database == "shop"
+    assert [x.name for x in one(spark, sc.top_counts(F.create_map(F.lit("b"), F.lit(2), F.lit("a"), F.lit(2), F.lit("c"), F.lit(1)), 2))] == ["a", "b"]
+    assert one(spark, sc.normalize_role(F.lit("Master"))) == "primary"
+
+
+def test_lexer():
+    assert tokens("select 'a b', `x` -- c\n from t") == ["select", "'a b'", ",", "`x`", "from", "t"]
+    assert verb("with a as (select 1), b as (select 2) delete from t") == "DELETE"
+    assert verb("(select 1)") == "SELECT" and verb("") == ""
+    assert safe_to_explain("select count(*) from t where a in (1,2)")
+    for bad in ("select sleep(5)", "select * from t for update", "select myfunc(1)", "delete from t", "select 1; select 2", "select 1 into outfile 'x'"):
+        assert not safe_to_explain(bad), bad
+
+
+def test_command_shapes():
+    a = normalize_command('{"ns":"db.msg_1","command":{"filter":{"b":1,"a":"x"},"find":"msg_1","$db":"db"},"millis":5,"docsExamined":3}')
+    b = normalize_command('{"ns":"db.msg_2","command":{"find":"msg_2","filter":{"a":"y","b":22}},"millis":7}')
+    assert a["group_id"] == b["group_id"] and a["duration_us"] == 5000 and b["docs"] is None
+    assert normalize_command("{cut")["error"]
+    c = normalize_command('{"ns":"db.c","command":{"find":"c","sort":{"b":1,"a":-1}}}')
+    d = normalize_command('{"ns":"db.c","command":{"find":"c","sort":{"a":-1,"b":1}}}')
+    assert c["group_id"] != d["group_id"]
+
+
+def test_windows():
+    assert trend_width(0, 480 * 300_000_000 - 1) == 300_000_000 and trend_width(0, 481 * 300_000_000) == 600_000_000
+    assert grain_for(0, 3_600_000_000) == "5m" and grain_for(0, 9 * 86_400_000_000) == "day"
+    assert comparison_window(100, 150) == (50, 100)
+    with pytest.raises(ValueError, match="overlaps"):
+        comparison_window(100, 150, (120, 160))
+
+
+def test_intervals(spark):
+    spans = spark.createDataFrame([("a", 0, 5), ("a", 5, 9), ("a", 12, 20), ("b", 1, 2)], "k string, lo long, hi long")
+    merged = merge_intervals(spans, ["k"])
+    assert sorted(map(tuple, merged.collect())) == [("a", 0, 9), ("a", 12, 20), ("b", 1, 2)]
+    assert sorted(map(tuple, merge_intervals(spans, ["k"], tolerance=3).collect())) == [("a", 0, 20), ("b", 1, 2)]
+    gaps = spark.createDataFrame([("a", 3, 14)], "k string, lo long, hi long")
+    assert sorted(map(tuple, subtract_intervals(merged, gaps, ["k"]).collect())) == [("a", 0, 3), ("a", 14, 20), ("b", 1, 2)]

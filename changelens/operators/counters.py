@@ -280,3 +280,45 @@ def indexed_workload(now: DataFrame, before: DataFrame, costs: tuple[str, ...],
 def grade(metric: Column, direct: list[str], related: list[str]) -> Column:
     """Whether a cost is a direct, a related or only an outcome measure of a metric."""
     return F.when(metric.isin(direct), "direct").when(metric.isin(related), "related").otherwise("outcome")
+
+
+def paired_changes(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes from one minute to the next, only where both minutes are there: ``x`` and ``y`` to ``dx`` and ``dy``."""
+    w = Window.partitionBy(*keys).orderBy("minute_us")
+    near = F.col("minute_us") - F.lag("minute_us").over(w) == MINUTE_US
+    return points.withColumns({"dx": F.when(near, F.col("x") - F.lag("x").over(w)), "dy": F.when(near, F.col("y") - F.lag("y").over(w))})
+
+
+def _ranked(points: DataFrame, keys: list[str]) -> DataFrame:
+    changed = paired_changes(points, keys)
+    sums = changed.groupBy(*keys).agg(F.sum("x").alias("total"), *sums_for_pearson(F.col("dx"), F.col("dy")))
+    r = F.when(F.col("n") >= LEAST_POINTS, pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
+    return sums.select(*keys, "total", "n", r.alias("r")).orderBy(F.desc_nulls_last("r"), F.desc("total"), *keys)
+
+
+def hot_keys(hits: DataFrame, metric: DataFrame) -> DataFrame:
+    """Key shapes by how their hits changed with a node's metric, minute by minute (6 paired minutes at least).
+
+    ``hits``: ``node_id, key, minute_us, hits``; ``metric``: ``node_id, minute_us, value``.
+    """
+    joined = hits.join(metric, ["node_id", "minute_us"]).select("node_id", "key", "minute_us", F.col("hits").alias("x"), F.col("value").alias("y"))
+    return _ranked(joined, ["node_id", "key"])
+
+
+def client_shapes(calls: DataFrame, metric: DataFrame) -> DataFrame:
+    """Call shapes of clients against the metric of all nodes together.
+
+    ``calls``: ``deployment, command, shape, minute_us, client_us``.
+    """
+    whole = metric.groupBy("minute_us").agg(F.sum("value").alias("y"))
+    per = calls.groupBy("deployment", "command", "shape", "minute_us").agg(F.sum("client_us").alias("x"))
+    return _ranked(per.join(whole, "minute_us"), ["deployment", "command", "shape"])
+
+
+def redis_layers(snapshots: DataFrame) -> DataFrame:
+    """Per node, first to last snapshot of a window: cpu seconds per processed command, memory first, last and change."""
+    at = lambda c: (F.min_by(c, "ts_us").alias(f"{c}_first"), F.max_by(c, "ts_us").alias(f"{c}_last"))
+    flat = snapshots.select("node_id", "ts_us", (F.col("cpu.sys") + F.col("cpu.user")).alias("cpu"), F.col("gauges")["total_commands_processed"].alias("commands"), F.col("gauges")["used_memory"].alias("memory"))
+    out = flat.groupBy("node_id").agg(*at("cpu"), *at("commands"), *at("memory"))
+    ran = F.col("commands_last") - F.col("commands_first")
+    return out.withColumns({"cpu_per_command": F.when(ran > 0, (F.col("cpu_last") - F.col("cpu_first")) / ran), "memory_delta": F.col("memory_last") - F.col("memory_first")})

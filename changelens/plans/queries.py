@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket
 from ..functions.series import islands, merge_intervals
+from ..functions.udf import statement_verb
 from ..operators import attribution as att
 from ..operators import changes as ch
 from ..operators import counters as cn
@@ -16,6 +17,7 @@ from ..operators import coverage as cov
 from ..operators import filters as fl
 from ..operators import lag, schema_diff, search, sessions
 from ..operators import slow as sl
+from ..sources import events as src
 from . import inputs as i
 
 HOUR, DAY, START = i.HOUR_US, i.DAY_US, i.EPOCH_US
@@ -518,3 +520,55 @@ def carried_state(spark, d):
     mark = F.when(F.col("event_type") == "signup", F.col("event_id").cast("string")).when(F.col("event_type") == "error", "")
     held = F.last(mark, ignorenulls=True).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
     return e.select("event_id", F.when(held != "", held).alias("session"))
+
+
+# Sources, sinks, and what else there is
+
+
+@register(_ce("SELECT upper(split_part(sql_text, ' ', 1)) AS verb, table_name, count(*) AS n FROM ev GROUP BY ALL"))
+def statement_verbs(spark, d):
+    return i.change_events(spark, d).select(statement_verb("sql_text").alias("verb"), "table_name").groupBy("verb", "table_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(_ce("SELECT event_id, sql_text FROM ev WHERE operation = 'DELETE' ORDER BY event_epoch_us DESC, event_id DESC LIMIT 500"))
+def csv_export_rows(spark, d):
+    return src.csv_rows(i.change_events(spark, d).filter("operation = 'DELETE'"), 500).select("event_id", "sql_text")
+
+
+@register(_ce(f"SELECT strftime(make_timestamp(event_epoch_us), '%Y-%m-%d') AS event_date, count(DISTINCT sql_text) AS texts FROM ev GROUP BY 1"))
+def statement_dictionary(spark, d):
+    _, words = src.split_statement_text(i.change_events(spark, d).withColumn("row_query", F.col("sql_text")))
+    return words.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_date")).agg(F.count(F.lit(1)).alias("texts"))
+
+
+@register(f"""WITH {i.METRIC_CTE.lstrip()}, h AS (SELECT unnest(generate_series({START + HOUR}, {START + 30 * DAY}, {HOUR})) AS end_us), n AS (SELECT DISTINCT node_id FROM metric)
+  SELECT n.node_id, h.end_us, CASE WHEN m.value IS NULL THEN 'gaps' END AS reason, m.value * 1000 AS value_milli FROM n CROSS JOIN h LEFT JOIN metric m ON m.node_id = n.node_id AND m.end_us = h.end_us""")
+def metric_periods(spark, d):
+    points = i.metric_points(spark, d).withColumn("epoch", F.lit("e"))
+    return cn.metric_windows(points, START, START + 30 * DAY, HOUR)
+
+
+@register(f"""WITH s AS (SELECT 'n' || (user_id % 6) AS node_id, epoch_us(ts) - epoch_us(ts) % {DAY} AS day, count(*) AS reads, count(*) FILTER (event_type = 'error') AS slow FROM events GROUP BY 1, 2)
+  SELECT a.node_id, a.day AS end_us, any_value(a.reads) AS reads, median(b.reads) AS peer_reads, CASE WHEN median(b.reads) < 30 THEN 'unknown' WHEN any_value(a.reads) < 0.8 * median(b.reads) THEN 'removed' ELSE 'usable' END AS status FROM s a JOIN s b ON a.day = b.day AND a.node_id <> b.node_id GROUP BY 1, 2""")
+def peer_status(spark, d):
+    e = i.table(spark, d, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    s = e.groupBy(F.lit("i").alias("instance_id"), F.concat(F.lit("n"), (F.col("user_id") % 6).cast("string")).alias("node_id"), bucket(us, DAY).alias("end_us")).agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("event_type") == "error").alias("slow"))
+    return lag.peer_health(s, 30, 0.8).select("node_id", "end_us", "reads", "peer_reads", "status")
+
+
+@register(f"""WITH {i.SLOW_CTE}, f AS (SELECT node_id, fingerprint AS family, CAST(sum(query_time_ms) FILTER (event_epoch_us >= {START + 15 * DAY}) AS BIGINT) AS now, CAST(sum(query_time_ms) FILTER (event_epoch_us < {START + 15 * DAY}) AS BIGINT) AS before,
+  CAST(sum(rows_examined) FILTER (event_epoch_us >= {START + 15 * DAY}) AS BIGINT) AS scan, CAST(sum(rows_examined) FILTER (event_epoch_us < {START + 15 * DAY}) AS BIGINT) AS scan_before FROM slow GROUP BY 1, 2),
+  g AS (SELECT *, now * 3.0 * greatest(now - coalesce(before, 0), 0) / greatest(now, 1) AS v, greatest(coalesce(scan - scan_before, 0), 0) AS up FROM f WHERE now IS NOT NULL)
+  SELECT node_id, family, round(v, 3) AS final_score, CASE WHEN v > 0 OR up > 0 THEN row_number() OVER (PARTITION BY node_id ORDER BY v DESC, up DESC, family) END AS rank FROM g""")
+def growth_rank(spark, d):
+    """Families by growth of running time between the two halves of the month; the overlap score is three times the time."""
+    s = sl.canonical_slow(i.slow_events(spark, d)).withColumn("family", F.col("fingerprint"))
+
+    def half(df):
+        return df.groupBy("node_id", "family").agg(F.sum("query_time_ms").alias("runtime_us"), F.count(F.lit(1)).alias("executions"), F.sum("rows_examined").alias("rows_examined"))
+
+    late = F.col("event_epoch_us") >= START + 15 * DAY
+    now = half(s.filter(late))
+    out = att.growth_ranking(now, half(s.filter(~late)), now.select("node_id", "family", (F.col("runtime_us") * 3).alias("score")))
+    return out.select("node_id", "family", F.round("final_score", 3).alias("final_score"), "rank")

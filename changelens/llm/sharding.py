@@ -55,7 +55,8 @@ def shard_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     order = F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32").alias("order")
     records = (rows if carry else narrow).select("shard", bucket.alias("bucket"), F.struct(order, "doc_id", "size", "text_crc32", *(["record"] if carry else [])).alias("r"))
-    piles = records.groupBy("shard", "bucket").agg(F.collect_list("r").alias("pile"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards * buckets // 4))  # a few buckets to a task
+    piles = records.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").agg(F.collect_list("r").alias("pile"))
     by_hash = lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)  # noqa: E731  carried columns need no order
     piles = piles.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle(F.array_sort("pile", by_hash), seed).alias("pile"))
     laid = piles.join(starts, ["shard", "bucket"]).select("shard", "before", F.posexplode("pile").alias("at", "r"))

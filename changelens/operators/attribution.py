@@ -169,3 +169,16 @@ def node_evidence(points: DataFrame, before: DataFrame) -> DataFrame:
 def exact_r(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     sums = df.groupBy(*keys).agg(*sums_for_pearson(F.col(x), F.col(y)))
     return sums.select(*keys, "n", F.when(F.col("n") >= LEAST_POINTS, pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])).alias("r"))
+
+
+def lead_statement_type(evidence: DataFrame, least_share: float = 0.2, least_rise: float = 50.0) -> DataFrame:
+    """Per node the statement counter that rose most, if it rose by a fifth and by 50 a second: ``node_evidence`` rows."""
+    risen = evidence.filter((F.col("change") >= least_rise) & (F.col("change") >= least_share * F.col("before")))
+    nth = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("change"), "metric"))
+    return risen.withColumn("_n", nth).filter("_n = 1").drop("_n")
+
+
+def explained_share(evidence: DataFrame, added_concurrency: DataFrame, metric: str = "threads_running") -> DataFrame:
+    """How much of a node's rise in running threads the slow log's added concurrency accounts for; needs a rise of one."""
+    rise = evidence.filter((F.col("metric") == metric) & (F.col("change") >= 1)).select("node_id", F.col("change").alias("rise"))
+    return rise.join(added_concurrency, "node_id", "left").select("node_id", "rise", "added", (F.col("added") / F.col("rise")).alias("share"))

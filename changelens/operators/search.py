@@ -112,3 +112,17 @@ def history_page(df: DataFrame, limit: int = 100, after: tuple[int, int, str] |
         key = F.struct("holder", "first_us", "session_id")
         df = df.filter(key < F.struct(*[F.lit(x) for x in after]))
     return df.orderBy(F.desc("holder"), F.desc("first_us"), F.desc("session_id")).limit(limit)
+
+
+def with_default_database(statements: DataFrame, owners: DataFrame) -> DataFrame:
+    """The database a statement runs in: from its text, else the only owner of its first table, else ambiguous; never
+    guessed. ``owners``: ``database_name, table_name``."""
+    from ..functions.scalar import default_database, strip_comments
+
+    name = F.regexp_extract(strip_comments(F.col("sql_text")), r"(?i)\b(?:from|join|into|update|table)\s+`?([\w$]+)`?", 1)
+    told = statements.withColumns({"_told": default_database(F.col("sql_text")), "_table": F.lower(name)})
+    known = owners.groupBy(F.lower("table_name").alias("_table")).agg(F.count_distinct("database_name").alias("_n"), F.min("database_name").alias("_owner"))
+    out = told.join(known, "_table", "left")
+    own = F.col("_told.database")
+    reason = F.when(own.isNotNull(), F.col("_told.reason")).when(F.col("_n") == 1, "unique_owner").when(F.col("_n") > 1, "ambiguous").otherwise("unknown")
+    return out.withColumns({"default_database": F.when(own.isNotNull(), own).when(F.col("_n") == 1, F.col("_owner")), "database_reason": reason}).drop("_told", "_table", "_n", "_owner")

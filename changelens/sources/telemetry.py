@@ -192,3 +192,26 @@ def session_rows(df: DataFrame) -> DataFrame:
     none = F.lit("")
     flat = out.select("instance_id", "node_id", "ts_us", F.col("s.SessionId").alias("session_id"), F.col("s.User").alias("user"), F.col("s.Client").alias("client"), F.coalesce("s.DbName", none).alias("database_name"), F.coalesce("s.Command", none).alias("command"), F.coalesce("s.State", none).alias("state"), F.coalesce("s.Time", F.lit(0)).alias("time_s"), F.coalesce("s.TrxId", none).alias("trx_id"), F.coalesce("s.TrxDuration", F.lit(0)).alias("trx_s"), F.coalesce("s.SqlText", none).alias("sql_text"))
     return session_flags(flat)
+
+
+def store_sessions(df: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
+    """Current operations of a document store with their flags: ``instance_id, node_id, ts_us, payload``."""
+    op = "struct<opid:string,op:string,ns:string,client:string,secs_running:bigint,waitingForLock:boolean,active:boolean,desc:string,effectiveUsers:array<struct<user:string>>,transaction:struct<timeOpenMicros:bigint>,command:string>"
+    out = df.select("instance_id", "node_id", "ts_us", F.explode(F.from_json(F.get_json_object("payload", "$.inprog"), f"array<{op}>")).alias("o"))
+    none = F.lit("")
+    open_s = F.coalesce((F.col("o.transaction.timeOpenMicros") / 1_000_000).cast("bigint"), F.lit(0))
+    flat = out.select(
+        "instance_id", "node_id", "ts_us", F.col("o.opid").alias("session_id"), F.coalesce(F.col("o.effectiveUsers")[0]["user"], none).alias("user"), F.coalesce("o.client", none).alias("client"),
+        F.substring_index(F.coalesce("o.ns", none), ".", 1).alias("database_name"), F.when(F.coalesce("o.active", F.lit(False)), F.coalesce("o.op", none)).otherwise("Sleep").alias("command"),
+        F.when(F.coalesce("o.waitingForLock", F.lit(False)), "lock wait").otherwise("").alias("state"), F.coalesce("o.secs_running", F.lit(0)).alias("time_s"),
+        F.when(F.col("o.transaction").isNotNull(), F.col("o.opid")).otherwise("").alias("trx_id"), open_s.alias("trx_s"), F.coalesce("o.command", none).alias("sql_text"),
+    )
+    return session_flags(flat, thresholds) if thresholds else session_flags(flat)
+
+
+def provider_events(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Provider events with whitelisted fields only, once each by a digest of those: ``node_id, payload``."""
+    events = df.select("node_id", F.explode(F.from_json("payload", "array<map<string,string>>")).alias("m"))
+    kept = F.map_filter("m", lambda k, v: k.isin(fields))
+    own = F.sha2(F.concat_ws("\x1f", "node_id", *[F.coalesce(kept[f], F.lit("\x00")) for f in sorted(fields)]), 256)
+    return events.select("node_id", own.alias("id"), kept.alias("fields")).dropDuplicates(["id"])

@@ -212,3 +212,24 @@ def test_schema_risks(spark):
 def test_peak_ends_first(spark):
     df = spark.createDataFrame([("s", 0, 10), ("s", 10, 20), ("s", 5, 12)], "shop string, start_us long, end_us long")
     assert cn.peak_concurrency(df, ["shop"]).first().peak == 2
+
+
+def test_lead_type_and_explained_share(spark):
+    cols = "node_id string, metric string, value double"
+    now = spark.createDataFrame([("n", "com_select", 300.0), ("n", "com_update", 120.0), ("n", "threads_running", 14.0)], cols)
+    old = spark.createDataFrame([("n", "com_select", 280.0), ("n", "com_update", 50.0), ("n", "threads_running", 4.0)], cols)
+    evidence = att.node_evidence(now, old)
+    assert [r.metric for r in att.lead_statement_type(evidence).collect()] == ["com_update"]
+    added = spark.createDataFrame([("n", 5.0)], "node_id string, added double")
+    assert att.explained_share(evidence, added).first().share == 0.5
+
+
+def test_hot_keys_follow_the_metric(spark):
+    rng = random.Random(4)
+    values = [rng.randint(0, 50) for _ in range(12)]
+    hits = [("n", "up", k * M, 3 * v) for k, v in enumerate(values)] + [("n", "few", k * M, 1) for k in range(4)]
+    metric = spark.createDataFrame([("n", k * M, v) for k, v in enumerate(values)], "node_id string, minute_us long, value long")
+    got = {r.key: r for r in cn.hot_keys(spark.createDataFrame(hits, "node_id string, key string, minute_us long, hits long"), metric).collect()}
+    assert got["up"].r == pytest.approx(1) and got["up"].n == 11 and got["few"].r is None
+    calls = spark.createDataFrame([("d", "get", "user:*", k * M, 5 * v) for k, v in enumerate(values)], "deployment string, command string, shape string, minute_us long, client_us long")
+    assert cn.client_shapes(calls, metric).first().r == pytest.approx(1)

@@ -124,3 +124,21 @@ def test_mongo_windows_publish_whole(spark):
     got = {r.group_id: r for r in mongo_analyze(now, old, ("docs",)).collect()}
     assert (got["g"].docs_delta, got["g"].docs_frequency, got["g"].docs_per_call) == (30, 10.0, 20.0)
     assert got["new"].docs_delta is None and not got["new"].baseline
+
+
+def test_store_sessions_and_provider_events(spark):
+    ops = {"inprog": [{"opid": "1", "op": "query", "ns": "d.c", "client": "h:1", "secs_running": 90, "active": True, "waitingForLock": True}, {"opid": "2", "op": "none", "active": False, "transaction": {"timeOpenMicros": 50_000_000}}]}
+    got = telemetry.store_sessions(spark.createDataFrame([("i", "n", 1, json.dumps(ops))], "instance_id string, node_id string, ts_us long, payload string")).collect()
+    assert {r.session_id: r.kinds for r in got} == {"1": ["long_running", "lock_wait"], "2": ["long_trx", "idle_trx"]}
+    events = json.dumps([{"kind": "failover", "secret": "x"}, {"kind": "failover", "secret": "y"}])
+    out = telemetry.provider_events(spark.createDataFrame([("n", events)], "node_id string, payload string"), ["kind"]).collect()
+    assert [r.fields for r in out] == [{"kind": "failover"}]
+
+
+def test_default_database_is_never_guessed(spark):
+    from changelens.operators.search import with_default_database
+
+    owners = spark.createDataFrame([("a", "t1"), ("a", "t2"), ("b", "t2")], "database_name string, table_name string")
+    texts = ["select * from x.t9", "select * from t1", "select * from t2", "select 1", "/* db=q */ select * from t2"]
+    got = {r.sql_text: (r.default_database, r.database_reason) for r in with_default_database(spark.createDataFrame([(t,) for t in texts], "sql_text string"), owners).collect()}
+    assert [got[t] for t in texts] == [("x", "qualified"), ("a", "unique_owner"), (None, "ambiguous"), (None, "unknown"), ("q", "comment")]

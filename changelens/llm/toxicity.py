@@ -38,7 +38,7 @@ SAMPLE = 4000
 FEATURES = 256
 MIN_G = 30.0
 FOLDS = 5
-L2 = 0.5
+L2 = 0.02
 SEED = 1
 THRESHOLD = 0.5
 PREFIXES = (3, 4, 5, 6)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..schemas import COLUMN_META
 
 DAY_US = 86_400_000_000
+#: Event types of audited executions and of slow-log records.
 AUDIT, SLOW = "TABULARIS_AUDIT", "SLOW_LOG"
 KEYWORD_COLUMNS = ("sql_text", "before_json", "after_json", "transaction_id", "source_file_name", "connection_name", "database_account", "error_message")
 

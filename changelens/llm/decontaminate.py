@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder, stash, table
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 300_000
 BLOCK_BYTES = 16 << 20
 #: Words are runs of digits, letters (lower-cased A-Z) and bytes beyond ASCII.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

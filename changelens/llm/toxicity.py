@@ -129,18 +129,25 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
         by: list[Counter[bytes]] = [Counter() for _ in range(m)]
+
+        def flush() -> pa.RecordBatch:
+            names = list(total)
+            columns = [pa.array(names, pa.binary()), pa.array([total[f] for f in names], pa.int64()), *[pa.array([c[f] for f in names], pa.int64()) for c in by]]
+            for c in (total, *by):
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, ["f", "n", *[f"n{k}" for k in range(m)]])
+
         for batch in batches:
             ys = [batch.column(f"y{k}").to_pylist() for k in range(m)]
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                found = features(t)
+            for i, t in enumerate(batch.column("text")):
+                found = features(t.as_py())
                 total.update(found)
                 for k in range(m):
                     if ys[k][i]:
                         by[k].update(found)
-        names = list(total)
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([total[f] for f in part]), *[pa.array([c[f] for f in part], pa.int64()) for c in by]], ["f", "n", *[f"n{k}" for k in range(m)]])
+                if len(total) > 100_000:
+                    yield flush()
+        yield flush()
 
     counts = text.mapInArrow(count, "f binary, n long, " + ", ".join(f"n{k} long" for k in range(m))).groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(m)])
     sums = text.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y{k}").alias(f"y{k}") for k in range(m)]).first().asDict()

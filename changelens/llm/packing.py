@@ -36,7 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: White space to str.split() that is none to the tokenizer.
 _OTHER = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Words remembered by a Python worker, in each of two generations.
-_CACHED = 800_000
+_CACHED = 500_000
 
 
 class Encoder:

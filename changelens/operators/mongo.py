@@ -25,9 +25,11 @@ def mongo_events(raw: DataFrame, instance: str) -> DataFrame:
 
 
 def publishable_windows(events: DataFrame, width_us: int = WINDOW_US) -> DataFrame:
-    """Source windows all of whose records parse, with a revision over the sorted records."""
+    """Source windows all of whose records parse, with a revision that follows from the set of records, not their order."""
     at = bucket(F.col("start_us"), width_us)
-    per = events.groupBy(at.alias("window_us")).agg(F.count_if(F.col("error").isNotNull()).alias("bad"), F.count(F.lit(1)).alias("records"), F.sha2(F.array_join(F.array_sort(F.collect_list("event_id")), ","), 256).alias("revision"))
+    h = F.xxhash64("event_id")
+    parts = [F.count(F.lit(1)).cast("string"), F.bit_xor(h).cast("string"), F.sum(h.cast("decimal(38,0)")).cast("string")]
+    per = events.groupBy(at.alias("window_us")).agg(F.count_if(F.col("error").isNotNull()).alias("bad"), F.count(F.lit(1)).alias("records"), F.sha2(F.concat_ws(",", *parts), 256).alias("revision"))
     return per.filter("bad = 0 AND window_us IS NOT NULL").drop("bad")
 
 

@@ -22,6 +22,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ TOKENIZER = "word_bpe_49k.json"
 _OTHER = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Words remembered by a Python worker, in each of two generations.
 _CACHED = 500_000
+#: Words that a worker keeps for its next task: the first ones met, among them the most frequent.
+_KEPT = 150_000
 
 
 class Encoder:
@@ -73,6 +76,10 @@ class Encoder:
             self.old, self.new = new, {}
         return out
 
+    def trim(self) -> None:
+        """At the end of a task: give back what idle workers should not hold."""
+        self.new, self.old = dict(islice((self.old or self.new).items(), _KEPT)), {}
+
 
 _encoders: dict[str | None, Encoder] = {}
 
@@ -111,6 +118,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        own.trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

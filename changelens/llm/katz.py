@@ -1,9 +1,10 @@
 """Language-model scores from a Katz backoff model with Good-Turing discounts, learned and applied over all documents.
 
 Model. P(w | v) = d_c c(vw) / c(v) where the pair was seen in training, else alpha(v) P(w); P(w) = d_c c(w) / N for known
-words, and what the discounts leave is the probability of the one unknown word. Counts up to ``K`` get Good-Turing
-discounts (absolute ones where the counts of counts give none in (0, 1)); larger counts lose a sliver of 0.01, so that
-something is left after every history. alpha(v) is the left-over of v divided by one minus the summed P of v's seen
+words, and what the discounts leave is the probability of the one unknown word. Counts up to ``K`` get Simple Good-Turing
+discounts, from a log-linear fit of the counts of counts 1 to ``K`` + 1, as copies raise single ones of them (absolute
+discounts only where these do not fall, as in tiny input); larger counts lose a sliver of 0.01, so that something is left
+after every history. alpha(v) is the left-over of v divided by one minus the summed P of v's seen
 followers, so each distribution sums to one exactly. A text is scored token by token down this recursion; its last token is an end mark.
 
 Tables. Words are 64-bit hashes. (1) Unigram counts, one row per word, by an ordinary aggregation. (2) Pair
@@ -155,19 +156,32 @@ def _unigrams(rows: DataFrame, chunk_tokens: int) -> DataFrame:
     return rows.mapInArrow(run, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def slope(counts_of_counts: list[int], k: int = K) -> float:
+    """Of the line through log Z over log r, r up to k + 1, where Z spreads n_r over the gap around r; 0 if there is no line."""
+    r = [c for c, n in enumerate(counts_of_counts[: k + 1], 1) if n]
+    if len(r) < 2:
+        return 0.0
+    around = [0, *r, 2 * r[-1] - r[-2]]
+    x = np.log(r)
+    y = np.log([2 * counts_of_counts[c - 1] / (b - a) for a, c, b in zip(around[:-2], r, around[2:], strict=True)])
+    x = x - x.mean()
+    return float(x @ y / (x @ x))
+
+
 def discounts(counts_of_counts: list[int], k: int = K) -> np.ndarray:
-    """Factors for counts 0 to k (the first is unused), from how many things have counts 1 to k + 1."""
+    """Factors for counts 0 to k (the first is unused), from how many things have counts 1 to k + 1.
+
+    With S(r) = a r^b, r*/r = (r + 1) S(r + 1) / (r S(r)) = (1 + 1/r)^(b + 1), and Katz's tail (k + 1) S(k + 1) / S(1) is
+    (k + 1)^(b + 1): every factor is in (0, 1) as soon as b < -1, which Good-Turing needs for r* < r.
+    """
+    m = slope(counts_of_counts, k) + 1
+    c = np.arange(1, k + 1)
+    if m < -1e-9:
+        tail = (k + 1.0) ** m
+        return np.concatenate(([1.0], ((1 + 1 / c) ** m - tail) / (1 - tail)))
     n = [0, *counts_of_counts]
-    out = np.ones(k + 1)
-    if all(n[1 : k + 2]):
-        tail = (k + 1) * n[k + 1] / n[1]
-        if tail < 1:
-            for c in range(1, k + 1):
-                out[c] = ((c + 1) * n[c + 1] / n[c] / c - tail) / (1 - tail)
-            if (out[1:] > 0).all() and (out[1:] < 1).all():
-                return out
     b = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    return np.array([1.0, *[1 - b / c for c in range(1, k + 1)]])
+    return np.concatenate(([1.0], 1 - b / c))
 
 
 class Unigrams:

@@ -1,5 +1,6 @@
 import math
 import re
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,3 +65,43 @@ def test_discounts_stay_between_zero_and_one():
     for counts in ([100, 50, 30, 20, 15, 10], [0, 0, 0, 0, 0, 0], [5, 0, 1, 0, 0, 0], [10, 10, 10, 10, 10, 10]):
         d = discounts(counts)[1:]
         assert (d > 0).all() and (d <= 1).all()
+
+
+def simple_good_turing(counts, k=K):
+    """By the book, apart from the code under test: Z, the line, r*, Katz's factors."""
+    r = [c for c in range(1, k + 2) if counts[c - 1]]
+    z = []
+    for j, c in enumerate(r):
+        q = r[j - 1] if j else 0
+        t = r[j + 1] if j + 1 < len(r) else 2 * c - q
+        z.append(counts[c - 1] / (0.5 * (t - q)))
+    line = statistics.linear_regression([math.log(c) for c in r], [math.log(y) for y in z])
+    s = lambda c: math.exp(line.intercept + line.slope * math.log(c))
+    tail = (k + 1) * s(k + 1) / s(1)
+    return [1.0, *[((c + 1) * s(c + 1) / s(c) / c - tail) / (1 - tail) for c in range(1, k + 1)]]
+
+
+@pytest.mark.parametrize("counts", [
+    [49663, 12919, 5197, 2729, 2383, 1067], [193655, 25105, 6496, 2179, 2497, 618],  # words and pairs of sf0.01
+    [207344, 59772, 25017, 14274, 13493, 7080], [1579638, 246704, 51653, 21705, 18939, 7580],  # of sf0.1
+    [45315, 4880, 1537, 331, 336, 86], [684867, 182229, 76869, 44215, 34199, 23469], [900, 200, 0, 40, 60, 10], [0, 200, 80, 40, 60, 10],
+])
+def test_copies_do_not_displace_good_turing(counts):
+    """n4 < n5 and the like, where an unsmoothed factor leaves (0, 1)."""
+    d = discounts(counts)
+    assert list(d) == pytest.approx(simple_good_turing(counts))
+    assert (d[1:] > 0).all() and (d[1:] < 1).all() and (d[2:] > d[1:-1]).all()
+
+
+def test_scores_of_a_copy_heavy_corpus(make_docs, monkeypatch):
+    """More words and pairs occur five times than four; the expected scores use this file's own factors."""
+    shape = [(1, 60), (2, 20), (3, 9), (4, 3), (5, 8), (6, 2)]
+    texts = [f"w{times}x{j} v{times}x{j}" for times, many in shape for j in range(many) for _ in range(times)]
+    learned = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 != 2]
+    rows = [(k, t, "en", "a") for k, t in zip(learned, texts, strict=False)] + [(k, "w1x0 v5x1 new w4x0 v4x0", "en", "a") for k in range(400, 430) if zlib.crc32(str(k).encode()) % 7 == 2]
+    monkeypatch.setitem(globals(), "discounts", simple_good_turing)
+    want, uni, pairs = brute(rows)
+    for c in (uni, pairs):
+        assert sum(n == 4 for n in c.values()) < sum(n == 5 for n in c.values())
+    got = {r.doc_id: r.score for r in katz_scores(make_docs(rows)).collect()}
+    assert got == pytest.approx({w[0]: w[6] for w in want}, rel=1e-9)

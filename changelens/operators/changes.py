@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import BUCKET_US, bucket, sql_action, statement_profile
 from ..functions.series import trend_width
+from ..functions.udf import changed_columns
 from .filters import primary_keys
 
 ROW_OPERATIONS = ("INSERT", "UPDATE", "DELETE")
@@ -325,23 +326,42 @@ def write_hotspots(agg: DataFrame, start_us: int, end_us: int, n: int = 5) -> Da
     return now.join(window(low, start_us, "row_events_before"), ["database_name", "table_name"], "left")
 
 
-def last_effective_change(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def last_effective_change(events: DataFrame, keys: list[str], order: list[str], columns: list[str] | Column | None = None) -> DataFrame:
     """The last real change of each row whose key does not move.
 
-    ``events``: ``before, after`` as canonical JSON text, ``order`` columns in source order. Row chains are checked: each
-    image before must equal the image after of the row's previous event, else the whole ``cohort`` (all keys but the
-    row's) is rejected, as is a reused key. A->B->C keeps the last change that changed anything; A->B->A keeps nothing.
+    ``events``: ``before, after`` as canonical JSON text (null where there is no row), ``order`` columns in source order,
+    and optionally ``operation``. Row chains are checked: each image before must equal the image after of the row's previous
+    event, else the whole ``cohort`` (all keys but the row's) is rejected. So it is where a key is written after its delete,
+    two events of a row have one place in the order, an event has no image, or ``operation`` does not fit the images.
+    A->B->C keeps the last change that changed anything; A->B->A keeps nothing.
+
+    ``columns``: the columns of the table, as a list or an array column. With them an image that is no JSON object of just
+    these rejects the cohort, and changes carry their operation: UPDATE has only the columns that changed, INSERT its
+    image, DELETE none. Without them images are taken as they are, whole or not.
     """
     w = Window.partitionBy(*keys, "row_key").orderBy(*order)
-    chained = events.withColumns({"_previous": F.lag("after").over(w), "_nth": F.row_number().over(w)})
-    broken = (F.col("_nth") > 1) & ~F.col("before").eqNullSafe(F.col("_previous"))
+    place = F.struct(*order)
+    shape = F.when(F.col("before").isNull(), F.when(F.col("after").isNotNull(), "INSERT")).when(F.col("after").isNull(), "DELETE").otherwise("UPDATE")
+    chained = events.withColumns({"_previous": F.lag("after").over(w), "_place": F.lag(place).over(w), "_nth": F.row_number().over(w), "_shape": shape})
+    broken = (F.col("_nth") > 1) & (F.col("_previous").isNull() | ~F.col("before").eqNullSafe(F.col("_previous")) | place.eqNullSafe(F.col("_place")))
+    broken |= F.col("_shape").isNull()
+    if "operation" in events.columns:
+        broken |= ~F.col("operation").eqNullSafe(F.col("_shape"))
+    if columns is not None:
+        wanted = F.array_sort(columns if isinstance(columns, Column) else F.array(*map(F.lit, columns)))
+        for image in ("before", "after"):
+            broken |= F.col(image).isNotNull() & ~F.coalesce(F.array_sort(F.json_object_keys(image)) == wanted, F.lit(False))
     marked = chained.withColumn("_broken", broken)
     bad = marked.groupBy(*keys).agg(F.max("_broken").alias("rejected"))
-    place = F.struct(*order)
     folded = marked.groupBy(*keys, "row_key").agg(
         F.min_by("before", place).alias("first"),
         F.max_by("after", place).alias("last"),
-        F.max_by(F.struct("before", "after", *order), F.when(~F.col("before").eqNullSafe(F.col("after")), place)).alias("change"),
+        F.max_by(F.struct("before", "after", *order, "_shape"), F.when(~F.col("before").eqNullSafe(F.col("after")), place)).alias("change"),
     )
     kept = folded.filter(~F.col("first").eqNullSafe(F.col("last")) & F.col("change").isNotNull())
-    return kept.join(bad, keys, "left").filter("NOT rejected").drop("rejected", "first", "last").select(*keys, "row_key", "change.*")
+    found = kept.join(bad, keys, "left").filter("NOT rejected").select(*keys, "row_key", "change.*")
+    if columns is None:
+        return found.drop("_shape")
+    changed = found.withColumn("_changed", changed_columns("before", "after"))
+    images = [F.when(F.col("_shape") == "UPDATE", F.col("_changed.before")).alias("before"), F.when(F.col("_shape") == "UPDATE", F.col("_changed.after")).otherwise(F.col("after")).alias("after")]
+    return changed.select(*keys, "row_key", F.col("_shape").alias("operation"), *images, *order)

@@ -57,6 +57,40 @@ def test_last_effective_change(spark):
     assert [(r.cohort, r.row_key, r.before, r.after, r.pos) for r in got] == [("c", "1", "B", "C", 2)]
 
 
+def test_last_effective_change_rejects_reused_keys(spark):
+    rows = [
+        ("reused", "1", "A", None, 1), ("reused", "1", None, "B", 2), ("reused", "2", "A", "B", 1),
+        ("same", "1", "A", None, 1), ("same", "1", None, "A", 2), ("same", "2", "A", "B", 1),
+        ("twice", "1", "A", None, 1), ("twice", "1", None, None, 2), ("tie", "1", "A", "B", 1), ("tie", "1", "B", "B", 1),
+        ("good", "1", None, "A", 1), ("good", "1", "A", "B", 2), ("good", "2", "A", "B", 1), ("good", "2", "B", None, 2), ("good", "3", None, "A", 1), ("good", "3", "A", None, 2),
+    ]
+    df = spark.createDataFrame(rows, "cohort string, row_key string, before string, after string, pos int")
+    got = ch.last_effective_change(df, ["cohort"], ["pos"]).collect()
+    assert sorted(tuple(r) for r in got) == [("good", "1", "A", "B", 2), ("good", "2", "B", None, 2)]
+    said = spark.createDataFrame([("ok", "1", "A", "B", 1, "UPDATE"), ("odd", "1", "A", "B", 1, "INSERT"), ("ddl", "1", "A", "B", 1, None)], "cohort string, row_key string, before string, after string, pos int, operation string")
+    assert [r.cohort for r in ch.last_effective_change(said, ["cohort"], ["pos"]).collect()] == ["ok"]
+
+
+def test_last_effective_change_keeps_changed_columns_of_whole_images(spark):
+    whole = lambda n, v, t="x": f'{{"id":{n},"t":"{t}","v":{v}}}'
+    rows = [
+        ("c", "1", None, whole(1, "1.5"), 1), ("c", "1", whole(1, "1.5"), whole(1, "1.50"), 2), ("c", "1", whole(1, "1.50"), whole(1, "1.50"), 3),
+        ("c", "2", None, whole(2, "12345678901234567890.10"), 1), ("c", "3", whole(3, "null"), None, 1), ("c", "4", whole(4, '{"b":1,"a":[2]}'), whole(4, '{"b":1,"a":[3]}', "y"), 1),
+        ("partial", "1", '{"id":1,"v":1}', '{"id":1,"v":2}', 1), ("partial", "2", whole(2, 1), whole(2, 2), 1),
+        ("more", "1", None, '{"id":1,"t":"x","v":1,"w":1}', 1), ("text", "1", None, "A", 1),
+    ]
+    df = spark.createDataFrame(rows, "cohort string, row_key string, before string, after string, pos int")
+    want = [
+        ("c", "1", "UPDATE", '{"v":1.5}', '{"v":1.50}', 2),
+        ("c", "2", "INSERT", None, whole(2, "12345678901234567890.10"), 1),
+        ("c", "3", "DELETE", None, None, 1),
+        ("c", "4", "UPDATE", '{"t":"x","v":{"a":[2],"b":1}}', '{"t":"y","v":{"a":[3],"b":1}}', 1),
+    ]
+    for columns in (["v", "id", "t"], F.split(F.lit("v,id,t"), ",")):
+        assert sorted((tuple(r) for r in ch.last_effective_change(df, ["cohort"], ["pos"], columns).collect()), key=lambda r: r[:2]) == want
+    assert ch.last_effective_change(df, ["cohort"], ["pos"], F.lit(None).cast("array<string>")).count() == 0
+
+
 def slow_rows(spark, rows):
     return with_defaults(spark.createDataFrame(rows, "event_id string, event_epoch_us long, fingerprint string"), SLOW_EVENT)
 

@@ -7,8 +7,10 @@ blocks are joined by smoothness edges, stronger the closer they are in the DOM,
 along it. The maximum flow from source to sink leaves the labelling of least total cost; what cannot reach the sink any
 more is content.
 
-Scripts, styles, comments in the markup, forms and hidden parts have no blocks. Menus, footers, sidebars, adverts, notices and
-reader comments known by tag, role, class or id have a sink capacity no neighbour can outweigh.
+Scripts, styles, comments in the markup, forms and hidden parts have no blocks. Menus, footers, sidebars and notices known by
+tag or role have a sink capacity no neighbour can outweigh. Words of a class or id (adverts, reader comments and the like) are
+a strong but finite cost to all blocks below; those behind has-, no-, with- and without- say what a part lays out and do not
+count. Where every article (main part, if there is one) lies below such a word, the words above it are no cost to it.
 
 Scale: one narrow pass; each page is a graph of its own, with as many edges as blocks times three, so memory follows
 the longest page. Augmenting paths are searched from one block at a time and stop at the nearest sink; blocks that can
@@ -32,7 +34,7 @@ from .common import table
 
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|canvas|object|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|canvas|object|textarea|select)\b[^>]*>(?:(?<=/>)|.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
@@ -44,12 +46,13 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts that are never the article, by tag, by role, and by words of class or id.
+#: Parts that are never the article, by tag and by role, and hardly ever, by words of class or id; words that only name a layout.
 NEVER_TAGS = frozenset("head title nav footer aside form fieldset menu dialog button label legend".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay share sharing social comment comments commentlist disqus respond replies related recommended pagination pager toolbar widget widgets hidden".split()
 )
+LAYOUT_WORDS = frozenset("has no with without".split())
 LIKELY_WORDS = frozenset("article content entry main post story text body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.!?;:,…。！？]")
@@ -68,6 +71,7 @@ WEIGHTS = {
     "links": -4.0,
     "header": -2.0,
     "rights": -2.0,
+    "word": -12.0,
 }
 NEVER = 10_000.0
 #: Smoothness between neighbours of one parent, for each step further in the DOM, and along a parent.
@@ -75,7 +79,7 @@ SMOOTH, DECAY, SIBLING = 1.0, 0.5, 0.5
 
 
 class Node:
-    __slots__ = ("parent", "tag", "depth", "never", "article", "main", "header", "likely", "last")
+    __slots__ = ("parent", "tag", "depth", "never", "article", "main", "header", "likely", "worded", "inner", "last")
 
     def __init__(self, parent: Node | None, tag: str, attributes: str):
         self.parent, self.tag, self.last = parent, tag, -1
@@ -85,18 +89,36 @@ class Node:
         self.header = bool(parent and parent.header) or tag == "header"
         self.never = bool(parent and parent.never) or tag in NEVER_TAGS
         self.likely = bool(parent and parent.likely)
+        hit = False
         if attributes and not self.never:
             for m in _ATTRIBUTES.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
                     found = {w.lower() for w in _WORDS.findall(value)}
-                    self.never = self.never or (tag not in ("html", "body", "article", "main") and bool(found & NEVER_WORDS))
+                    hit = hit or any(never_word(name) for name in value.split())
                     self.likely = self.likely or bool(found & LIKELY_WORDS)
                 elif name == "role":
                     self.never = self.never or value.lower() in NEVER_ROLES
                     self.article, self.main = self.article or value.lower() == "article", self.main or value.lower() == "main"
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     self.never = True
+        above = bool(parent and parent.worded)
+        own = hit and tag not in ("html", "body", "article", "main")
+        self.worded = above or own
+        if (self.article or self.main) and not (parent and (parent.article or parent.main)):
+            self.inner = above and hit  # a comment among comments may be an article too
+        else:
+            self.inner = bool(parent and parent.inner) or own
+
+
+def never_word(name: str) -> bool:
+    """Whether one class or id names a part that is no article, in words before any of layout."""
+    for w in _WORDS.findall(name):
+        if w.lower() in LAYOUT_WORDS:
+            return False
+        if w.lower() in NEVER_WORDS:
+            return True
+    return False
 
 
 class Block:
@@ -170,14 +192,15 @@ def blocks_of(html: str) -> list[Block]:
     return kept
 
 
-def cost(block: Block, has_article: bool, has_main: bool) -> float:
-    """Log-odds of content."""
+def cost(block: Block, has_article: bool, has_main: bool, inner: bool = False) -> float:
+    """Log-odds of content; with ``inner`` only class words within an article or main part count against its blocks."""
     n, w = block.node, WEIGHTS
     if n.never:
         return -NEVER
     z = w["bias"] + w["in_article"] * n.article + w["in_main"] * n.main + w["likely"] * n.likely
     if has_article and not n.article or has_main and not n.main and not n.article:
         z += w["outside"]
+    z += w["word"] * (n.inner if inner else n.worded)
     if n.header and not n.article:
         z += w["header"]
     z += w["paragraph"] * (n.tag in ("p", "blockquote", "pre")) + w["heading"] * (n.tag in HEADINGS)
@@ -275,7 +298,8 @@ def minimum_cut(costs: list[float], smooth: list[tuple[int, int, float]]) -> lis
 def main_text(html: str | None) -> str:
     blocks = blocks_of(html or "")
     has_article, has_main = any(b.node.article for b in blocks), any(b.node.main for b in blocks)
-    costs = [cost(b, has_article, has_main) for b in blocks]
+    inner = not any((b.node.main if has_main else b.node.article) and not b.node.worded and not b.node.never for b in blocks)
+    costs = [cost(b, has_article, has_main, inner) for b in blocks]
     content = minimum_cut(costs, edges(blocks))
     return "\n".join(b.text for b, c in zip(blocks, content, strict=True) if c)
 

@@ -38,3 +38,25 @@ def test_odd_pages(spark):
     assert got[8].text.startswith("Deep text") and got[9].text.count("\n") == 2999
     assert got[0].text == got[11].text
     assert extract(pages.limit(0)).count() == 0
+
+
+TEXT = "A paragraph of text that is reasonably long, with punctuation and so on."
+BOTH = f"<h2>Title here</h2><p>{TEXT}</p><p>Short.</p>"
+GOT = f"Title here\n{TEXT}\nShort."
+
+
+def test_layout_classes_do_not_lose_the_article():
+    for name in ("layout has-sidebar", "no-ads", "post with-comments", "hasSidebar", "without_widgets"):
+        assert main_text(f'<body><div class="{name}"><div class="menu"><a>a</a></div><div id="content">{BOTH}</div></div></body>') == GOT
+    for tag in ("article", "main", "div role=main"):
+        page = f'<body><div class="page sidebar"><p>Aside of some length, with a point.</p><{tag}>{BOTH}<div class="comments"><p>{TEXT * 3}</p></div></{tag.split()[0]}></div></body>'
+        assert main_text(page) == GOT
+    assert main_text(f"<article>{BOTH}</article><div class='related-posts'><article><h3>Other news</h3><p>{TEXT * 3}</p></article></div>") == GOT
+    comment = f'<li class="comment"><article class="comment-body"><p>{TEXT * 3}</p></article></li>'
+    assert main_text(f'<main><article>{BOTH}</article><ol class="comment-list">{comment * 3}</ol></main>') == GOT
+    assert main_text(f'<article class="post no-sidebar">{BOTH}<div class="ad-with-image">{TEXT * 3}</div></article>') == GOT
+
+
+def test_self_closed_raw_tags_are_empty():
+    for mark in ('<svg class="icon" />', "<svg/>", '<iframe src="x"/>', "<svg><path/>hidden</svg>", '<script src="x" />'):
+        assert main_text(f"<article>{mark}{BOTH}<svg>drawn</svg></article>") == GOT

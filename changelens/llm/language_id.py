@@ -6,8 +6,8 @@ the widest least distance of many seeded draws. For each bit a binary logistic c
 the logistic loss of the margin against its codeword, weighted by how well the bit was learned on that language; the
 nearest codeword wins. A prediction is flagged ambiguous if the runner-up's loss is within ``AMBIGUOUS`` of the best.
 
-Training takes a bounded sample: at most ``PER_LANGUAGE`` labelled rows of each language, the first in the order of a
-seeded hash of the id, the same at every partitioning. Languages, source and ids are never inputs of a prediction.
+Training takes a bounded sample: at most ``PER_LANGUAGE`` different labelled rows of each language, the first in the order of
+a seeded hash of id and text, the same at every partitioning, also where ids repeat or are null. Languages, source and ids are never inputs of a prediction.
 
 Scale: features of the sample are made by Spark, and the model (bits x buckets) is fitted on at most ``PER_LANGUAGE``
 rows per language; scoring is one narrow pass over whole texts without a shuffle. A language with a third of all rows is
@@ -125,20 +125,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The model learned from ``docs``; pass only rows that may be learned from."""
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    rows = rows.withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, buckets), np.float32), np.zeros(0, int))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
-    limits = F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, (1.5 * per_language + 50) / counts[lang]) * 2.0**63)])
-    thin = rows.withColumn("order", order).filter(F.col("order") <= limits[F.col("lang")])
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    picked = stash(thin.select("lang", "order", "doc_id").withColumn("nth", nth).filter(F.col("nth") <= per_language).groupBy("lang").agg(F.max("order").alias("last")), folder, "last")
+    limits = F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, (1.5 * per_language + 50) / max(1, counts[lang])) * 2.0**63)])
+    thin = rows.filter(F.col("order") <= limits[F.col("lang")])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    picked = stash(thin.select("lang", "order").distinct().withColumn("nth", nth).filter(F.col("nth") <= per_language).groupBy("lang").agg(F.max("order").alias("last")), folder, "last")
     last = {r["lang"]: r["last"] for r in picked.collect()}
     within = F.create_map(*[F.lit(v) for lang in languages for v in (lang, last.get(lang, -1))])
-    chosen = thin.filter(F.col("order") <= within[F.col("lang")]).select("doc_id", "text", "lang")
+    chosen = thin.filter(F.col("order") <= within[F.col("lang")]).dropDuplicates(["lang", "order"]).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +146,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
     found = chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, lang string, x binary").collect()  # per_language rows for each language
-    found.sort(key=lambda r: (r["lang"], str(r["doc_id"])))
+    found.sort(key=lambda r: (r["lang"], str(r["doc_id"]), r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in found])
     return Model(languages, x, np.array([languages.index(r["lang"]) for r in found]), seed)
 

@@ -105,7 +105,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = L2, rounds: int = 30)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, categories, sample: int, seed: int) -> tuple[DataFrame, dict]:
-    """Labelled rows ``doc_id, text, y0, y1, ...`` and the label frequencies of the whole table."""
+    """Labelled rows ``doc_id, text, y0, y1, ...``, one for each id, and the label frequencies of the whole table."""
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"y{k}") for k, (c, _) in enumerate(categories)])
     known = known.select("doc_id", *[(1 - F.col(f"y{k}") if flip else F.col(f"y{k}")).alias(f"y{k}") for k, (_, flip) in enumerate(categories)])
     known = known.filter(" AND ".join(f"y{k} IN (0, 1)" for k in range(len(categories))))
@@ -114,8 +114,10 @@ def _sample(docs: DataFrame, labels: DataFrame, categories, sample: int, seed: i
     order = F.xxhash64(F.lit(seed), "doc_id")
     parts = [known.filter(F.col(last) == v).orderBy(order, "doc_id").limit(sample) for v in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * sample rows of a few integers
-    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return text, rates
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")  # of the documents of one id
+    names = [f"y{k}" for k in range(len(categories))]
+    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *names).agg(one)
+    return text.select("doc_id", "text", *names), rates
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE, seed: int = SEED) -> list[Link]:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from changelens.llm import language_id
 from changelens.llm.language_id import codebook, has_letter, held_out, identify, op6_language_codes, train
 
 
@@ -45,3 +46,13 @@ def test_only_text_is_read(make_docs, odd_rows):
     other = docs.withColumns({"lang": F.lit("zz"), "source": F.lit("q")})
     pick = lambda df: sorted((str(r.doc_id), r.lang_pred, r.score) for r in identify(df, model).collect())
     assert pick(docs) == pick(other)
+
+
+def test_repeated_ids_stay_within_the_sample(make_docs, monkeypatch):
+    """Ids that repeat or are null, with different texts, and one row in a thousand copies."""
+    sizes = []
+    monkeypatch.setattr(language_id, "Model", lambda languages, x, y, *a: sizes.append((len(languages), len(x), len({r.tobytes() for r in x}))))
+    names = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(200)]
+    rows = [(i, f"{lang} {name} text", lang, "a") for lang in ("en", "fr") for k, name in enumerate(names) for i in (7 if k % 2 else None,)]
+    train(make_docs([*rows, *[(7, "one text", "en", "a")] * 1000]), per_language=20)
+    assert sizes == [(2, 40, 40)]

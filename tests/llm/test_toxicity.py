@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from changelens.llm.toxicity import Lookup, drop_toxic, features, fit_logistic, score, train
+from changelens.llm.toxicity import CATEGORIES, Lookup, _sample, drop_toxic, features, fit_logistic, score, train
 
 
 def corpus(make_docs, spark, n=400):
@@ -56,3 +56,10 @@ def test_logistic_regression_separates():
     x = rng.integers(0, 2, (200, 3)).astype(float)
     w, b = fit_logistic(x, x[:, 1])
     assert ((x @ w + b > 0) == (x[:, 1] > 0)).all()
+
+
+def test_repeated_ids_stay_within_the_sample(make_docs, spark):
+    docs = make_docs([(k % 4 if k < 8 else 1, f"text {k}", "en", "a") for k in range(60)] + [(None, "null", "en", "a"), (2, None, "en", "a")])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
+    first, again = (sorted((tuple(r) for r in _sample(d, labels, CATEGORIES, 10, 1)[0].collect()), key=str) for d in (docs, docs.repartition(5)))
+    assert [r[0] for r in first] == [0, 1, 2, 3] and first == again

@@ -87,6 +87,15 @@ def align_window(intervals: list[tuple[int, int]], start_us: int, end_us: int, w
     return None
 
 
+def ready_prefix(intervals: list[tuple[int, int]], start_us: int, end_us: int, least_us: int = 360_000_000) -> tuple[int, int] | None:
+    """The longest covered prefix of the window that ends on a whole minute; none if its start is not covered or it is too short."""
+    for lo, hi in intervals:
+        if lo <= start_us < hi:
+            cut = min(end_us, hi) // 60_000_000 * 60_000_000
+            return (start_us, cut) if cut - start_us >= least_us else None
+    return None
+
+
 def nearest_complete(intervals: list[tuple[int, int]], start_us: int, end_us: int) -> tuple[int, int] | None:
     """The covered window of the same length closest to the one asked for."""
     length, best = end_us - start_us, None

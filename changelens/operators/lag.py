@@ -118,7 +118,23 @@ def describe_lag(episodes: DataFrame, ddl: DataFrame, top: int = 3) -> DataFrame
 def episode_windows(episodes: DataFrame, lead_us: int = 300_000_000, width_us: int = 300_000_000) -> DataFrame:
     """Windows for the write context of episodes that are no stalls: from 5 minutes before, on bucket edges."""
     low, high = F.col("start_us") - lead_us, F.col("end_us")
-    return episodes.filter("kind <> 'stall'").select("instance_id", "node_id", "start_us", "end_us", (low - F.pmod(low, F.lit(width_us))).alias("window_start_us"), (high - F.pmod(high, F.lit(width_us)) + width_us).alias("window_end_us"))
+    return episodes.filter("kind <> 'stall'").select("instance_id", "node_id", "start_us", "end_us", (low - F.pmod(low, F.lit(width_us))).alias("window_start_us"), (high + F.pmod(-high, F.lit(width_us))).alias("window_end_us"))
+
+
+def episode_writes(episodes: DataFrame, agg: DataFrame, n: int = 5, lead_us: int = 300_000_000, width_us: int = 300_000_000) -> DataFrame:
+    """The ``n`` tables most written in each episode's window, with their events in the equal window before (null if none there).
+
+    ``agg``: ``changes.agg_5m`` with ``instance_id``, in buckets of ``width_us``. Windows become buckets, so it is an equi join.
+    """
+    length = F.col("window_end_us") - F.col("window_start_us")
+    buckets = F.sequence(F.col("window_start_us") - length, F.col("window_end_us") - width_us, F.lit(width_us))
+    spread = episode_windows(episodes, lead_us, width_us).withColumn("bucket_us", F.explode(buckets))
+    rows = agg.filter("table_name <> '*'").groupBy("instance_id", "bucket_us", "database_name", "table_name").agg(F.sum("row_events").alias("_rows"))
+    inside = F.col("bucket_us") >= F.col("window_start_us")
+    keys = ["instance_id", "node_id", "start_us", "end_us", "window_start_us", "window_end_us"]
+    found = spread.join(rows, ["instance_id", "bucket_us"]).groupBy(*keys, "database_name", "table_name").agg(F.sum(F.when(inside, F.col("_rows"))).alias("row_events"), F.sum(F.when(~inside, F.col("_rows"))).alias("row_events_before"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("row_events"), "database_name", "table_name"))
+    return found.filter("row_events IS NOT NULL").withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
 def peer_health(series: DataFrame, least_reads: float = 50.0, removed_share: float = 0.05) -> DataFrame:

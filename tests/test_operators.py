@@ -222,6 +222,24 @@ def test_coverage_runs(spark):
     assert cov.nearest_complete([(0, 50), (100, 300)], 40, 140) == (100, 200)
 
 
+def test_ready_prefix():
+    m = 60_000_000
+    assert cov.ready_prefix([(0, 20 * m)], 5, 10 * m + 7) == (5, 10 * m)
+    assert cov.ready_prefix([(0, 8 * m + 9), (9 * m, 20 * m)], 0, 15 * m) == (0, 8 * m)
+    assert cov.ready_prefix([(0, 6 * m)], 1, 15 * m) is None
+    assert cov.ready_prefix([(10, 20 * m)], 0, 15 * m) is None and cov.ready_prefix([], 0, 15 * m) is None
+
+
+def test_episode_writes(spark):
+    w = 300_000_000
+    episodes = spark.createDataFrame([("i", "n", "spike", 3 * w + 1, 4 * w), ("i", "n", "stall", 9 * w, 9 * w), ("i", "m", "behind", 11 * w + 5, 11 * w + 9)], "instance_id string, node_id string, kind string, start_us long, end_us long")
+    rows = [("i", k * w, "d", t, c) for t, of in {"a": {0: 9, 1: 2, 2: 3, 3: 4, 4: 50}, "b": {1: 90, 3: 20}, "c": {0: 5, 1: 5}, "*": {3: 99}}.items() for k, c in of.items()] + [("j", 3 * w, "d", "z", 99), ("i", 3 * w, "d", "a", 1)]
+    agg = spark.createDataFrame(rows, "instance_id string, bucket_us long, database_name string, table_name string, row_events long")
+    got = [(r.node_id, r.window_start_us // w, r.window_end_us // w, r.table_name, r.row_events, r.row_events_before, r["rank"]) for r in lag.episode_writes(episodes, agg).orderBy("rank").collect()]
+    assert got == [("n", 2, 4, "b", 20, 90, 1), ("n", 2, 4, "a", 8, 11, 2)]
+    assert [r.table_name for r in lag.episode_writes(episodes, agg, 1).collect()] == ["b"]
+
+
 def test_verification(spark):
     a = spark.createDataFrame([("p1", 1, "x", 1), ("p2", 2, "y", 1)], "path string, rows int, sha256 string, revision int")
     b = spark.createDataFrame([("p1", 1, "z", 1), ("p3", 2, "y", 1)], "path string, rows int, sha256 string, revision int")

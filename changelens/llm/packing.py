@@ -19,13 +19,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,18 +33,21 @@ from .common import shared_folder, stash, table
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: White space to str.split() that is none to the tokenizer.
-_OTHER = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Words remembered by a Python worker, in each of two generations.
-_CACHED = 500_000
-#: Words that a worker keeps for its next task: the first ones met, among them the most frequent.
-_KEPT = 150_000
+#: Bytes of words and ids that a Python worker remembers, and bytes of text that it takes at a time.
+_REMEMBERED = 32 << 20
+_SLICE = 6 << 20
+#: A word that the tokenizer lower-cases and cuts into its letters and its marks, whatever stands around it.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[,.!?;:#$]*$"
+_MARKS = ",.!?;:#$"
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; words between white space are encoded once and remembered.
+    """Ids of texts; a word between white space is encoded once and remembered.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words in a row.
+    Words of letters of the first 256 characters are remembered in lower case and apart from the marks that follow them.
+    What is remembered lies in three flat arrays (words, where their ids end, ids), bounded by bytes; words that have not
+    been met for longest go first.
     """
 
     def __init__(self, path: str | None):
@@ -57,28 +59,104 @@ class Encoder:
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        found = [t.split() if not any(c in t for c in _OTHER) else t.replace("\n", " ").split(" ") for t in (t or "" for t in texts)]
-        new, old = self.new, self.old
-        unknown = [w for w in set().union(*found) if w not in new]
-        if old:
-            new.update((w, old[w]) for w in unknown if w in old)
-            unknown = [w for w in unknown if w not in old]
-        for at in range(0, len(unknown), 20_000):
-            part = unknown[at : at + 20_000]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[w] = array("I", x.ids).tobytes()
-        out = [b"".join(map(new.__getitem__, words)) for words in found]
-        if len(new) > _CACHED:
-            self.old, self.new = new, {}
-        return out
-
-    def trim(self) -> None:
-        """At the end of a task: give back what idle workers should not hold."""
-        self.new, self.old = dict(islice((self.old or self.new).items(), _KEPT)), {}
+        self.last = np.array([k.endswith("</w>") for k, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])], bool)
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.ends, self.met, self.now = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, and how many each has."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        listed = words.to_pylist()
+        count = np.zeros(len(listed), np.int64)
+        found = []
+        alone = np.flatnonzero(plain)
+        for at in range(0, len(alone), 5_000):  # each is one run of letters, whose last id is marked as an end of word
+            part = alone[at : at + 5_000]
+            ids = np.array(self.tokenizer.encode(" ".join([listed[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            count[part] = np.diff(stops, prepend=0)
+            found.append(ids)
+        rest = np.flatnonzero(~plain)
+        for at in range(0, len(rest), 5_000):
+            part = rest[at : at + 5_000]
+            for i, x in zip(part, self.tokenizer.encode_batch_fast([listed[i] for i in part], add_special_tokens=False), strict=True):
+                found.append(np.array(x.ids, np.uint32))
+                count[i] = len(x.ids)
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        order = np.concatenate((alone, rest))
+        begins = np.empty(len(order), np.int64)
+        begins[order] = np.cumsum(count[order]) - count[order]
+        return _runs(ids, begins, count), count
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among those remembered; new ones are encoded."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        if len(new):
+            ids, count = self._encoded(new)
+            self.ids = np.concatenate((self.ids, ids))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(count)))
+            place = at.to_numpy(zero_copy_only=False)
+            place = np.where(np.isnan(place), 0, place).astype(np.int64) if place.dtype.kind == "f" else place.astype(np.int64)
+            place[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.met = np.concatenate((self.met, np.zeros(len(new), np.int64)))
+        else:
+            place = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.met[place] = self.now
+        return place
+
+    def _forget(self) -> None:
+        """Keep the words met last, up to half of what may be remembered."""
+        size = np.asarray(pc.binary_length(self.words)).astype(np.int64) + 24 + 4 * np.diff(self.ends)
+        if size.sum() <= _REMEMBERED:
+            return
+        order = np.argsort(-self.met, kind="stable")
+        keep = np.sort(order[np.cumsum(size[order]) <= _REMEMBERED // 2])
+        count = np.diff(self.ends)[keep]
+        self.ids = _runs(self.ids, self.ends[:-1][keep], count)
+        self.ends = np.concatenate(([0], np.cumsum(count)))
+        self.words, self.met = self.words.take(pa.array(keep)), self.met[keep]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none), in order."""
+        texts = texts.cast(pa.large_string())
+        size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+        start = 0
+        while start < len(texts):
+            stop = start + max(1, int(np.searchsorted(np.cumsum(size[start:]), _SLICE, side="right")))
+            yield from self._slice(pc.fill_null(texts.slice(start, stop - start), ""))
+            start = stop
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        self.now += 1
+        cut = pc.ascii_split_whitespace(texts)
+        ends = np.asarray(cut.offsets).astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary
+        plain = pc.match_substring_regex(words, _PLAIN)
+        stems = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, _MARKS)), words)
+        marks = pc.if_else(plain, pc.replace_substring_regex(words, "^[^,.!?;:#$]+", ""), "")
+        both = pa.concat_arrays([stems, marks]).dictionary_encode()
+        place = self._known(both.dictionary)[np.asarray(both.indices)].reshape(2, -1)
+        count = np.diff(self.ends)[place]
+        # the ids of each distinct word, then of each word in place
+        ids = _runs(self.ids, self.ends[place].T.ravel(), count.T.ravel())
+        each = count.sum(axis=0)
+        code = np.asarray(coded.indices)
+        of = each[code]
+        flat = _runs(ids, (np.cumsum(each) - each)[code], of)
+        stops = np.concatenate(([0], np.cumsum(of)))[ends - ends[0]]
+        self._forget()
+        for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            yield flat[a:b]
+
+
+def _runs(values: np.ndarray, begins: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs ``values[begin : begin + count]`` in a row."""
+    at = np.repeat(begins - (np.cumsum(count) - count), count)
+    at += np.arange(len(at))
+    return values[at]
 
 
 _encoders: dict[str | None, Encoder] = {}
@@ -99,10 +177,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            texts = batch.column("text").to_pylist()
-            encoded = (x for at in range(0, len(texts), 500) for x in own.encode(texts[at : at + 500]))
-            for i, data in enumerate(encoded):
-                data += end
+            for i, found in enumerate(own.encode(batch.column("text"))):
+                data = found.astype("<u4").tobytes() + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     row.append(i)
@@ -118,7 +194,6 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        own.trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from changelens.llm import packing
 from changelens.llm.packing import pack_documents, plan
 
 
@@ -65,3 +67,18 @@ def test_documents(make_docs, odd_rows):
             at += n
         assert at <= 4096
     assert pack_documents(make_docs([])).count() == 0
+
+
+def test_remembered_words_give_the_tokenizer_s_ids(monkeypatch):
+    """Whole texts by the tokenizer itself, against words that are remembered, forgotten, and cut into letters and marks."""
+    monkeypatch.setattr(packing, "_REMEMBERED", 20_000)
+    monkeypatch.setattr(packing, "_SLICE", 3_000)
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(1, 0x180)] + list(" ,.!?;:#$'") * 10 + list("́̂KΣς漢")
+    texts = [None, "", " \n", "don't can't's 4,5 <|endoftext|> a<|startoftext|>b", "a\x00b  c\x1cd", "İstanbul é ΣΑΣ.", "x" * 9000 + " " + "!#$" * 2000, "漢字" * 500]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    own = packing.Encoder(None)
+    for _ in range(2):
+        got = list(own.encode(pa.array(texts, pa.string())))
+        assert [x.tolist() for x in got] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(own.encode(pa.array([], pa.string()))) == [] and len(own.words) < 2000

@@ -1,7 +1,10 @@
 import zlib
 from collections import Counter
 
-from changelens.llm.sharding import shard_records, write_shards
+import pytest
+
+from changelens.llm import sharding
+from changelens.llm.sharding import op7_two_pass_shuffle, shard_records, write_shards
 
 
 def check(rows, got, shards):
@@ -41,3 +44,28 @@ def test_whole_records_are_written(spark, make_docs, odd_rows, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((i, t) for i, t, *_ in odd_rows)
     assert shard_records(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_slots_follow_from_seed_and_data_alone(spark, make_docs, odd_rows, monkeypatch, unique):
+    """Other partition counts and another order of the input change nothing; a pile of equal records is spread."""
+    monkeypatch.setattr(sharding, "PILE", 20)
+    rows = [(k, f"text {k % 3}", "en", "a") for k in range(400)]
+    if not unique:
+        rows += [*odd_rows, *[(9, "same " * 50, "en", "b")] * 300]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n, docs in ((4, make_docs(rows)), (11, make_docs(rows[::-1]).repartition(7))):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = shard_records(docs, bucket_bytes=3000).collect()
+            check(rows, got, 40)
+            found.append(Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_query_redigests_the_records(spark, make_docs, odd_rows, tmp_path):
+    make_docs(odd_rows).write.parquet(f"{tmp_path}/documents.parquet")
+    check(odd_rows, op7_two_pass_shuffle(spark, str(tmp_path)).collect(), 40)

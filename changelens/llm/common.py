@@ -60,5 +60,19 @@ def keep_rows(docs: DataFrame, keys: DataFrame, unique: bool, id_col: str = "doc
     return kept.select("row.*")
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, on: str | list[str], count_col: str) -> DataFrame:
+    """Inner join of stored tables where ``counted`` has one row per key and, as ``count_col``, how many of ``rows`` have it.
+
+    Keys of more than a thousandth of the rows are broadcast, which are at most a thousand; the rest meet by shuffle, so
+    no key brings more than a thousandth of all rows to one task.
+    """
+    total = counted.agg(F.sum(count_col)).first()[0] or 0
+    hot = counted.filter(F.col(count_col) > total / 1000)
+    keys = [on] if isinstance(on, str) else on
+    often = rows.join(F.broadcast(hot), keys)
+    seldom = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(counted.filter(F.col(count_col) <= total / 1000), keys)
+    return often.unionByName(seldom)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

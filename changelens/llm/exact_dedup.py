@@ -4,11 +4,12 @@ Each normalised text is cut into fixed-size blocks. Equal blocks get one integer
 blocks are paired and each distinct pair gets a name, level by level, until a document has one name. Documents have
 equal texts exactly when level and name agree: names are given to contents (or to pairs of names), never to hashes.
 
-Scale: the contents of the blocks are shuffled once, after a map-side distinct, to be sorted and named. Document rows
-carry a 64-bit hash to meet the names; hashes that stand for more than one content are found at naming, and their
-blocks meet on content. Hot groups of copies are pre-aggregated where names are made, and the joins are plain equi
-joins on narrow rows, which adaptive execution splits when a key is skewed. Names and levels are stored tables, so a
-lost executor never renames anything.
+Scale: texts are normalised and cut once, into a stored table. The contents of the blocks are shuffled once, after a
+map-side count, to be sorted and named. Document rows carry a 64-bit hash to meet the names; hashes that stand for more
+than one content are found at naming, and their blocks meet on content. Hot groups of copies are pre-aggregated where
+names are made; a block or class that is more than a thousandth of all rows (so at most a thousand of them) is broadcast
+to its rows, the rest meet by plain equi joins on narrow rows. Names and levels are stored tables, so a lost executor
+never renames anything.
 
 Defined results: null text counts as empty; empty texts form one class (no blocks, level -1); repeated rows are
 members of their class each, of fully equal candidates exactly one is kept; null ids sort last; other columns of the
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, keep_rows, row_key, shared_folder, stash, table, unique_ids
+from .common import BLANKS, join_counted, keep_rows, row_key, shared_folder, stash, table, unique_ids
 
 BLOCK_BYTES = 2048
 
@@ -40,18 +41,28 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def name_documents(docs: DataFrame, folder: str, unique: bool, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
-    """``(row_key, level, name)``: one collision-free identity for each document key."""
-    data = docs.select(row_key(unique, id_col, text_col).alias("row_key"), F.encode(normalised(text_col), "utf-8").alias("data"))
+def cut_texts(docs: DataFrame, folder: str, unique: bool, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Stored ``row_key, doc_id, n, sha, blocks``: each normalised text in blocks, empty texts without any."""
+    data = docs.select(
+        F.col(id_col).alias("doc_id"),
+        row_key(unique, id_col, text_col).alias("row_key"),
+        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
+        F.encode(normalised(text_col), "utf-8").alias("data"),
+    )
     n_blocks = F.ceil(F.octet_length("data") / block_bytes).cast("int")
     cut = F.transform(F.sequence(F.lit(1), n_blocks), lambda i: F.substring("data", (i - 1) * block_bytes + 1, F.lit(block_bytes)))
-    blocks = data.filter(F.octet_length("data") > 0).select("row_key", F.posexplode(cut).alias("pos", "block"))
-
-    contents = blocks.select("block").distinct()
-    names = stash(_named(contents, ["block"]).select(_hash(hash_bits).alias("h"), "name"), folder, "names0")
-    met = names.groupBy("h").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"))
-    placed = blocks.select("row_key", "pos", _hash(hash_bits).alias("h"))
-    level = placed.join(met.filter("n = 1"), "h").select("row_key", "pos", "name")
+    none = F.array().cast("array<binary>")
+    return stash(data.select("row_key", "doc_id", "n", F.unhex(F.sha2("data", 256)).alias("sha"), F.when(F.octet_length("data") > 0, cut).otherwise(none).alias("blocks")), folder, "texts")
+
+
+def name_documents(texts: DataFrame, folder: str, hash_bits: int = 64) -> DataFrame:
+    """``(row_key, level, name)``: one collision-free identity for each key of ``texts(row_key, blocks)``."""
+    blocks = texts.select("row_key", F.posexplode("blocks").alias("pos", "block"))
+    contents = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
+    names = stash(_named(contents, ["block"]).select(_hash(hash_bits).alias("h"), "name", "rows"), folder, "names0")
+    met = stash(names.groupBy("h").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")), folder, "met0")
+    placed = stash(blocks.select("row_key", "pos", _hash(hash_bits).alias("h")), folder, "placed")
+    level = join_counted(placed, met.filter("n = 1").select("h", "name", "rows"), "h", "rows").select("row_key", "pos", "name")
     clashes = met.filter("n > 1").select("h")
     if not clashes.isEmpty():
         doubtful = blocks.withColumn("h", _hash(hash_bits)).join(clashes, "h", "left_semi")
@@ -90,18 +101,13 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     folder = shared_folder(docs.sparkSession)
     unique = unique_ids(docs, id_col)
-    ids = name_documents(docs, folder, unique, id_col, text_col, block_bytes, hash_bits)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        row_key(unique, id_col, text_col).alias("row_key"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
-        F.unhex(F.sha2(F.encode(normalised(text_col), "utf-8"), 256)).alias("sha"),
-    )
-    member = rows.join(ids, "row_key", "left").select("doc_id", "row_key", "n", "sha", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("name", F.lit(-1)).alias("name"))
+    rows = cut_texts(docs, folder, unique, id_col, text_col, block_bytes)
+    ids = name_documents(rows, folder, hash_bits)
+    member = rows.drop("blocks").join(ids, "row_key", "left").select("doc_id", "row_key", "n", "sha", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("name", F.lit(-1)).alias("name"))
     member = stash(member, folder, "members")
     best = F.struct(-F.col("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
     classes = stash(member.groupBy("level", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), folder, "classes")
-    out = member.join(classes, ["level", "name"])
+    out = join_counted(member, classes, ["level", "name"], "group_size")
     kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (-F.col("n") == F.col("best.col1"))
     if not unique:  # several rows may be the best one; the first of them stays
         order = Window.partitionBy("level", "name", "doc_id").orderBy(F.desc("n"), "row_key")

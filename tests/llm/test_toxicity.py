@@ -1,7 +1,11 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
+from changelens.llm import toxicity
 from changelens.llm.toxicity import CATEGORIES, Lookup, _sample, drop_toxic, features, fit_logistic, score, train
 
 
@@ -63,3 +67,29 @@ def test_repeated_ids_stay_within_the_sample(make_docs, spark):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
     first, again = (sorted((tuple(r) for r in _sample(d, labels, CATEGORIES, 10, 1)[0].collect()), key=str) for d in (docs, docs.repartition(5)))
     assert [r[0] for r in first] == [0, 1, 2, 3] and first == again
+
+
+def test_features_are_chosen_on_the_other_folds(make_docs, spark):
+    """The chosen features of each fold against G statistics counted by hand over the rows of the other folds."""
+    rows, docs, labels = corpus(make_docs, spark)
+    want = {r.doc_id: (1 - r.quality, r.toxic) for r in labels.collect()}
+    labels = labels.union(spark.createDataFrame([(k, None, k % 2, "x") for k in range(1, 60, 2)], labels.schema))
+    want |= {k: (None, k % 2) for k in range(1, 60, 2)}
+    text, _ = _sample(docs, labels, CATEGORIES, 4000, 1)
+    counts = toxicity._feature_counts(text, 2)
+    sizes = text.selectExpr(*[f"count(CASE WHEN fold = {f} THEN y{k} END) AS n{k}_{f}" for k in (0, 1) for f in range(5)], *[f"sum(CASE WHEN fold = {f} THEN y{k} END) AS ones{k}_{f}" for k in (0, 1) for f in range(5)]).first().asDict()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    for k in (0, 1):
+        for out in (None, 0, 3):
+            own = [(features(t), want[i][k]) for i, t, *_ in rows if i in want and want[i][k] is not None and fold(i) != out]
+            n, ones, total = Counter(f for x, _ in own for f in x), Counter(f for x, y in own if y for f in x), sum(y for _, y in own)
+            cells = lambda f: [(ones[f], total * n[f]), (n[f] - ones[f], (len(own) - total) * n[f]), (total - ones[f], total * (len(own) - n[f])), (len(own) - total - n[f] + ones[f], (len(own) - total) * (len(own) - n[f]))]  # noqa: E731, B023
+            g = {f: 2 * sum(a * math.log(a * len(own) / e) for a, e in cells(f) if a) for f in n if n[f] >= 5}
+            assert set(toxicity._telling(counts, sizes, k, out)) == {f for f in g if g[f] > toxicity.MIN_G}
+
+
+def test_chain_feeds_probabilities_forward():
+    first = toxicity.Link({b"=a": 2.0}, [], -1.0)
+    second = toxicity.Link({b"=b": 1.0}, [3.0], -2.0)
+    p = 1 / (1 + math.exp(-1.0))
+    assert toxicity.scores([first, second], {b"=a", b"=b"}) == [p, 1 / (1 + math.exp(-(3 * p - 1)))]

@@ -41,6 +41,29 @@ def repeated_ids(events: DataFrame) -> DataFrame:
     return events.groupBy("event_id").count().filter("count > 1")
 
 
+def _by_period(points: DataFrame, start_us: int, end_us: int, period_us: int) -> DataFrame:
+    low, high = complete_periods(start_us, end_us, period_us)
+    inside = points.filter((F.col("end_us") > low) & (F.col("end_us") <= high))
+    return inside.groupBy("node_id", "end_us").agg(F.min("value").alias("value"), F.max("value").alias("most"))
+
+
+def _by_node(per: DataFrame, start_us: int, end_us: int, period_us: int) -> DataFrame:
+    """Per node in one pass: status, reference, and what a correlation needs; a node has one value for each period."""
+    low, high = complete_periods(start_us, end_us, period_us)
+    n = max(0, (high - low) // period_us)
+    v = F.col("value").cast(EXACT)
+    found = per.groupBy("node_id").agg(
+        F.max(F.col("most") > F.col("value")).alias("conflict"),
+        F.min("value").alias("low"),
+        F.count(F.lit(1)).alias("points"),
+        F.element_at(F.array_sort(F.collect_list("value")), (F.floor((F.count(F.lit(1)) - 1) / 5) + 1).cast("int")).alias("reference"),
+        F.sum(v).cast(EXACT).alias("vy"),
+        F.sum((v * v).cast(EXACT)).cast(EXACT).alias("vyy"),
+    )
+    status = F.when(F.col("conflict"), "conflicting_samples").when(F.col("low") < 0, "negative_samples").when(F.lit(n) < LEAST_POINTS, "insufficient_minutes").when(F.col("points") < n, "metric_gaps").otherwise("ok")
+    return found.select("node_id", status.alias("status"), "reference", "points", "vy", "vyy")
+
+
 def metric_reference(points: DataFrame) -> DataFrame:
     """Per node the 20th percentile of its values: the sorted value at index floor((n - 1) / 5)."""
     values = points.groupBy("node_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
@@ -49,15 +72,7 @@ def metric_reference(points: DataFrame) -> DataFrame:
 
 def metric_status(points: DataFrame, start_us: int, end_us: int, period_us: int = PERIOD_US) -> DataFrame:
     """Per node: ok, or why its metric cannot be used: conflicting, negative, too few periods, gaps."""
-    low, high = complete_periods(start_us, end_us, period_us)
-    n = max(0, (high - low) // period_us)
-    inside = points.filter((F.col("end_us") > low) & (F.col("end_us") <= high))
-    per = inside.groupBy("node_id", "end_us").agg(F.count_distinct("value").alias("values"), F.min("value").alias("low"))
-    return per.groupBy("node_id").agg(F.max("values").alias("most"), F.min("low").alias("low"), F.count(F.lit(1)).alias("points")).select(
-        "node_id",
-        F.when(F.col("most") > 1, "conflicting_samples").when(F.col("low") < 0, "negative_samples").when(F.lit(n) < LEAST_POINTS, "insufficient_minutes").when(F.col("points") < n, "metric_gaps").otherwise("ok").alias("status"),
-        "points",
-    )
+    return _by_node(_by_period(points, start_us, end_us, period_us), start_us, end_us, period_us).select("node_id", "status", "points")
 
 
 def resource_overlap(series: DataFrame, points: DataFrame, start_us: int, end_us: int, period_us: int = PERIOD_US, reference: DataFrame | None = None) -> DataFrame:
@@ -65,29 +80,29 @@ def resource_overlap(series: DataFrame, points: DataFrame, start_us: int, end_us
 
     ``points``: ``node_id, end_us, value`` with integer values (scaled). The reference is the window's own 20th
     percentile, or ``reference(node_id, reference)`` of the window before; a node without one scores 0 with a reason.
+    The series is read once, the points twice.
     """
-    low, high = complete_periods(start_us, end_us, period_us)
-    inside = points.filter((F.col("end_us") > low) & (F.col("end_us") <= high)).select("node_id", "end_us", "value").distinct()
-    status = metric_status(points, start_us, end_us, period_us)
-    own = metric_reference(inside).select("node_id", "reference") if reference is None else reference
-    nodes = status.join(own, "node_id", "left").withColumn("status", F.when((F.col("status") == "ok") & F.col("reference").isNull(), "metric_baseline_unavailable").otherwise(F.col("status")))
-    usable = nodes.filter("status = 'ok'").select("node_id", "reference")
-    above = inside.join(usable, "node_id").select("node_id", "end_us", "value", F.greatest(F.col("value") - F.col("reference"), F.lit(0)).alias("above"))
-    total = above.groupBy("node_id").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("value").cast(EXACT)).cast(EXACT).alias("vy"), F.sum((F.col("value").cast(EXACT) * F.col("value").cast(EXACT)).cast(EXACT)).cast(EXACT).alias("vyy"))
-    joined = series.join(above, ["node_id", "end_us"])
+    per = _by_period(points, start_us, end_us, period_us)
+    nodes = _by_node(per, start_us, end_us, period_us)
+    if reference is not None:
+        nodes = nodes.drop("reference").join(reference, "node_id", "left")
+    nodes = nodes.withColumn("status", F.when((F.col("status") == "ok") & F.col("reference").isNull(), "metric_baseline_unavailable").otherwise(F.col("status")))
+    above = per.join(nodes.filter("status = 'ok'").select("node_id", "reference"), "node_id").select("node_id", "end_us", "value", F.greatest(F.col("value") - F.col("reference"), F.lit(0)).alias("above"))
     x, y = F.col("runtime_us").cast(EXACT), F.col("value").cast(EXACT)
-    families = joined.groupBy("node_id", "family").agg(
+    used = F.when(F.col("value").isNotNull(), x)
+    families = series.join(above, ["node_id", "end_us"], "left").groupBy("node_id", "family").agg(
+        F.sum("runtime_us").cast(EXACT).alias("all"),
         F.sum((x * F.col("above").cast(EXACT)).cast(EXACT)).cast(EXACT).alias("score"),
-        F.sum(x).cast(EXACT).alias("runtime_us"),
-        F.sum((x * x).cast(EXACT)).cast(EXACT).alias("sxx"),
+        F.sum(used).cast(EXACT).alias("sx"),
+        F.sum((used * used).cast(EXACT)).cast(EXACT).alias("sxx"),
         F.sum((x * y).cast(EXACT)).cast(EXACT).alias("sxy"),
-    ).join(total, "node_id")
+    )
     everything = F.sum("score").over(Window.partitionBy("node_id"))
-    r = pearson(F.col("m"), F.col("runtime_us"), F.col("vy"), F.col("sxx"), F.col("vyy"), F.col("sxy"))
-    scored = families.select("node_id", "family", "score", "runtime_us", F.when(everything > 0, F.col("score").cast("double") / everything.cast("double")).alias("share"), r.alias("r"))
-    unscored = series.groupBy("node_id", "family").agg(F.sum("runtime_us").cast(EXACT).alias("runtime_us"))
-    out = unscored.select("node_id", "family", F.col("runtime_us").alias("_all")).join(scored, ["node_id", "family"], "left").join(nodes.select("node_id", "status"), "node_id", "left")
-    return out.select("node_id", "family", F.coalesce("status", F.lit("metric_missing")).alias("status"), F.coalesce("score", F.lit(0).cast(EXACT)).alias("score"), F.col("_all").alias("runtime_us"), "share", "r")
+    r = pearson(F.col("points"), F.col("sx"), F.col("vy"), F.col("sxx"), F.col("vyy"), F.col("sxy"))
+    return families.join(nodes, "node_id", "left").select(
+        "node_id", "family", F.coalesce("status", F.lit("metric_missing")).alias("status"), F.coalesce("score", F.lit(0).cast(EXACT)).alias("score"), F.col("all").alias("runtime_us"),
+        F.when(everything > 0, F.col("score").cast("double") / everything.cast("double")).alias("share"), r.alias("r"),
+    )
 
 
 def lock_free_us(overlap: Column, duration_us: Column, lock_us: Column) -> Column:

@@ -314,6 +314,47 @@ def rollup(stats: DataFrame, width_us: int) -> DataFrame:
     )
 
 
+def transaction_rollup(buckets: DataFrame, width_us: int) -> DataFrame:
+    """``txn_buckets`` by wider buckets: sums of sums, maxima of maxima."""
+    most = ("largest", "longest_us")
+    rest = [c for c in buckets.columns if c not in ("bucket_us", *most)]
+    return buckets.groupBy(bucket(F.col("bucket_us"), width_us).alias("bucket_us")).agg(*[F.sum(c).alias(c) for c in rest], *[F.max(c).alias(c) for c in most])
+
+
+def hotspot_rollup(ev: DataFrame, width_us: int) -> DataFrame:
+    """Row events and transactions per table and wide bucket; a transaction counts in each narrow bucket that it touches."""
+    per = ev.filter("row_event AND table_name <> ''").groupBy("bucket_us", "database_name", "table_name").agg(F.count(F.lit(1)).alias("events"), F.count_distinct(F.when(F.col("txn_key") != "", F.col("txn_key"))).alias("transactions"))
+    return per.groupBy(bucket(F.col("bucket_us"), width_us).alias("bucket_us"), "database_name", "table_name").agg(F.sum("events").alias("events"), F.sum("transactions").alias("transactions"))
+
+
+def ddl_rollup(windows: DataFrame, width_us: int) -> DataFrame:
+    """DDL events by wide bucket and table, with the DML beside them (``ddl_windows``)."""
+    at = bucket(F.col("event_epoch_us"), width_us).alias("bucket_us")
+    return windows.groupBy(at, "database_name", "table_name").agg(F.count(F.lit(1)).alias("ddl"), F.sum("dml_events").alias("dml_events"), F.max("dml_events").alias("dml_most"))
+
+
+def top_each_bucket(df: DataFrame, orders: list[str], key: str, n: int = 50) -> DataFrame:
+    """The union of each bucket's first ``n`` rows under each of the orders, once each; ties by ``key``."""
+    ranks = {f"_r{k}": F.row_number().over(Window.partitionBy("bucket_us").orderBy(F.desc_nulls_last(o), key)) for k, o in enumerate(orders)}
+    return df.withColumns(ranks).filter(" OR ".join(f"{r} <= {n}" for r in ranks)).drop(*ranks)
+
+
+def notable_transactions(txn: DataFrame, start_us: int, end_us: int, n: int = 20) -> DataFrame:
+    """The union of top lists, each transaction once: first ``n`` by rows and by duration, all with DDL, all of several
+    tables, and all that reach beyond the window."""
+    out = txn
+    for k, order in enumerate(("largest", "longest")):
+        best = top_transactions(txn, order, n).select("txn_key", F.lit(True).alias(f"_top{k}"))
+        out = out.join(F.broadcast(best), "txn_key", "left")
+    own = (F.col("ddl_count") > 0) | (F.col("table_count") > 1) | (F.col("start_us") < start_us) | (F.col("end_us") > end_us)
+    return out.filter(own | F.col("_top0").isNotNull() | F.col("_top1").isNotNull()).drop("_top0", "_top1")
+
+
+def scope_parts(parts: DataFrame, scope: DataFrame) -> DataFrame:
+    """Aggregates of the parts that are in scope: ``scope`` names instance and part, and says which revision is current."""
+    return parts.join(scope.select("instance_id", "part_id", "revision").distinct(), ["instance_id", "part_id", "revision"], "left_semi")
+
+
 def write_hotspots(agg: DataFrame, start_us: int, end_us: int, n: int = 5) -> DataFrame:
     """Tables most written in the window, with their events in the equal window before (null if none there)."""
     low = start_us - (end_us - start_us)

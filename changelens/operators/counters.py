@@ -129,6 +129,15 @@ def night_baseline(points: DataFrame, offset_us: int = 8 * 3_600_000_000) -> Dat
     return points.filter((local >= 3 * 3_600_000_000) & (local < 5 * 3_600_000_000)).groupBy("node_id", "metric").agg(F.avg("value").alias("baseline"), F.count(F.lit(1)).alias("points"))
 
 
+def against_night(points: DataFrame, offset_us: int = 8 * 3_600_000_000) -> DataFrame:
+    """Each metric's day mean per node against the mean of the same night's quiet hours; unknown where there was no night."""
+    day = bucket(F.col("ts_us") + offset_us, 86_400_000_000) - offset_us
+    local = F.pmod(F.col("ts_us") + offset_us, F.lit(86_400_000_000))
+    quiet = (local >= 3 * 3_600_000_000) & (local < 5 * 3_600_000_000)
+    out = points.groupBy("node_id", "metric", day.alias("day_us")).agg(F.avg("value").alias("mean"), F.avg(F.when(quiet, F.col("value"))).alias("baseline"))
+    return out.withColumn("delta", F.col("mean") - F.col("baseline"))
+
+
 def prefix_profile(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("key_shape").agg(*[F.sum(c).alias(c) for c in ("keys", "bytes", "expires")], F.array_sort(F.collect_set("type")).alias("types"))
 
@@ -187,8 +196,11 @@ def pressure_runs(frames: DataFrame, period_us: int) -> DataFrame:
 def lock_wait_points(samples: DataFrame, period_us: int = MINUTE_US) -> DataFrame:
     """The latest sample of each period and role; periods with more than one node or conflicting values are dropped."""
     end = bucket(F.col("ts_us") - 1, period_us) + period_us
-    latest = samples.withColumn("end_us", end).groupBy("role", "end_us").agg(F.max_by(F.struct("node_id", "value"), "ts_us").alias("x"), F.count_distinct("node_id").alias("nodes"))
-    return latest.filter("nodes = 1").select("role", "end_us", "x.node_id", "x.value")
+    at = F.struct("ts_us", "value")
+    latest = samples.withColumn("end_us", end).groupBy("role", "end_us").agg(F.max(at).alias("x"), F.min("node_id").alias("node_id"), F.count_distinct("node_id").alias("nodes"), F.max("ts_us").alias("last_us"))
+    tied = samples.withColumn("end_us", end).groupBy("role", "end_us", F.col("ts_us").alias("last_us")).agg((F.min("value") < F.max("value")).alias("conflict"))
+    kept = latest.filter("nodes = 1").join(tied, ["role", "end_us", "last_us"]).filter("NOT conflict")
+    return kept.select("role", "end_us", "node_id", "x.value")
 
 
 def peak_concurrency(requests: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,6 +215,14 @@ def log_histogram(rows: DataFrame, width_us: int = 5_000_000) -> DataFrame:
     return rows.groupBy(bucket(F.col("ts_us"), width_us).alias("bucket_us"), "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_emitters(rows: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """Per category the ``n`` pods (or nodes) with most lines, ties by name, and their share of the category."""
+    per = rows.groupBy("category", by).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("category")
+    ranked = per.withColumns({"share": F.col("n") / F.sum("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), by))})
+    return ranked.filter(F.col("rank") <= n)
+
+
 def olap_workload(audit: DataFrame, slow_ms: int = 1000) -> DataFrame:
     """Statements of an OLAP audit: emissions of one execution collapse (the slow-query emission wins), then sums.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import merge_intervals, subtract_intervals
 
 SECOND = 1_000_000
+MAX_PAGE = 10_000
 
 
 def part_catalog(df: DataFrame) -> DataFrame:
@@ -162,9 +165,10 @@ def assert_same_rows(a: DataFrame, b: DataFrame) -> None:
 
 
 def ordered_hash(df: DataFrame, keys: list[str], order: list) -> str:
-    """Hash over the key columns of a page in its order; pages are small."""
-    rows = df.orderBy(*order).select(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("k")).collect()
-    import hashlib
+    """Hash over the key columns of a page in its order; a page has at most ``MAX_PAGE`` rows, more are refused."""
+    rows = df.orderBy(*order).limit(MAX_PAGE + 1).select(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("k")).collect()
+    if len(rows) > MAX_PAGE:
+        raise ValueError(f"a page has at most {MAX_PAGE} rows")
 
     return hashlib.sha256("\n".join(r["k"] for r in rows).encode()).hexdigest()
 

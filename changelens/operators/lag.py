@@ -93,7 +93,9 @@ def held_statements(events: DataFrame, episodes: DataFrame, least_us: int = 60_0
     """Statements of 60 s or more that ended within 90 s of a stall's release: queued behind it, or possible holders."""
     stalls = episodes.filter("kind = 'stall'").select("instance_id", "node_id", "origin_us", "release_us")
     long = events.filter(F.col("duration_us") >= least_us).withColumn("_end", F.col("start_us") + F.col("duration_us"))
-    hit = long.join(stalls, ["instance_id", "node_id"]).filter(F.abs(F.col("_end") - F.col("release_us")) <= slack_us)
+    bins = F.explode(F.array(*[F.floor(F.col("release_us") / slack_us) + d for d in (-1, 0, 1)]))  # so that it is an equi join
+    hit = long.withColumn("_bin", F.floor(F.col("_end") / slack_us)).join(stalls.withColumn("_bin", bins), ["instance_id", "node_id", "_bin"]).drop("_bin")
+    hit = hit.filter(F.abs(F.col("_end") - F.col("release_us")) <= slack_us)
     marked = hit.withColumn("role", F.when(F.col("start_us") >= F.col("origin_us") - slack_us, "queued").otherwise("possible_holder"))
     keys = ["instance_id", "node_id", "origin_us", "role"]
     ranked = marked.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("duration_us"), "event_id")))

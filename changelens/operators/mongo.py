@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket, client_host
@@ -13,15 +13,26 @@ from .counters import pressure_runs
 WINDOW_US = 300_000_000
 
 
-def mongo_events(raw: DataFrame, instance: str) -> DataFrame:
-    """Slow records with shape, group and costs; what cannot be parsed stays with its error."""
+def mongo_events(raw: DataFrame, instance: str, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Slow records with shape, group and costs; what cannot be parsed, or has no time or duration, stays with its error.
+
+    ``prefixes`` are the names of sharded collections. The record's own columns (``QueryTimes`` in ms, and where present
+    ``DocsExamined, KeysExamined, ReturnRowCounts, DBName, TableName``) go before what its text says.
+    """
     start = F.unix_micros(F.try_to_timestamp(F.col("ExecutionStartTime")))
-    out = raw.select("*", mongo_normalize("SQLText").alias("m"), start.alias("start_us"))
+    names = {c: c for c in ("DBName", "TableName", "QueryTimes", "DocsExamined", "KeysExamined", "ReturnRowCounts") if c in raw.columns}
+    out = raw.select("*", mongo_normalize("SQLText", names.get("DBName"), names.get("TableName"), prefixes).alias("m"), start.alias("start_us"))
     own = F.sha2(F.concat_ws("\x1f", F.lit(instance), F.col("start_us").cast("string"), "SQLText"), 256)
-    error = F.coalesce(F.col("m.error"), F.when(F.col("start_us").isNull(), "no start time"))
-    flat = [F.col(f"m.{c}") for c in ("database", "collection", "op", "profile", "group_id", "docs", "keys", "returned", "cpu_ns", "bytes_read", "read_us", "planning_us", "write_wait_us", "modified", "role", "collscan", "spill")]
-    took = F.coalesce(F.col("m.duration_us"), F.col("QueryTimes") * 1000)
-    return out.select(F.substring(own, 1, 40).alias("event_id"), F.lit(instance).alias("instance_id"), "start_us", error.alias("error"), took.alias("duration_us"), *flat, client_host(F.coalesce("HostAddress", F.lit(""))).alias("client"), F.coalesce("AccountName", F.lit("")).alias("account"), F.col("SQLText").alias("raw")).dropDuplicates(["event_id"])
+
+    def first(column: str, cost: str, factor: int = 1) -> Column:
+        told = [F.col(column).cast("bigint") * factor] if column in names else []
+        return F.coalesce(*told, F.col(f"m.{cost}"))
+
+    took = first("QueryTimes", "duration_us", 1000)
+    error = F.coalesce(F.col("m.error"), F.when(F.col("start_us").isNull(), "no start time"), F.when(took.isNull(), "duration_missing"))
+    costs = [took.alias("duration_us"), first("DocsExamined", "docs").alias("docs"), first("KeysExamined", "keys").alias("keys"), first("ReturnRowCounts", "returned").alias("returned")]
+    flat = [F.col(f"m.{c}") for c in ("database", "collection", "op", "profile", "group_id", "cpu_ns", "bytes_read", "read_us", "planning_us", "write_wait_us", "modified", "role", "collscan", "spill")]
+    return out.select(F.substring(own, 1, 40).alias("event_id"), F.lit(instance).alias("instance_id"), "start_us", error.alias("error"), *costs, *flat, client_host(F.coalesce("HostAddress", F.lit(""))).alias("client"), F.coalesce("AccountName", F.lit("")).alias("account"), F.col("SQLText").alias("raw")).dropDuplicates(["event_id"])
 
 
 def publishable_windows(events: DataFrame, width_us: int = WINDOW_US) -> DataFrame:

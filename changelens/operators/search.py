@@ -9,28 +9,49 @@ from .filters import pk_match
 
 NEWEST = ("event_epoch_us", "source_file_name", "end_position", "row_index", "event_id")
 MAX_OFFSET = 100_000
+#: How deep the row store answers pages.
+ROW_STORE_DEPTH = 2_000
+
+
+def _copy() -> list[Column]:
+    return [F.coalesce("_content_revision", F.lit(0)).alias("revision"), F.coalesce("_source_part_key", F.lit("")).alias("part")]
 
 
 def one_copy(df: DataFrame, key: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """One row per event: the copy with the highest revision, then the last part key."""
-    columns = F.struct(F.coalesce("_content_revision", F.lit(0)).alias("revision"), F.coalesce("_source_part_key", F.lit("")).alias("part"))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(columns.desc()))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.struct(*_copy()).desc()))
     return df.withColumn("_copy", rank).filter("_copy = 1").drop("_copy")
 
 
+def _newest(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """Whole rows of ``limit`` events behind the ``offset`` newest, one copy of each, in no order.
+
+    Only ids, copies and sort columns are shuffled to find the page; its few keys then pick the whole rows.
+    """
+    rest = [c for c in NEWEST if c != "event_id"]
+    best = df.select("event_id", F.struct(*_copy(), *rest).alias("_key")).groupBy("event_id").agg(F.max("_key").alias("_key"))
+    page = best.orderBy(*[F.desc(c if c == "event_id" else f"_key.{c}") for c in NEWEST]).offset(offset).limit(limit)
+    hit = df.withColumn("_key", F.struct(*_copy(), *rest)).join(F.broadcast(page), ["event_id", "_key"], "left_semi")
+    return hit.drop("_key").dropDuplicates(["event_id"])
+
+
 def search_events(df: DataFrame, limit: int = 100, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
     """A page of filtered events, newest first, with one row more than asked for: whether there is a next page."""
     if not 0 <= offset <= MAX_OFFSET or limit < 1:
         raise ValueError(f"offset must lie between 0 and {MAX_OFFSET}, limit above 0")
-    page = one_copy(df).orderBy(*[F.desc(c) for c in NEWEST]).offset(offset).limit(limit + 1)
+    page = _newest(df, limit + 1, offset).orderBy(*[F.desc(c) for c in NEWEST])
     return page.select(*columns) if columns else page
 
 
+def row_store_page(df: DataFrame, limit: int = 100, offset: int = 0, columns: list[str] | None = None) -> DataFrame | None:
+    """A page from the row store, which goes ``ROW_STORE_DEPTH`` rows deep; None beyond, where the facts must answer."""
+    return None if offset + limit > ROW_STORE_DEPTH else search_events(df, limit, offset, columns)
+
+
 def merge_pages(database_side: DataFrame, audit_side: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """One page over both sources, one row per event. Each side brings the rows that can reach the page, no more."""
     reach = offset + limit + 1
-    order = [F.desc(c) for c in NEWEST]
-    both = one_copy(database_side).orderBy(*order).limit(reach).unionByName(one_copy(audit_side).orderBy(*order).limit(reach), allowMissingColumns=True)
+    both = _newest(database_side, reach).unionByName(_newest(audit_side, reach), allowMissingColumns=True)
     return search_events(both, limit, offset)
 
 

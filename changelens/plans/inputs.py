@@ -82,7 +82,7 @@ ce AS (SELECT CAST(event_id AS VARCHAR) AS event_id, us AS event_epoch_us, 'i' |
     WHEN 'purchase' THEN 'UPDATE ' || t || ' SET n = ' || x || ' WHERE id = ' || user_id
     WHEN 'error' THEN 'DELETE FROM ' || t || ' WHERE id = ' || user_id
     ELSE 'SELECT * FROM ' || t || ' WHERE id = ' || user_id END AS sql_text,
-  CASE event_type WHEN 'signup' THEN 'INSERT INTO ' || t || '(id,v)VALUES(?)'
+  CASE event_type WHEN 'signup' THEN 'INSERT INTO ' || t || ' (id, v) VALUES (?)'
     WHEN 'click' THEN 'UPDATE ' || t || ' SET v=? WHERE id=?'
     WHEN 'purchase' THEN 'UPDATE ' || t || ' SET n=? WHERE id=?'
     WHEN 'error' THEN 'DELETE FROM ' || t || ' WHERE id=?'

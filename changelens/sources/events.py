@@ -89,12 +89,13 @@ def row_store_rows(df: DataFrame) -> DataFrame:
     return df.filter("table_name <> '' OR operation = 'DDL'")
 
 
-def write_slow_facts(df: DataFrame, path: str) -> None:
-    """The narrow slow-log facts, by month."""
+def write_slow_facts(df: DataFrame, path: str, files_per_month: int = 1) -> None:
+    """The narrow slow-log facts, by month; a month is spread over ``files_per_month`` tasks by instance and day."""
     from ..schemas import SLOW_EVENT
 
     rows = with_defaults(df, SLOW_EVENT, keep=False).withColumn("month", F.date_format(F.timestamp_micros("event_epoch_us"), "yyyy-MM"))
-    rows.repartition("month").sortWithinPartitions("instance_id", "event_epoch_us").write.mode("append").partitionBy("month").parquet(path)
+    salt = F.pmod(F.xxhash64("instance_id", bucket(F.col("event_epoch_us"), DAY_US)), F.lit(files_per_month))
+    rows.withColumn("_salt", salt).repartition("month", "_salt").drop("_salt").sortWithinPartitions("instance_id", "event_epoch_us").write.mode("append").partitionBy("month").parquet(path)
 
 
 def csv_rows(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,24 +144,30 @@ def once_per_batch(write: Callable[[DataFrame, str], None], base: str) -> Callab
     return run
 
 
-def insert_only(path: str, key: str = "event_id") -> Callable[[DataFrame, int], None]:
-    """Append what is new by key; repeats are dropped and conflicts are kept beside, under ``_conflicts``."""
+def insert_only(path: str, key: str = "event_id", buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """Append what is new by key; repeats are dropped and conflicts are kept beside, under ``_conflicts``.
+
+    A batch is judged against the batches before it, of which only the key buckets that it touches are read, and only key
+    and digest. Its own folder is never read, so that a batch may be repeated, also after it broke off half written.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c != key]
-        digest = F.sha2(F.to_json(F.struct(*rest)), 256)
-        new = batch.withColumn("_digest", digest)
+        new = batch.withColumns({"_digest": F.sha2(F.to_json(F.struct(*rest)), 256), "_bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")})
+        touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]  # at most `buckets`
         try:
-            stored = spark.read.parquet(f"{path}/batch=*").select(key, F.col("_digest").alias("_old"))
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
+            before = spark.read.option("basePath", path).parquet(path)
+            before = before.filter((F.col("batch") < batch_id) & F.col("_bucket").isin(touched)).select(key, F.col("_digest").alias("_old"))
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-            stored = spark.createDataFrame([], f"{key} string, _old string")
+            before = spark.createDataFrame([], f"{key} string, _old string")
         first = new.groupBy(key).agg(F.min("_digest").alias("_first"))
-        judged = new.join(stored, key, "left").join(first, key)
-        judged.filter("_old IS NULL AND _digest = _first").dropDuplicates([key]).drop("_old", "_first").write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
-        judged.filter("_digest <> coalesce(_old, _first)").drop("_old", "_first", "_digest").write.mode("overwrite").parquet(f"{path}_conflicts/batch={batch_id:012d}")
+        judged = new.join(before, key, "left").join(first, key)
+        fresh = judged.filter("_old IS NULL AND _digest = _first").dropDuplicates([key]).drop("_old", "_first")
+        fresh.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/batch={batch_id:012d}")
+        judged.filter("_digest <> coalesce(_old, _first)").drop("_old", "_first", "_digest", "_bucket").write.mode("overwrite").parquet(f"{path}_conflicts/batch={batch_id:012d}")
 
     return run
 

@@ -1,20 +1,26 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page is cut into blocks of text at block-level tags. A linear classifier gives each block a signed cost in log-odds
-from its place in the document, the hints in tag names, classes and ids, its length, punctuation and share of links:
-positive costs are capacities from the source (content), negative ones capacities to the sink (boilerplate). Neighbouring
-blocks are joined by smoothness edges, stronger the closer they are in the DOM, and blocks of one parent are joined
-along it. The maximum flow from source to sink leaves the labelling of least total cost; what cannot reach the sink any
-more is content.
+A page is cut into blocks of text at block-level tags. Each block gets a signed cost in log-odds: positive costs are
+capacities from the source (content), negative ones capacities to the sink (boilerplate). Neighbouring blocks are joined
+by smoothness edges, stronger the closer they are in the DOM, and blocks of one parent are joined along it. The maximum
+flow from source to sink leaves the labelling of least total cost; what cannot reach the sink any more is content.
+
+The cost is that of a logistic classifier of the block's own text and tag (length, punctuation, share of links, kind of
+tag, ...). It is fitted on weak labels: in pages that mark an article (or main part), blocks within it are content, others
+and those of menus, footers and the like are not. Where pages mark too little, the weights stay at ``DEFAULTS``, to which
+the fit is drawn. The place in a marked page comes on top, with the classifier's say clipped, so that an article's own
+blocks are content whatever they look like.
 
 Scripts, styles, comments in the markup, forms and hidden parts have no blocks. Menus, footers, sidebars and notices known by
 tag or role have a sink capacity no neighbour can outweigh. Words of a class or id (adverts, reader comments and the like) are
 a strong but finite cost to all blocks below; those behind has-, no-, with- and without- say what a part lays out and do not
-count. Where every article (main part, if there is one) lies below such a word, the words above it are no cost to it.
+count. Where every article (main part, if there is one) lies below such a word, the words above it are no cost to it; in pages
+without either, the words of a part that holds nine tenths of the text are none.
 
-Scale: one narrow pass; each page is a graph of its own, with as many edges as blocks times three, so memory follows
-the longest page. Augmenting paths are searched from one block at a time and stop at the nearest sink; blocks that can
-reach none are never searched again.
+Scale: fitting takes a bounded sample, at most ``SAMPLE`` pages of up to ``SAMPLE_CHARS`` characters, the first in the order of a
+seeded hash of id and url, and ``SAMPLE_BLOCKS`` blocks of each, evenly spread. Extraction is one narrow pass over whole pages;
+each page is a graph of its own, with as many edges as blocks times three, so memory follows the longest page. Augmenting
+paths are searched from one block at a time and stop at the nearest sink; blocks that can reach none are never searched again.
 
 Defined results: null html is empty; a page without content has the empty text and 0 characters; repeated rows are
 extracted alike; markup cut off at the end of a page is dropped; other columns are ignored; empty tables are allowed.
@@ -27,8 +33,10 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -57,32 +65,41 @@ LIKELY_WORDS = frozenset("article content entry main post story text body".split
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.!?;:,…。！？]")
 
-#: Weights of the block classifier, in log-odds of content.
-WEIGHTS = {
+#: Features of the block classifier and their weights where nothing is learned, in log-odds of content.
+DEFAULTS = {
     "bias": -1.0,
-    "in_article": 4.0,
-    "in_main": 2.5,
-    "outside": -3.0,
-    "likely": 1.0,
-    "paragraph": 1.0,
-    "heading": 0.5,
     "long": 1.5,
+    "sentences": 0.0,
+    "words": 0.0,
     "punctuation": 1.0,
     "links": -4.0,
+    "all_links": 0.0,
+    "paragraph": 1.0,
+    "heading": 0.5,
+    "item": 0.0,
+    "cell": 0.0,
+    "likely": 1.0,
     "header": -2.0,
     "rights": -2.0,
-    "word": -12.0,
 }
+#: What the place in a marked page adds: within an article (or a main part without one), in the main part beside its article,
+#: elsewhere; and in any page, below a word of class or id.
+PLACE = {"in_article": 8.0, "in_main": 8.0, "main_only": -0.5, "outside": -4.5, "word": -12.0}
+#: How much the classifier may say of one block: less than two neighbours of one kind can outweigh.
+CLIP = 2.0
 NEVER = 10_000.0
-#: Smoothness between neighbours of one parent, for each step further in the DOM, and along a parent.
-SMOOTH, DECAY, SIBLING = 1.0, 0.5, 0.5
+#: Smoothness between neighbours, halved for each step between them in the DOM, and along a parent.
+SMOOTH, DECAY, SIBLING = 6.0, 0.5, 1.0
+SAMPLE, SAMPLE_CHARS, SAMPLE_BLOCKS, SEED = 500, 200_000, 100, 9
+#: How strongly weights are drawn to their defaults: like so many blocks of either kind.
+PRIOR = 5.0
 
 
 class Node:
-    __slots__ = ("parent", "tag", "depth", "never", "article", "main", "header", "likely", "worded", "inner", "last")
+    __slots__ = ("parent", "tag", "depth", "never", "article", "main", "header", "likely", "worded", "inner", "last", "own", "chars")
 
     def __init__(self, parent: Node | None, tag: str, attributes: str):
-        self.parent, self.tag, self.last = parent, tag, -1
+        self.parent, self.tag, self.last, self.chars = parent, tag, -1, 0
         self.depth = parent.depth + 1 if parent else 0
         self.article = bool(parent and parent.article) or tag == "article"
         self.main = bool(parent and parent.main) or tag == "main"
@@ -104,7 +121,7 @@ class Node:
                     self.never = True
         above = bool(parent and parent.worded)
         own = hit and tag not in ("html", "body", "article", "main")
-        self.worded = above or own
+        self.own, self.worded = own, above or own
         if (self.article or self.main) and not (parent and (parent.article or parent.main)):
             self.inner = above and hit  # a comment among comments may be an article too
         else:
@@ -192,25 +209,98 @@ def blocks_of(html: str) -> list[Block]:
     return kept
 
 
-def cost(block: Block, has_article: bool, has_main: bool, inner: bool = False) -> float:
-    """Log-odds of content; with ``inner`` only class words within an article or main part count against its blocks."""
-    n, w = block.node, WEIGHTS
-    if n.never:
-        return -NEVER
-    z = w["bias"] + w["in_article"] * n.article + w["in_main"] * n.main + w["likely"] * n.likely
-    if has_article and not n.article or has_main and not n.main and not n.article:
-        z += w["outside"]
-    z += w["word"] * (n.inner if inner else n.worded)
-    if n.header and not n.article:
-        z += w["header"]
-    z += w["paragraph"] * (n.tag in ("p", "blockquote", "pre")) + w["heading"] * (n.tag in HEADINGS)
-    z += w["long"] * min(len(block.text), 200) / 200
-    if _PUNCTUATION.search(block.text):
-        z += w["punctuation"]
-    z += w["links"] * min(1.0, block.linked / max(1, len(block.text)))
-    if "©" in block.text and len(block.text) < 300:
-        z += w["rights"]
-    return z
+def features(block: Block) -> list[float]:
+    """The block by itself, in the order of ``DEFAULTS``."""
+    n, text = block.node, block.text
+    size = len(text)
+    marks = len(_PUNCTUATION.findall(text))
+    linked = min(1.0, block.linked / max(1, size))
+    return [
+        1.0,
+        min(size, 200) / 200,
+        min(marks, 10) / 10,
+        min(text.count(" "), 20) / 20,
+        float(marks > 0),
+        linked,
+        float(linked > 0.9),
+        float(n.tag in ("p", "blockquote", "pre")),
+        float(n.tag in HEADINGS),
+        float(n.tag in ("li", "dd", "dt")),
+        float(n.tag in ("td", "th")),
+        float(n.likely),
+        float(n.header and not n.article),
+        float("©" in text and size < 300),
+    ]
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: float = PRIOR) -> list[float]:
+    """Logistic weights by Newton's method, both kinds of block weighing alike, drawn to ``DEFAULTS``."""
+    start = np.array(list(DEFAULTS.values()))
+    if not len(y) or y.min() == y.max():
+        return start.tolist()
+    weight = np.where(y > 0, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
+    w = start.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + prior * (w - start)
+        curve = (x * (weight * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x + prior * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w.tolist()
+
+
+def labelled(html: str | None, most: int = SAMPLE_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and weak labels of up to ``most`` blocks of a page; none where the page marks neither article nor main part."""
+    blocks = [b for b in blocks_of(html or "") if b.node.tag not in ("head", "title")]
+    if not any(b.node.article or b.node.main for b in blocks):
+        return np.zeros((0, len(DEFAULTS))), np.zeros(0)
+    marks_article = any(b.node.article for b in blocks)
+    blocks = [blocks[i * len(blocks) // min(most, len(blocks))] for i in range(min(most, len(blocks)))]
+    y = [float((b.node.article if marks_article else b.node.main) and not b.node.never and not b.node.worded) for b in blocks]
+    return np.array([features(b) for b in blocks]), np.array(y)
+
+
+def _words_of_wholes(blocks: list[Block]) -> None:
+    """Take back the words of parts that hold nine tenths of the text that no tag or role rules out."""
+    total = 0
+    for b in blocks:
+        if not b.node.never:
+            total += len(b.text)
+            n = b.node
+            while n:
+                n.chars += len(b.text)
+                n = n.parent
+    for b in blocks:
+        n, worded = b.node, False
+        while n:
+            worded = worded or (n.own and n.chars < 0.9 * total)
+            n = n.parent
+        b.node.worded = worded
+
+
+def costs(blocks: list[Block], weights: list[float]) -> list[float]:
+    """Log-odds of content of each block."""
+    has_article, has_main = any(b.node.article for b in blocks), any(b.node.main for b in blocks)
+    marked = has_article or has_main
+    inner = marked and not any((b.node.main if has_main else b.node.article) and not b.node.worded and not b.node.never for b in blocks)
+    if not marked and any(b.node.worded for b in blocks):
+        _words_of_wholes(blocks)
+    out = []
+    for b in blocks:
+        n = b.node
+        if n.never:
+            out.append(-NEVER)
+            continue
+        z = sum(w * v for w, v in zip(weights, features(b), strict=True) if v)
+        z = max(-CLIP, min(CLIP, z))
+        if has_article:
+            z += PLACE["in_article" if n.article else "main_only" if n.main else "outside"]
+        elif has_main:
+            z += PLACE["in_main" if n.main else "outside"]
+        out.append(z + PLACE["word"] * (n.inner if inner else n.worded))
+    return out
 
 
 def _apart(a: Node, b: Node) -> int:
@@ -295,26 +385,43 @@ def minimum_cut(costs: list[float], smooth: list[tuple[int, int, float]]) -> lis
     return out
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: list[float] | None = None) -> str:
     blocks = blocks_of(html or "")
-    has_article, has_main = any(b.node.article for b in blocks), any(b.node.main for b in blocks)
-    inner = not any((b.node.main if has_main else b.node.article) and not b.node.worded and not b.node.never for b in blocks)
-    costs = [cost(b, has_article, has_main, inner) for b in blocks]
-    content = minimum_cut(costs, edges(blocks))
+    content = minimum_cut(costs(blocks, weights or list(DEFAULTS.values())), edges(blocks))
     return "\n".join(b.text for b, c in zip(blocks, content, strict=True) if c)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: ``page_id, url, text, n_chars``."""
-    rows = pages.selectExpr(f"`{id_col}` AS page_id", f"`{url_col}` AS url", f"`{html_col}` AS html")
+def train(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE, seed: int = SEED) -> list[float]:
+    """Weights of the block classifier, learned from what a bounded sample of the pages marks as its article."""
+    rows = pages.select(F.col(html_col).alias("html"), F.xxhash64(F.lit(seed), id_col, url_col).alias("order")).filter(F.length("html") <= SAMPLE_CHARS)
+    last = rows.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]
+    if last is None:
+        return list(DEFAULTS.values())
+    chosen = rows.filter(F.col("order") <= last).select("html").limit(sample)  # of rows that agree in id and url, some
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for html in batch.column("html").to_pylist():
+                x, y = labelled(html)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
+
+    found = sorted((bytes(r["x"]), bytes(r["y"])) for r in chosen.mapInArrow(run, "x binary, y binary").collect())  # at most `sample` pages of SAMPLE_BLOCKS blocks
+    x = np.concatenate([np.zeros((0, len(DEFAULTS))), *(np.frombuffer(a).reshape(-1, len(DEFAULTS)) for a, _ in found)])
+    return fit(x, np.concatenate([np.zeros(0), *(np.frombuffer(b) for _, b in found)]))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: list[float] | None = None) -> DataFrame:
+    """One row per page: ``page_id, url, text, n_chars``; with default weights unless ``train`` has made some."""
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column("html").to_pylist()]
+            texts = [main_text(h, weights) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def op9_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, weights=train(pages))

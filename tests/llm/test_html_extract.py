@@ -1,7 +1,8 @@
 import itertools
 import random
+import re
 
-from changelens.llm.html_extract import extract, main_text, minimum_cut
+from changelens.llm.html_extract import DEFAULTS, blocks_of, costs, edges, extract, main_text, minimum_cut, train
 
 PAGE = """<html><head><title>T</title></head><body class="home"><header><h1>Site</h1><p>Our slogan is long and has a point.</p></header><nav><ul><li><a href=x>Home</a><li><a>News</a></ul></nav>
 <div id="cookie-notice">We use cookies, friends.</div><main><article><header><h1>Headline</h1></header><p>First para with <a href="/">a link</a>, and text &lt;b&gt; &amp; more&nbsp;stuff.<p>Second   para<br>goes on.<ul><li>Item one</li><li>Item two</li></ul>
@@ -60,3 +61,65 @@ def test_layout_classes_do_not_lose_the_article():
 def test_self_closed_raw_tags_are_empty():
     for mark in ('<svg class="icon" />', "<svg/>", '<iframe src="x"/>', "<svg><path/>hidden</svg>", '<script src="x" />'):
         assert main_text(f"<article>{mark}{BOTH}<svg>drawn</svg></article>") == GOT
+
+
+def noisy(html, rng):
+    """A page without its marks: article, menu and footer are plain divs; short and linked blocks in the article, a list beside it."""
+    sentences = re.findall(r"[^.<>]{20,80}\.", re.sub(r"<[^>]+>", " ", html)) or ["Some other text here."]
+    article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    parts = []
+    for p in re.split(r"(?=<p>)", article):
+        parts.append(p)
+        if rng.random() < 0.3:
+            parts.append(f"<p>{rng.choice(['Yes', 'No so', 'Hm', 'And', 'One two'])}</p>")
+        if rng.random() < 0.15:
+            parts.append(f'<div><a href="x">{rng.choice(sentences)[:25]}</a></div>')
+    links = [f'<li><a href="y">{rng.choice(sentences)[:30]}</a></li>' for _ in range(7)]
+    beside = "<div><ul>" + "".join([*links[:4], f"<li>{rng.choice(sentences)}</li>", *links[4:]]) + "</ul></div>"
+    out = html.replace(f"<article>{article}</article>", f"<div>{''.join(parts)}</div>").replace(' class="ad"', "")
+    for tag in ("nav", "footer"):
+        out = out.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+    return out.replace("<body>", "<body>" + beside, 1) if rng.random() < 0.5 else out.replace("</body>", beside + "</body>")
+
+
+def test_the_cut_mends_what_the_classifier_alone_gets_wrong(spark):
+    """Weights are learned from the marked pages of one half; the other half is read with its marks taken away."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id")
+    weights = train(pages.filter("page_id % 2 = 0"))
+    assert train(pages.filter("page_id % 2 = 0").repartition(5)) == weights and weights != list(DEFAULTS.values())
+    rng, hits = random.Random(1), {"alone": [0, 0, 0], "cut": [0, 0, 0]}
+    changed = 0
+    for r in pages.filter("page_id % 2 = 1").collect():
+        assert main_text(r.html, weights) == main_text(r.html)  # a marked page is read by its marks
+        blocks = blocks_of(noisy(r.html, rng))
+        home = next(b.node.parent for b in blocks if b.node.tag == "h1")
+        real = []
+        for b in blocks:
+            n = b.node
+            while n and n is not home:
+                n = n.parent
+            real.append(n is home)
+        z = costs(blocks, weights)
+        told = {"alone": [x > 0 for x in z], "cut": minimum_cut(z, edges(blocks))}
+        changed += sum(a != b for a, b in zip(told["alone"], told["cut"], strict=True))
+        for name, labels in told.items():
+            for k, (a, b) in enumerate(((True, True), (True, False), (False, True))):
+                hits[name][k] += sum(x is a and y is b for x, y in zip(labels, real, strict=True))
+    f1 = {name: 2 * t / (2 * t + p + m) for name, (t, p, m) in hits.items()}
+    assert changed > 100 and f1["cut"] > 0.985 and f1["cut"] > f1["alone"] + 0.03, (f1, changed)
+
+
+def test_training_on_odd_pages(spark):
+    schema = "page_id long, url string, html string, x string, y double, text string"
+    assert train(spark.createDataFrame([], schema)) == list(DEFAULTS.values())
+    rows = [(k, None, h, "x", 0.0, "t") for k, h in enumerate(["", None, "<p>no article", "<article>", PAGE])] + [(None, None, PAGE, "x", 0.0, "t")] * 30
+    pages = spark.createDataFrame(rows, schema)
+    weights = train(pages, sample=10)
+    assert len(weights) == len(DEFAULTS) and all(abs(w) < 50 for w in weights)
+    got = {r.page_id: r for r in extract(pages, weights=weights).collect()}
+    assert got[4].text == main_text(PAGE) and got[0].text == got[1].text == ""
+
+
+def test_a_wrapper_of_the_whole_page_is_no_sidebar():
+    assert main_text(f'<body><div class="sidebar">{BOTH * 3}</div></body>') == "\n".join([GOT] * 3)
+    assert main_text(f'<body><div class="x">{BOTH}</div><div class="comments"><p>{TEXT}</p></div></body>') == GOT

@@ -12,11 +12,12 @@ occurrences, scattered by the follower's hash into buckets of about ``bucket_tok
 hold each pair of a chunk once, with the chunk-local numbers of the documents. (3) From the buckets: sums for each
 document, partial sums for each history, and the unseen pairs that await their history's weight. (4) The histories'
 weights meet the unseen pairs by the history's hash. (5) Sums meet per document. Tables 1 and 3 are stored, partitioned by
-kind; the counts of counts that fix the discounts are read in between.
+kind, among them the counts of the seen pairs; the counts of counts that fix the discounts are read in between.
 
 Scale: everything gathered grows with the text and is spread by hash; no table is held whole anywhere, the driver
 sees counts of counts and the words above half a bucket (at most twice the number of buckets). Such hot words are
-split over buckets by their history. A pair comes once per chunk with its documents, and what a task receives is
+split over buckets by their history; as histories, hot words and the start mark have buckets of their own, each with their
+weight, over which the pairs that wait for it are dealt by document. Sums meet chunk by chunk. A pair comes once per chunk with its documents, and what a task receives is
 spooled to disk beyond 64 MB, so a pair in a third of all documents costs time in proportion to those documents but not
 memory. Chunks and buckets are parameters; beyond about 1 TB of text raise them with the executors' memory, as the
 blocks between chunks and buckets get small.
@@ -32,7 +33,7 @@ import pickle
 import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from .common import shared_folder, stash, table
@@ -196,7 +198,7 @@ class Unigrams:
         self.unknown = 1.0 if not total else 1 - mass / total
         self.hot = hot
         self.first, at = {}, buckets
-        for h in sorted(hot):
+        for h in sorted(hot_parts):
             self.first[h] = (at, hot_parts[h])
             at += hot_parts[h]
         self.targets = at
@@ -210,6 +212,17 @@ class Unigrams:
     def bucket(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
 
+    def history_targets(self, h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """Where what waits for a history's weight goes: its bucket, or by ``salt`` one of a hot word's buckets."""
+        target = self.bucket(h)
+        hot = np.array(sorted(self.first), np.uint64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            own = hot[at] == h
+            first, parts = (np.array([self.first[int(x)][k] for x in hot], np.int64) for k in (0, 1))
+            target[own] = first[at[own]] + salt[own] % parts[at[own]]
+        return target
+
 
 def _scatter(u: Unigrams, chunk: Chunk) -> Iterator[tuple[int, bytes, bytes]]:
     """Blocks ``(bucket, pairs, places)`` of a chunk."""
@@ -301,7 +314,7 @@ def _count_bucket(u: Unigrams, spool: Spool, keep_pairs: bool) -> Iterator[dict]
         late.append((v[e[out]], np.full(out.sum(), split, np.int64), doc[out]))
 
     lv, split, doc = (np.concatenate(x) for x in zip(*late, strict=True))
-    for target, part in _dealt(u.bucket(lv)):
+    for target, part in _dealt(u.history_targets(lv, split + doc)):
         yield {"kind": "unseen", "target": target, "data": pack(lv[part], split[part], doc[part])}
     v, c, pw = v[seen], c[seen], pw[seen]
     if keep_pairs:
@@ -313,8 +326,15 @@ def _count_bucket(u: Unigrams, spool: Spool, keep_pairs: bool) -> Iterator[dict]
         by += [np.add.reduceat(big.astype(np.uint32), start, dtype=np.uint32), np.add.reduceat(np.where(big, c, 0), start)]
         mass = np.add.reduceat(pw, start)
         v = v[start]
+        hot = np.isin(v, np.array(sorted(u.first), np.uint64))
         for target, part in _dealt(u.bucket(v)):
-            yield {"kind": "histories", "target": target, "data": pack(v[part], mass[part], *[x[part] for x in by])}
+            cold = part[~hot[part]]
+            if len(cold):
+                yield {"kind": "histories", "target": target, "data": pack(v[cold], mass[cold], *[x[cold] for x in by])}
+        for k in np.flatnonzero(hot).tolist():  # a hot history is known in each of its buckets
+            first, parts = u.first[int(v[k])]
+            for target in range(first, first + parts):
+                yield {"kind": "histories", "target": target, "data": pack(v[k : k + 1], mass[k : k + 1], *[x[k : k + 1] for x in by])}
 
 
 def _dealt(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -350,10 +370,10 @@ def _record(rows: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 _COLUMNS = {"kind": pa.string(), "target": pa.int32(), "split": pa.int64(), "data": pa.binary()}
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, keep_pairs: bool = False, folder: str | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, keep_pairs: bool = True, folder: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Rows where ``held`` is true are scored but not learned from. With ``keep_pairs`` the pair counts are stored too, as
+    Rows where ``held`` is true are scored but not learned from. The pair counts are stored too, unless ``keep_pairs`` is false, as
     the kind ``pairs`` of the table ``parts`` below ``folder``; see ``stored_model``.
     """
     spark = docs.sparkSession
@@ -364,7 +384,10 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tally = grams.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in range(1, K + 2)], F.sum("c").alias("total"), F.sum("n").alias("all"), F.count_if(F.col("c") > 0).alias("known"), F.max(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))).alias("docs")).first()
     hot = {int(np.int64(r["h"]).view(np.uint64)): (r["c"], r["n"]) for r in grams.filter(F.col("n") > bucket_tokens // 2).collect()}  # at most 2 * all / bucket_tokens words
     buckets = max(LEAST_BUCKETS, -(-(tally["all"] or 0) // bucket_tokens))
-    u = Unigrams(tally["total"] or 0, tally["known"], [tally[f"n{k}"] for k in range(1, K + 2)], tally["docs"] or 0, {h: c for h, (c, _) in hot.items()}, buckets, {h: -(-2 * n // bucket_tokens) for h, (_, n) in hot.items()})
+    parts_of = {h: -(-2 * n // bucket_tokens) for h, (_, n) in hot.items()}
+    if hot.get(int(END)):
+        parts_of[int(START)] = parts_of[int(END)]  # as many texts begin as end; it is a history only
+    u = Unigrams(tally["total"] or 0, tally["known"], [tally[f"n{k}"] for k in range(1, K + 2)], tally["docs"] or 0, {h: c for h, (c, _) in hot.items()}, buckets, parts_of)
     shared = spark.sparkContext.broadcast(u)
     wide = {"target": pa.int32(), "split": pa.int64(), "docs": pa.int64(), "pairs": pa.binary(), "places": pa.binary()}
 
@@ -416,53 +439,41 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield _record([{"kind": "weights", "split": one, "data": pack(place, np.bincount(number, gain[who]))}], _COLUMNS)
             spool.close()
 
-    weighed = parts.filter("kind IN ('histories', 'unseen')").select("kind", "target", "split", "data").repartitionById(buckets, "target").mapInArrow(weigh, _SCHEMA)
+    weighed = parts.filter("kind IN ('histories', 'unseen')").select("kind", "target", "split", "data").repartitionById(u.targets, "target").mapInArrow(weigh, _SCHEMA)
     logs = np.log10(d[1:])
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
+    kind = to_arrow_type(rows.schema["doc_id"].dataType)
+
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunk by chunk, as rows come in the order of chunks: one chunk's sums are held at a time."""
         model = shared.value
-        about: dict[int, bytes] = {}
-        sums: dict[int, np.ndarray] = {}
-        late: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        for batch in batches:
-            for r in batch.to_pylist():
-                split = r["split"]
+        records = ((r["split"], r) for batch in batches for r in batch.to_pylist())
+        for _, own in groupby(records, key=lambda x: x[0]):
+            about, sums, late = None, None, []
+            for _, r in own:
                 if r["kind"] == "docs":
-                    about[split] = r["data"]
+                    about = pickle.loads(r["data"])
                 elif r["kind"] == "weights":
-                    place, gain = unpack(r["data"])
-                    if split in sums:
-                        sums[split][0][place] += gain
-                    else:
-                        late[split].append((place, gain))
+                    late.append(unpack(r["data"]))
                 else:
                     term, base, n, *kinds = unpack(r["data"])
-                    term = term + sum(k * x for k, x in zip(kinds, logs, strict=True))
-                    part = np.stack((term, base, n))
-                    if split in sums:
-                        sums[split] += part
-                    else:
-                        sums[split] = part
-                        for place, gain in late.pop(split, []):
-                            sums[split][0][place] += gain
-        for split, data in about.items():
-            ids, held, size = pickle.loads(data)
-            term, base, n = sums[split]
+                    part = np.stack((term + sum(k * x for k, x in zip(kinds, logs, strict=True)), base, n))
+                    sums = part if sums is None else sums + part
+            ids, held, size = about
+            for place, gain in late:
+                sums[0][place] += gain
+            term, base, n = sums
             size = np.array(size, np.int64)
             if model.docs:
                 term = term - np.log10(model.docs)  # the start mark is the first token's history
             base = base - size * np.log10(model.total + model.known + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, _arrow(kind_of_id)), pa.array(held), pa.array(size), pa.array(n.astype(np.int64)), pa.array(np.full(len(size), model.total, np.int64)), pa.array(base), pa.array(term)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(held), pa.array(size), pa.array(n.astype(np.int64)), pa.array(np.full(len(size), model.total, np.int64)), pa.array(base), pa.array(term)], names)
 
-    meet = parts.filter("kind IN ('docs', 'sums')").select("kind", "target", "split", "data").unionByName(weighed).repartition("split")
+    meet = parts.filter("kind IN ('docs', 'sums')").select("kind", "target", "split", "data").unionByName(weighed).repartition("split").sortWithinPartitions("split", "kind")
     return meet.mapInArrow(together, f"doc_id {kind_of_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
-
-
 def counts_of_counts(parts: DataFrame) -> list[int]:
     """How many pairs have counts 1 to K + 1: a few numbers from each bucket."""
 

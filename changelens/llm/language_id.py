@@ -83,8 +83,12 @@ class Model:
             return
         target = self.code[y].astype(np.float32)
         self.w, self.b = _fit(x, target)
-        right = (x @ self.w + self.b) * target
-        # how well each bit was learned on each language, by the mean logistic probability of the right value
+        # how well each bit was learned on each language: the mean logistic probability of the right value, each half by a model of the other
+        half = np.arange(len(x)) % 2 == 0
+        right = np.zeros_like(target)
+        for out in (half, ~half):
+            w, b = _fit(x[~out], target[~out]) if (~out).any() else (self.w, self.b)
+            right[out] = (x[out] @ w + b) * target[out]
         sure = 1 / (1 + np.exp(-right))
         held = np.stack([sure[y == k].mean(axis=0) if (y == k).any() else np.ones(target.shape[1]) for k in range(len(languages))])
         self.weight = held / held.sum(axis=1, keepdims=True)

@@ -185,12 +185,16 @@ def audit_filter(df: DataFrame, keyword: str | None = None, preview: int = 4096,
     return df.withColumn("sql_truncated", F.length("sql_text") > preview).withColumn("sql_text", F.substring("sql_text", 1, preview))
 
 
+def _any_has(column: str, text: str) -> Column:
+    return F.exists(column, lambda x: x.contains(text.lower()))
+
+
 def candidate_parts(catalog: DataFrame, start_us: int, end_us: int, database: str | None = None, table: str | None = None, operations: list[str] | None = None) -> DataFrame:
     """Parts whose span overlaps the window and whose name sets, where known, admit the filters."""
     out = catalog.filter((F.col("first_us") <= end_us) & (F.col("last_us") >= start_us))
     for column, value in (("databases", database), ("tables", table)):
         if value:
-            out = out.filter(F.col(column).isNull() | F.exists(column, lambda x, v=value: x.contains(v.lower())))
+            out = out.filter(F.col(column).isNull() | _any_has(column, value))
     if operations:
         out = out.filter(F.col("operations").isNull() | F.arrays_overlap("operations", F.array(*[F.lit(o.upper()) for o in operations])))
     return out

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket
@@ -19,31 +17,9 @@ from ..operators import lag, schema_diff, search, sessions
 from ..operators import slow as sl
 from ..sources import events as src
 from . import inputs as i
-
-HOUR, DAY, START = i.HOUR_US, i.DAY_US, i.EPOCH_US
-END = START + 30 * DAY - 1
-Q = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Q] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    def keep(f: Q) -> Q:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _ce(sql: str) -> str:
-    return f"WITH {i.CHANGE_CTE}\n{sql}"
-
-
-def _slow(sql: str) -> str:
-    return f"WITH {i.SLOW_CTE}{sql}" if sql.lstrip().startswith(",") else f"WITH {i.SLOW_CTE}\n{sql}"
-
+from .registry import DAY, END, HOUR, ORACLES, START, register
+from .registry import over_changes as _ce
+from .registry import over_slow as _slow
 
 # Filters and pages
 

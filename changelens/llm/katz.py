@@ -317,8 +317,12 @@ def _count_bucket(u: Unigrams, spool: Spool, keep_pairs: bool) -> Iterator[dict]
     for target, part in _dealt(u.history_targets(lv, split + doc)):
         yield {"kind": "unseen", "target": target, "data": pack(lv[part], split[part], doc[part])}
     v, c, pw = v[seen], c[seen], pw[seen]
+    del late, lv, split, doc, pair, kind, term, base, known, place
     if keep_pairs:
-        yield {"kind": "pairs", "data": pack(v, w[seen], c)}
+        w = w[seen]
+        for at in range(0, len(v), 400_000):
+            part = slice(at, at + 400_000)
+            yield {"kind": "pairs", "data": pack(v[part], w[part], c[part].astype(np.uint32))}
     if len(v):
         start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         by = [np.add.reduceat((c == k).astype(np.uint32), start, dtype=np.uint32) for k in range(1, K + 1)]

@@ -94,15 +94,23 @@ class TestSet:
         for w, k in windows.items():
             self.queries[k, : len(w)] = w
         self.shortest = int(self.lengths.min()) if windows else 1 << 60
-        self.joined = np.array([x for _, text in items for x in [0, *(self.vocabulary[w] for w in words(text))]], np.int32).tobytes()
+        joined = np.array([x for _, text in items for x in [0, *(self.vocabulary[w] for w in words(text))]], np.int32)
+        self.order = suffix_array(joined).astype(np.int32)
+        self.joined = joined.astype(">i4").tobytes()  # big-endian, so that bytes compare as the words do
 
     def holds(self, ids: np.ndarray) -> bool:
-        """Whether some item has these words in a row."""
-        what, at = ids.astype(np.int32).tobytes(), -1
-        while (at := self.joined.find(what, at + 1)) >= 0:
-            if at % 4 == 0:
-                return True
-        return False
+        """Whether some item has these words in a row: binary search in the benchmark's own suffix array."""
+        what = ids.astype(">i4").tobytes()
+        lo, hi = 0, len(self.order)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            at = 4 * int(self.order[mid])
+            if self.joined[at : at + len(what)] < what:
+                lo = mid + 1
+            else:
+                hi = mid
+        at = 4 * int(self.order[lo]) if lo < len(self.order) else len(self.joined)
+        return self.joined[at : at + len(what)] == what
 
     def longest(self, ids: np.ndarray, stretches: list[tuple[int, int]]) -> tuple[int, int]:
         """Place and length of the longest verbatim match within stretches whose windows all occur in the benchmark."""

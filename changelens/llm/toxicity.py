@@ -149,7 +149,7 @@ def _feature_counts(text: DataFrame, m: int) -> DataFrame:
                         tallies[folds[i], 2 * k].update(found)
                         if ys[k][i]:
                             tallies[folds[i], 2 * k + 1].update(found)
-                if held > 300_000:
+                if held > 200_000:
                     yield from flush()
                     held = 0
         yield from flush()

@@ -44,6 +44,13 @@ def islands(df: DataFrame, keys: list[str], order: str, together: Column, name:
     return marked.withColumn(name, F.sum("_new").over(w)).drop("prev", "_new")
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], mark: Column, name: str) -> DataFrame:
+    """State carried forward per key: the last row whose ``mark`` is not null sets it, an empty mark clears it."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(mark, ignorenulls=True).over(w)
+    return df.withColumn(name, F.when(held != "", held))
+
+
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "lo", end: str = "hi", tolerance: int = 0) -> DataFrame:
     """Union of intervals per key: one row per run of intervals that touch within ``tolerance``."""
     w = Window.partitionBy(*keys).orderBy(start, end)

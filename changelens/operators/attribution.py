@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +139,24 @@ def growth_ranking(now: DataFrame, before: DataFrame, overlap: DataFrame) -> Dat
     return ranked.withColumn("rank", F.when((F.col("final_score") > 0) | (F.col("_scan") > 0), nth)).drop("_scan")
 
 
+def fraction_rank(ranked: DataFrame) -> DataFrame:
+    """``growth_ranking`` where products need more than 38 digits: the rank of each family by the exact fraction.
+
+    ``ranked``: ``node_id, family, score, growth_us, runtime_us, scan`` (integers; score as decimal). A node's families are one
+    group: they are its distinct statements. Order and rank as in ``growth_ranking``.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        values = [Fraction(int(s) * int(g), max(int(r), 1)) for s, g, r in zip(rows["score"], rows["growth_us"], rows["runtime_us"], strict=True)]
+        scans = [max(0, int(x)) if x == x and x is not None else 0 for x in rows["scan"]]
+        order = sorted(range(len(rows)), key=lambda k: (-values[k], -scans[k], rows["family"].iloc[k]))
+        rank = {k: n for n, k in enumerate(order, 1) if values[k] > 0 or scans[k] > 0}
+        return pd.DataFrame({"node_id": rows["node_id"], "family": rows["family"], "rank": pd.array([rank.get(k) for k in range(len(rows))], "Int64")})
+
+    kinds = dict(ranked.dtypes)
+    return ranked.groupBy("node_id").applyInPandas(run, f"node_id {kinds['node_id']}, family {kinds['family']}, rank long")
+
+
 def assign_families(events: DataFrame) -> DataFrame:
     """Statement families: (database, sql id or fingerprint), merged where two or more share a template in a database.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import BUCKET_US, bucket, sql_action, statement_profile
+from ..functions.scalar import BUCKET_US, bucket, fingerprint, sql_action, sql_template, statement_profile
 from ..functions.series import trend_width
+from ..functions.storage import scratch_folder, stored
 from ..functions.udf import changed_columns
 from .filters import primary_keys
 
@@ -37,14 +38,16 @@ def derive_event_columns(df: DataFrame, width_us: int = BUCKET_US) -> DataFrame:
 _TEXT = ["sql_kind", "sql_text", "row_query"]
 
 
-def statement_stats(ev: DataFrame) -> DataFrame:
-    """Statistics per bucket, database, table, operation and fingerprint.
+def statement_stats(ev: DataFrame, max_groups: int | None = None) -> DataFrame:
+    """Statistics per bucket, database, table, operation and fingerprint. An execution is a distinct start position of a text.
 
-    Two phases: raw texts are grouped first, so that normalisation runs once per distinct text. An execution is a
-    distinct start position of a text group.
+    Events are counted by a digest of their texts; the texts themselves are gathered once each, and normalised there. With
+    ``max_groups``, input of more distinct texts than that is described by templates (``level`` says which it was): table
+    names without shard numbers, inserts without their columns' values.
     """
     keys = ["bucket_us", "database_name", "table_name", "operation"]
-    texts = ev.groupBy(*keys, *_TEXT).agg(
+    text_key = F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in _TEXT]))).alias("text_key")
+    counts = ev.select(*keys, text_key, "start_position", "row_event", "payload_bytes", "execution_time_ms", "event_epoch_us", "event_id").groupBy(*keys, "text_key").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_distinct("start_position").alias("executions"),
         F.count_if("row_event").alias("row_events"),
@@ -56,9 +59,16 @@ def statement_stats(ev: DataFrame) -> DataFrame:
         F.max("event_epoch_us").alias("last_us"),
         F.min("event_id").alias("min_event_id"),
     )
-    profiled = texts.withColumn("p", statement_profile()).withColumns({"fingerprint": F.col("p.fingerprint"), "source": F.col("p.source"), "action": F.col("p.action"), "normalized": F.col("p.normalized")})
+    place = ["database_name", "table_name", "operation", "text_key"]
+    texts = ev.select(*place[:3], text_key, *_TEXT).groupBy(*place).agg(F.min(F.struct(*_TEXT)).alias("t")).select(*place, "t.*")
+    level = "statement"
+    if max_groups is not None and (texts.agg(F.approx_count_distinct("text_key")).first()[0] or 0) > max_groups:
+        level = "template"
+    profiled = texts.withColumn("p", statement_profile()).select(*place, "p.source", "p.action", "p.normalized", "p.fingerprint")
+    if level == "template":
+        profiled = profiled.withColumn("normalized", sql_template(F.col("normalized"))).withColumn("fingerprint", fingerprint(F.col("source"), F.col("normalized")))
     sums = ("events", "executions", "row_events", "payload_bytes", "exec_time_ms", "slow")
-    return profiled.groupBy(*keys, "fingerprint").agg(
+    out = counts.join(profiled, place).groupBy(*keys, "fingerprint").agg(
         *[F.sum(c).alias(c) for c in sums],
         F.max("exec_max_ms").alias("exec_max_ms"),
         F.min("first_us").alias("first_us"),
@@ -68,6 +78,7 @@ def statement_stats(ev: DataFrame) -> DataFrame:
         F.min("action").alias("action"),
         F.min("normalized").alias("normalized"),
     )
+    return out.withColumn("level", F.lit(level))
 
 
 def statement_dim(stats: DataFrame) -> DataFrame:
@@ -406,3 +417,51 @@ def last_effective_change(events: DataFrame, keys: list[str], order: list[str],
     changed = found.withColumn("_changed", changed_columns("before", "after"))
     images = [F.when(F.col("_shape") == "UPDATE", F.col("_changed.before")).alias("before"), F.when(F.col("_shape") == "UPDATE", F.col("_changed.after")).otherwise(F.col("after")).alias("after")]
     return changed.select(*keys, "row_key", F.col("_shape").alias("operation"), *images, *order)
+
+
+def moving_row_changes(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last real change of each row, also where its key moves: ``first_key, last_key, before, after`` and ``order``.
+
+    ``events``: cohort ``keys``, ``before_key, after_key`` (null where there is no row), ``before, after`` as canonical JSON
+    text, and an ``order`` column that places each event. A key's events are cut into segments at each arrival (an insert, or a
+    move to the key); a move links the segment that it leaves to the one that it begins, and the links are followed by
+    doubling, so that a chain of n moves takes log n rounds. A cohort is rejected whole if an image before is not the image
+    after of the row's previous event, or if an event touches a key with no row on it. A row that ends as it began (deleted
+    where it was inserted, or changed back) has no change.
+    """
+    moves = ~F.col("before_key").eqNullSafe(F.col("after_key"))
+    leave = F.struct(F.col("before_key").alias("key"), F.lit(False).alias("arrives"))
+    arrive = F.struct(F.col("after_key").alias("key"), F.lit(True).alias("arrives"))
+    touch = F.when(~moves, F.array(leave)).when(F.col("after_key").isNull(), F.array(leave)).when(F.col("before_key").isNull(), F.array(arrive)).otherwise(F.array(leave, arrive))
+    touches = events.withColumn("_t", F.explode(touch)).select("*", "_t.key", "_t.arrives").drop("_t")
+    w = Window.partitionBy(*keys, "key").orderBy(order, "arrives")
+    previous = F.lag(F.struct(F.when(F.col("arrives") | ~moves, F.col("after")).alias("after"), (moves & ~F.col("arrives")).alias("gone"))).over(w)
+    seen = touches.withColumns({"_segment": F.sum(F.col("arrives").cast("int")).over(w), "_previous": previous, "_moves": moves})
+    opens, gone = F.col("_previous").isNull(), F.col("_previous.gone")
+    broken = F.when(F.col("arrives"), ~opens & ~gone).otherwise(~opens & (gone | ~F.col("before").eqNullSafe(F.col("_previous.after"))))
+    folder = scratch_folder(events.sparkSession)
+    seen = stored(seen.withColumn("_broken", F.coalesce(broken, F.lit(False))).drop("_previous"), folder, "touches")
+    place = F.struct("key", "_segment")
+    out_of = seen.filter("_moves AND NOT arrives").select(*keys, F.col(order).alias("_at"), place.alias("parent"))
+    into = seen.filter("_moves AND arrives AND before_key IS NOT NULL").select(*keys, F.col(order).alias("_at"), place.alias("child"))
+    links, rounds = stored(into.join(out_of, [*keys, "_at"]).select(*keys, "child", "parent"), folder, "links0"), 0
+    while True:
+        up = links.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("_further"))
+        doubled = links.join(up, [*keys, "parent"], "left").select(*keys, "child", F.coalesce("_further", "parent").alias("parent"), F.col("_further").isNotNull().alias("_more"))
+        rounds += 1
+        doubled = stored(doubled, folder, f"links{rounds}")
+        links = doubled.drop("_more")
+        if doubled.filter("_more").isEmpty():
+            break
+    rooted = seen.withColumn("child", place).join(links, [*keys, "child"], "left").withColumn("root", F.coalesce("parent", "child"))
+    bad = seen.groupBy(*keys).agg(F.max("_broken").alias("rejected"))
+    own = F.col("arrives") | ~F.col("_moves") | F.col("after_key").isNull()  # each event once
+    change = F.when(~F.col("before").eqNullSafe(F.col("after")) | F.col("_moves"), F.col(order))
+    folded = rooted.filter(own).groupBy(*keys, "root").agg(
+        F.min_by(F.struct("before_key", "before"), order).alias("first"),
+        F.max_by(F.struct("after_key", "after"), order).alias("last"),
+        F.max_by(F.struct("before", "after", F.col(order)), change).alias("change"),
+    )
+    same = F.col("first.before_key").eqNullSafe(F.col("last.after_key")) & F.col("first.before").eqNullSafe(F.col("last.after"))
+    kept = folded.filter(~same & F.col("change").isNotNull()).join(bad, keys).filter("NOT rejected")
+    return kept.select(*keys, F.col("first.before_key").alias("first_key"), F.col("last.after_key").alias("last_key"), "change.*")

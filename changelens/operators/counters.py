@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket
 from ..functions.series import islands, pearson, sums_for_pearson
+from .attribution import with_baseline
 
 MINUTE_US = 60_000_000
 LEAST_POINTS = 6
@@ -148,6 +149,12 @@ def client_summary(batches: DataFrame, keys: tuple[str, ...] = ("deployment", "c
     return once.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("calls", "errors", "client_us")], F.count_distinct("pod").alias("pods"))
 
 
+def client_comparison(now: DataFrame, before: DataFrame, keys: tuple[str, ...] = ("deployment", "command", "shape", "path", "script")) -> DataFrame:
+    """Client counters of a window against those of the one before; a shape that was not seen there has no difference."""
+    costs = ["calls", "errors", "client_us"]
+    return with_baseline(client_summary(now, keys), client_summary(before, keys), list(keys), costs)
+
+
 def reconcile_calls(server: DataFrame, client: DataFrame) -> DataFrame:
     """Server and client calls per command side by side; they never measure the same, so the difference is marked so."""
     s = server.groupBy("command").agg(F.sum("calls").alias("server_calls"))

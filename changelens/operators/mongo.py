@@ -44,6 +44,15 @@ def publishable_windows(events: DataFrame, width_us: int = WINDOW_US) -> DataFra
     return per.filter("bad = 0 AND window_us IS NOT NULL").drop("bad")
 
 
+def window_ledger(events: DataFrame, start_us: int, end_us: int, capacity: int, width_us: int = WINDOW_US) -> DataFrame:
+    """Every source window of a span, newest first: published, skipped (more records than ``capacity``), unreadable or missing."""
+    spark = events.sparkSession
+    slots = spark.range(start_us, end_us, width_us).select(F.col("id").alias("window_us"))
+    per = events.filter(F.col("start_us").between(start_us, end_us - 1)).groupBy(bucket(F.col("start_us"), width_us).alias("window_us")).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("error").isNotNull()).alias("bad"))
+    status = F.when(F.col("records").isNull(), "missing").when(F.col("records") > capacity, "skipped").when(F.col("bad") > 0, "unreadable").otherwise("published")
+    return slots.join(per, "window_us", "left").select("window_us", F.coalesce("records", F.lit(0)).alias("records"), status.alias("status")).orderBy(F.desc("window_us"))
+
+
 #: Orders of the analysis, each with what stands in where it is unknown.
 MONGO_ORDERS = {"duration": ("duration_us", "overlap_us"), "cpu": ("cpu_ns", "duration_us"), "read": ("bytes_read", "docs"), "docs": ("docs", "duration_us"), "count": ("count", "count"), "max": ("max_us", "max_us"), "growth": ("duration_us_delta", "duration_us")}
 

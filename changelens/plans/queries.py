@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket
-from ..functions.series import islands, merge_intervals
+from ..functions.series import carried, islands, merge_intervals
 from ..functions.udf import statement_verb
 from ..operators import attribution as att
 from ..operators import changes as ch
@@ -40,10 +40,14 @@ def filter_transaction(spark, d):
     return fl.by_transaction(i.change_events(spark, d), "7").select("event_id", "transaction_id")
 
 
-@register(_ce("SELECT event_id FROM ev WHERE contains(lower(sql_text), 'update user_5') AND contains(lower(sql_text), 'set v') AND contains(lower(sql_text), '= 1')"))
+@register(_ce("SELECT event_id FROM ev WHERE contains(lower(sql_text), 'update') AND contains(lower(sql_text), 'user_5') AND contains(lower(sql_text), 'v')"))
 def filter_keyword_and(spark, d):
-    rows = fl.keyword_contains(i.change_events(spark, d), "UPDATE user_5", "AND", ("sql_text",))
-    return fl.keyword_contains(rows.filter(fl.literal_in("sql_text", "update user_5")).filter(fl.literal_in("sql_text", "set v")), "1", "AND", ("sql_text",)).filter(fl.literal_in("sql_text", "= 1")).select("event_id")
+    return fl.keyword_contains(i.change_events(spark, d), "UPDATE user_5 V", "AND", ("sql_text",)).select("event_id")
+
+
+@register(_ce("SELECT event_id FROM ev WHERE contains(lower(sql_text), 'user_5') OR contains(lower(database_account), 'user_5') OR contains(lower(sql_text), 'acc3') OR contains(lower(database_account), 'acc3')"))
+def filter_keyword_or(spark, d):
+    return fl.keyword_contains(i.change_events(spark, d), "user_5 ACC3", "or", ("sql_text", "database_account")).select("event_id")
 
 
 @register("SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under') OR contains(lower(text), '100%_')")
@@ -494,8 +498,7 @@ def carried_state(spark, d):
     """State carried forward per user: a signup opens it, an error clears it."""
     e = i.table(spark, d, "events")
     mark = F.when(F.col("event_type") == "signup", F.col("event_id").cast("string")).when(F.col("event_type") == "error", "")
-    held = F.last(mark, ignorenulls=True).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return e.select("event_id", F.when(held != "", held).alias("session"))
+    return carried(e, ["user_id"], ["event_id"], mark, "session").select("event_id", "session")
 
 
 # Sources, sinks, and what else there is

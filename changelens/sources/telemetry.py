@@ -113,6 +113,13 @@ def redis_samples(df: DataFrame, words: list[str], most_keys: int = 16, most_us:
     return good.withColumn("keys", F.transform("keys", lambda k: sc.key_shape(k, words)))
 
 
+def redis_cloud_rates(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """Minute rates of provider payloads, whitelisted metrics only: ``node_id, payload`` as an array of samples by name."""
+    samples = F.from_json("payload", "array<struct<minute_us:bigint,values:map<string,double>>>")
+    long = df.select("node_id", F.explode(samples).alias("s")).select("node_id", "s.minute_us", F.explode("s.values").alias("metric", "value"))
+    return long.filter(F.col("metric").isin(metrics)).dropDuplicates(["node_id", "minute_us", "metric"])
+
+
 def redis_cloud_slow(df: DataFrame, words: list[str]) -> DataFrame:
     """Slow commands of a provider page: keys masked, raw text dropped, partial if the total exceeds the page."""
     out = df.select("node_id", "total", F.size("items").alias("_n"), F.explode("items").alias("x")).select("node_id", (F.col("total") > F.col("_n")).alias("partial"), "x.*")

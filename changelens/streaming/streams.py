@@ -172,17 +172,18 @@ def insert_only(path: str, key: str = "event_id", buckets: int = 16) -> Callable
     return run
 
 
-def rebuild_hours(facts_path: str, out_path: str, aggregate: Callable[[DataFrame], DataFrame], time_us: str) -> Callable[[DataFrame, int], None]:
+def rebuild_hours(facts_path: str, out_path: str, aggregate: Callable[[DataFrame], DataFrame], time_us: str, width_us: int = 3_600_000_000) -> Callable[[DataFrame, int], None]:
     """Append a batch to the facts, then rebuild the hours that it touched, late ones too; a repeat gives the same.
 
-    ``aggregate`` maps fact rows with an ``hour_us`` column to rows that keep it.
+    ``aggregate`` maps fact rows with an ``hour_us`` column to rows that keep it; hours may be ``width_us`` wide. A batch is
+    written with one file for each hour.
     """
-    hour = F.col(time_us) - F.pmod(F.col(time_us), F.lit(3_600_000_000))
+    hour = F.col(time_us) - F.pmod(F.col(time_us), F.lit(width_us))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         marked = batch.withColumn("hour_us", hour)
-        marked.write.mode("overwrite").partitionBy("hour_us").parquet(f"{facts_path}/batch={batch_id:012d}")
+        marked.repartition("hour_us").write.mode("overwrite").partitionBy("hour_us").parquet(f"{facts_path}/batch={batch_id:012d}")
         facts = spark.read.parquet(facts_path)
         touched = marked.select("hour_us").distinct()
         rebuilt = aggregate(facts.join(F.broadcast(touched), "hour_us", "left_semi"))

@@ -31,7 +31,7 @@ def _newest(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     rest = [c for c in NEWEST if c != "event_id"]
     best = df.select("event_id", F.struct(*_copy(), *rest).alias("_key")).groupBy("event_id").agg(F.max("_key").alias("_key"))
     page = best.orderBy(*[F.desc(c if c == "event_id" else f"_key.{c}") for c in NEWEST]).offset(offset).limit(limit)
-    hit = df.withColumn("_key", F.struct(*_copy(), *rest)).join(F.broadcast(page), ["event_id", "_key"], "left_semi")
+    hit = df.withColumn("_key", F.struct(*_copy(), *rest)).join(F.broadcast(page), ["event_id", "_key"])  # ids come once in the page
     return hit.drop("_key").dropDuplicates(["event_id"])
 
 

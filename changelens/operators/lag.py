@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import islands
@@ -73,20 +73,32 @@ def lag_episodes(samples: DataFrame) -> DataFrame:
 
 
 def nearest_within(left: DataFrame, right: DataFrame, tolerance_us: int, keys: list[str], at: str = "at_us") -> DataFrame:
-    """For each row of ``left`` the row of ``right`` nearest in time, before or after, within the tolerance.
+    """For each row of ``left`` the row of ``right`` nearest in time, before or after, within the tolerance; the earlier at ties.
 
-    Time is cut into bins as wide as the tolerance and the left side goes to three of them, so that it is an equi join.
+    Time is cut into bins as wide as the tolerance. The nearest rows before and after lie in the row's own bin, where one
+    window over both sides finds them, or are the last of the bin before and the first of the bin behind, which come from
+    one row for each bin. No pairs are made, however many rows a bin has.
     """
     width = max(1, tolerance_us)
-    l = left.withColumn("_id", F.monotonically_increasing_id())
-    bins = F.explode(F.array(*[F.floor(F.col(at) / width) + d for d in (-1, 0, 1)]))
-    r = right.select(*keys, F.floor(F.col(at) / width).alias("_bin"), F.struct(*[c for c in right.columns]).alias("_r"))
-    spread = l.select("*", bins.alias("_bin"))
-    distance = F.abs(F.col(at) - F.col(f"_r.{at}"))
-    hit = spread.join(r, [*keys, "_bin"]).filter(distance <= tolerance_us)
+    number = F.floor(F.col(at) / width).alias("_bin")
     rest = [c for c in left.columns if c not in keys]
-    best = hit.groupBy(*keys, *rest, "_id").agg(F.min_by("_r", F.struct(distance, F.col(f"_r.{at}"))).alias("near"))
-    return best.drop("_id")
+    l = left.select(*keys, number, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*rest).alias("_l"), F.lit(None).cast(right.schema.simpleString()).alias("_r"))
+    r = right.select(*keys, number, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(*rest).schema.simpleString()).alias("_l"), F.struct(*right.columns).alias("_r"))
+    ends = r.groupBy(*keys, "_bin").agg(F.min_by("_r", "_at").alias("_first"), F.max_by("_r", "_at").alias("_last"))
+    w = Window.partitionBy(*keys, "_bin").orderBy("_at", "_side")
+    before = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    own = l.unionByName(r).withColumns({"_before": before, "_after": after}).filter("_side = 1")
+    own = own.join(ends.select(*keys, (F.col("_bin") + 1).alias("_bin"), "_last"), [*keys, "_bin"], "left")
+    own = own.join(ends.select(*keys, (F.col("_bin") - 1).alias("_bin"), "_first"), [*keys, "_bin"], "left")
+
+    def candidate(c: str) -> Column:
+        apart = F.abs(F.col("_at") - F.col(c)[at])
+        return F.when(F.col(c).isNotNull() & (apart <= tolerance_us), F.struct(apart.alias("apart"), F.col(c)[at].alias("at"), F.col(c).alias("row")))
+
+    found = F.array_compact(F.array(*[candidate(c) for c in ("_before", "_after", "_last", "_first")]))
+    best = F.reduce(found, F.get(found, F.lit(0)), lambda a, b: F.when((b["apart"] < a["apart"]) | ((b["apart"] == a["apart"]) & (b["at"] < a["at"])), b).otherwise(a))
+    return own.withColumn("_best", best).filter("_best IS NOT NULL").select(*keys, "_l.*", F.col("_best.row").alias("near"))
 
 
 def held_statements(events: DataFrame, episodes: DataFrame, least_us: int = 60_000_000, slack_us: int = 90_000_000, samples: int = 5) -> DataFrame:

@@ -90,6 +90,20 @@ def align_window(intervals: list[tuple[int, int]], start_us: int, end_us: int, w
     return None
 
 
+def align_windows(windows: DataFrame, spans: DataFrame, width_us: int = 300_000_000) -> DataFrame:
+    """``align_window`` for many windows at once: ``windows(instance_id, id, start_us, end_us)`` against disjoint covered ``spans``.
+
+    A window without a covered start, or covered for less than one bucket edge, has no aligned window (nulls).
+    """
+    rows = windows.select("instance_id", F.col("start_us").alias("_at"), F.lit(1).alias("_side"), F.struct(*windows.columns).alias("_w"), F.lit(None).cast("bigint").alias("_hi"))
+    both = rows.unionByName(spans.select("instance_id", F.col("lo").alias("_at"), F.lit(0).alias("_side"), F.col("hi").alias("_hi")), allowMissingColumns=True)
+    before = Window.partitionBy("instance_id").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_covered", F.last("_hi", ignorenulls=True).over(before)).filter("_side = 1").select("_w.*", "_covered")
+    cut = F.col("_covered") - F.pmod("_covered", F.lit(width_us))
+    end = F.when(F.col("_covered") > F.col("start_us"), F.when(F.col("end_us") <= F.col("_covered"), F.col("end_us")).when(cut > F.col("start_us"), cut))
+    return out.withColumns({"aligned_start_us": F.when(end.isNotNull(), F.col("start_us")), "aligned_end_us": end}).drop("_covered")
+
+
 def ready_prefix(intervals: list[tuple[int, int]], start_us: int, end_us: int, least_us: int = 360_000_000) -> tuple[int, int] | None:
     """The longest covered prefix of the window that ends on a whole minute; none if its start is not covered or it is too short."""
     for lo, hi in intervals:
@@ -153,15 +167,22 @@ def hourly_names(df: DataFrame) -> DataFrame:
     return df.groupBy(hour.alias("hour_us"), "instance_id", "database_name", "table_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def assert_same_rows(a: DataFrame, b: DataFrame) -> None:
-    """Fail unless both hold the same rows as often."""
+def row_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one side has more often than the other: the columns, ``only_in`` (first, second) and how often. One shuffle of
+    row counts, combined before it."""
     columns = sorted(a.columns)
     if columns != sorted(b.columns):
         raise AssertionError(f"columns differ: {columns} and {sorted(b.columns)}")
-    a, b = a.select(*columns), b.select(*columns)
-    more, less = a.exceptAll(b).count(), b.exceptAll(a).count()
-    if more or less:
-        raise AssertionError(f"{more} rows only in the first, {less} only in the second")
+    both = a.select(*columns, F.lit(1).alias("_n")).unionByName(b.select(*columns, F.lit(-1).alias("_n")))
+    out = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    return out.select(*columns, F.when(F.col("_n") > 0, "first").otherwise("second").alias("only_in"), F.abs("_n").alias("times"))
+
+
+def assert_same_rows(a: DataFrame, b: DataFrame) -> None:
+    """Fail unless both hold the same rows as often."""
+    found = {r["only_in"]: r["n"] for r in row_differences(a, b).groupBy("only_in").agg(F.sum("times").alias("n")).collect()}
+    if found:
+        raise AssertionError(f"{found.get('first', 0)} rows only in the first, {found.get('second', 0)} only in the second")
 
 
 def ordered_hash(df: DataFrame, keys: list[str], order: list) -> str:

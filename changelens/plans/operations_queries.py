@@ -121,6 +121,26 @@ def ranking_backtest(spark, d):
     return cov.backtest(ranking, truth)
 
 
+@register("""WITH a AS (SELECT c_nationkey AS nation, c_mktsegment = 'BUILDING' AS big FROM customer), b AS (SELECT s_nationkey AS nation, s_acctbal > 0 AS big FROM supplier), x AS (SELECT *, count(*) AS n FROM a GROUP BY 1, 2), y AS (SELECT *, count(*) AS n FROM b GROUP BY 1, 2),
+  d AS (SELECT coalesce(x.nation, y.nation) AS nation, coalesce(x.big, y.big) AS big, coalesce(x.n, 0) - coalesce(y.n, 0) AS n FROM x FULL JOIN y ON x.nation = y.nation AND x.big = y.big) SELECT nation, big, CASE WHEN n > 0 THEN 'first' ELSE 'second' END AS only_in, abs(n) AS times FROM d WHERE n <> 0""")
+def row_differences(spark, d):
+    """Customers and suppliers as two answers to one question."""
+    a = i.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_mktsegment") == "BUILDING").alias("big"))
+    return cov.row_differences(a, i.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") > 0).alias("big")))
+
+
+@register(f"""WITH {_SPANS}, w AS (SELECT instance_id, id, lo + {DAY // 4} AS start_us, lo + {DAY} AS end_us FROM f)
+  SELECT w.id, CASE WHEN w.end_us <= sp.hi THEN w.start_us WHEN sp.hi - sp.hi % {HOUR} > w.start_us THEN w.start_us END AS aligned_start_us, CASE WHEN w.end_us <= sp.hi THEN w.end_us WHEN sp.hi - sp.hi % {HOUR} > w.start_us THEN sp.hi - sp.hi % {HOUR} END AS aligned_end_us
+  FROM w LEFT JOIN sp ON sp.instance_id = w.instance_id AND sp.lo <= w.start_us AND w.start_us < sp.hi""")
+def aligned_windows(spark, d):
+    """Three quarters of a day from six hours into each file, cut to what was covered between 1995 and 2000."""
+    files = _files(spark, d)
+    spans = cov.covered_spans(files, files.filter("state = 'done'"))
+    spans = spans.select("instance_id", F.greatest("lo", F.lit(_A)).alias("lo"), F.least("hi", F.lit(_B)).alias("hi")).filter("lo < hi")
+    windows = files.select("instance_id", "id", (F.col("lo") + DAY // 4).alias("start_us"), (F.col("lo") + DAY).alias("end_us"))
+    return cov.align_windows(windows, spans, HOUR).select("id", "aligned_start_us", "aligned_end_us")
+
+
 # Schemas
 
 

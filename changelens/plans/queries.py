@@ -422,30 +422,27 @@ def client_identity(spark, d):
     return sessions.resolve_pod(q, b).select("event_id", "reason")
 
 
-_FILES = f"""WITH f AS (SELECT o_orderpriority AS instance_id, epoch_us(o_orderdate) AS lo FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2)"""
-
-
-@register(f"""{_FILES}, m AS (SELECT *, max(lo + {DAY}) OVER (PARTITION BY instance_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f), r AS (SELECT *, sum(CASE WHEN lo <= before THEN 0 ELSE 1 END) OVER (PARTITION BY instance_id ORDER BY lo) AS run FROM m)
-  SELECT instance_id, min(lo) AS lo, max(lo + {DAY}) AS hi FROM r GROUP BY instance_id, run""")
+@register(f"""WITH f AS (SELECT DISTINCT o_custkey AS instance_id, epoch_us(o_orderdate) AS lo FROM orders), m AS (SELECT *, max(lo + {30 * DAY}) OVER (PARTITION BY instance_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f), r AS (SELECT *, sum(CASE WHEN lo <= before THEN 0 ELSE 1 END) OVER (PARTITION BY instance_id ORDER BY lo) AS run FROM m)
+  SELECT instance_id, min(lo) AS lo, max(lo + {30 * DAY}) AS hi FROM r GROUP BY instance_id, run""")
 def covered_days(spark, d):
-    """Days with orders per priority, every fifth order, as covered spans."""
-    o = i.table(spark, d, "orders").filter("o_orderkey % 5 = 0")
-    spans = o.select(F.col("o_orderpriority").alias("instance_id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("lo")).distinct().withColumn("hi", F.col("lo") + DAY)
+    """Thirty days from each order as covered spans of its customer."""
+    spans = i.table(spark, d, "orders").select(F.col("o_custkey").alias("instance_id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("lo")).distinct().withColumn("hi", F.col("lo") + 30 * DAY)
     return merge_intervals(spans, ["instance_id"])
 
 
-@register("""WITH f AS (SELECT DISTINCT o_orderpriority AS host, o_orderkey AS n FROM orders WHERE o_orderkey % 3 <> 0) SELECT host, before + 1 AS first_missing, n - 1 AS last_missing, n - before - 1 AS missing FROM (SELECT host, n, lag(n) OVER (PARTITION BY host ORDER BY n) AS before FROM f) WHERE n - before > 1""")
+@register("""WITH f AS (SELECT DISTINCT o_custkey AS host, o_orderkey AS n FROM orders) SELECT host, before + 1 AS first_missing, n - 1 AS last_missing, n - before - 1 AS missing FROM (SELECT host, n, lag(n) OVER (PARTITION BY host ORDER BY n) AS before FROM f) WHERE n - before > 1""")
 def sequence_holes(spark, d):
-    o = i.table(spark, d, "orders").filter("o_orderkey % 3 <> 0")
-    files = o.select(F.col("o_orderpriority").alias("host"), F.concat(F.lit("mysql-bin."), F.col("o_orderkey").cast("string")).alias("log_file_name")).distinct()
+    """Order numbers that each customer's orders leave out."""
+    files = i.table(spark, d, "orders").select(F.col("o_custkey").alias("host"), F.concat(F.lit("mysql-bin."), F.col("o_orderkey").cast("string")).alias("log_file_name")).distinct()
     return cov.sequence_holes(files)
 
 
-@register("SELECT c_custkey AS custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 9 = 0)")
+@register("SELECT p_partkey AS partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)")
 def missing_parts(spark, d):
-    expected = i.table(spark, d, "customer").select(F.col("c_custkey").alias("path"), F.lit("x").alias("sha256"))
-    ready = i.table(spark, d, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("path"), F.lit("x").alias("sha256")).distinct()
-    return cov.missing_parts(expected, ready).select(F.col("path").alias("custkey"))
+    """Parts of which no large number was ever returned."""
+    expected = i.table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.lit("x").alias("sha256"))
+    ready = i.table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_partkey").alias("path"), F.lit("x").alias("sha256")).distinct()
+    return cov.missing_parts(expected, ready).select(F.col("path").alias("partkey"))
 
 
 @register(_ce("SELECT bucket_us AS hour_us, instance_id, database_name, table_name, count(*) AS rows FROM ev GROUP BY ALL"))
@@ -459,14 +456,13 @@ def part_catalog(spark, d):
     return cov.part_catalog(rows).select(F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), F.array_join("tables", ",").alias("tables"), F.array_join("operations", ",").alias("operations"), "first_us", "rows")
 
 
-@register("""WITH s AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer), t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 11 <> 0)
-  SELECT CAST(coalesce(s.k, t.k) AS VARCHAR) AS name, CASE WHEN t.k IS NULL THEN 'missing' ELSE 'changed' END AS change FROM s LEFT JOIN t ON s.k = t.k WHERE t.k IS NULL OR s.v <> t.v""")
+@register("""SELECT c_name AS name, CASE WHEN c_acctbal < 0 THEN 'missing' ELSE 'changed' END AS change FROM customer WHERE c_acctbal < 0 OR c_nationkey < 5""")
 def schema_difference(spark, d):
-    """Customers as columns of a table, their segments as types; the target lacks some and changes others."""
+    """Customers as columns of a table, their segments as types; the target lacks those in debt and changes those of five nations."""
     c = i.table(spark, d, "customer")
-    own = c.select("c_custkey", F.lit("d").alias("database_name"), F.lit("t").alias("table_name"), F.col("c_custkey").cast("string").alias("name"), F.col("c_mktsegment").alias("column_type"), F.lit(True).alias("nullable"), F.lit(None).cast("string").alias("default_value"), F.lit("").alias("extra"), F.lit("").alias("comment"), F.lit("").alias("collation"))
-    target = own.filter("c_custkey % 11 <> 0").withColumn("column_type", F.when(F.col("c_custkey") % 7 == 0, "CHANGED").otherwise(F.col("column_type")))
-    return schema_diff.diff_columns(own.drop("c_custkey"), target.drop("c_custkey")).select("name", "change")
+    own = c.select("c_acctbal", "c_nationkey", F.lit("d").alias("database_name"), F.lit("t").alias("table_name"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("column_type"), F.lit(True).alias("nullable"), F.lit(None).cast("string").alias("default_value"), F.lit("").alias("extra"), F.lit("").alias("comment"), F.lit("").alias("collation"))
+    target = own.filter("c_acctbal >= 0").withColumn("column_type", F.when(F.col("c_nationkey") < 5, "CHANGED").otherwise(F.col("column_type")))
+    return schema_diff.diff_columns(own.drop("c_acctbal", "c_nationkey"), target.drop("c_acctbal", "c_nationkey")).select("name", "change")
 
 
 @register(f"""WITH e AS (SELECT event_id, user_id % 4 AS g, epoch_us(ts) AS us, event_type FROM events), l AS (SELECT * FROM e WHERE event_type = 'error'), r AS (SELECT * FROM e WHERE event_type = 'purchase'),

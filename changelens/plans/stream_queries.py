@@ -19,6 +19,7 @@ from ..streaming import streams
 from . import inputs as i
 from .registry import DAY, HOUR, START, over_changes, over_slow, register
 from .store_queries import _E, _client_rows, _commands, _events
+from .text_queries import general_log_rows
 
 # Files
 
@@ -120,14 +121,35 @@ def streamed_minutes(spark, d):
   SELECT node_id, command, start_us, ts_us AS end_us, CASE WHEN calls < c OR usec < u THEN 'counter_reset' ELSE 'ok' END AS status, CASE WHEN calls >= c AND usec >= u THEN calls - c END AS calls FROM x WHERE start_us IS NOT NULL""")
 def streamed_counters(spark, d):
     """Each counter against its last value, held as state."""
+    return _state(i.counters(spark, d), streams.counter_deltas).select("node_id", "command", "start_us", "end_us", "status", "calls")
+
+
+def _state(rows: DataFrame, build) -> DataFrame:
+    """All rows, in one file, through a stream that holds state by key."""
+    spark = rows.sparkSession
     folder = scratch_folder(spark)
-    rows = i.counters(spark, d)
     rows.coalesce(1).write.parquet(folder)
     name = "s" + uuid.uuid4().hex
-    query = streams.counter_deltas(spark.readStream.schema(rows.schema).parquet(folder)).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}-state").start()
+    query = build(spark.readStream.schema(rows.schema).parquet(folder)).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}-state").start()
     query.processAllAvailable()
     query.stop()
-    return spark.table(name).select("node_id", "command", "start_us", "end_us", "status", "calls")
+    return spark.table(name)
+
+
+@register("""WITH e AS (SELECT 'n' || (user_id % 40) AS node_id, epoch_us(ts) AS us, event_type AS state, lag(event_type) OVER (PARTITION BY user_id % 40 ORDER BY ts) AS before FROM events) SELECT node_id, us AS ts_us, state AS value, before FROM e WHERE before IS NOT NULL AND state <> before""")
+def streamed_changes(spark, d):
+    """What changed on a node since its last snapshot."""
+    e = _events(spark, d)
+    rows = e.select(F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")).alias("node_id"), F.col("us").alias("ts_us"), F.col("event_type").alias("state"))
+    return _state(rows, lambda s: streams.snapshot_changes(s, "state"))
+
+
+@register("""WITH g AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type, CASE event_type WHEN 'signup' THEN 'shop' WHEN 'purchase' THEN 'db' || (user_id % 3) WHEN 'error' THEN '' END AS mark FROM events),
+  h AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS db FROM g)
+  SELECT us AS event_epoch_us, user_id AS thread, db AS database_name, 'SELECT ' || event_id AS sql_text FROM h WHERE event_type = 'view'""")
+def streamed_reads(spark, d):
+    """Reads with the database that their session holds."""
+    return _state(general_log_rows(spark, d), streams.general_log_reads).select("event_epoch_us", "thread", "database_name", "sql_text")
 
 
 @register(f"""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS session_id, epoch_us(ts) AS us FROM events), m AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {6 * HOUR} THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY session_id ORDER BY us)), r AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY us) AS run FROM m)

@@ -190,17 +190,20 @@ def slow_source(spark, d):
     return out.select("event_epoch_us", "node_id", "query_time_ms", "client_ip", "fingerprint", "rows_examined")
 
 
-@register("""WITH g AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type, CASE event_type WHEN 'signup' THEN 'shop' WHEN 'purchase' THEN 'db' || (user_id % 3) WHEN 'error' THEN '' END AS mark FROM events),
-  h AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS db FROM g)
-  SELECT us AS event_epoch_us, user_id AS thread_id, db AS database_name, 'SELECT ' || event_id AS sql_text FROM h WHERE event_type = 'view'""")
-def general_log_source(spark, d):
-    """Sign-ups connect, purchases use a database, errors quit, views read, clicks write."""
+def general_log_rows(spark, d) -> DataFrame:
+    """A general log: sign-ups connect, purchases use a database, errors quit, views read, clicks write."""
     e = _events(spark, d)
     kind = F.col("event_type")
     command = F.when(kind == "signup", "Connect").when(kind == "error", "Quit").otherwise("Query")
     argument = F.when(kind == "signup", "app@h on shop using TCP").when(kind == "purchase", F.concat(F.lit("use `db"), (F.col("user_id") % 3).cast("string"), F.lit("`"))).when(kind == "view", F.concat(F.lit("SELECT "), F.col("event_id").cast("string"))).when(kind == "click", "UPDATE t SET a = 1").otherwise("")
-    rows = e.select(F.lit("s").alias("server"), F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), F.col("us").alias("event_epoch_us"), F.lit("app").alias("user"), command.alias("command"), argument.alias("argument"))
-    return logs.general_log_events(rows, instance_id="i").select("event_epoch_us", "thread_id", "database_name", "sql_text")
+    return e.select(F.lit("s").alias("server"), F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), F.col("us").alias("event_epoch_us"), F.lit("app").alias("user"), command.alias("command"), argument.alias("argument"))
+
+
+@register("""WITH g AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type, CASE event_type WHEN 'signup' THEN 'shop' WHEN 'purchase' THEN 'db' || (user_id % 3) WHEN 'error' THEN '' END AS mark FROM events),
+  h AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS db FROM g)
+  SELECT us AS event_epoch_us, user_id AS thread_id, db AS database_name, 'SELECT ' || event_id AS sql_text FROM h WHERE event_type = 'view'""")
+def general_log_source(spark, d):
+    return logs.general_log_events(general_log_rows(spark, d), instance_id="i").select("event_epoch_us", "thread_id", "database_name", "sql_text")
 
 
 @register(f"""WITH {_E}, v AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'AUDIT_STATUS' WHEN user_id % 7 = 6 THEN 'AUDIT_INSTANCE' WHEN k < 3 THEN 'AUDIT_TIME' WHEN event_id % 5 = 1 THEN 'AUDIT_ID_CONFLICT' WHEN event_id % 5 = 0 THEN 'duplicate' ELSE 'accepted' END AS verdict FROM e) SELECT verdict, count(*) AS n FROM v GROUP BY 1""")

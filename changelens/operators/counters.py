@@ -304,6 +304,35 @@ def indexed_workload(now: DataFrame, before: DataFrame, costs: tuple[str, ...],
     return out.withColumns({f"{c}_delta": F.col(c) - F.col(f"{c}_before") for c in costs})
 
 
+def workload_comparison(now: DataFrame, before: DataFrame, costs: tuple[str, ...], keys: tuple[str, ...] = ("role", "group_id"), complete: bool = True, before_complete: bool = True) -> DataFrame:
+    """Groups (or families, by ``keys``) of minute rollups against a baseline, with what may be said of each cost.
+
+    ``<cost>_observed_delta`` compares what was recorded, and ``<cost>_delta`` is it where the cost was known of every command
+    on both sides. A group absent from a complete baseline counts as zero there, otherwise as unknown. ``assessment``:
+    workload_growth_candidate, recorded_cost_increased, latency_growth_only or observed_costs_only. Order: read bytes, cpu.
+    """
+
+    def sums(df: DataFrame, suffix: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.sum("count").alias(f"count{suffix}"), *[F.sum(c).alias(f"{c}{suffix}") for c in costs], *[F.sum(f"{c}_known").alias(f"{c}_known{suffix}") for c in costs])
+
+    out = sums(now, "").join(sums(before, "_before").withColumn("_seen", F.lit(True)), list(keys), "left")
+    absent = F.when(F.lit(before_complete) & F.col("_seen").isNull(), 0)
+    both = F.lit(complete and before_complete)
+    extra = {"count_before": F.coalesce("count_before", absent)}
+    for c in costs:
+        observed = F.when(F.col(f"{c}_known") > 0, F.col(c))
+        baseline = F.coalesce(F.when(F.col(f"{c}_known_before") > 0, F.col(f"{c}_before")), absent)
+        difference = F.when(both, observed - baseline)
+        whole = (F.col(f"{c}_known") == F.col("count")) & (F.coalesce(f"{c}_known_before", F.lit(0)) == F.coalesce("count_before", F.lit(0)))
+        extra |= {f"{c}_observed": observed, f"{c}_observed_delta": difference, f"{c}_delta": F.when(whole, difference)}
+    out = out.withColumns(extra).drop("_seen")
+    grown = lambda kind: sum((F.coalesce(F.col(f"{c}_{kind}") > 0, F.lit(False)).cast("int") for c in ("bytes_read", "cpu_ns") if c in costs), F.lit(0)) > 0
+    slower = F.coalesce(F.col("duration_us_observed_delta") > 0, F.lit(False)) if "duration_us" in costs else F.lit(False)
+    said = F.when(grown("delta"), "workload_growth_candidate").when(grown("observed_delta"), "recorded_cost_increased").when(slower, "latency_growth_only").otherwise("observed_costs_only")
+    first = [F.desc(F.coalesce(f"{c}_observed", F.lit(0))) for c in ("bytes_read", "cpu_ns") if c in costs]
+    return out.withColumn("assessment", said).orderBy(*first, *keys)
+
+
 def grade(metric: Column, direct: list[str], related: list[str]) -> Column:
     """Whether a cost is a direct, a related or only an outcome measure of a metric."""
     return F.when(metric.isin(direct), "direct").when(metric.isin(related), "related").otherwise("outcome")

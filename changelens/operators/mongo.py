@@ -53,8 +53,12 @@ def window_ledger(events: DataFrame, start_us: int, end_us: int, capacity: int,
     return slots.join(per, "window_us", "left").select("window_us", F.coalesce("records", F.lit(0)).alias("records"), status.alias("status")).orderBy(F.desc("window_us"))
 
 
-#: Orders of the analysis, each with what stands in where it is unknown.
-MONGO_ORDERS = {"duration": ("duration_us", "overlap_us"), "cpu": ("cpu_ns", "duration_us"), "read": ("bytes_read", "docs"), "docs": ("docs", "duration_us"), "count": ("count", "count"), "max": ("max_us", "max_us"), "growth": ("duration_us_delta", "duration_us")}
+#: Orders of the analysis by column; where the evidence of one lacks, what stands in for it.
+TOTALS = {"duration_total": "duration_us", "scan_total": "docs", "cpu_total": "cpu_ns", "read_total": "bytes_read"}
+GROWTHS = {"duration_growth": "duration_us_delta", "scan_growth": "docs_delta", "cpu_growth": "cpu_ns_delta", "read_growth": "bytes_read_delta"}
+OTHER_ORDERS = {"count": "count", "count_growth": "count_delta", "max_latency": "max_us", "correlation": "r", "performance": "overlap_score"}
+MONGO_ORDERS = TOTALS | GROWTHS | OTHER_ORDERS
+INSTEAD = {"count_growth": "count", "scan_growth": "scan_total", "cpu_growth": "cpu_total", "read_growth": "read_total"}
 
 
 def mongo_analyze(now: DataFrame, before: DataFrame, costs: tuple[str, ...], covered: bool = True) -> DataFrame:
@@ -82,9 +86,30 @@ def mongo_analyze(now: DataFrame, before: DataFrame, costs: tuple[str, ...], cov
     return out.withColumns(extra)
 
 
+def effective_order(df: DataFrame, order: str, covered: bool = True, before_covered: bool = True) -> tuple[str, str]:
+    """The order that the groups' evidence allows, and why it is another than asked for (empty if it is not).
+
+    Growth needs both windows covered and one known difference; totals need one known cost; else totals, then counts stand in.
+    """
+    if order not in MONGO_ORDERS:
+        raise ValueError(f"unknown order {order!r}")
+    reason = ""
+    if not (covered and before_covered) and (order in GROWTHS or order in ("count_growth", "performance")):
+        order, reason = INSTEAD.get(order, "duration_total"), "incomplete_baseline" if covered else "incomplete_source"
+    used = [c for c in {*TOTALS.values(), *GROWTHS.values(), "overlap_score"} if c in df.columns]
+    known = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count(c).alias(c) for c in used]).first().asDict()
+    if known["_all"]:
+        if (order in GROWTHS or order == "performance") and not known.get(MONGO_ORDERS[order]):
+            order, reason = INSTEAD.get(order, "duration_total"), "ranking_evidence_unavailable"
+        if order in TOTALS and not known.get(TOTALS[order]):
+            order, reason = "count", "ranking_field_unavailable"
+    return order, reason
+
+
 def order_mongo(df: DataFrame, order: str, n: int = 50) -> DataFrame:
-    first, fallback = MONGO_ORDERS[order]
-    return df.orderBy(F.desc_nulls_last(F.coalesce(first, fallback)), "role", "group_id").limit(n)
+    """The first ``n`` groups, largest first; what is not known counts as -1 (a correlation as -2)."""
+    unknown = -2 if order == "correlation" else -1
+    return df.orderBy(F.desc(F.coalesce(F.col(MONGO_ORDERS[order]), F.lit(unknown))), "role", "group_id").limit(n)
 
 
 def role_totals(now: DataFrame) -> DataFrame:

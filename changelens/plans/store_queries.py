@@ -297,7 +297,7 @@ def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
 def command_changes(spark, d):
     """Half a month against the one before; documents were not known of all commands, so they have no difference."""
     now, before = _halves(spark, d)
-    out = mongo.order_mongo(mongo.mongo_analyze(now, before, ("duration_us", "docs")), "duration")
+    out = mongo.order_mongo(mongo.mongo_analyze(now, before, ("duration_us", "docs")), "duration_growth")
     return out.select("group_id", "count", "duration_us_delta", F.round("duration_us_frequency", 3).alias("duration_us_frequency"), F.round("duration_us_per_call", 3).alias("duration_us_per_call"), "docs_delta")
 
 
@@ -307,6 +307,45 @@ def indexed_workload(spark, d):
     return cn.indexed_workload(now, before, ("count",), True)
 
 
+def _three_costs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Halves of the month with read bytes known of three quarters of the commands, cpu time of all."""
+    m = _commands(spark, d).filter("error IS NULL")
+    m = m.withColumns({"bytes_read": F.when(F.col("docs") % 4 > 0, F.col("docs")), "cpu_ns": F.col("docs")})
+    rolled = cn.mongo_rollup(m, ("duration_us", "bytes_read", "cpu_ns")).filter("count > 0")
+    return rolled.filter(F.col("bucket_us") >= START + 15 * DAY), rolled.filter(F.col("bucket_us") < START + 15 * DAY)
+
+
+@register(f"""WITH {_E}, {_GROUPED}, s AS (SELECT group_id, us - us % 60000000 >= {START + 15 * DAY} AS late, v * 1000 AS took, CASE WHEN k % 4 > 0 THEN k END AS b, k FROM g),
+  n AS (SELECT group_id, count(*) AS count, sum(took) AS d, sum(b) AS b, count(b) AS bk, sum(k) AS c FROM s WHERE late GROUP BY 1), o AS (SELECT group_id, count(*) AS count, sum(took) AS d, sum(b) AS b, count(b) AS bk, sum(k) AS c FROM s WHERE NOT late GROUP BY 1)
+  SELECT group_id, n.count, coalesce(o.count, 0) AS count_before, CAST(n.b AS BIGINT) AS bytes_read_observed, CAST(n.b - o.b AS BIGINT) AS bytes_read_observed_delta, CASE WHEN n.bk = n.count AND o.bk = o.count THEN CAST(n.b - o.b AS BIGINT) END AS bytes_read_delta, CAST(n.c - o.c AS BIGINT) AS cpu_ns_delta,
+    CASE WHEN n.c > o.c THEN 'workload_growth_candidate' WHEN n.b > o.b THEN 'recorded_cost_increased' WHEN n.d > o.d THEN 'latency_growth_only' ELSE 'observed_costs_only' END AS assessment FROM n LEFT JOIN o USING (group_id)""")
+def workload_comparison(spark, d):
+    now, before = _three_costs(spark, d)
+    out = cn.workload_comparison(now, before, ("duration_us", "bytes_read", "cpu_ns"))
+    return out.select("group_id", "count", "count_before", "bytes_read_observed", "bytes_read_observed_delta", "bytes_read_delta", "cpu_ns_delta", "assessment")
+
+
+_ASKED = {"duration_growth": ("duration_growth", ""), "scan_growth": ("scan_total", "ranking_evidence_unavailable"), "cpu_total": ("count", "ranking_field_unavailable"), "max_latency": ("max_latency", ""), "count": ("count", "")}
+
+
+@register(
+    f"WITH {_E}, {_ROLLED}, {_BOTH}, x AS (SELECT group_id, max(max_us) AS max_us FROM b WHERE bucket_us >= {START + 15 * DAY} GROUP BY 1), a AS (SELECT n.group_id, n.count, n.docs, max_us, n.duration_us - o.duration_us AS growth FROM n LEFT JOIN o USING (group_id) JOIN x ON x.group_id = n.group_id) "
+    + " UNION ALL ".join(f"SELECT '{asked}' AS asked, '{order}' AS used, '{why}' AS reason, (SELECT group_id FROM a ORDER BY {({'duration_growth': 'coalesce(growth, -1)', 'scan_total': 'docs', 'count': 'count', 'max_latency': 'max_us'})[order]} DESC, group_id LIMIT 1) AS first_group FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM a)" for asked, (order, why) in _ASKED.items())
+)
+def command_orders(spark, d):
+    """Orders asked for and used: scans were not known of all commands, cpu time of none."""
+    now, before = _halves(spark, d)
+    groups = mongo.mongo_analyze(now, before, ("duration_us", "docs"))
+    parts = []
+    for asked in _ASKED:
+        used, reason = mongo.effective_order(groups, asked)
+        parts.append(mongo.order_mongo(groups, used, 1).select(F.lit(asked).alias("asked"), F.lit(used).alias("used"), F.lit(reason).alias("reason"), F.col("group_id").alias("first_group")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register(f"WITH {_E}, {_GROUPED} SELECT '10.0.0.' || (user_id % 9) AS client, 'acc' || (user_id % 5) AS account, count(*) AS n FROM g WHERE group_id = (SELECT min(group_id) FROM g) GROUP BY 1, 2")
 def command_sources(spark, d):
     m = _commands(spark, d)

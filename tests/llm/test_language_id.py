@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +58,33 @@ def test_repeated_ids_stay_within_the_sample(make_docs, monkeypatch):
     rows = [(i, f"{lang} {name} text", lang, "a") for lang in ("en", "fr") for k, name in enumerate(names) for i in (7 if k % 2 else None,)]
     train(make_docs([*rows, *[(7, "one text", "en", "a")] * 1000]), per_language=20)
     assert sizes == [(2, 40, 40)]
+
+
+def by_hand(model, text, buckets=2048):
+    """Languages by n-grams counted one by one and losses summed one by one; None for texts without a letter."""
+    if text is None or not any(ch.isalpha() for ch in text):
+        return "und", 0.0
+    clean = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode())
+    data = b" " + b" ".join(clean.split()) + b" "
+    counts = [0] * buckets
+    for n, base, factor in ((1, 0, 2654435761), (2, 1 << 24, 2246822519), (3, 1 << 28, 3266489917)):
+        for at in range(len(data) - n + 1):
+            gram = int.from_bytes(data[at : at + n], "big") + base
+            counts[(gram * factor % 2**32) >> 21] += 1
+    norm = math.sqrt(sum(counts))
+    x = [math.sqrt(c) / norm for c in counts]
+    margins = [sum(a * float(w) for a, w in zip(x, model.w[:, b], strict=True) if a) + float(model.b[b]) for b in range(model.code.shape[1])]
+    losses = [sum(float(model.weight[k, b]) * math.log1p(math.exp(-m * int(model.code[k, b]))) for b, m in enumerate(margins)) for k in range(len(model.languages))]
+    best = min(range(len(losses)), key=lambda k: (losses[k], k))
+    likely = [math.exp(-(v - min(losses)) * model.code.shape[1]) for v in losses]
+    return model.languages[best], likely[best] / sum(likely)
+
+
+def test_predictions_match_decoding_by_hand(spark, make_docs, odd_rows):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = train(docs.filter(~held_out()), per_language=20)
+    sample = [(r.doc_id, r.text, None, None) for r in docs.orderBy("doc_id").limit(25).collect()] + odd_rows
+    got = sorted((str(r.doc_id), r.lang_pred, round(r.score, 4)) for r in identify(make_docs(sample), model).collect())
+    want = sorted((str(i), lang, round(score, 4)) for (i, t, *_) in sample for lang, score in [by_hand(model, t)])
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 2e-3 for g, w in zip(got, want, strict=True))

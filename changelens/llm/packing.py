@@ -35,7 +35,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of words and ids that a Python worker remembers, and bytes of text that it takes at a time.
 _REMEMBERED = 32 << 20
-_SLICE = 6 << 20
+_SLICE = 4 << 20
 #: A word that the tokenizer lower-cases and cuts into its letters and its marks, whatever stands around it.
 _PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[,.!?;:#$]*$"
 _MARKS = ",.!?;:#$"

@@ -181,7 +181,7 @@ def foreign_key_differences(spark, d):
 
 
 @register("SELECT c_name AS table_name, CASE WHEN c_nationkey % 3 = 0 THEN 'missing' ELSE 'changed' END AS change, CASE WHEN c_nationkey % 3 = 2 THEN 'risky' ELSE 'safe' END AS risk FROM customer")
-def option_differences(spark, d):
+def table_option_differences(spark, d):
     """Customers as tables: a third is missing, a third has another comment, a third another engine."""
     c = i.table(spark, d, "customer").select(F.lit("d").alias("database_name"), F.col("c_name").alias("table_name"), F.lit("a").alias("engine"), F.lit("u").alias("collation"), F.lit("r").alias("row_format"), F.lit("").alias("comment"), (F.col("c_nationkey") % 3).alias("r"))
     target = c.filter("r > 0").withColumns({"comment": F.lit("x"), "engine": F.when(F.col("r") == 2, "b").otherwise("a")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, katz, language_id, line_dedup, packing, sharding, simhash, toxicity
+from . import centroids, conversation_repair, decontaminate, exact_dedup, grid_join, html_extract, katz, language_id, line_dedup, packing, sharding, simhash, toxicity
 
 
 def queries():
@@ -17,8 +17,17 @@ def queries():
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_min_cut_extraction": html_extract.op9_min_cut_extraction,
         "op10_toxicity_chain": toxicity.op10_toxicity_chain,
+        "op11_interval_repair": conversation_repair.op11_interval_repair,
+        "op12_rotated_centroids": centroids.op12_rotated_centroids,
+        "op13_grid_order_join": grid_join.op13_grid_order_join,
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op11_interval_repair": conversation_repair.OP11_SQL,
+        "op12_rotated_centroids": centroids.OP12_SQL,
+        "op13_grid_order_join": grid_join.OP13_SQL,
+    }

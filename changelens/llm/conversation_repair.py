@@ -137,8 +137,8 @@ def _illegal(initials: str) -> int:
 _SEGMENTS = "pid int, k int, uids array<long>, initials string, faults string, first_turn long, last_turn long, turns long, costs array<long>, audits array<string>"
 
 
-def _segments(ordered: DataFrame, kind: str) -> DataFrame:
-    """Per conversation and task (or ``SEGMENT`` turns of it) its turns, faults and parse cell."""
+def _segments(ordered: DataFrame, kind: str, segment: int) -> DataFrame:
+    """Per conversation and task (or ``segment`` turns of it) its turns, faults and parse cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
@@ -166,7 +166,7 @@ def _segments(ordered: DataFrame, kind: str) -> DataFrame:
                 + [("first_turn", pa.int64()), ("last_turn", pa.int64()), ("turns", pa.int64()), ("costs", longs), ("audits", texts)]
             )
             for conv, turn, uid, initial, fault in zip(*(batch.column(c).to_pylist() for c in ("conv", "turn", "uid", "initial", "fault")), strict=True):
-                if uids and (conv != key or len(uids) == SEGMENT):
+                if uids and (conv != key or len(uids) == segment):
                     close()
                 key = conv
                 for held, x in ((uids, uid), (initials, initial), (faults, fault), (turns, turn)):
@@ -257,7 +257,7 @@ def _edits(decided: DataFrame, kind: str) -> DataFrame:
     return decided.mapInArrow(run, f"conv {kind}, pid int, k int, i int, edit string, uid long, new_role string")
 
 
-def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Repair:
+def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT) -> Repair:
     """The repaired turns of every conversation and a report of its faults and edits."""
     folder = shared_folder(conversations.sparkSession)
     role, text = F.coalesce(role_col, F.lit(" ")), F.coalesce(text_col, F.lit(" "))
@@ -273,7 +273,7 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     judged = rows.join(firsts, "uid", "left").select("conv", "turn", "role", "digest", "uid", F.when(initial.isin("s", "u", "a"), initial).otherwise("x").alias("initial"), fault.alias("fault"))
     judged = stash(judged, folder, "judged")
     order = ["conv", "turn", "role", "digest", "uid"]
-    segments = stash(_segments(judged.repartitionByRange(*order).sortWithinPartitions(*order), kind), folder, "segments")
+    segments = stash(_segments(judged.repartitionByRange(*order).sortWithinPartitions(*order), kind, segment), folder, "segments")
     pieces = stash(_decisions(segments, kind), folder, "pieces")
     edits = _edits(segments.select("pid", "k", "uids", "initials", "conv").join(pieces.select("pid", "k", "piece", "place"), ["pid", "k"]), kind)
     turns = edits.join(rows.select("uid", "turn", "role", "text"), "uid", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,8 @@ from ..operators import mongo
 from ..operators import slow as sl
 from ..sources import events as src
 from ..sources import telemetry
-from ..streaming import streams
+from ..streaming import keyed, stateful, streams
+from ..streaming.keyed import KeyedStore
 from . import inputs as i
 from .registry import DAY, HOUR, START, over_changes, over_slow, register
 from .store_queries import _E, _client_rows, _commands, _events
@@ -77,23 +76,44 @@ def row_store_events(spark, d):
 # Streams
 
 
-def _run(rows: DataFrame, build, mode: str = "append") -> DataFrame:
-    """All rows through a stream, stored, one file a trigger."""
+LATE_US = 2 * DAY
+
+
+def _stream(rows: DataFrame, time_us: str, start) -> None:
+    """All rows through a stream that is stopped halfway and started again from its checkpoint.
+
+    Rows arrive up to ``LATE_US`` after their time. What has arrived by the middle of the month is stored in several files and read,
+    then the rest. ``start`` gets the streaming rows and the checkpoint's folder and returns the writer.
+    """
     spark = rows.sparkSession
     folder = scratch_folder(spark)
-    rows.repartition(3).write.parquet(folder)
-    name = "s" + uuid.uuid4().hex
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = build(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}-state").start()
-    query.processAllAvailable()
-    query.stop()
-    return spark.table(name)
+    arrival = F.col(time_us) + F.pmod(F.xxhash64(*rows.columns), F.lit(LATE_US))
+    for part in (arrival < START + 15 * DAY, arrival >= START + 15 * DAY):
+        rows.filter(part).repartition(4).write.mode("append").parquet(f"{folder}/rows")
+        writer = start(spark.readStream.schema(rows.schema).parquet(f"{folder}/rows"))
+        writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def _kept(rows: DataFrame, time_us: str, build, keys: list[str]) -> DataFrame:
+    """What a stateful stream leaves in a keyed store."""
+    store = KeyedStore(f"{scratch_folder(rows.sparkSession)}/store", keys)
+    _stream(rows, time_us, lambda s: build(s).writeStream.outputMode("update").foreachBatch(store.write))
+    return store.read(rows.sparkSession)
+
+
+def _summed(rows: DataFrame, time_us: str, aggregate) -> DataFrame:
+    """The partial aggregates that a stream leaves, batch by batch."""
+    path = f"{scratch_folder(rows.sparkSession)}/partials"
+    _stream(rows, time_us, lambda s: s.writeStream.foreachBatch(keyed.partial_sums(path, aggregate)))
+    return rows.sparkSession.read.parquet(path)
 
 
 @register(over_slow("SELECT event_id, instance_id FROM slow"))
 def streamed_slow_events(spark, d):
     """Slow events that come from two parts, once each."""
-    return _run(i.slow_events(spark, d), lambda s: streams.late_slow_events(s, "60 days")).select("event_id", "instance_id")
+    path = f"{scratch_folder(spark)}/slow"
+    _stream(i.slow_events(spark, d), "event_epoch_us", lambda s: streams.late_slow_events(s, "3 days").writeStream.format("parquet").option("path", path))
+    return spark.read.parquet(path).select("event_id", "instance_id")
 
 
 @register(over_slow("SELECT event_id, CASE WHEN event_epoch_us < {0} THEN 'stored' ELSE 'tail' END AS side FROM slow".format(START + 15 * DAY)))
@@ -106,34 +126,24 @@ def stored_and_tail(spark, d):
 
 @register(over_changes(f"SELECT event_epoch_us - event_epoch_us % {HOUR} AS start_us, instance_id, table_name, operation, count(*) AS events, CAST(sum(execution_time_ms) AS BIGINT) AS exec_time_ms, min(event_epoch_us) AS first_us FROM ev GROUP BY 1, 2, 3, 4"))
 def streamed_aggregates(spark, d):
-    got = _run(i.change_events(spark, d), lambda s: streams.change_aggregates(s, "1 hour", "60 days"), "complete")
-    return got.select(F.unix_micros("window.start").alias("start_us"), "instance_id", "table_name", "operation", "events", "exec_time_ms", "first_us")
+    """Partial aggregates of each batch, added up when they are read."""
+    got = keyed.merged_changes(_summed(i.change_events(spark, d), "event_epoch_us", lambda b: keyed.change_partials(b, HOUR)))
+    return got.select("start_us", "instance_id", "table_name", "operation", "events", "exec_time_ms", "first_us")
 
 
 @register(f"WITH {_E} SELECT us - us % 60000000 AS start_us, node_id, count(*) AS count, CAST(sum(k) AS BIGINT) AS k, count(CASE WHEN k % 3 > 0 THEN 1 END) AS v_known FROM e GROUP BY 1, 2")
 def streamed_minutes(spark, d):
     rows = _events(spark, d).withColumn("v", F.when(F.col("k") % 3 > 0, F.col("v")))
-    got = _run(rows, lambda s: streams.minute_rollup(s, ["node_id"], ["k", "v"], "us", "60 days"), "complete")
-    return got.select(F.unix_micros("window.start").alias("start_us"), "node_id", "count", "k", "v_known")
+    parts = _summed(rows, "us", lambda b: keyed.minute_partials(b, ["node_id"], ["k", "v"], "us"))
+    return keyed.merged_minutes(parts, ["node_id"], ["k", "v"]).select("start_us", "node_id", "count", "k", "v_known")
 
 
 @register(f"""WITH {i.COUNTER_CTE.lstrip()}, x AS (SELECT node_id, command, ts_us, calls, usec, lag(ts_us) OVER w AS start_us, lag(calls) OVER w AS c, lag(usec) OVER w AS u FROM counter WINDOW w AS (PARTITION BY node_id, command ORDER BY ts_us))
   SELECT node_id, command, start_us, ts_us AS end_us, CASE WHEN calls < c OR usec < u THEN 'counter_reset' ELSE 'ok' END AS status, CASE WHEN calls >= c AND usec >= u THEN calls - c END AS calls FROM x WHERE start_us IS NOT NULL""")
 def streamed_counters(spark, d):
-    """Each counter against its last value, held as state."""
-    return _state(i.counters(spark, d), streams.counter_deltas).select("node_id", "command", "start_us", "end_us", "status", "calls")
-
-
-def _state(rows: DataFrame, build) -> DataFrame:
-    """All rows, in one file, through a stream that holds state by key."""
-    spark = rows.sparkSession
-    folder = scratch_folder(spark)
-    rows.coalesce(1).write.parquet(folder)
-    name = "s" + uuid.uuid4().hex
-    query = build(spark.readStream.schema(rows.schema).parquet(folder)).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}-state").start()
-    query.processAllAvailable()
-    query.stop()
-    return spark.table(name)
+    """Each counter against the one before it, held as state."""
+    got = _kept(i.counters(spark, d), "ts_us", lambda s: stateful.counter_deltas(s, 3 * DAY), ["node_id", "command", "end_us"])
+    return got.select("node_id", "command", "start_us", "end_us", "status", "calls")
 
 
 @register("""WITH e AS (SELECT 'n' || (user_id % 40) AS node_id, epoch_us(ts) AS us, event_type AS state, lag(event_type) OVER (PARTITION BY user_id % 40 ORDER BY ts) AS before FROM events) SELECT node_id, us AS ts_us, state AS value, before FROM e WHERE before IS NOT NULL AND state <> before""")
@@ -141,7 +151,7 @@ def streamed_changes(spark, d):
     """What changed on a node since its last snapshot."""
     e = _events(spark, d)
     rows = e.select(F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")).alias("node_id"), F.col("us").alias("ts_us"), F.col("event_type").alias("state"))
-    return _state(rows, lambda s: streams.snapshot_changes(s, "state"))
+    return _kept(rows, "ts_us", lambda s: stateful.snapshot_changes(s, "state", 3 * DAY), ["node_id", "ts_us"])
 
 
 @register("""WITH g AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type, CASE event_type WHEN 'signup' THEN 'shop' WHEN 'purchase' THEN 'db' || (user_id % 3) WHEN 'error' THEN '' END AS mark FROM events),
@@ -149,14 +159,15 @@ def streamed_changes(spark, d):
   SELECT us AS event_epoch_us, user_id AS thread, db AS database_name, 'SELECT ' || event_id AS sql_text FROM h WHERE event_type = 'view'""")
 def streamed_reads(spark, d):
     """Reads with the database that their session holds."""
-    return _state(general_log_rows(spark, d), streams.general_log_reads).select("event_epoch_us", "thread", "database_name", "sql_text")
+    got = _kept(general_log_rows(spark, d), "event_epoch_us", lambda s: stateful.general_log_reads(s, 3 * DAY), ["server", "thread", "event_epoch_us", "seq"])
+    return got.select("event_epoch_us", "thread", "database_name", "sql_text")
 
 
 @register(f"""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS session_id, epoch_us(ts) AS us FROM events), m AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {6 * HOUR} THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY session_id ORDER BY us)), r AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY us) AS run FROM m)
   SELECT session_id, min(us) AS first_us, max(us) AS last_us, count(*) AS seen FROM r GROUP BY session_id, run""")
 def streamed_sessions(spark, d):
     rows = i.sightings(spark, d)
-    got = _run(rows, lambda s: streams.abnormal_sessions(s, "6 hours 1 microsecond", "60 days"), "complete")
+    got = _kept(rows, "ts_us", lambda s: stateful.abnormal_sessions(s, 6 * HOUR, 3 * DAY), ["instance_id", "node_id", "session_id", "user", "client", "first_us"])
     return got.select("session_id", "first_us", "last_us", "seen")
 
 
@@ -164,7 +175,7 @@ def streamed_sessions(spark, d):
 def streamed_bindings(spark, d):
     o = i.table(spark, d, "orders")
     rows = o.select(F.col("o_custkey").cast("string").alias("uid"), F.col("o_orderpriority").alias("ip"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("seen_us"))
-    return _run(rows, streams.binding_intervals, "complete")
+    return keyed.merged_bindings(_summed(rows, "seen_us", keyed.binding_partials))
 
 
 @register(over_changes("SELECT event_id, sql_text FROM ev"))

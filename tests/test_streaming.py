@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from changelens.operators.changes import agg_5m
 from changelens.plans import inputs
-from changelens.streaming import streams
+from changelens.streaming import keyed, streams
 
 D = "/root/testdata/sf0.001"
 
@@ -40,34 +40,6 @@ def test_change_aggregates_equal_the_batch(spark, tmp_path):
     assert rows_of(merged, *keys) == rows_of(want, *keys)
 
 
-def test_counter_deltas_hold_state(spark, tmp_path):
-    rows = [("n", "get", t, c, c * 10) for t, c in ((1, 5), (2, 9), (3, 2), (4, 6))]
-    df = spark.createDataFrame(rows, "node_id string, command string, ts_us long, calls long, usec long")
-    got = run(spark, df, tmp_path, build=streams.counter_deltas, files=1)
-    assert rows_of(got, "start_us", "end_us", "status") == [(1, 2, "ok"), (2, 3, "counter_reset"), (3, 4, "ok")]
-
-
-def test_sessions_by_gap(spark, tmp_path):
-    m = 60_000_000
-    rows = [("i", "n", "s", "u", "c", t * m, 1) for t in (0, 4, 9, 20)]
-    df = spark.createDataFrame(rows, "instance_id string, node_id string, session_id string, user string, client string, ts_us long, seconds long")
-    got = run(spark, df, tmp_path, "complete", streams.abnormal_sessions)
-    assert rows_of(got, "first_us", "last_us", "seen") == [(0, 9 * m, 3), (20 * m, 20 * m, 1)]
-
-
-def test_general_log_state(spark, tmp_path):
-    from tests.test_sources import GENERAL
-
-    rows = [("s", 1, k, t, "app", c, a) for k, (t, c, a) in enumerate(GENERAL)]
-    df = spark.createDataFrame(rows, "server string, thread long, seq long, event_epoch_us long, user string, command string, argument string").coalesce(1)
-    src = str(tmp_path / "one")
-    df.write.parquet(src)
-    q = streams.general_log_reads(spark.readStream.schema(df.schema).parquet(src)).writeStream.format("memory").queryName("general").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r[1] for r in rows_of(spark.table("general"), "event_epoch_us", "database_name")][:3] == ["shop", "other", ""]
-
-
 def test_insert_only_batches_repeat_safely(spark, tmp_path):
     path = str(tmp_path / "audit")
     write = streams.insert_only(path)
@@ -97,7 +69,13 @@ def test_hours_are_rebuilt_with_late_rows(spark, tmp_path):
 
 def test_bindings_extend(spark, tmp_path):
     df = spark.createDataFrame([("u", "1", 5), ("u", "1", 9), ("u", "2", 7)], "uid string, ip string, seen_us long")
-    got = run(spark, df, tmp_path, "complete", streams.binding_intervals)
+    path = str(tmp_path / "partials")
+    write = keyed.partial_sums(path, keyed.binding_partials)
+    for n, part in ((0, df.limit(1)), (1, df.filter("seen_us > 5")), (1, df.filter("seen_us > 5"))):
+        write(part, n)
+    got = keyed.merged_bindings(spark.read.parquet(path))
+    assert rows_of(keyed.merged_bindings(spark.read.parquet(path), 8), "uid", "ip") == [("u", "1")]
+    assert rows_of(run(spark, df, tmp_path, "complete", streams.binding_intervals), "uid", "ip", "last_seen_us") == rows_of(got, "uid", "ip", "last_seen_us")
     assert rows_of(got, "uid", "ip", "first_seen_us", "last_seen_us") == [("u", "1", 5, 9), ("u", "2", 7, 7)]
 
 

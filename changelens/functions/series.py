@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import scan
+
 EXACT = "decimal(38,0)"
 
 
@@ -36,16 +38,24 @@ def grid(spark, start_us: int, end_us: int, width_us: int) -> DataFrame:
     return spark.range(first, last + 1, width_us).select(F.col("id").alias("ts"))
 
 
-def islands(df: DataFrame, keys: list[str], order: str, together: Column, name: str = "run") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], order: str, together: Column, name: str = "run", width: int | None = None) -> DataFrame:
     """Number the runs of consecutive rows of ``keys``; ``together`` says whether a row continues its predecessor's run
-    (it may use ``prev``, the predecessor's ``order``)."""
+    (it may use ``prev``, the predecessor's ``order``). With ``width``, for few keys of many rows, in bins of the order."""
+    if width is not None:
+        marked = scan(df, keys, [order], width, prev=(F.col(order), "previous"))
+        marked = marked.withColumn("_new", F.when(F.col("prev").isNotNull() & together, 0).otherwise(1))
+        return scan(marked, keys, [order], width, **{name: (F.col("_new"), "total")}).drop("prev", "_new")
     w = Window.partitionBy(*keys).orderBy(order)
     marked = df.withColumn("prev", F.lag(order).over(w)).withColumn("_new", F.when(F.col("prev").isNotNull() & together, 0).otherwise(1))
     return marked.withColumn(name, F.sum("_new").over(w)).drop("prev", "_new")
 
 
-def carried(df: DataFrame, keys: list[str], order: list[str], mark: Column, name: str) -> DataFrame:
-    """State carried forward per key: the last row whose ``mark`` is not null sets it, an empty mark clears it."""
+def carried(df: DataFrame, keys: list[str], order: list[str], mark: Column, name: str, width: int | None = None) -> DataFrame:
+    """State carried forward per key: the last row whose ``mark`` is not null sets it, an empty mark clears it.
+
+    With ``width``, for few keys of many rows, in bins of the first order column."""
+    if width is not None:
+        return scan(df, keys, order, width, _held=(mark, "mark")).withColumn(name, F.when(F.col("_held") != "", F.col("_held"))).drop("_held")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     held = F.last(mark, ignorenulls=True).over(w)
     return df.withColumn(name, F.when(held != "", held))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket
+from ..functions.scans import highest_total, scan
 from ..functions.series import islands, pearson, sums_for_pearson
 from .attribution import with_baseline
 
@@ -13,18 +14,18 @@ MINUTE_US = 60_000_000
 LEAST_POINTS = 6
 
 
-def counter_deltas(snapshots: DataFrame, fields: tuple[str, ...] = ("calls", "usec"), expected_us: int | None = None) -> DataFrame:
+def counter_deltas(snapshots: DataFrame, fields: tuple[str, ...] = ("calls", "usec"), expected_us: int | None = None, width_us: int = 3_600_000_000) -> DataFrame:
     """Differences between a node's consecutive snapshots, one row per command.
 
     ``snapshots``: ``node_id, ts_us, command`` and the counters, and where known ``epoch`` (identity of the process),
     ``role`` and ``uptime_s``. The status of the whole interval is that of its worst counter: initial, restarted,
-    role_changed, invalid_time, gap, counter_reset or ok. Commands new in the later snapshot are left out.
+    role_changed, invalid_time, gap, counter_reset or ok. Commands new in the later snapshot are left out. A node's snapshots are
+    scanned in bins of ``width_us``.
     """
     have = set(snapshots.columns)
     own = [c for c in ("epoch", "role", "uptime_s") if c in have]
     marks = snapshots.groupBy("node_id", "ts_us").agg(F.first(F.struct(F.lit(0), *own)).alias("now"))
-    order = Window.partitionBy("node_id").orderBy("ts_us")
-    marks = marks.withColumns({"before_us": F.lag("ts_us").over(order), "before": F.lag("now").over(order)})
+    marks = scan(marks, ["node_id"], ["ts_us"], width_us, before_us=(F.col("ts_us"), "previous"), before=(F.col("now"), "previous"))
     gap = F.col("ts_us") - F.col("before_us")
     status = F.when(F.col("before_us").isNull(), "initial")
     if "epoch" in have:
@@ -116,12 +117,11 @@ def gauge_rollup(points: DataFrame, width_us: int) -> DataFrame:
     return points.groupBy("node_id", "metric", bucket(F.col("ts_us"), width_us).alias("bucket_us")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("value", "ts_us").alias("last"), F.avg("value").alias("mean"), F.count(F.lit(1)).alias("points"))
 
 
-def snapshot_changes(snapshots: DataFrame, fields: list[str]) -> DataFrame:
-    """An event for each field whose value differs from the node's snapshot before."""
-    w = Window.partitionBy("node_id", "field").orderBy("ts_us")
+def snapshot_changes(snapshots: DataFrame, fields: list[str], width_us: int = 86_400_000_000) -> DataFrame:
+    """An event for each field whose value differs from the node's snapshot before; scanned in bins of ``width_us``."""
     long = snapshots.select("node_id", "ts_us", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select("node_id", "ts_us", "x.*")
-    marked = long.withColumns({"before": F.lag("value").over(w), "_nth": F.row_number().over(w)})
-    return marked.filter((F.col("_nth") > 1) & ~F.col("value").eqNullSafe(F.col("before"))).drop("_nth")
+    marked = scan(long, ["node_id", "field"], ["ts_us"], width_us, before=(F.col("value"), "previous"), _seen=(F.lit(True), "previous"))
+    return marked.filter(F.col("_seen") & ~F.col("value").eqNullSafe(F.col("before"))).drop("_seen")
 
 
 def night_baseline(points: DataFrame, offset_us: int = 8 * 3_600_000_000) -> DataFrame:
@@ -196,7 +196,7 @@ def pressure_runs(frames: DataFrame, period_us: int) -> DataFrame:
     ``frames``: ``role, node_id, end_us, available, queued``.
     """
     saturated = frames.filter("available = 0 AND queued > 0")
-    runs = islands(saturated, ["role", "node_id"], "end_us", F.col("end_us") - F.col("prev") == period_us)
+    runs = islands(saturated, ["role", "node_id"], "end_us", F.col("end_us") - F.col("prev") == period_us, width=1440 * period_us)
     return runs.groupBy("role", "node_id", "run").agg(F.min("end_us").alias("first_us"), F.max("end_us").alias("last_us"), F.count(F.lit(1)).alias("periods"), F.max("queued").alias("peak")).filter("periods >= 2").drop("run")
 
 
@@ -210,12 +210,11 @@ def lock_wait_points(samples: DataFrame, period_us: int = MINUTE_US) -> DataFram
     return kept.select("role", "end_us", "node_id", "x.value")
 
 
-def peak_concurrency(requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Most requests open at once per key: +1 at each start, -1 at each end, ends first at equal times."""
+def peak_concurrency(requests: DataFrame, keys: list[str], width_us: int = 3_600_000_000) -> DataFrame:
+    """Most requests open at once per key: +1 at each start, -1 at each end, ends first at equal times; in bins of ``width_us``."""
     at = F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d"))))
     steps = requests.select(*keys, at.alias("e")).select(*keys, "e.t", "e.d").groupBy(*keys, "t", "d").agg(F.sum("d").alias("n"))
-    open_ = F.sum("n").over(Window.partitionBy(*keys).orderBy("t", "d"))
-    return steps.withColumn("open", open_).groupBy(*keys).agg(F.max("open").alias("peak"))
+    return highest_total(steps, keys, ["t", "d"], width_us, "n", "peak")
 
 
 def log_histogram(rows: DataFrame, width_us: int = 5_000_000) -> DataFrame:

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import overlapping, stab
 from ..functions.series import merge_intervals, subtract_intervals
 
 SECOND = 1_000_000
@@ -47,11 +48,11 @@ def coverage_runs(files: DataFrame, ingested: DataFrame, start_us: int, end_us:
     inside = covered.select("instance_id", *clip).filter("lo < hi")
     window = files.select("instance_id").distinct().select("instance_id", F.lit(start_us).alias("lo"), F.lit(end_us).alias("hi"))
     gaps = subtract_intervals(window, inside, ["instance_id"])
-    waiting = files.join(ingested.select("id").distinct(), "id", "left_anti").select("instance_id", F.col("lo").alias("_lo"), F.greatest("hi", F.col("lo") + SECOND).alias("_hi"), "state")
+    waiting = files.join(ingested.select("id").distinct(), "id", "left_anti").select("instance_id", "lo", F.greatest("hi", F.col("lo") + SECOND).alias("hi"), "state")
+    states = {f"_{x}": ((F.col("state") == x).cast("int"), "max") for x in ("missing", "collecting", "pending")}
+    told = overlapping(gaps, waiting, ["instance_id"], "lo", "hi", states).select("instance_id", "lo", "hi", *[(F.col(c) == 1).alias(c) for c in states])
     last = files.groupBy("instance_id").agg(F.max("hi").alias("_last"), F.min("lo").alias("_first"))
-    g = gaps.join(last, "instance_id", "left").alias("g")
-    touch = (F.col("g.instance_id") == F.col("w.instance_id")) & (F.col("w._lo") < F.col("g.hi")) & (F.col("w._hi") > F.col("g.lo"))
-    hit = g.join(waiting.alias("w"), touch, "left").groupBy("g.instance_id", "g.lo", "g.hi", "g._last", "g._first").agg(*[F.max(F.col("state") == s).alias(f"_{s}") for s in ("missing", "collecting", "pending")])
+    hit = gaps.join(told, ["instance_id", "lo", "hi"], "left").join(last, "instance_id", "left")
     reason = (
         F.when(F.col("_missing"), "source_missing")
         .when(F.col("_collecting"), "collecting")
@@ -74,9 +75,10 @@ def sequence_holes(files: DataFrame) -> DataFrame:
 def accept_files(files: DataFrame, primary: DataFrame) -> DataFrame:
     """Files of the host that was primary while they were written: containment in ``primary(instance_id, host, lo, hi)``;
     a file that straddles a switch is accepted from both hosts."""
-    f, p = files.alias("f"), primary.alias("p")
-    inside = (F.col("f.instance_id") == F.col("p.instance_id")) & (F.col("f.host") == F.col("p.host")) & (F.col("f.lo") < F.col("p.hi")) & (F.col("f.hi") > F.col("p.lo"))
-    return f.join(p, inside, "left_semi")
+    keys = ["instance_id", "host"]
+    lasting = files.withColumn("_hi", F.greatest("hi", F.col("lo") + 1))
+    held = overlapping(lasting, primary.withColumn("_hi", F.col("hi")), keys, "lo", "_hi", {"_n": (F.lit(1), "sum")})
+    return lasting.join(held, [*keys, "lo", "_hi"], "left_semi").select(files.columns)
 
 
 def align_window(intervals: list[tuple[int, int]], start_us: int, end_us: int, width_us: int = 300_000_000) -> tuple[int, int] | None:
@@ -95,10 +97,8 @@ def align_windows(windows: DataFrame, spans: DataFrame, width_us: int = 300_000_
 
     A window without a covered start, or covered for less than one bucket edge, has no aligned window (nulls).
     """
-    rows = windows.select("instance_id", F.col("start_us").alias("_at"), F.lit(1).alias("_side"), F.struct(*windows.columns).alias("_w"), F.lit(None).cast("bigint").alias("_hi"))
-    both = rows.unionByName(spans.select("instance_id", F.col("lo").alias("_at"), F.lit(0).alias("_side"), F.col("hi").alias("_hi")), allowMissingColumns=True)
-    before = Window.partitionBy("instance_id").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_covered", F.last("_hi", ignorenulls=True).over(before)).filter("_side = 1").select("_w.*", "_covered")
+    held = stab(windows, spans, ["instance_id"], "start_us", "lo", "hi", {"_covered": (F.col("hi"), "max")})
+    out = windows.join(held, ["instance_id", "start_us"], "left").select(*windows.columns, "_covered")
     cut = F.col("_covered") - F.pmod("_covered", F.lit(width_us))
     end = F.when(F.col("_covered") > F.col("start_us"), F.when(F.col("end_us") <= F.col("_covered"), F.col("end_us")).when(cut > F.col("start_us"), cut))
     return out.withColumns({"aligned_start_us": F.when(end.isNotNull(), F.col("start_us")), "aligned_end_us": end}).drop("_covered")

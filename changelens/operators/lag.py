@@ -2,74 +2,59 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import overlapping
+from ..functions.scans import scan
 from ..functions.series import islands
 
 MINUTE_US = 60_000_000
 LAGGING_S, CALM_S, SLOPE = 30.0, 0.5, 0.85
-EPISODE = "instance_id string, node_id string, kind string, start_us long, end_us long, peak_s double, peak_us long, growth double, recovery double, origin_us long, release_us long"
-
-
-def _episodes(t: np.ndarray, lag: np.ndarray) -> list[dict]:
-    """Episodes of one node's minutes, in time order."""
-    out, n, i = [], len(t), 0
-    step = np.diff(t) == MINUTE_US
-    while i < n:
-        if lag[i] < LAGGING_S:
-            i += 1
-            continue
-        a = b = i
-        while a > 0 and step[a - 1] and lag[a - 1] > CALM_S and lag[a - 1] <= lag[a]:
-            a -= 1
-        while b + 1 < n and step[b] and lag[b] > CALM_S:
-            b += 1
-        window = slice(a, b + 1)
-        peak = a + int(np.argmax(lag[window]))
-        slopes = np.diff(lag[window]) / (np.diff(t[window]) / 1e6)
-        up, down = slopes[: peak - a], slopes[peak - a :]
-        stall, origin = None, None
-        run = 0
-        for k in range(len(slopes) + 1):
-            if k < len(slopes) and slopes[k] >= SLOPE:
-                run += 1
-                continue
-            if run >= 2 and (stall is None or run > stall[1] - stall[0]):
-                stall = (k - run, k)
-            run = 0
-        if stall is not None:
-            at = np.arange(a + stall[0], a + stall[1] + 1)
-            origins = t[at] - 30_000_000 - lag[at] * 1e6
-            near = np.abs(origins - np.median(origins)) <= 60e6
-            if near.sum() >= 3:
-                origin = int(np.median(origins[near]))
-        kind = "stall" if origin is not None else "behind" if b - a + 1 >= 3 else "spike"
-        release = int(t[a + stall[1]]) if origin is not None else None
-        out.append({
-            "kind": kind, "start_us": int(t[a]), "end_us": int(t[b]), "peak_s": float(lag[peak]), "peak_us": int(t[peak]),
-            "growth": float(np.median(up)) if len(up) else None, "recovery": float(np.median(down)) if len(down) else None,
-            "origin_us": origin, "release_us": release,
-        })
-        i = b + 1
-    return out
-
-
-def lag_episodes(samples: DataFrame) -> DataFrame:
-    """Episodes of lag per node from ``instance_id, node_id, end_us, lag_s``: from 30 s on, grown back while lag rose and on
-    until it was calm. A stall is a run of minutes in which lag grew with the clock, of one origin."""
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("end_us").drop_duplicates("end_us")
-        rows = _episodes(df["end_us"].to_numpy(np.int64), df["lag_s"].to_numpy(float))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in EPISODE.split(", ")][2:])
-        out.insert(0, "node_id", key[1])
-        out.insert(0, "instance_id", key[0])
-        return out.astype({"origin_us": "Int64", "release_us": "Int64"})
 
-    return samples.groupBy("instance_id", "node_id").applyInPandas(run, EPISODE)
+def lag_episodes(samples: DataFrame, step_us: int = MINUTE_US, width_us: int | None = None) -> DataFrame:
+    """Episodes of lag per node from ``instance_id, node_id, end_us, lag_s``: from 30 s on, grown back while lag rose and on
+    until it was calm. A stall is a run of minutes in which lag grew with the clock, of one origin.
+
+    Of two samples of one time the larger counts. A node's samples, ``step_us`` apart, are scanned in bins of ``width_us`` (a day); after that only
+    the samples of one run of lag meet. One row per episode: ``kind`` (stall, behind, spike), ``start_us, end_us, peak_s, peak_us``, median
+    ``growth`` and ``recovery`` in seconds a second, and ``origin_us`` and ``release_us`` of a stall.
+    """
+    width = width_us or 1440 * step_us
+    node = ["instance_id", "node_id"]
+    per = samples.groupBy(*node, "end_us").agg(F.max("lag_s").cast("double").alias("lag_s"))
+    rows = scan(per, node, ["end_us"], width, before=(F.struct("end_us", "lag_s"), "previous"))
+    follows = F.coalesce((F.col("end_us") - F.col("before.end_us") == step_us) & (F.col("before.lag_s") > CALM_S), F.lit(False))
+    high = F.col("lag_s") > CALM_S
+    begins = F.when(high & ~follows, F.col("end_us"))
+    rising = F.when(~(follows & (F.col("before.lag_s") <= F.col("lag_s"))), F.col("end_us"))
+    rows = scan(rows.filter(high | follows), node, ["end_us"], width, run=(begins, "mark"), rise=(rising, "mark"))
+    run = [*node, "run"]
+    all_of = Window.partitionBy(*run)
+    reached = F.when(F.col("lag_s") >= LAGGING_S, F.col("end_us"))
+    rows = rows.withColumn("start_us", F.min_by("rise", reached).over(all_of)).filter("end_us >= start_us")
+    rows = rows.withColumn("peak_us", F.max_by("end_us", F.struct("lag_s", -F.col("end_us"))).over(all_of))
+    inner = F.col("end_us") > F.col("start_us")
+    slope = F.when(inner, (F.col("lag_s") - F.col("before.lag_s")) / F.lit(step_us / 1e6))
+    steep = F.coalesce(slope >= SLOPE, F.lit(False))
+    rows = rows.withColumns({"slope": slope, "steep": steep}).withColumn("climb", F.sum((~F.col("steep")).cast("int")).over(all_of.orderBy("end_us")))
+    climbs = rows.filter("steep").groupBy(*run, "climb").agg(F.count(F.lit(1)).alias("n"), F.min("end_us").alias("first_us"), F.max("end_us").alias("last_us")).filter("n >= 2")
+    longest = climbs.groupBy(*run).agg(F.max_by(F.struct((F.col("first_us") - step_us).alias("from_us"), F.col("last_us").alias("to_us")), F.struct("n", -F.col("first_us"))).alias("stall"))
+    up = F.col("end_us") <= F.col("peak_us")
+    episodes = rows.groupBy(*run).agg(
+        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("lag_s").alias("peak_s"), F.min("peak_us").alias("peak_us"), F.count(F.lit(1)).alias("minutes"),
+        F.percentile(F.when(up, F.col("slope")), F.lit(0.5)).alias("growth"), F.percentile(F.when(~up, F.col("slope")), F.lit(0.5)).alias("recovery"),
+    )
+    inside = rows.join(longest, run).filter("end_us BETWEEN stall.from_us AND stall.to_us")
+    origin = F.col("end_us") - 30_000_000 - F.col("lag_s") * 1e6
+    inside = inside.select(*run, "stall", origin.alias("origin"))
+    middle = inside.groupBy(*run).agg(F.percentile("origin", F.lit(0.5)).alias("middle"))
+    near = inside.join(middle, run).filter(F.abs(F.col("origin") - F.col("middle")) <= 60e6)
+    stalls = near.groupBy(*run).agg(F.percentile("origin", F.lit(0.5)).cast("bigint").alias("origin_us"), F.first("stall.to_us").alias("release_us"), F.count(F.lit(1)).alias("points")).filter("points >= 3")
+    kind = F.when(F.col("origin_us").isNotNull(), "stall").when(F.col("minutes") >= 3, "behind").otherwise("spike")
+    out = episodes.join(stalls, run, "left").withColumn("kind", kind)
+    return out.select(*node, "kind", "start_us", "end_us", "peak_s", "peak_us", "growth", "recovery", "origin_us", "release_us")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, tolerance_us: int, keys: list[str], at: str = "at_us") -> DataFrame:
@@ -120,11 +105,13 @@ def describe_lag(episodes: DataFrame, ddl: DataFrame, top: int = 3) -> DataFrame
     stalls = episodes.filter("origin_us IS NOT NULL").select("instance_id", "node_id", "start_us", F.col("origin_us").alias("at_us"))
     trigger = nearest_within(stalls, ddl.select("instance_id", F.col("event_epoch_us").alias("at_us"), "event_id"), 90_000_000, ["instance_id"])
     trigger = trigger.select("instance_id", "node_id", "start_us", F.col("near.event_id").alias("ddl_event"), (F.col("near.at_us") - F.col("at_us")).alias("ddl_distance_us"))
-    a, b = episodes.alias("a"), episodes.alias("b")
-    together = (F.col("a.instance_id") == F.col("b.instance_id")) & (F.col("a.node_id") != F.col("b.node_id")) & (F.col("b.start_us") <= F.col("a.end_us")) & (F.col("b.end_us") >= F.col("a.start_us"))
-    others = a.join(b, together).groupBy("a.instance_id", "a.node_id", "a.start_us").agg(F.max("b.peak_s").alias("_other"))
-    out = episodes.join(trigger, ["instance_id", "node_id", "start_us"], "left").join(others, ["instance_id", "node_id", "start_us"], "left")
-    out = out.withColumn("node_local", F.coalesce(F.col("_other") < LAGGING_S, F.lit(True))).drop("_other")
+    spans = episodes.select("instance_id", "node_id", "peak_s", F.col("start_us").alias("lo"), (F.col("end_us") + 1).alias("hi"))
+    nodes = {"_least": (F.col("node_id"), "min"), "_most": (F.col("node_id"), "max")}
+    around = overlapping(spans, spans.filter(F.col("peak_s") >= LAGGING_S), ["instance_id"], "lo", "hi", nodes)
+    around = around.select("instance_id", F.col("lo").alias("start_us"), (F.col("hi") - 1).alias("end_us"), "_least", "_most")
+    out = episodes.join(trigger, ["instance_id", "node_id", "start_us"], "left").join(around, ["instance_id", "start_us", "end_us"], "left").select(*episodes.columns, "ddl_event", "ddl_distance_us", "_least", "_most")
+    local = (F.col("_least") == F.col("node_id")) & (F.col("_most") == F.col("node_id"))
+    out = out.withColumn("node_local", F.coalesce(local, F.lit(True))).drop("_least", "_most")
     rank = F.row_number().over(Window.partitionBy("instance_id").orderBy(F.desc("peak_s"), "start_us", "node_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= top)
 
@@ -170,7 +157,7 @@ def diverged_since(health: DataFrame, factor: float = 3.0, least_slow: int = 60,
     w = Window.partitionBy("instance_id", "node_id").orderBy("end_us").rowsBetween(-4, 0)
     rolled = usable.select("instance_id", "node_id", "end_us", F.sum("slow").over(w).alias("s"), F.sum("reads").over(w).alias("r"), F.avg("peer_ratio").over(w).alias("p"))
     bad = rolled.filter((F.col("s") >= least_slow) & (F.col("s") / F.col("r") >= factor * F.col("p")))
-    runs = islands(bad, ["instance_id", "node_id"], "end_us", F.col("end_us") - F.col("prev") <= MINUTE_US + tolerance_us)
+    runs = islands(bad, ["instance_id", "node_id"], "end_us", F.col("end_us") - F.col("prev") <= MINUTE_US + tolerance_us, width=1440 * MINUTE_US)
     spans = runs.groupBy("instance_id", "node_id", "run").agg(F.min("end_us").alias("since_us"), F.max("end_us").alias("until_us"))
     return spans.groupBy("instance_id", "node_id").agg(F.max_by("since_us", "run").alias("since_us"), F.max("until_us").alias("until_us"))
 
@@ -178,7 +165,7 @@ def diverged_since(health: DataFrame, factor: float = 3.0, least_slow: int = 60,
 def readless_runs(series: DataFrame, least_minutes: int = 3) -> DataFrame:
     """Runs of three or more minutes without reads, a hole of one minute allowed."""
     quiet = series.filter("reads = 0")
-    runs = islands(quiet, ["instance_id", "node_id"], "end_us", F.col("end_us") - F.col("prev") <= 2 * MINUTE_US)
+    runs = islands(quiet, ["instance_id", "node_id"], "end_us", F.col("end_us") - F.col("prev") <= 2 * MINUTE_US, width=1440 * MINUTE_US)
     return runs.groupBy("instance_id", "node_id", "run").agg(F.min("end_us").alias("first_us"), F.max("end_us").alias("last_us"), F.count(F.lit(1)).alias("minutes")).filter(F.col("minutes") >= least_minutes).drop("run")
 
 

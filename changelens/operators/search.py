@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import stab
 from .filters import pk_match
 
 NEWEST = ("event_epoch_us", "source_file_name", "end_position", "row_index", "event_id")
@@ -113,12 +114,11 @@ def pk_history(df: DataFrame, database: str, table: str, value: str) -> DataFram
 
 def sliced_source(full: DataFrame, archived: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows of ``full`` outside and of ``archived`` inside the archived ``windows(instance_id, start_us, end_us)``."""
-    at = F.col("event_epoch_us").between(F.col("w.start_us"), F.col("w.end_us"))
-    key = F.col("e.instance_id") == F.col("w.instance_id")
-    w = windows.select("instance_id", "start_us", "end_us").alias("w")
-    outside = full.alias("e").join(w, key & at, "left_anti")
-    inside = archived.alias("e").join(w, key & at, "left_semi")
-    return outside.unionByName(inside, allowMissingColumns=True)
+    w = windows.select("instance_id", F.col("start_us").alias("_lo"), (F.col("end_us") + 1).alias("_hi"))
+    keys = ["instance_id", "event_epoch_us"]
+    times = full.select(*keys).unionByName(archived.select(*keys))
+    inside = stab(times, w, ["instance_id"], "event_epoch_us", "_lo", "_hi", {"_n": (F.lit(1), "sum")}).select(*keys)
+    return full.join(inside, keys, "left_anti").unionByName(archived.join(inside, keys, "left_semi"), allowMissingColumns=True)
 
 
 def running_sessions(df: DataFrame, limit: int = 200) -> DataFrame:

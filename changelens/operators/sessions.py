@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import stab
 from ..functions.scalar import client_host
 from ..functions.series import islands
 
@@ -73,21 +74,21 @@ def session_history(sightings: DataFrame, gap_us: int = 300_000_000) -> DataFram
 def resolve_pod(events: DataFrame, bindings: DataFrame) -> DataFrame:
     """Whose address a client was: one observed binding, several (ambiguous), one created but not observed, or none."""
     e = events.withColumn("ip", client_host(F.col("client_ip")))
-    b = bindings.select(F.col("ip").alias("_ip"), "uid", "name", "namespace", "created_us", "first_seen_us", "last_seen_us")
-    at = F.col("event_epoch_us")
-    joined = e.join(b, F.col("ip") == F.col("_ip"), "left")
-    seen = at.between(F.col("first_seen_us"), F.col("last_seen_us"))
-    made = (F.col("created_us") <= at) & ~seen
-    out = joined.groupBy("event_id", "ip").agg(F.count_if(seen).alias("observed"), F.count_if(made).alias("created"), F.max(F.when(seen, F.struct("uid", "name", "namespace"))).alias("pod"))
-    reason = F.when(F.col("observed") > 1, "ambiguous_ip").when(F.col("observed") == 1, "observed_interval").when(F.col("created") > 0, "historical_binding_unverified").otherwise("ip_not_observed")
-    return out.select("event_id", "ip", reason.alias("reason"), F.when(F.col("observed") == 1, F.col("pod.name")).alias("pod"), F.when(F.col("observed") == 1, F.col("pod.namespace")).alias("namespace"))
+    held = bindings.withColumn("_end", F.col("last_seen_us") + 1)
+    pod = F.struct("uid", "name", "namespace")
+    seen = stab(e, held, ["ip"], "event_epoch_us", "first_seen_us", "_end", {"observed": (F.lit(1), "sum"), "pod": (pod, "max")})
+    made = bindings.groupBy("ip").agg(F.min("created_us").alias("_created"))
+    out = e.select("event_id", "ip", "event_epoch_us").join(seen, ["ip", "event_epoch_us"], "left").join(made, "ip", "left")
+    only = F.col("observed") == 1
+    reason = F.when(F.col("observed") > 1, "ambiguous_ip").when(only, "observed_interval").when(F.col("_created") <= F.col("event_epoch_us"), "historical_binding_unverified").otherwise("ip_not_observed")
+    return out.select("event_id", "ip", reason.alias("reason"), F.when(only, F.col("pod.name")).alias("pod"), F.when(only, F.col("pod.namespace")).alias("namespace"))
 
 
 def name_ips(ips: DataFrame, bindings: DataFrame, hosts: DataFrame, slack_us: int = 120_000_000) -> DataFrame:
     """Display names of addresses: the only binding seen around the time, else the host that has the address."""
-    b = bindings.select(F.col("ip").alias("_ip"), "name", "first_seen_us", "last_seen_us")
-    near = (F.col("ip") == F.col("_ip")) & F.col("at_us").between(F.col("first_seen_us") - slack_us, F.col("last_seen_us") + slack_us)
-    found = ips.join(b, near, "left").groupBy("ip", "at_us").agg(F.count("_ip").alias("_n"), F.max("name").alias("_pod"))
+    wide = bindings.select("ip", "name", (F.col("first_seen_us") - slack_us).alias("_lo"), (F.col("last_seen_us") + slack_us + 1).alias("_hi"))
+    seen = stab(ips, wide, ["ip"], "at_us", "_lo", "_hi", {"_n": (F.lit(1), "sum"), "_pod": (F.col("name"), "max")})
+    found = ips.select("ip", "at_us").distinct().join(seen, ["ip", "at_us"], "left")
     own = hosts.groupBy("ip").agg(F.min("name").alias("_host"))
     return found.join(own, "ip", "left").select("ip", "at_us", F.coalesce(F.when(F.col("_n") == 1, F.col("_pod")), F.col("_host")).alias("name"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scans import scan
 from ..operators.changes import derive_event_columns
 from ..schemas import SLOW_EVENT, with_defaults, with_event_time
 
@@ -148,9 +149,9 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative counters per node and command, reset now and then: ``node_id, command, ts_us, calls, usec, uptime, epoch``."""
     e = table(spark, sf_dir, "events")
     node = (F.col("user_id") % 6).cast("string")
-    w = Window.partitionBy(F.col("user_id") % 6, "event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     k = F.floor(F.col("value") * 100).cast("bigint")
-    out = e.select(F.concat(F.lit("n"), node).alias("node_id"), F.col("event_type").alias("command"), _micros("ts").alias("ts_us"), F.count(F.lit(1)).over(w).alias("calls"), F.sum(k).over(w).alias("usec"), "event_id")
+    rows = e.select(F.concat(F.lit("n"), node).alias("node_id"), F.col("event_type").alias("command"), _micros("ts").alias("ts_us"), k.alias("k"), "event_id")
+    out = scan(rows, ["node_id", "command"], ["event_id"], 1 << 16, calls=(F.lit(1), "total"), usec=(F.col("k"), "total")).drop("k")
     return out.withColumn("calls", F.when(F.col("event_id") % 97 == 0, 0).otherwise(F.col("calls"))).drop("event_id")
 
 

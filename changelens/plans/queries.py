@@ -478,7 +478,7 @@ def nearest_event(spark, d):
   r AS (SELECT *, sum(f) OVER (PARTITION BY node ORDER BY us) AS run FROM m) SELECT node, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM r GROUP BY node, run HAVING count(*) >= 2""")
 def error_runs(spark, d):
     e = i.table(spark, d, "events").filter("event_type = 'error'").select((F.col("user_id") % 3).alias("node"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    runs = islands(e, ["node"], "us", F.col("us") - F.col("prev") <= 4 * HOUR)
+    runs = islands(e, ["node"], "us", F.col("us") - F.col("prev") <= 4 * HOUR, width=DAY)
     return runs.groupBy("node", "run").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("run")
 
 
@@ -494,7 +494,7 @@ def carried_state(spark, d):
     """State carried forward per user: a signup opens it, an error clears it."""
     e = i.table(spark, d, "events")
     mark = F.when(F.col("event_type") == "signup", F.col("event_id").cast("string")).when(F.col("event_type") == "error", "")
-    return carried(e, ["user_id"], ["event_id"], mark, "session").select("event_id", "session")
+    return carried(e, ["user_id"], ["event_id"], mark, "session", width=1 << 16).select("event_id", "session")
 
 
 # Sources, sinks, and what else there is

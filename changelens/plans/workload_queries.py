@@ -358,6 +358,34 @@ def episode_writes(spark, d):
     return lag.episode_writes(_episodes(spark, d), agg, 5, HOUR, HOUR).select("node_id", "start_us", "table_name", "row_events", "row_events_before", "rank")
 
 
+_LAG = f"""p AS (SELECT 'n' || (user_id % 3) AS node_id, (epoch_us(ts) - {START}) // {HOUR} AS h, count(*) AS c FROM events GROUP BY 1, 2),
+x AS (SELECT node_id, {START} + h * {HOUR} AS end_us, CAST(CASE WHEN h % 24 BETWEEN 6 AND 14 THEN (h % 24 - 5) * 3600 + c % 20 WHEN h % 24 = 15 THEN 500 ELSE c % 40 END AS DOUBLE) AS lag_s FROM p)"""
+
+
+@register(f"""WITH {_LAG}, y AS (SELECT *, coalesce(end_us - lag(end_us) OVER w = {HOUR} AND lag(lag_s) OVER w > 0.5, false) AS follows, lag(lag_s) OVER w AS pl FROM x WINDOW w AS (PARTITION BY node_id ORDER BY end_us)),
+z AS (SELECT *, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER w AS run, sum(CASE WHEN follows AND pl <= lag_s THEN 0 ELSE 1 END) OVER w AS climb FROM y WHERE lag_s > 0.5 OR follows WINDOW w AS (PARTITION BY node_id ORDER BY end_us)),
+f AS (SELECT node_id, run, arg_min(climb, end_us) AS climb FROM z WHERE lag_s >= 30 GROUP BY 1, 2),
+m AS (SELECT z.*, (lag_s - pl) / 3600.0 AS slope FROM z JOIN f USING (node_id, run) WHERE z.climb >= f.climb),
+n AS (SELECT *, row_number() OVER w AS i, CASE WHEN row_number() OVER w > 1 THEN slope END AS s FROM m WINDOW w AS (PARTITION BY node_id, run ORDER BY end_us)),
+e AS (SELECT node_id, run, min(end_us) AS start_us, max(end_us) AS end_us, max(lag_s) AS peak_s, count(*) AS minutes, min(i) FILTER (lag_s = (SELECT max(lag_s) FROM n b WHERE b.node_id = n.node_id AND b.run = n.run)) AS peak_i FROM n GROUP BY 1, 2),
+g AS (SELECT n.*, peak_i, i - row_number() OVER (PARTITION BY n.node_id, n.run, coalesce(s >= 0.85, false) ORDER BY i) AS steep FROM n JOIN e USING (node_id, run)),
+r AS (SELECT node_id, run, min(i) - 1 AS a, max(i) AS b FROM g WHERE s >= 0.85 GROUP BY node_id, run, steep HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY node_id, run ORDER BY count(*) DESC, min(i)) = 1),
+o AS (SELECT g.node_id, g.run, end_us, i, b, end_us - 30000000 - lag_s * 1e6 AS origin, median(end_us - 30000000 - lag_s * 1e6) OVER (PARTITION BY g.node_id, g.run) AS mid FROM g JOIN r ON r.node_id = g.node_id AND r.run = g.run AND i BETWEEN a AND b),
+q AS (SELECT node_id, run, CAST(trunc(median(origin) FILTER (abs(origin - mid) <= 60e6)) AS BIGINT) AS origin_us, max(end_us) AS release_us FROM o GROUP BY 1, 2 HAVING count(*) FILTER (abs(origin - mid) <= 60e6) >= 3),
+v AS (SELECT node_id, run, round(median(s) FILTER (i <= peak_i), 9) AS growth, round(median(s) FILTER (i > peak_i), 9) AS recovery, min(end_us) FILTER (i = peak_i) AS peak_us FROM g GROUP BY 1, 2)
+SELECT node_id, CASE WHEN origin_us IS NOT NULL THEN 'stall' WHEN minutes >= 3 THEN 'behind' ELSE 'spike' END AS kind, start_us, end_us, peak_s, peak_us, growth, recovery, origin_us, release_us FROM e LEFT JOIN q USING (node_id, run) JOIN v USING (node_id, run)""")
+def lag_episodes(spark, d):
+    """Lag by the hour: from six in the morning it grows with the clock until three in the afternoon, else it follows the events' number."""
+    e = i.table(spark, d, "events")
+    h = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - START) / HOUR).cast("bigint")
+    p = e.groupBy(F.concat(F.lit("n"), (F.col("user_id") % 3).cast("string")).alias("node_id"), h.alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    hour = F.col("h") % 24
+    value = F.when(hour.between(6, 14), (hour - 5) * 3600 + F.col("c") % 20).when(hour == 15, 500).otherwise(F.col("c") % 40)
+    samples = p.select(F.lit("i").alias("instance_id"), "node_id", (F.col("h") * HOUR + START).alias("end_us"), value.cast("double").alias("lag_s"))
+    out = lag.lag_episodes(samples, HOUR, 5 * DAY)
+    return out.drop("instance_id").withColumns({c: F.round(c, 9) for c in ("growth", "recovery")})
+
+
 @register(f"""WITH {_EPISODES}, ddl AS (SELECT 'i' || (user_id % 2) AS instance_id, epoch_us(ts) AS at_us, CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'signup'),
 t AS (SELECT ep.instance_id, node_id, start_us, ddl.event_id, ddl.at_us - origin_us AS apart FROM ep JOIN ddl ON ddl.instance_id = ep.instance_id AND abs(ddl.at_us - origin_us) <= 90000000 QUALIFY row_number() OVER (PARTITION BY ep.instance_id, node_id, start_us ORDER BY abs(ddl.at_us - origin_us), ddl.at_us) = 1),
 o AS (SELECT a.instance_id, a.node_id, a.start_us, max(b.peak_s) AS other FROM ep a JOIN ep b ON a.instance_id = b.instance_id AND a.node_id <> b.node_id AND b.start_us <= a.end_us AND b.end_us >= a.start_us GROUP BY 1, 2, 3)

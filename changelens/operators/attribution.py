@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +18,30 @@ def complete_periods(start_us: int, end_us: int, period_us: int = PERIOD_US) ->
     return -(-start_us // period_us) * period_us, end_us // period_us * period_us
 
 
+def each_once(events: DataFrame) -> DataFrame:
+    """``events``, each id of an instance once; a repeated id fails the query. Rows without an id are taken as they are.
+
+    One shuffle by id, counted before it; the check is part of what the result is made of, so it can't be skipped.
+    """
+    keys = [c for c in ("instance_id", "event_id") if c in events.columns]
+    rest = [c for c in events.columns if c not in keys]
+    named = F.coalesce(F.col("event_id").cast("string"), F.lit("")) != ""
+    once = events.filter(named).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*rest)).alias("_x"))
+    repeated = F.raise_error(F.concat(F.lit("repeated event id: "), F.col("event_id").cast("string"))).cast("boolean")
+    once = once.filter(F.when(F.col("_n") > 1, repeated).otherwise(F.lit(True)))
+    return once.select(*keys, "_x.*").select(events.columns).unionByName(events.filter(~named))
+
+
 def execution_series(events: DataFrame, start_us: int, end_us: int, period_us: int = PERIOD_US) -> DataFrame:
     """Microseconds that each statement family ran in each whole period, keyed by the period's end; concurrency adds up.
 
-    ``events``: ``event_id, family, node_id, start_us, duration_us``. Executions must start inside the window; a negative
-    duration or a repeated id is an error.
+    ``events``: ``event_id, family, node_id, start_us, duration_us`` and where known ``instance_id``. An execution that starts outside the
+    window, a negative duration and a repeated id are errors.
     """
     low, high = complete_periods(start_us, end_us, period_us)
-    own = events.filter((F.col("start_us") >= start_us) & (F.col("start_us") < end_us))
-    checked = own.withColumn("duration_us", F.when(F.col("duration_us") < 0, F.raise_error(F.lit("negative duration")).cast("bigint")).otherwise(F.col("duration_us")))
+    outside = (F.col("start_us") < start_us) | (F.col("start_us") >= end_us)
+    refused = F.when(outside, F.raise_error(F.lit("an execution starts outside the window")).cast("bigint")).when(F.col("duration_us") < 0, F.raise_error(F.lit("negative duration")).cast("bigint"))
+    checked = each_once(events).withColumn("duration_us", refused.otherwise(F.col("duration_us")))
     begin = F.greatest(F.col("start_us"), F.lit(low))
     end = F.least(F.col("start_us") + F.col("duration_us"), F.lit(high))
     clipped = checked.withColumns({"_a": begin, "_b": end}).filter("_a < _b")
@@ -39,11 +51,6 @@ def execution_series(events: DataFrame, start_us: int, end_us: int, period_us: i
     return spread.groupBy("node_id", "family", (F.col("_p") + period_us).alias("end_us")).agg(F.sum(overlap).cast("bigint").alias("runtime_us"), F.count(F.lit(1)).alias("executions"))
 
 
-def repeated_ids(events: DataFrame) -> DataFrame:
-    """Event ids that come more than once; attribution refuses such input."""
-    return events.groupBy("event_id").count().filter("count > 1")
-
-
 def _by_period(points: DataFrame, start_us: int, end_us: int, period_us: int) -> DataFrame:
     low, high = complete_periods(start_us, end_us, period_us)
     inside = points.filter((F.col("end_us") > low) & (F.col("end_us") <= high))
@@ -121,40 +128,118 @@ def with_baseline(now: DataFrame, before: DataFrame, keys: list[str], costs: lis
     return out.withColumns({f"{c}_delta": F.col(c) - F.col(f"{c}_before") for c in costs}).withColumn("baseline", F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 
-def growth_ranking(now: DataFrame, before: DataFrame, overlap: DataFrame) -> DataFrame:
-    """Families by overlap in proportion to growth: score x max(0, running time now - before) / running time now.
+def family_costs(events: DataFrame) -> DataFrame:
+    """What growth is measured on, per node and family: ``runtime_us, net_us`` (less lock wait), ``executions``, and for rows examined and
+    lock time the sum of what is known and of how many executions it is known.
 
-    ``now``/``before``: ``node_id, family, runtime_us, executions, rows_examined`` (lock-free times). The ratio is kept as
-    numerator and denominator; order by it, then larger scan growth, then family; rank is null without either.
+    ``events``: ``node_id, family, overlap_us`` (running time inside the window), ``duration_us, lock_time_us, rows_examined``.
     """
-    costs = ["runtime_us", "executions", "rows_examined"]
-    out = with_baseline(now, before, ["node_id", "family"], costs).join(overlap.select("node_id", "family", "score"), ["node_id", "family"], "left")
-    grown = F.greatest(F.col("runtime_us") - F.coalesce("runtime_us_before", F.lit(0)), F.lit(0))
-    out = out.withColumns({"growth_us": grown, "numerator": (F.coalesce("score", F.lit(0)).cast(EXACT) * grown.cast(EXACT)).cast(EXACT), "denominator": F.greatest(F.col("runtime_us"), F.lit(1)).cast(EXACT)})
-    value = (F.col("numerator") / F.col("denominator")).cast("double")
-    scan = F.greatest(F.coalesce("rows_examined_delta", F.lit(0)), F.lit(0))
-    everything = F.sum(value).over(Window.partitionBy("node_id"))
-    ranked = out.withColumns({"final_score": value, "share": F.when(everything > 0, value / everything), "_scan": scan})
-    nth = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("final_score"), F.desc("_scan"), "family"))
-    return ranked.withColumn("rank", F.when((F.col("final_score") > 0) | (F.col("_scan") > 0), nth)).drop("_scan")
+    known = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    free = lock_free_us(F.col("overlap_us"), F.col("duration_us"), F.greatest(known("lock_time_us"), F.lit(0)))
+    sums = [f(known(c)).alias(n) for c in ("rows_examined", "lock_time_us") for f, n in ((F.sum, c), (F.count, f"{c}_known"))]
+    return events.groupBy("node_id", "family").agg(F.sum("overlap_us").alias("runtime_us"), F.sum(free).alias("net_us"), F.count(F.lit(1)).alias("executions"), *sums)
 
 
-def fraction_rank(ranked: DataFrame) -> DataFrame:
-    """``growth_ranking`` where products need more than 38 digits: the rank of each family by the exact fraction.
+#: What every ranking is to be read with, and what is added for a reason. Fixed values.
+WARNINGS = ("runtime_includes_waits", "scans_not_physical_iops", "index_coverage_not_source_completeness")
+NO_BASELINE, VICTIM, NO_RISE = "missing_slow_baseline_not_zero", "lock_wait_increased_possible_victim", "resource_window_mean_not_increased"
 
-    ``ranked``: ``node_id, family, score, growth_us, runtime_us, scan`` (integers; score as decimal). A node's families are one
-    group: they are its distinct statements. Order and rank as in ``growth_ranking``.
+
+def _with_known(costs: DataFrame) -> DataFrame:
+    """Costs with the columns that the caller left out: net of nothing, known wherever there is a sum, no lock time."""
+    have = set(costs.columns)
+    out = costs if "net_us" in have else costs.withColumn("net_us", F.col("runtime_us"))
+    for c in ("rows_examined", "lock_time_us"):
+        if c not in have:
+            out = out.withColumns({c: F.lit(None).cast("bigint"), f"{c}_known": F.lit(0).cast("bigint")})
+        elif f"{c}_known" not in have:
+            out = out.withColumn(f"{c}_known", F.when(F.col(c).isNotNull(), F.col("executions")).otherwise(0))
+    return out
+
+
+def growth_ranking(now: DataFrame, before: DataFrame, overlap: DataFrame, metric_rise: DataFrame | None = None) -> DataFrame:
+    """Families by overlap in proportion to growth: score x max(0, net running time now - before) / running time now.
+
+    ``now``/``before``: ``family_costs``; ``metric_rise``: ``node_id, delta`` of the resource's mean. A family that the baseline never saw
+    has no growth: unobserved is not zero. Scan and lock differences count only where every execution of both sides has the value. Order: the exact
+    fraction, then scan growth, then family; no rank without either. ``evidence`` says what the rank rests on, ``warnings`` what it doesn't.
     """
+    costs = ["runtime_us", "net_us", "executions", "rows_examined", "rows_examined_known", "lock_time_us", "lock_time_us_known"]
+    out = with_baseline(_with_known(now), _with_known(before), ["node_id", "family"], costs)
+    out = out.join(overlap.select("node_id", "family", "score"), ["node_id", "family"], "left")
+    grown = F.when(F.col("baseline"), F.greatest(F.col("net_us_delta"), F.lit(0))).otherwise(0)
+    out = out.withColumns({"growth_us": grown.cast("bigint"), "score": F.coalesce("score", F.lit(0)).cast(EXACT)})
+    for c in ("rows_examined", "lock_time_us"):
+        whole = (F.col(f"{c}_known") == F.col("executions")) & (F.col(f"{c}_known_before") == F.col("executions_before"))
+        out = out.withColumn(f"{c}_delta", F.when(whole, F.col(f"{c}_delta")))
+    elapsed = F.greatest(F.col("runtime_us") - F.coalesce("runtime_us_before", F.lit(0)), F.lit(0))
+    scan = F.col("rows_examined_delta")
+    evidence = F.when(scan > 0, "scan_growth_related_evidence").when(scan.isNotNull(), "no_scan_growth").when(~F.col("baseline"), "baseline_shape_unobserved").otherwise("elapsed_overlap_only")
+    out = out if metric_rise is None else out.join(metric_rise.select("node_id", F.col("delta").alias("_rise")), "node_id", "left")
+    flat = F.lit(False) if metric_rise is None else F.col("_rise") <= 0
+    told = [*map(F.lit, WARNINGS), F.when(~F.col("baseline"), NO_BASELINE), F.when(F.col("lock_time_us_delta") > 0, VICTIM), F.when(flat, NO_RISE)]
+    out = out.withColumns({"lock_wait_excluded_us": F.greatest(elapsed - F.col("growth_us"), F.lit(0)), "evidence": evidence, "warnings": F.array_compact(F.array(*told))})
+    ranked = _ranked_by_fraction(out.drop("_rise").withColumn("_scan", F.greatest(F.coalesce(scan, F.lit(0)), F.lit(0))))
+    value = F.col("score").cast("double") * F.col("growth_us").cast("double") / F.greatest(F.col("runtime_us"), F.lit(1)).cast("double")
+    everything = F.sum("final_score").over(Window.partitionBy("node_id"))
+    return ranked.withColumn("final_score", value).withColumn("share", F.when(everything > 0, F.col("final_score") / everything)).drop("_scan")
+
+
+def growth_status(ranked: DataFrame) -> DataFrame:
+    """Per node whether growth explains anything: ok, only scan growth without overlap, or nothing."""
+    scan, total = F.coalesce(F.max(F.col("rows_examined_delta") > 0), F.lit(False)), F.coalesce(F.sum("final_score"), F.lit(0.0))
+    status = F.when(total > 0, "ok").when(scan, "scan_growth_without_overlap").otherwise("no_growth_overlap")
+    return ranked.groupBy("node_id").agg(status.alias("status"))
+
+
+def _divided(x: Column, d: Column) -> tuple[Column, Column]:
+    """Whole quotient (below 10^31) and remainder of whole decimals."""
+    rest = (x % d).cast(EXACT)
+    return ((x - rest).cast(EXACT) / d).cast(EXACT), rest
+
+
+def _digits(score: Column, growth: Column, runtime: Column) -> list[Column]:
+    """The fraction score x growth / runtime as two groups of 19 digits before and three of 18 behind the point, for whole numbers
+    with score < 10^38 and growth, runtime < 2^63.
+
+    Two such fractions that differ do so by more than 10^-38, so equal digits mean equal fractions. Every product stays below
+    10^38: growth = k runtime + g, so the fraction is score k, kept in two groups, and score g / runtime; there, with score = a runtime + b,
+    it is a g + b g / runtime, where a g <= score and b g < runtime^2.
+    """
+    whole_number = lambda c: c.cast(EXACT)
+    base, group = whole_number(F.lit(str(10**19))), whole_number(F.lit(str(10**18)))
+    k, g = _divided(growth, runtime)
+    high, low = _divided(score, base)
+    a_high, left = _divided(high, runtime)
+    a_low, b = _divided(whole_number(whole_number(left * base) + low), runtime)
+    a = whole_number(whole_number(a_high * base) + a_low)
+    whole, rest = _divided(whole_number(b * g), runtime)
+    whole_high, whole_low = _divided(whole_number(whole_number(a * g) + whole), base)
+    carry, second = _divided(whole_number(whole_number(low * k) + whole_low), base)
+    out = [whole_number(whole_number(whole_number(high * k) + whole_high) + carry), second]
+    for _ in range(3):
+        digits, rest = _divided(whole_number(rest * group), runtime)
+        out.append(digits)
+    return out
+
+
+def _ranked_by_fraction(rows: DataFrame) -> DataFrame:
+    """``rank`` by the exact fraction, then ``_scan``, then family; null where fraction and ``_scan`` are zero."""
+    runtime = F.greatest(F.col("runtime_us"), F.lit(1)).cast(EXACT)
+    parts = {f"_d{n}": c for n, c in enumerate(_digits(F.col("score").cast(EXACT), F.col("growth_us").cast(EXACT), runtime))}
+    rows = rows.withColumns(parts)
+    nth = F.row_number().over(Window.partitionBy("node_id").orderBy(*[F.desc(c) for c in parts], F.desc("_scan"), "family"))
+    some = (F.col("score") > 0) & (F.col("growth_us") > 0)
+    return rows.withColumn("rank", F.when(some | (F.col("_scan") > 0), nth)).drop(*parts)
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        values = [Fraction(int(s) * int(g), max(int(r), 1)) for s, g, r in zip(rows["score"], rows["growth_us"], rows["runtime_us"], strict=True)]
-        scans = [max(0, int(x)) if x == x and x is not None else 0 for x in rows["scan"]]
-        order = sorted(range(len(rows)), key=lambda k: (-values[k], -scans[k], rows["family"].iloc[k]))
-        rank = {k: n for n, k in enumerate(order, 1) if values[k] > 0 or scans[k] > 0}
-        return pd.DataFrame({"node_id": rows["node_id"], "family": rows["family"], "rank": pd.array([rank.get(k) for k in range(len(rows))], "Int64")})
+def fraction_rank(ranked: DataFrame) -> DataFrame:
+    """The rank of each family of a node by the exact fraction score x growth / running time, also beyond 38 digits.
 
-    kinds = dict(ranked.dtypes)
-    return ranked.groupBy("node_id").applyInPandas(run, f"node_id {kinds['node_id']}, family {kinds['family']}, rank long")
+    ``ranked``: ``node_id, family, score, growth_us, runtime_us, scan`` (integers; score as decimal). Order and rank as in ``growth_ranking``.
+    """
+    rows = ranked.withColumn("_scan", F.greatest(F.coalesce("scan", F.lit(0)), F.lit(0)))
+    return _ranked_by_fraction(rows).select("node_id", "family", "rank")
 
 
 def assign_families(events: DataFrame) -> DataFrame:

@@ -532,18 +532,28 @@ def peer_status(spark, d):
     return lag.peer_health(s, 30, 0.8).select("node_id", "end_us", "reads", "peer_reads", "status")
 
 
-@register(f"""WITH {i.SLOW_CTE}, f AS (SELECT node_id, fingerprint AS family, CAST(sum(query_time_ms) FILTER (event_epoch_us >= {START + 15 * DAY}) AS BIGINT) AS now, CAST(sum(query_time_ms) FILTER (event_epoch_us < {START + 15 * DAY}) AS BIGINT) AS before,
-  CAST(sum(rows_examined) FILTER (event_epoch_us >= {START + 15 * DAY}) AS BIGINT) AS scan, CAST(sum(rows_examined) FILTER (event_epoch_us < {START + 15 * DAY}) AS BIGINT) AS scan_before FROM slow GROUP BY 1, 2),
-  g AS (SELECT *, now * 3.0 * greatest(now - coalesce(before, 0), 0) / greatest(now, 1) AS v, greatest(coalesce(scan - scan_before, 0), 0) AS up FROM f WHERE now IS NOT NULL)
-  SELECT node_id, family, round(v, 3) AS final_score, CASE WHEN v > 0 OR up > 0 THEN row_number() OVER (PARTITION BY node_id ORDER BY v DESC, up DESC, family) END AS rank FROM g""")
+@register(f"""WITH {i.SLOW_CTE}, k AS (SELECT *, event_epoch_us >= {START + 15 * DAY} AS late, fingerprint || '-' || (CAST(event_id AS BIGINT) % 40) AS family, query_time_ms * 1000 AS run,
+    CASE WHEN CAST(event_id AS BIGINT) % 90 > 0 THEN rows_examined END AS seen, CASE WHEN CAST(event_id AS BIGINT) % 70 > 0 THEN lock_time_ms * 500 END AS held FROM slow),
+  f AS (SELECT node_id, family, late, sum(run) AS run, sum(CASE WHEN run > 0 THEN CAST(run AS HUGEINT) * greatest(run - coalesce(held, 0), 0) // run ELSE 0 END) AS net, count(*) AS n, sum(seen) AS seen, count(seen) AS seen_n, sum(held) AS held, count(held) AS held_n FROM k GROUP BY ALL),
+  j AS (SELECT n.*, b.run AS run_b, b.net AS net_b, CASE WHEN n.seen_n = n.n AND b.seen_n = b.n THEN n.seen - b.seen END AS scan, CASE WHEN n.held_n = n.n AND b.held_n = b.n THEN n.held - b.held END AS waited, b.n IS NOT NULL AS known FROM f n LEFT JOIN f b ON b.node_id = n.node_id AND b.family = n.family AND NOT b.late WHERE n.late),
+  g AS (SELECT *, CASE WHEN known THEN greatest(net - net_b, 0) ELSE 0 END AS grown, CASE WHEN node_id = 'n1' THEN -1 ELSE 1 END AS rise FROM j),
+  v AS (SELECT *, run * 3.0 * grown / greatest(run, 1) AS v, greatest(coalesce(scan, 0), 0) AS up FROM g)
+  SELECT node_id, family, round(CAST(v AS DOUBLE), 3) AS final_score, CASE WHEN v > 0 OR up > 0 THEN row_number() OVER (PARTITION BY node_id ORDER BY v DESC, up DESC, family) END AS rank, CAST(run_b AS BIGINT) AS before_us, CAST(greatest(greatest(run - coalesce(run_b, 0), 0) - grown, 0) AS BIGINT) AS lock_wait_excluded_us, CAST(scan AS BIGINT) AS scan_growth,
+    CASE WHEN scan > 0 THEN 'scan_growth_related_evidence' WHEN scan IS NOT NULL THEN 'no_scan_growth' WHEN NOT known THEN 'baseline_shape_unobserved' ELSE 'elapsed_overlap_only' END AS evidence,
+    'runtime_includes_waits,scans_not_physical_iops,index_coverage_not_source_completeness' || CASE WHEN known THEN '' ELSE ',missing_slow_baseline_not_zero' END || CASE WHEN waited > 0 THEN ',lock_wait_increased_possible_victim' ELSE '' END || CASE WHEN rise <= 0 THEN ',resource_window_mean_not_increased' ELSE '' END AS warnings FROM v""")
 def growth_rank(spark, d):
-    """Families by growth of running time between the two halves of the month; the overlap score is three times the time."""
-    s = sl.canonical_slow(i.slow_events(spark, d)).withColumn("family", F.col("fingerprint"))
-
-    def half(df):
-        return df.groupBy("node_id", "family").agg(F.sum("query_time_ms").alias("runtime_us"), F.count(F.lit(1)).alias("executions"), F.sum("rows_examined").alias("rows_examined"))
+    """Families by growth of running time between the two halves of the month; the overlap score is three times the time.
 
+    Scans and lock waits are unknown for some statements; on one node the resource fell."""
+    s = sl.canonical_slow(i.slow_events(spark, d))
+    n, run = F.col("event_id").cast("bigint"), F.col("query_time_ms") * 1000
+    s = s.select(
+        "node_id", "event_epoch_us", F.concat_ws("-", "fingerprint", (n % 40).cast("string")).alias("family"), run.alias("overlap_us"), run.alias("duration_us"),
+        F.when(n % 90 > 0, F.col("rows_examined")).alias("rows_examined"), F.when(n % 70 > 0, F.col("lock_time_ms") * 500).alias("lock_time_us"),
+    )
     late = F.col("event_epoch_us") >= START + 15 * DAY
-    now = half(s.filter(late))
-    out = att.growth_ranking(now, half(s.filter(~late)), now.select("node_id", "family", (F.col("runtime_us") * 3).alias("score")))
-    return out.select("node_id", "family", F.round("final_score", 3).alias("final_score"), "rank")
+    now, before = (att.family_costs(s.filter(half)) for half in (late, ~late))
+    rise = spark.createDataFrame([("n0", 1), ("n1", -1), ("n2", 1)], "node_id string, delta long")
+    out = att.growth_ranking(now, before, now.select("node_id", "family", (F.col("runtime_us") * 3).alias("score")), rise)
+    told = F.array_join("warnings", ",").alias("warnings")
+    return out.select("node_id", "family", F.round("final_score", 3).alias("final_score"), "rank", F.col("runtime_us_before").alias("before_us"), "lock_wait_excluded_us", F.col("rows_examined_delta").alias("scan_growth"), "evidence", told)

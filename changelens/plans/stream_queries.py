@@ -232,14 +232,14 @@ def moved_rows(spark, d):
 
 
 @register(f"""WITH {i.SLOW_CTE}, f AS (SELECT node_id, fingerprint AS family, CAST(sum(query_time_ms) FILTER (event_epoch_us >= {START + 15 * DAY}) AS BIGINT) AS now, CAST(sum(query_time_ms) FILTER (event_epoch_us < {START + 15 * DAY}) AS BIGINT) AS before FROM slow GROUP BY 1, 2),
-  g AS (SELECT *, greatest(now - coalesce(before, 0), 0) AS grown FROM f WHERE now IS NOT NULL) SELECT node_id, family, CASE WHEN grown > 0 THEN row_number() OVER (PARTITION BY node_id ORDER BY grown DESC, family) END AS rank FROM g""")
+  g AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE greatest(now - before, 0) END AS grown FROM f WHERE now IS NOT NULL) SELECT node_id, family, CASE WHEN grown > 0 THEN row_number() OVER (PARTITION BY node_id ORDER BY grown DESC, family) END AS rank FROM g""")
 def exact_growth_rank(spark, d):
     """Scores of 38 digits: the product with the growth, divided by the running time, is still ranked exactly."""
     s = sl.canonical_slow(i.slow_events(spark, d)).withColumn("family", F.col("fingerprint"))
     late = F.col("event_epoch_us") >= START + 15 * DAY
     sums = s.groupBy("node_id", "family").agg(F.sum(F.when(late, F.col("query_time_ms"))).alias("runtime_us"), F.sum(F.when(~late, F.col("query_time_ms"))).alias("before")).filter("runtime_us IS NOT NULL")
     score = (F.col("runtime_us").cast("decimal(38,0)") * F.lit("1" + "0" * 29).cast("decimal(30,0)")).cast("decimal(38,0)")
-    ranked = sums.select("node_id", "family", score.alias("score"), F.greatest(F.col("runtime_us") - F.coalesce("before", F.lit(0)), F.lit(0)).alias("growth_us"), "runtime_us", F.lit(0).cast("bigint").alias("scan"))
+    ranked = sums.select("node_id", "family", score.alias("score"), F.greatest(F.col("runtime_us") - F.coalesce("before", F.col("runtime_us")), F.lit(0)).alias("growth_us"), "runtime_us", F.lit(0).cast("bigint").alias("scan"))
     return att.fraction_rank(ranked)
 
 

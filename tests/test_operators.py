@@ -157,7 +157,11 @@ def test_growth_needs_growth(spark):
     overlap = spark.createDataFrame([("n", "up", 1000), ("n", "flat", 9000), ("n", "new", 10)], "node_id string, family string, score long")
     got = {r.family: r for r in att.growth_ranking(now, old, overlap).collect()}
     assert got["up"].final_score == 800 and got["up"].rank == 1
-    assert got["flat"].rank is None and got["new"].runtime_us_before is None and got["new"].rank == 2
+    assert got["flat"].rank is None and got["flat"].evidence == "no_scan_growth"
+    new = got["new"]  # never seen before: not zero before
+    assert (new.runtime_us_before, new.growth_us, new.rank, new.evidence) == (None, 0, None, "baseline_shape_unobserved")
+    assert new.warnings[-1] == att.NO_BASELINE and att.NO_BASELINE not in got["up"].warnings
+    assert {r.status for r in att.growth_status(att.growth_ranking(now, old, overlap)).collect()} == {"ok"}
 
 
 def test_families_merge_shards_only_in_pairs(spark):

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlapping, stab
+from ..functions.scans import scan
 from ..functions.series import merge_intervals, subtract_intervals
+from ..functions.storage import scratch_folder, stored
 
 SECOND = 1_000_000
-MAX_PAGE = 10_000
 
 
 def part_catalog(df: DataFrame) -> DataFrame:
@@ -104,24 +105,35 @@ def align_windows(windows: DataFrame, spans: DataFrame, width_us: int = 300_000_
     return out.withColumns({"aligned_start_us": F.when(end.isNotNull(), F.col("start_us")), "aligned_end_us": end}).drop("_covered")
 
 
-def ready_prefix(intervals: list[tuple[int, int]], start_us: int, end_us: int, least_us: int = 360_000_000) -> tuple[int, int] | None:
-    """The longest covered prefix of the window that ends on a whole minute; none if its start is not covered or it is too short."""
-    for lo, hi in intervals:
-        if lo <= start_us < hi:
-            cut = min(end_us, hi) // 60_000_000 * 60_000_000
-            return (start_us, cut) if cut - start_us >= least_us else None
-    return None
+def ready_prefixes(windows: DataFrame, spans: DataFrame, least_us: int = 360 * SECOND) -> DataFrame:
+    """The longest covered prefix of each window that ends on a whole minute, against disjoint covered ``spans(instance_id, lo, hi)``: columns
+    ``ready_start_us, ready_end_us``, null where the start is not covered or the prefix is shorter than ``least_us``."""
+    held = stab(windows, spans, ["instance_id"], "start_us", "lo", "hi", {"_covered": (F.col("hi"), "max")})
+    out = windows.join(held, ["instance_id", "start_us"], "left").select(*windows.columns, "_covered")
+    end = F.least("end_us", "_covered")
+    cut = F.when(F.col("_covered").isNotNull(), end - F.pmod(end, F.lit(60 * SECOND)))
+    ready = F.coalesce(cut - F.col("start_us") >= least_us, F.lit(False))
+    return out.withColumns({"ready_start_us": F.when(ready, F.col("start_us")), "ready_end_us": F.when(ready, cut)}).drop("_covered")
 
 
-def nearest_complete(intervals: list[tuple[int, int]], start_us: int, end_us: int) -> tuple[int, int] | None:
-    """The covered window of the same length closest to the one asked for."""
-    length, best = end_us - start_us, None
-    for lo, hi in intervals:
-        if hi - lo >= length:
-            at = min(max(start_us, lo), hi - length)
-            if best is None or abs(at - start_us) < abs(best - start_us):
-                best = at
-    return None if best is None else (best, best + length)
+def nearest_windows(windows: DataFrame, spans: DataFrame, width_us: int = 30 * 86_400 * SECOND) -> DataFrame:
+    """The covered window of the same length nearest to each asked for, the earlier at ties: ``nearest_start_us, nearest_end_us``, null if none.
+
+    A window of some length may start from a span's beginning to that length before its end. Per instance and length these ranges are
+    disjoint, so the nearest start lies in the last range that begins at or before the one asked for, or is the beginning of the next. Both
+    are carried along the times in bins of ``width_us``, from either side. Ranges are laid out once for each length asked for.
+    """
+    keys = ["instance_id", "length"]
+    asked = windows.select("instance_id", (F.col("end_us") - F.col("start_us")).alias("length"), F.col("start_us").alias("at"), F.lit(1).alias("side"), F.struct(*windows.columns).alias("w"))
+    ranges = spans.join(asked.select(*keys).distinct(), "instance_id").filter(F.col("hi") - F.col("lo") >= F.col("length"))
+    ranges = ranges.select(*keys, F.col("lo").alias("at"), F.lit(0).alias("side"), (F.col("hi") - F.col("length")).alias("last"))
+    both = asked.unionByName(ranges, allowMissingColumns=True)
+    both = scan(both, keys, ["at", "side"], width_us, below=(F.col("last"), "mark")).withColumns({"back": -F.col("at"), "turn": -F.col("side")})
+    both = scan(both, keys, ["back", "turn"], width_us, above=(F.when(F.col("side") == 0, F.col("at")), "mark")).filter("side = 1")
+    start, high = F.col("w.start_us"), F.col("above")
+    low = F.when(F.col("below").isNotNull(), F.least(F.col("below"), start))
+    best = F.when(high.isNull() | (start - low <= high - start), low).otherwise(high)
+    return both.select("w.*", best.alias("nearest_start_us"), (best + F.col("length")).alias("nearest_end_us"))
 
 
 def sync_estimate(files: DataFrame) -> DataFrame:
@@ -185,13 +197,29 @@ def assert_same_rows(a: DataFrame, b: DataFrame) -> None:
         raise AssertionError(f"{found.get('first', 0)} rows only in the first, {found.get('second', 0)} only in the second")
 
 
-def ordered_hash(df: DataFrame, keys: list[str], order: list) -> str:
-    """Hash over the key columns of a page in its order; a page has at most ``MAX_PAGE`` rows, more are refused."""
-    rows = df.orderBy(*order).limit(MAX_PAGE + 1).select(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("k")).collect()
-    if len(rows) > MAX_PAGE:
-        raise ValueError(f"a page has at most {MAX_PAGE} rows")
+def ordered_hash(df: DataFrame, keys: list[str], order: list[str]) -> str:
+    """Digest of the key columns of a whole result in its order, ties by the key columns; equal for any partitioning.
 
-    return hashlib.sha256("\n".join(r["k"] for r in rows).encode()).hexdigest()
+    Rows are sorted by range and stored; a row's number in the whole follows from its number in its partition and the sizes of the
+    partitions, which are all that the driver gets. The digest adds up hashes of number and row, so it is combined before any shuffle.
+    """
+    spark = df.sparkSession
+    text = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"c{n}") for n, k in enumerate(keys)]), {"ignoreNullFields": "false"})
+    ordered = df.orderBy(*order, *[k for k in keys if k not in order]).select(text.alias("row"))
+    rows = stored(ordered.withColumn("id", F.monotonically_increasing_id()), scratch_folder(spark), "ordered")
+    rows = rows.withColumns({"part": F.shiftright("id", 33), "n": F.col("id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = {r["part"]: r["size"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("size")).collect()}
+    ends, total = [], 0
+    for part in sorted(sizes):
+        ends.append((part, total))
+        total += sizes[part]
+    if not total:
+        return hashlib.sha256(b"0").hexdigest()
+    before = spark.createDataFrame(ends, "part long, before long")
+    number = F.col("before") + F.col("n")
+    sums = [F.sum(F.xxhash64(F.lit(seed), number, "row").cast("decimal(38,0)")) for seed in ("first", "second")]
+    found = rows.join(F.broadcast(before), "part").agg(*sums).first()  # one row per partition is broadcast
+    return hashlib.sha256(f"{total},{found[0]},{found[1]}".encode()).hexdigest()
 
 
 def verify_parts(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ def mongo_analyze(now: DataFrame, before: DataFrame, costs: tuple[str, ...], cov
     keys = ["role", "group_id"]
 
     def sums(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sum("count").alias("count"), F.sum("overlap_us").alias("overlap_us"), F.max("max_us").alias("max_us"), *[F.sum(x).alias(x) for c in costs for x in (c, f"{c}_known")])
+        told = [f(c).alias(c) for f, c in ((F.min, "first_us"), (F.max, "incomplete")) if c in df.columns]
+        return df.groupBy(*keys).agg(*told, F.sum("count").alias("count"), F.sum("overlap_us").alias("overlap_us"), F.max("max_us").alias("max_us"), *[F.sum(x).alias(x) for c in costs for x in (c, f"{c}_known")])
 
     old = sums(before)
     out = with_baseline(sums(now), old, keys, ["count", *costs])

@@ -90,8 +90,12 @@ def test_pages_hash_and_row_differences(spark):
     with pytest.raises(AssertionError, match="1 rows only in the first"):
         coverage.assert_same_rows(a, a.distinct())
     assert coverage.ordered_hash(a, ["k", "v"], ["k"]) == coverage.ordered_hash(a.repartition(3), ["k", "v"], ["k"])
-    with pytest.raises(ValueError, match="at most"):
-        coverage.ordered_hash(spark.range(coverage.MAX_PAGE + 1), ["id"], ["id"])
+    many = spark.range(20_001).select("id", F.xxhash64("id").alias("at"))  # more than any page
+    whole = coverage.ordered_hash(many, ["id"], ["at"])
+    assert whole == coverage.ordered_hash(many.repartition(7), ["id"], ["at"]) == coverage.ordered_hash(many.coalesce(1), ["id"], ["at"])
+    first, second = (r.id for r in many.orderBy("at").limit(2).collect())
+    swapped = many.withColumn("id", F.when(F.col("id") == first, second).when(F.col("id") == second, first).otherwise(F.col("id")))
+    assert len({whole, *(coverage.ordered_hash(x, ["id"], ["at"]) for x in (swapped, many.filter("id > 0"), many.limit(0)))}) == 4
     windows = spark.createDataFrame([("i", 1, 5, 9), ("i", 2, 5, 30), ("i", 3, 1, 4), ("i", 4, 19, 30), ("j", 5, 1, 2)], "instance_id string, id long, start_us long, end_us long")
     spans = spark.createDataFrame([("i", 4, 18), ("i", 19, 20)], "instance_id string, lo long, hi long")
     got = {r.id: (r.aligned_start_us, r.aligned_end_us) for r in coverage.align_windows(windows, spans, 5).collect()}

@@ -223,15 +223,22 @@ def test_coverage_runs(spark):
     assert cov.align_window([(0, 900_000_000)], 100, 800_000_000) == (100, 800_000_000)
     assert cov.align_window([(0, 700_000_000)], 100, 800_000_000) == (100, 600_000_000)
     assert cov.align_window([(200, 300)], 100, 250) is None
-    assert cov.nearest_complete([(0, 50), (100, 300)], 40, 140) == (100, 200)
+    assert aligned(spark, cov.nearest_windows, "nearest", [(0, 50), (100, 300)], 40, 140) == (100, 200)
 
 
-def test_ready_prefix():
+def aligned(spark, find, name, spans, start, end):
+    windows = spark.createDataFrame([("i", 1, start, end)], "instance_id string, id long, start_us long, end_us long")
+    row = find(windows, spark.createDataFrame([("i", *x) for x in spans], "instance_id string, lo long, hi long")).first()
+    found = (row[f"{name}_start_us"], row[f"{name}_end_us"])
+    return None if found == (None, None) else found
+
+
+def test_ready_prefix(spark):
     m = 60_000_000
-    assert cov.ready_prefix([(0, 20 * m)], 5, 10 * m + 7) == (5, 10 * m)
-    assert cov.ready_prefix([(0, 8 * m + 9), (9 * m, 20 * m)], 0, 15 * m) == (0, 8 * m)
-    assert cov.ready_prefix([(0, 6 * m)], 1, 15 * m) is None
-    assert cov.ready_prefix([(10, 20 * m)], 0, 15 * m) is None and cov.ready_prefix([], 0, 15 * m) is None
+    assert aligned(spark, cov.ready_prefixes, "ready", [(0, 20 * m)], 5, 10 * m + 7) == (5, 10 * m)
+    assert aligned(spark, cov.ready_prefixes, "ready", [(0, 8 * m + 9), (9 * m, 20 * m)], 0, 15 * m) == (0, 8 * m)
+    assert aligned(spark, cov.ready_prefixes, "ready", [(0, 6 * m)], 1, 15 * m) is None
+    assert aligned(spark, cov.ready_prefixes, "ready", [(10, 20 * m)], 0, 15 * m) is None and aligned(spark, cov.ready_prefixes, "ready", [], 0, 15 * m) is None
 
 
 def test_episode_writes(spark):

@@ -263,19 +263,39 @@ def lag_increase(points: DataFrame, period_us: int = PERIOD_US) -> DataFrame:
     return out.filter(F.col("_gap") == period_us).select("node_id", "end_us", F.greatest(F.col("value") - F.col("_last"), F.lit(0)).alias("value"))
 
 
+MAX_REPLICAS = 1000
+
+
 def lag_candidates(events: DataFrame, primaries: list[str], replicas: DataFrame) -> DataFrame:
-    """The primary's statements once per replica, as candidates for the replica's lag; replicas are a handful of nodes."""
+    """The primary's statements once per replica, as candidates for the replica's lag; more than ``MAX_REPLICAS`` replicas are refused."""
+    nodes = sorted(r.node_id for r in replicas.select("node_id").distinct().limit(MAX_REPLICAS + 1).collect())
+    if len(nodes) > MAX_REPLICAS:
+        raise ValueError(f"more than {MAX_REPLICAS} replicas")
     own = events.filter(F.col("node_id").isin(primaries)).withColumn("origin", F.lit("primary")).drop("node_id")
-    return own.crossJoin(F.broadcast(replicas.select("node_id").distinct())).withColumn("event_id", F.concat_ws("@", "event_id", "node_id"))
+    each = F.explode(F.array(*map(F.lit, nodes)).cast("array<string>"))
+    return own.withColumn("node_id", each).withColumn("event_id", F.concat_ws("@", "event_id", "node_id"))
+
+
+def align(series: DataFrame, metric: DataFrame) -> DataFrame:
+    """Series and metric where both were observed."""
+    return series.join(metric, ["node_id", "end_us"])
 
 
-def align(series: DataFrame, metric: DataFrame, grid: DataFrame | None = None) -> DataFrame:
-    """Series and metric on equal stamps: with ``grid(end_us)`` dense, absent series values as zero; else observed only."""
-    if grid is None:
-        return series.join(metric, ["node_id", "end_us"])
-    keys = series.select("node_id", "family").distinct()
-    dense = keys.crossJoin(grid).join(series, ["node_id", "family", "end_us"], "left").withColumn("runtime_us", F.coalesce("runtime_us", F.lit(0)))
-    return dense.join(metric, ["node_id", "end_us"], "left")
+def dense_r(series: DataFrame, metric: DataFrame, grid: DataFrame) -> DataFrame:
+    """Correlation of each family's running time with its node's metric (one value a period) over the periods of ``grid(end_us)`` that have a
+    metric; a family that didn't run counts as zero. ``node_id, family, n, r``.
+
+    Zeros add nothing to the sums, so no grid of families and periods is laid out: what depends on the metric alone is summed once per node.
+    """
+    known = metric.join(grid.select("end_us").distinct(), "end_us", "left_semi").filter("value IS NOT NULL")
+    x, y = F.col("runtime_us").cast(EXACT), F.col("value").cast(EXACT)
+    whole = lambda c, name: F.sum(c.cast(EXACT)).cast(EXACT).alias(name)
+    nodes = known.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), whole(y, "sy"), whole(y * y, "syy"))
+    ran = series.join(known, ["node_id", "end_us"]).groupBy("node_id", "family").agg(whole(x, "sx"), whole(x * x, "sxx"), whole(x * y, "sxy"))
+    out = series.select("node_id", "family").distinct().join(ran, ["node_id", "family"], "left").join(nodes, "node_id", "left")
+    sums = [F.coalesce(F.col(c), F.lit(0).cast(EXACT)) for c in ("sx", "sy", "sxx", "syy", "sxy")]
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return out.select("node_id", "family", n.alias("n"), F.when(n >= LEAST_POINTS, pearson(n, *sums)).alias("r"))
 
 
 def node_evidence(points: DataFrame, before: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def statement_stats(ev: DataFrame, max_groups: int | None = None) -> DataFrame:
     place = ["database_name", "table_name", "operation", "text_key"]
     texts = ev.select(*place[:3], text_key, *_TEXT).groupBy(*place).agg(F.min(F.struct(*_TEXT)).alias("t")).select(*place, "t.*")
     level = "statement"
-    if max_groups is not None and (texts.agg(F.approx_count_distinct("text_key")).first()[0] or 0) > max_groups:
+    if max_groups is not None and texts.select("text_key").distinct().count() > max_groups:
         level = "template"
     profiled = texts.withColumn("p", statement_profile()).select(*place, "p.source", "p.action", "p.normalized", "p.fingerprint")
     if level == "template":
@@ -400,9 +400,7 @@ def last_effective_change(events: DataFrame, keys: list[str], order: list[str],
     if "operation" in events.columns:
         broken |= ~F.col("operation").eqNullSafe(F.col("_shape"))
     if columns is not None:
-        wanted = F.array_sort(columns if isinstance(columns, Column) else F.array(*map(F.lit, columns)))
-        for image in ("before", "after"):
-            broken |= F.col(image).isNotNull() & ~F.coalesce(F.array_sort(F.json_object_keys(image)) == wanted, F.lit(False))
+        broken |= _partial(columns)
     marked = chained.withColumn("_broken", broken)
     bad = marked.groupBy(*keys).agg(F.max("_broken").alias("rejected"))
     folded = marked.groupBy(*keys, "row_key").agg(
@@ -414,12 +412,24 @@ def last_effective_change(events: DataFrame, keys: list[str], order: list[str],
     found = kept.join(bad, keys, "left").filter("NOT rejected").select(*keys, "row_key", "change.*")
     if columns is None:
         return found.drop("_shape")
+    return _cut_to_changes(found).select(*keys, "row_key", F.col("_shape").alias("operation"), "before", "after", *order)
+
+
+def _partial(columns: list[str] | Column) -> Column:
+    """Whether an image that is there is no JSON object of just these columns."""
+    wanted = F.array_sort(columns if isinstance(columns, Column) else F.array(*map(F.lit, columns)))
+    partial = [F.col(image).isNotNull() & ~F.coalesce(F.array_sort(F.json_object_keys(image)) == wanted, F.lit(False)) for image in ("before", "after")]
+    return partial[0] | partial[1]
+
+
+def _cut_to_changes(found: DataFrame) -> DataFrame:
+    """Images by the ``_shape`` of the change: of an UPDATE the columns that changed, of an INSERT its image, of a DELETE none."""
     changed = found.withColumn("_changed", changed_columns("before", "after"))
-    images = [F.when(F.col("_shape") == "UPDATE", F.col("_changed.before")).alias("before"), F.when(F.col("_shape") == "UPDATE", F.col("_changed.after")).otherwise(F.col("after")).alias("after")]
-    return changed.select(*keys, "row_key", F.col("_shape").alias("operation"), *images, *order)
+    update = F.col("_shape") == "UPDATE"
+    return changed.withColumns({"before": F.when(update, F.col("_changed.before")), "after": F.when(update, F.col("_changed.after")).otherwise(F.col("after"))}).drop("_changed")
 
 
-def moving_row_changes(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+def moving_row_changes(events: DataFrame, keys: list[str], order: str, columns: list[str] | Column | None = None) -> DataFrame:
     """The last real change of each row, also where its key moves: ``first_key, last_key, before, after`` and ``order``.
 
     ``events``: cohort ``keys``, ``before_key, after_key`` (null where there is no row), ``before, after`` as canonical JSON
@@ -428,6 +438,9 @@ def moving_row_changes(events: DataFrame, keys: list[str], order: str) -> DataFr
     doubling, so that a chain of n moves takes log n rounds. A cohort is rejected whole if an image before is not the image
     after of the row's previous event, or if an event touches a key with no row on it. A row that ends as it began (deleted
     where it was inserted, or changed back) has no change.
+
+    ``columns`` as in ``last_effective_change``: an image of other columns rejects the cohort, and changes carry their ``operation`` and, if they
+    are updates, changed columns only (none if just the key moved).
     """
     moves = ~F.col("before_key").eqNullSafe(F.col("after_key"))
     leave = F.struct(F.col("before_key").alias("key"), F.lit(False).alias("arrives"))
@@ -439,6 +452,8 @@ def moving_row_changes(events: DataFrame, keys: list[str], order: str) -> DataFr
     seen = touches.withColumns({"_segment": F.sum(F.col("arrives").cast("int")).over(w), "_previous": previous, "_moves": moves})
     opens, gone = F.col("_previous").isNull(), F.col("_previous.gone")
     broken = F.when(F.col("arrives"), ~opens & ~gone).otherwise(~opens & (gone | ~F.col("before").eqNullSafe(F.col("_previous.after"))))
+    if columns is not None:
+        broken |= _partial(columns)
     folder = scratch_folder(events.sparkSession)
     seen = stored(seen.withColumn("_broken", F.coalesce(broken, F.lit(False))).drop("_previous"), folder, "touches")
     place = F.struct("key", "_segment")
@@ -464,4 +479,8 @@ def moving_row_changes(events: DataFrame, keys: list[str], order: str) -> DataFr
     )
     same = F.col("first.before_key").eqNullSafe(F.col("last.after_key")) & F.col("first.before").eqNullSafe(F.col("last.after"))
     kept = folded.filter(~same & F.col("change").isNotNull()).join(bad, keys).filter("NOT rejected")
-    return kept.select(*keys, F.col("first.before_key").alias("first_key"), F.col("last.after_key").alias("last_key"), "change.*")
+    found = kept.select(*keys, F.col("first.before_key").alias("first_key"), F.col("last.after_key").alias("last_key"), "change.*")
+    if columns is None:
+        return found
+    shape = F.when(F.col("before").isNull(), "INSERT").when(F.col("after").isNull(), "DELETE").otherwise("UPDATE")
+    return _cut_to_changes(found.withColumn("_shape", shape)).withColumnRenamed("_shape", "operation")

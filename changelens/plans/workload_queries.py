@@ -267,7 +267,7 @@ SELECT node_id, family, count(*) AS n, CASE WHEN count(*) >= 6 AND stddev_pop(x)
 def dense_correlation(spark, d):
     """The same over all hours of ten days, hours without the statement as zero."""
     hours = spark.range(START + HOUR, START + 10 * DAY + 1, HOUR).select(F.col("id").alias("end_us"))
-    out = att.exact_r(att.align(_hourly(spark, d), i.metric_points(spark, d), hours), ["node_id", "family"], "runtime_us", "value")
+    out = att.dense_r(_hourly(spark, d), i.metric_points(spark, d), hours)
     return out.select("node_id", "family", "n", F.round("r", 6).alias("r"))
 
 

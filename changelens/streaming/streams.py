@@ -86,6 +86,10 @@ def insert_only(path: str, key: str = "event_id", buckets: int = 16) -> Callable
     return run
 
 
+#: Up to so many touched hours are named to the scan, which then lists no other partitions; more are joined.
+MAX_HOURS = 1000
+
+
 def rebuild_hours(facts_path: str, out_path: str, aggregate: Callable[[DataFrame], DataFrame], time_us: str, width_us: int = 3_600_000_000) -> Callable[[DataFrame, int], None]:
     """Append a batch to the facts, then rebuild the hours that it touched, late ones too; a repeat gives the same.
 
@@ -100,7 +104,8 @@ def rebuild_hours(facts_path: str, out_path: str, aggregate: Callable[[DataFrame
         marked.repartition("hour_us").write.mode("overwrite").partitionBy("hour_us").parquet(f"{facts_path}/batch={batch_id:012d}")
         facts = spark.read.parquet(facts_path)
         touched = marked.select("hour_us").distinct()
-        rebuilt = aggregate(facts.join(F.broadcast(touched), "hour_us", "left_semi"))
+        few = [r["hour_us"] for r in touched.limit(MAX_HOURS + 1).collect()]
+        rebuilt = aggregate(facts.filter(F.col("hour_us").isin(few)) if len(few) <= MAX_HOURS else facts.join(touched, "hour_us", "left_semi"))
         rebuilt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_us").parquet(out_path)
 
     return run

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -36,6 +37,65 @@ def test_long_chains_of_moves(spark):
     assert moved(spark, rows) == {("a", None, "59", "v58", "v59", 59)}
 
 
+def history(rng, cohort, partial):
+    """A random history of rows that are inserted, updated, moved and deleted, and the last real change of each."""
+    text = lambda image: json.dumps(image, sort_keys=True, separators=(",", ":"))
+    live, chains, events = {}, [], []
+    for k in range(3):  # there from the beginning
+        live[str(k)] = (image := {"a": k, "b": 1.5, "id": str(k)}, chain := [])
+        chains.append((chain, str(k), text(image)))
+    for n in range(80):
+        kind = rng.random()
+        if kind < 0.25 or not live:
+            key = str(rng.randrange(40))
+            if key in live:
+                continue
+            live[key] = (image := {"a": rng.randrange(3), "b": 2.0, "id": key}, chain := [])
+            chains.append((chain, None, None))
+            event = (None, key, None, text(image), n)
+        else:
+            key = rng.choice(sorted(live))
+            image, chain = live.pop(key)
+            if kind < 0.4:
+                event = (key, None, text(image), None, n)
+            else:
+                to = str(rng.randrange(40)) if kind < 0.7 else key
+                to = key if to in live else to
+                after = image | {"a": rng.randrange(3), "id": to}
+                live[to] = (after, chain)
+                event = (key, to, text(image), text(after), n)
+        chain.append(event)
+        events.append((cohort, *event))
+    want = set()
+    for chain, first_key, first in chains:
+        real = [e for e in chain if e[2] != e[3] or e[0] != e[1]]
+        if not real or (first_key, first) == (chain[-1][1], chain[-1][3]):
+            continue
+        b, a = (json.loads(x) if x else None for x in real[-1][2:4])
+        shape = "INSERT" if b is None else "DELETE" if a is None else "UPDATE"
+        cut = lambda x: text({k: v for k, v in x.items() if b[k] != a[k]})  # noqa: B023, E731
+        images = (cut(b), cut(a)) if shape == "UPDATE" else (None, real[-1][3])
+        want.add((cohort, shape, first_key, chain[-1][1], *images, real[-1][4]))
+    if partial:
+        n = rng.randrange(len(events))
+        hurt = lambda x: x and x.replace('"b":', '"x":')
+        events[n] = (*events[n][:3], hurt(events[n][3]), hurt(events[n][4]), events[n][5])
+    return events, set() if partial else want
+
+
+def test_changes_with_columns_through_moves(spark):
+    rng = random.Random(12)
+    events, want = [], set()
+    for n in range(12):
+        rows, expected = history(rng, f"c{n}", n % 4 == 3)
+        events += rows
+        want |= expected
+    rng.shuffle(events)
+    out = changes.moving_row_changes(spark.createDataFrame(events, CHANGES), ["c"], "n", ["a", "b", "id"])
+    assert {(r.c, r.operation, r.first_key, r.last_key, r.before, r.after, r.n) for r in out.collect()} == want
+    assert {x[1] for x in want} == {"INSERT", "UPDATE", "DELETE"}
+
+
 def test_exact_fractions(spark):
     big = "9" * 38
     rows = [("n", "a", big, 10**17, 3, 0), ("n", "b", big, 10**17 + 1, 3, 0), ("n", "c", big, 10**17, 3, 5), ("n", "d", "0", 5, 1, None), ("n", "e", "0", 5, 1, 7), ("m", "a", "1", 1, 0, None)]

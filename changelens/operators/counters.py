@@ -286,12 +286,25 @@ def merge_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return long.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias(column))
 
 
-def mongo_read(rollups: DataFrame, start_us: int, end_us: int, costs: tuple[str, ...]) -> DataFrame:
-    """Rollups of a window in at most 180 buckets; minutes that the window cuts are left out."""
+def mongo_read(
+    rollups: DataFrame, start_us: int, end_us: int, costs: tuple[str, ...], tail: DataFrame | None = None, published: DataFrame | None = None, complete_us: int | None = None, window_us: int = 300_000_000
+) -> DataFrame:
+    """Rollups of a window in at most 180 buckets; minutes that the window cuts are left out.
+
+    ``tail``: minute rollups of what is not stored yet. They add only for source windows (``window_us`` wide) that ``published(window_us)``
+    doesn't name, and only for minutes that ended by ``complete_us``, up to which the tail vouches for its minutes.
+    """
     minutes = max(1, (end_us - start_us) // MINUTE_US)
     width = max(1, -(-minutes // 180)) * MINUTE_US
+    if tail is not None:
+        fresh = tail if complete_us is None else tail.filter(F.col("bucket_us") + MINUTE_US <= complete_us)
+        if published is not None:
+            windows = published.select(F.col("window_us").alias("_window")).distinct()
+            fresh = fresh.withColumn("_window", bucket(F.col("bucket_us"), window_us)).join(windows, "_window", "left_anti").drop("_window")
+        rollups = rollups.unionByName(fresh, allowMissingColumns=True)
     inside = rollups.filter((F.col("bucket_us") >= start_us) & (F.col("bucket_us") + MINUTE_US <= end_us))
-    return inside.groupBy("role", "group_id", bucket(F.col("bucket_us"), width).alias("bucket_us")).agg(F.sum("overlap_us").alias("overlap_us"), F.sum("count").alias("count"), *[F.sum(c).alias(c) for k in costs for c in (k, f"{k}_known")], F.max_by("sample", F.struct("max_us", "sample")).alias("sample"), F.max("max_us").alias("max_us"))
+    seen = [f(c).alias(c) for f, c in ((F.min, "first_us"), (F.max, "last_us")) if c in rollups.columns]
+    return inside.groupBy("role", "group_id", bucket(F.col("bucket_us"), width).alias("bucket_us")).agg(F.sum("overlap_us").alias("overlap_us"), F.sum("count").alias("count"), *[F.sum(c).alias(c) for k in costs for c in (k, f"{k}_known")], F.max_by("sample", F.struct("max_us", "sample")).alias("sample"), F.max("max_us").alias("max_us"), *seen)
 
 
 def indexed_workload(now: DataFrame, before: DataFrame, costs: tuple[str, ...], before_complete: bool) -> DataFrame:

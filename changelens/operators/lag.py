@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import overlapping
+from ..functions.intervals import overlapping, stab
 from ..functions.scans import scan
 from ..functions.series import islands
 
@@ -150,6 +150,62 @@ def peer_health(series: DataFrame, least_reads: float = 50.0, removed_share: flo
     return joined.withColumn("status", status)
 
 
+def removed_intervals(health: DataFrame, period_us: int = MINUTE_US, least: int = 3, listed: int = 8) -> DataFrame:
+    """When a node was taken out of routing: its last ``listed`` runs of ``removed`` minutes, a hole of one minute allowed, of ``least`` or more.
+
+    ``health``: as ``peer_health`` returns it. One row per run: ``start_us`` (where its first minute begins), ``end_us, minutes``.
+    """
+    removed = health.filter("status = 'removed'")
+    runs = islands(removed, ["instance_id", "node_id"], "end_us", F.col("end_us") - F.col("prev") <= 2 * period_us, width=1440 * period_us)
+    spans = runs.groupBy("instance_id", "node_id", "run").agg((F.min("end_us") - period_us).alias("start_us"), F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("minutes")).filter(F.col("minutes") >= least)
+    nth = F.row_number().over(Window.partitionBy("instance_id", "node_id").orderBy(F.desc("end_us")))
+    return spans.withColumn("_n", nth).filter(F.col("_n") <= listed).drop("_n", "run")
+
+
+#: What a node is compared by, from sums or means over its usable minutes, and to how many digits it is told.
+PEER_RATIOS = {"slow_per_1000_reads": ("slow", "reads", 2), "ms_per_read": ("threads", "reads", 2)}
+PEER_MEANS = {"reads_per_s": ("reads", 0), "cpu_pct": ("cpu", 1), "iops_pct": ("iops", 1)}
+LEAST_READ_MINUTES, LEAST_SLOW, SLOW_FACTOR, SLOW_FLOOR = 5, 60, 3.0, 0.05
+
+
+def peer_evidence(series: DataFrame, health: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Each node with episodes against its peers over its usable minutes in them: ``status`` (ok, no_reads), ``diverged``, and for each measure
+    a struct of ``node``, median of the ``peers`` and their ``ratio``, rounded; null where a side has no value.
+
+    ``series``: ``instance_id, node_id, end_us, reads, slow, threads, cpu, iops``. Peers are measured over the node's minutes. A node is joined with
+    the nodes of its instance minute by minute, which are a handful.
+    """
+    spans = episodes.select("instance_id", "node_id", F.col("start_us").alias("_lo"), (F.col("end_us") + 1).alias("_hi"))
+    inside = stab(health, spans, ["instance_id", "node_id"], "end_us", "_lo", "_hi", {"_n": (F.lit(1), "sum")})
+    minutes = health.select("instance_id", "node_id", "end_us", "status").join(inside, ["instance_id", "node_id", "end_us"])
+    counted = minutes.groupBy("instance_id", "node_id").agg(F.count(F.lit(1)).alias("minutes"), F.count_if(F.col("status") == "usable").alias("read_minutes"))
+    usable = minutes.filter("status = 'usable'").select("instance_id", "node_id", "end_us")
+    others = series.withColumnRenamed("node_id", "_other")
+    pairs = usable.join(others, ["instance_id", "end_us"])
+
+    def of_sums(top: str, bottom: str) -> Column:
+        both = F.col(top).isNotNull() & F.col(bottom).isNotNull()
+        upper, lower = (F.sum(F.when(both, F.col(c).cast("double"))) for c in (top, bottom))
+        return F.when(lower > 0, upper / lower * 1000)
+
+    values = {**{n: of_sums(a, b) for n, (a, b, _) in PEER_RATIOS.items()}, **{n: F.avg(c) for n, (c, _) in PEER_MEANS.items()}}
+    each = pairs.groupBy("instance_id", "node_id", "_other").agg(*[v.alias(n) for n, v in values.items()], F.sum(F.coalesce(F.col("slow"), F.lit(0)) * 60).alias("_slow"))
+    own = F.col("_other") == F.col("node_id")
+    sides = [f for n in values for f in (F.max(F.when(own, F.col(n))).alias(f"{n}_own"), F.percentile(F.when(~own, F.col(n)), F.lit(0.5)).alias(f"{n}_peers"))]
+    found = each.groupBy("instance_id", "node_id").agg(*sides, F.max(F.when(own, F.col("_slow"))).alias("_slow"))
+    out = counted.join(found, ["instance_id", "node_id"], "left").withColumn("status", F.when(F.col("read_minutes") < LEAST_READ_MINUTES, "no_reads").otherwise("ok"))
+    digits = {n: d for n, (*_, d) in [*PEER_RATIOS.items(), *PEER_MEANS.items()]}
+    told = {}
+    for n in values:
+        node, peers = F.col(f"{n}_own"), F.col(f"{n}_peers")
+        against = F.greatest(peers, F.lit(SLOW_FLOOR)) if n == "slow_per_1000_reads" else peers
+        row = F.struct(F.bround(node, digits[n]).alias("node"), F.bround(peers, digits[n]).alias("peers"), F.when(against > 0, F.bround(node / against, 2)).alias("ratio"))
+        told[n] = F.when((F.col("status") == "ok") & node.isNotNull() & peers.isNotNull(), row)
+    out = out.withColumns(told)
+    slower = (F.col("_slow") >= LEAST_SLOW) & (F.col("slow_per_1000_reads.ratio") >= SLOW_FACTOR)
+    return out.select("instance_id", "node_id", "status", "minutes", "read_minutes", F.when(F.col("status") == "ok", F.coalesce(slower, F.lit(False))).alias("diverged"), *values)
+
+
 def diverged_since(health: DataFrame, factor: float = 3.0, least_slow: int = 60, tolerance_us: int = 2 * MINUTE_US) -> DataFrame:
     """Since when a node was slower than its peers: over 5 usable minutes, slow per read at least three times the peers'
     median, with 60 slow statements; holes of two minutes do not break the run. One row per node: its last run."""

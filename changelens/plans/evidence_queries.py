@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import comparison_window, grain_for
+from ..operators import counters as cn
 from ..operators import coverage as cov
 from ..operators import evidence as ev
-from ..operators import mongo
+from ..operators import lag, mongo
 from . import inputs as i
 from .registry import DAY, HOUR, START, register
-from .store_queries import _E, _events
+from .store_queries import _E, _ROLLED, _events, _minute_costs
 
 _MID, _END = START + 15 * DAY, START + 30 * DAY
 _METRICS = ("CPUUtilization", "IOPSUtilization", "AvgRt", "MemoryUtilization", "Connections")
@@ -78,6 +82,61 @@ def resource_assessment(spark, d):
     return out.select("metric", "role", "group_id", "status", "priority", "assessment", "delta", *parts, F.array_join("reasons", ",").alias("reasons"))
 
 
+_PEERS = f"""s AS (SELECT 'n' || (user_id % 6) AS node_id, epoch_us(ts) - epoch_us(ts) % {DAY} AS end_us, CAST(count(*) AS DOUBLE) AS reads, count(*) FILTER (event_type = 'error') * (user_id % 6 + 1) AS slow, sum(value) AS threads, CASE WHEN user_id % 6 <> 5 THEN avg(value) END AS cpu, max(value) AS iops FROM events GROUP BY user_id % 6, 2),
+  h AS (SELECT a.node_id, a.end_us, CASE WHEN median(b.reads) < 30 THEN 'unknown' WHEN any_value(a.reads) < 0.95 * median(b.reads) THEN 'removed' ELSE 'usable' END AS status FROM s a JOIN s b ON a.end_us = b.end_us AND a.node_id <> b.node_id GROUP BY 1, 2)"""
+
+
+def _peers(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Days of six nodes as minutes: events as reads, errors as slow statements; one node tells no processor load."""
+    e = i.table(spark, d, "events")
+    us, n = F.unix_micros(F.col("ts").cast("timestamp")), F.col("user_id") % 6
+    per = e.groupBy(n.alias("n"), (us - F.pmod(us, F.lit(DAY))).alias("end_us")).agg(
+        F.count(F.lit(1)).cast("double").alias("reads"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("threads"), F.avg("value").alias("mean"), F.max("value").alias("iops")
+    )
+    series = per.select(F.lit("i").alias("instance_id"), F.concat(F.lit("n"), F.col("n").cast("string")).alias("node_id"), "end_us", "reads", (F.col("errors") * (F.col("n") + 1)).alias("slow"), "threads", F.when(F.col("n") != 5, F.col("mean")).alias("cpu"), "iops")
+    return series, lag.peer_health(series, 30, 0.95)
+
+
+@register(f"""WITH {_PEERS}, r AS (SELECT *, CASE WHEN end_us - lag(end_us) OVER (PARTITION BY node_id ORDER BY end_us) <= {2 * DAY} THEN 0 ELSE 1 END AS f FROM h WHERE status = 'removed'), g AS (SELECT *, sum(f) OVER (PARTITION BY node_id ORDER BY end_us) AS run FROM r)
+  SELECT node_id, min(end_us) - {DAY} AS start_us, max(end_us) AS end_us, count(*) AS minutes FROM g GROUP BY node_id, run HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY max(end_us) DESC) <= 3""")
+def removed_intervals(spark, d):
+    """The last three runs of two days or more in which a node had less than 95 % of its peers' reads."""
+    return lag.removed_intervals(_peers(spark, d)[1], DAY, 2, 3).drop("instance_id")
+
+
+_MEASURES = {"slow_per_1000_reads": ("sum(b.slow) / sum(b.reads) * 1000", 2), "ms_per_read": ("sum(b.threads) / sum(b.reads) * 1000", 2), "reads_per_s": ("avg(b.reads)", 0), "cpu_pct": ("avg(b.cpu)", 1), "iops_pct": ("avg(b.iops)", 1)}
+
+
+@register(f"""WITH {_PEERS}, u AS (SELECT * FROM h WHERE end_us BETWEEN {START + 3 * DAY} AND {START + 20 * DAY} AND node_id <> 'n3'), c AS (SELECT node_id, count(*) AS minutes, count(*) FILTER (status = 'usable') AS read_minutes FROM u GROUP BY 1),
+  p AS (SELECT u.node_id, b.node_id AS other, sum(b.slow * 60) AS slow, {", ".join(f"{x} AS {n}" for n, (x, _) in _MEASURES.items())} FROM u JOIN s b USING (end_us) WHERE status = 'usable' GROUP BY 1, 2),
+  m AS (SELECT node_id, max(slow) FILTER (other = node_id) AS slow, {", ".join(f"max({n}) FILTER (other = node_id) AS {n}_o, median({n}) FILTER (other <> node_id) AS {n}_p" for n in _MEASURES)} FROM p GROUP BY 1)
+  SELECT c.node_id, CASE WHEN read_minutes < 5 THEN 'no_reads' ELSE 'ok' END AS status, minutes, read_minutes, CASE WHEN read_minutes >= 5 THEN coalesce(slow >= 60 AND round_even(slow_per_1000_reads_o / greatest(slow_per_1000_reads_p, 0.05), 2) >= 3, false) END AS diverged,
+  {", ".join(f"CASE WHEN read_minutes >= 5 AND {n}_p IS NOT NULL THEN round_even({n}_o, {k}) END AS {n}_node, CASE WHEN read_minutes >= 5 AND {n}_o IS NOT NULL THEN round_even({n}_p, {k}) END AS {n}_peers" for n, (_, k) in _MEASURES.items())} FROM c LEFT JOIN m USING (node_id)""")
+def peer_evidence(spark, d):
+    """Five nodes that lagged for seventeen days against their peers."""
+    series, health = _peers(spark, d)
+    spans = series.filter("node_id <> 'n3'").select("instance_id", "node_id").distinct().select("*", F.lit(START + 3 * DAY).alias("start_us"), F.lit(START + 20 * DAY).alias("end_us"))
+    out = lag.peer_evidence(series, health, spans)
+    return out.select("node_id", "status", "minutes", "read_minutes", "diverged", *[F.col(f"{n}.{x}").alias(f"{n}_{x}") for n in _MEASURES for x in ("node", "peers")])
+
+
+_CUT, _SEEN = START + 20 * DAY, START + 29 * DAY + 7 * HOUR
+
+
+@register(f"""WITH {_E}, {_ROLLED}, k AS (SELECT *, bucket_us - bucket_us % {HOUR} AS w FROM b), p AS (SELECT DISTINCT w FROM k WHERE w < {_CUT} AND w // {HOUR} % 7 > 0),
+  t AS (SELECT k.* FROM k SEMI JOIN p USING (w) UNION ALL SELECT group_id, bucket_us, count * 10 AS count, duration_us, docs, docs_known, max_us, w FROM k ANTI JOIN p USING (w) WHERE bucket_us >= {_CUT - 2 * DAY} AND bucket_us + 60000000 <= {_SEEN})
+  SELECT group_id, bucket_us - bucket_us % {240 * 60_000_000} AS bucket_us, CAST(sum(count) AS BIGINT) AS count, CAST(sum(duration_us) AS BIGINT) AS duration_us, max(max_us) AS max_us FROM t GROUP BY 1, 2""")
+def command_tail(spark, d):
+    """Stored hours and a live tail that reaches two days back: it adds for hours that were not published, up to what it has seen."""
+    rows = _minute_costs(spark, d).filter("count > 0")
+    hour = F.floor(F.col("bucket_us") / HOUR)
+    stored = rows.filter((F.col("bucket_us") < _CUT) & (hour % 7 > 0))
+    published = stored.select((hour * HOUR).alias("window_us")).distinct()
+    tail = rows.filter(F.col("bucket_us") >= _CUT - 2 * DAY).withColumn("count", F.col("count") * 10)
+    out = cn.mongo_read(stored, START, START + 30 * DAY, ("duration_us", "docs"), tail, published, _SEEN, HOUR)
+    return out.select("group_id", "bucket_us", "count", "duration_us", "max_us")
+
+
 _SPANS = f"""s AS (SELECT o_custkey % 300 AS instance_id, epoch_us(o_orderdate) AS lo FROM orders GROUP BY 1, 2), b AS (SELECT *, lead(lo) OVER (PARTITION BY instance_id ORDER BY lo) AS next FROM s),
 spans AS (SELECT instance_id, lo, least(lo + ((lo // {DAY}) % 9 + 1) * {DAY} + {HOUR // 2}, coalesce(next - {HOUR}, lo + 30 * {DAY})) AS hi FROM b),
 w AS (SELECT c_custkey AS id, c_custkey % 300 AS instance_id, {694224000000000} + c_custkey % 2400 * {DAY} + {HOUR} AS start_us, {694224000000000} + c_custkey % 2400 * {DAY} + {HOUR} + (c_custkey % 4 + 1) * {DAY} + 90000000 AS end_us FROM customer)"""
@@ -106,3 +165,20 @@ def ready_prefix(spark, d):
 def nearest_window(spark, d):
     """The covered window of the same length that is nearest to each one asked for."""
     return cov.nearest_windows(*_windows(spark, d)).select("id", "nearest_start_us", "nearest_end_us")
+
+
+_ASKED = (("short", START + 9 * DAY, START + 9 * DAY + 5 * HOUR), ("middle", START + 12 * DAY + HOUR, START + 17 * DAY), ("long", START + 15 * DAY, START + 29 * DAY))
+
+
+@register(f"""WITH w(name, grain, lo, hi) AS (VALUES ('short', '5m', {START + 9 * DAY}, {START + 9 * DAY + 5 * HOUR}), ('middle', 'hour', {START + 12 * DAY + HOUR}, {START + 17 * DAY}), ('long', 'day', {START + 15 * DAY}, {START + 29 * DAY})),
+  e AS (SELECT epoch_us(ts) AS us, event_type FROM events) SELECT name, grain, event_type, count(*) FILTER (us >= lo AND us < hi) AS events, count(*) FILTER (us >= lo - (hi - lo) AND us < lo) AS events_before FROM w, e WHERE us >= lo - (hi - lo) AND us < hi GROUP BY ALL""")
+def compared_windows(spark, d):
+    """Three windows, each with the grain that answers it, against the window before."""
+    e = _events(spark, d)
+    out = []
+    for name, low, high in _ASKED:
+        before, _ = comparison_window(low, high)
+        inside = e.filter((F.col("us") >= before) & (F.col("us") < high))
+        now = F.col("us") >= low
+        out.append(inside.groupBy("event_type").agg(F.count_if(now).alias("events"), F.count_if(~now).alias("events_before")).select(F.lit(name).alias("name"), F.lit(grain_for(low, high)).alias("grain"), "event_type", "events", "events_before"))
+    return reduce(DataFrame.unionByName, out)

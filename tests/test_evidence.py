@@ -1,7 +1,12 @@
 import random
+from statistics import median
 
+import pytest
+
+from changelens.operators import counters as cn
 from changelens.operators import coverage as cov
 from changelens.operators import evidence as ev
+from changelens.operators import lag
 
 M = 60_000_000
 POINTS = "role string, metric string, node_id string, epoch string, end_us long, value double"
@@ -69,3 +74,66 @@ def test_nearest_windows_against_all_spans(spark):
             best = min(found, key=lambda x: (abs(x - start), x), default=None)
             want[key, n] = (best, None if best is None else best + end - start)
         assert got == want
+
+
+def test_removed_intervals_allow_one_hole(spark):
+    states = {1: "removed", 2: "removed", 4: "removed", 7: "removed", 8: "removed", 11: "removed", 12: "unknown", 13: "removed", 14: "removed", 15: "usable"}
+    health = spark.createDataFrame([("i", "n", k * M, s) for k, s in states.items()], "instance_id string, node_id string, end_us long, status string")
+    got = sorted((r.start_us // M, r.end_us // M, r.minutes) for r in lag.removed_intervals(health).collect())
+    assert got == [(0, 4, 3), (10, 14, 3)]
+    assert [(r.start_us // M) for r in lag.removed_intervals(health, listed=1).collect()] == [10]
+
+
+def test_peer_evidence_against_the_rule(spark):
+    rng = random.Random(8)
+    nodes, minutes = ["a", "b", "c", "d"], list(range(1, 41))
+    value = lambda low, high: None if rng.random() < 0.1 else rng.uniform(low, high)
+    series = {(n, t): (None if rng.random() < 0.05 else rng.choice([0.0, 100.0, 120.0]), value(0, 9 if n == "a" else 2), value(1, 9), value(0, 90), value(0, 50)) for n in nodes for t in minutes if rng.random() < 0.95}
+    df = spark.createDataFrame([("i", n, t * M, *v) for (n, t), v in series.items()], "instance_id string, node_id string, end_us long, reads double, slow double, threads double, cpu double, iops double")
+    spans = {"a": [(3, 20), (18, 30)], "b": [(5, 38)], "c": [(1, 2)], "d": [(50, 60)]}
+    episodes = spark.createDataFrame([("i", n, lo * M, hi * M) for n, s in spans.items() for lo, hi in s], "instance_id string, node_id string, start_us long, end_us long")
+    health = lag.peer_health(df)
+    status = {(r.node_id, r.end_us // M): r.status for r in health.collect()}
+    got = {r.node_id: r for r in lag.peer_evidence(df, health, episodes).collect()}
+    at = lambda n, t, k: series.get((n, t), (None,) * 5)[k]
+
+    def ratio(n, ts, top, bottom):
+        pairs = [(at(n, t, top), at(n, t, bottom)) for t in ts]
+        pairs = [p for p in pairs if None not in p]
+        return sum(p[0] for p in pairs) / sum(p[1] for p in pairs) * 1000 if sum(p[1] for p in pairs) > 0 else None
+
+    def mean(n, ts, k):
+        known = [at(n, t, k) for t in ts if at(n, t, k) is not None]
+        return sum(known) / len(known) if known else None
+
+    for n, s in spans.items():
+        inside = [t for t in minutes if (n, t) in series and any(lo <= t <= hi for lo, hi in s)]
+        usable = [t for t in inside if status[n, t] == "usable"]
+        if not inside:
+            assert n not in got
+            continue
+        assert (got[n].minutes, got[n].read_minutes, got[n].status) == (len(inside), len(usable), "ok" if len(usable) >= 5 else "no_reads")
+        if len(usable) < 5:
+            assert got[n].diverged is None and got[n].cpu_pct is None
+            continue
+        measures = {"slow_per_1000_reads": lambda x, u=usable: ratio(x, u, 1, 0), "ms_per_read": lambda x, u=usable: ratio(x, u, 2, 0), "reads_per_s": lambda x, u=usable: mean(x, u, 0), "cpu_pct": lambda x, u=usable: mean(x, u, 3), "iops_pct": lambda x, u=usable: mean(x, u, 4)}
+        for name, f in measures.items():
+            peers = median(v for v in (f(x) for x in nodes if x != n) if v is not None)
+            floor = max(peers, 0.05) if name.startswith("slow") else peers
+            row = got[n][name]
+            assert (row.node, row.peers, row.ratio) == pytest.approx((round(f(n), 0 if name == "reads_per_s" else 1 if "pct" in name else 2), round(peers, 0 if name == "reads_per_s" else 1 if "pct" in name else 2), round(f(n) / floor, 2)), abs=0.0101)
+        slow = sum((at(n, t, 1) or 0) * 60 for t in usable)
+        assert got[n].diverged == (slow >= 60 and got[n].slow_per_1000_reads.ratio >= 3)
+    assert got["a"].diverged and not got["b"].diverged
+
+
+def test_a_tail_adds_only_what_is_not_published(spark):
+    cols = "role string, group_id string, bucket_us long, overlap_us long, count long, c long, c_known long, sample string, max_us long, first_us long, last_us long"
+    row = lambda minute, n, most, sample: ("r", "g", minute * M, n, n, n, n, sample, most, minute * M + n, minute * M + n)
+    stored = spark.createDataFrame([row(0, 1, 5, "s0"), row(4, 2, 5, "s4")], cols)
+    tail = spark.createDataFrame([row(1, 100, 9, "t1"), row(5, 10, 9, "t5"), row(6, 20, 3, "t6"), row(9, 1000, 9, "t9")], cols)
+    published = spark.createDataFrame([(0,)], "window_us long")
+    out = cn.mongo_read(stored, 0, 10 * M, ("c",), tail, published, 9 * M)
+    got = {r.bucket_us // M: (r["count"], r.c, r.sample, r.first_us % M) for r in out.collect()}
+    assert got == {0: (1, 1, "s0", 1), 4: (2, 2, "s4", 2), 5: (10, 10, "t5", 10), 6: (20, 20, "t6", 20)}
+    assert cn.mongo_read(stored, 0, 10 * M, ("c",)).count() == 2

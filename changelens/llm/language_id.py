@@ -125,19 +125,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS, seed: int = SEED) -> Model:
-    """The model learned from ``docs``; pass only rows that may be learned from."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS, seed: int = SEED, max_languages: int = MAX_LANGUAGES) -> Model:
+    """The model learned from ``docs``; pass only rows that may be learned from.
+
+    Of more than ``max_languages`` values the most frequent are learned (ties by name) and no others, so that dirty labels can't break a run.
+    """
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, buckets), np.float32), np.zeros(0, int))
     limits = F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, (1.5 * per_language + 50) / max(1, counts[lang])) * 2.0**63)])
-    thin = rows.filter(F.col("order") <= limits[F.col("lang")])
+    thin = rows.filter(F.col("lang").isin(languages) & (F.col("order") <= limits[F.col("lang")]))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     picked = stash(thin.select("lang", "order").distinct().withColumn("nth", nth).filter(F.col("nth") <= per_language).groupBy("lang").agg(F.max("order").alias("last")), folder, "last")
     last = {r["lang"]: r["last"] for r in picked.collect()}

@@ -90,11 +90,22 @@ def shard_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores in front as it takes to differ from all columns."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Write the whole records as Parquet, a folder for each shard, rows in slot order within each file; ``_slot`` tells the place."""
+    """Write the whole records as Parquet, a folder for each shard, rows in slot order within each file; ``_slot`` tells the place.
+
+    Where the records have columns of the names ``_shard`` or ``_slot``, the added ones get further underscores.
+    """
     laid = shard_records(docs, id_col, text_col, shards, seed, bucket_bytes, carry=docs.columns)
-    out = laid.select(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), "record.*")
-    out.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    shard, slot = _free("_shard", docs.columns), _free("_slot", docs.columns)
+    out = laid.select(F.col("shard").alias(shard), F.col("slot").alias(slot), "record.*")
+    out.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,13 @@ def test_predictions_match_decoding_by_hand(spark, make_docs, odd_rows):
     want = sorted((str(i), lang, round(score, 4)) for (i, t, *_) in sample for lang, score in [by_hand(model, t)])
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(abs(g[2] - w[2]) < 2e-3 for g, w in zip(got, want, strict=True))
+
+
+def test_more_values_than_may_be_learned(spark):
+    """The most frequent labels are learned; rows of the others are identified as one of these."""
+    rows = [(k, f"wort schule straße {k}", "de") for k in range(8)] + [(100 + k, f"house school street {k}", "en") for k in range(9)] + [(200 + k, f"dirty {k}", f"x{k}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, max_languages=2)
+    assert model.languages == ["de", "en"]
+    assert {r.lang_pred for r in identify(docs, model).collect()} <= {"de", "en"}
+    assert len(train(docs).languages) == 512

@@ -46,6 +46,14 @@ def test_whole_records_are_written(spark, make_docs, odd_rows, tmp_path):
     assert shard_records(make_docs([])).count() == 0
 
 
+def test_added_names_give_way(spark, make_docs, tmp_path):
+    docs = make_docs([(k, f"t{k}", "en", "a") for k in range(20)]).selectExpr("*", "'mine' AS _shard", "7 AS _Slot")
+    write_shards(docs, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*docs.columns, "__shard", "__slot"}
+    assert {(r["_shard"], r["_Slot"]) for r in back.collect()} == {("mine", 7)} and back.count() == 20
+
+
 @pytest.mark.parametrize("unique", [True, False])
 def test_slots_follow_from_seed_and_data_alone(spark, make_docs, odd_rows, monkeypatch, unique):
     """Other partition counts and another order of the input change nothing; a pile of equal records is spread."""

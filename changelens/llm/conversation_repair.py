@@ -262,15 +262,15 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     folder = shared_folder(conversations.sparkSession)
     role, text = F.coalesce(role_col, F.lit(" ")), F.coalesce(text_col, F.lit(" "))
     rows = conversations.select(F.col(id_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
-    rows = stash(rows.withColumn("digest", digest).withColumn("uid", F.monotonically_increasing_id()), folder, "turns")
+    digest = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256))
+    seen, initial = F.rtrim(F.col("text"), F.lit(BLANKS)), F.substring("role", 1, 1)
+    own = F.when(seen == "", BLANK).when(F.substring(seen, -1, 1).isin(".", "!", "?"), FINE).otherwise(CUT)
+    marks = {"digest": digest, "uid": F.monotonically_increasing_id(), "initial": F.when(initial.isin("s", "u", "a"), initial).otherwise("x"), "own": own}
+    rows = stash(rows.withColumns(marks), folder, "turns")
     kind = dict(rows.dtypes)["conv"]
     firsts = rows.groupBy("conv", "digest").agg(F.min(F.struct("turn", "uid")).alias("first")).select(F.col("first.uid").alias("uid"), F.lit(True).alias("first"))
-    seen = F.rtrim(F.col("text"), F.lit(BLANKS))
-    ends = F.substring(seen, -1, 1)
-    initial = F.substring("role", 1, 1)
-    fault = F.when(seen == "", BLANK).when(F.col("first").isNull(), DUPLICATE).when(~ends.isin(".", "!", "?"), CUT).otherwise(FINE)
-    judged = rows.join(firsts, "uid", "left").select("conv", "turn", "role", "digest", "uid", F.when(initial.isin("s", "u", "a"), initial).otherwise("x").alias("initial"), fault.alias("fault"))
+    fault = F.when((F.col("own") != BLANK) & F.col("first").isNull(), DUPLICATE).otherwise(F.col("own"))
+    judged = rows.drop("text").join(firsts, "uid", "left").select("conv", "turn", "role", "digest", "uid", "initial", fault.alias("fault"))
     judged = stash(judged, folder, "judged")
     order = ["conv", "turn", "role", "digest", "uid"]
     segments = stash(_segments(judged.repartitionByRange(*order).sortWithinPartitions(*order), kind, segment), folder, "segments")

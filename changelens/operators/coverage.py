@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlapping, stab
@@ -197,29 +197,31 @@ def assert_same_rows(a: DataFrame, b: DataFrame) -> None:
         raise AssertionError(f"{found.get('first', 0)} rows only in the first, {found.get('second', 0)} only in the second")
 
 
-def ordered_hash(df: DataFrame, keys: list[str], order: list[str]) -> str:
-    """Digest of the key columns of a whole result in its order, ties by the key columns; equal for any partitioning.
+def ordered_digest(df: DataFrame, keys: list[str], order: list[str | Column], by: list[str] = ()) -> DataFrame:
+    """``by``, ``rows`` and ``digest`` of the key columns of a whole result in its order, ties by the key columns; equal for any
+    partitioning. With ``by`` one digest for each value, over the places in the whole, so that a difference shows where it is.
 
     Rows are sorted by range and stored; a row's number in the whole follows from its number in its partition and the sizes of the
     partitions, which are all that the driver gets. The digest adds up hashes of number and row, so it is combined before any shuffle.
     """
     spark = df.sparkSession
     text = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"c{n}") for n, k in enumerate(keys)]), {"ignoreNullFields": "false"})
-    ordered = df.orderBy(*order, *[k for k in keys if k not in order]).select(text.alias("row"))
-    rows = stored(ordered.withColumn("id", F.monotonically_increasing_id()), scratch_folder(spark), "ordered")
-    rows = rows.withColumns({"part": F.shiftright("id", 33), "n": F.col("id").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = {r["part"]: r["size"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("size")).collect()}
-    ends, total = [], 0
-    for part in sorted(sizes):
-        ends.append((part, total))
-        total += sizes[part]
-    if not total:
-        return hashlib.sha256(b"0").hexdigest()
-    before = spark.createDataFrame(ends, "part long, before long")
-    number = F.col("before") + F.col("n")
-    sums = [F.sum(F.xxhash64(F.lit(seed), number, "row").cast("decimal(38,0)")) for seed in ("first", "second")]
-    found = rows.join(F.broadcast(before), "part").agg(*sums).first()  # one row per partition is broadcast
-    return hashlib.sha256(f"{total},{found[0]},{found[1]}".encode()).hexdigest()
+    ordered = df.orderBy(*order, *keys).select(*by, text.alias("_row"))
+    rows = stored(ordered.withColumn("_id", F.monotonically_increasing_id()), scratch_folder(spark), "ordered")
+    rows = rows.withColumns({"_part": F.shiftright("_id", 33), "_n": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = {r["_part"]: r["size"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("size")).collect()}
+    parts = sorted(sizes)
+    before = spark.createDataFrame(list(zip(parts, accumulate([0, *map(sizes.get, parts)]))), "_part long, _before long")
+    sha = F.sha2(F.concat_ws(":", F.col("_before") + F.col("_n"), "_row"), 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring(sha, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for at in (1, 16)]
+    found = rows.join(F.broadcast(before), "_part").groupBy(*by)  # one row per partition is broadcast
+    out = found.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(",", F.count(F.lit(1)), *sums).alias("sums"))
+    return out.select(*by, "rows", F.sha2("sums", 256).alias("digest"))
+
+
+def ordered_hash(df: DataFrame, keys: list[str], order: list[str]) -> str:
+    """The digest of a whole result in its order."""
+    return ordered_digest(df, keys, order).first()["digest"]
 
 
 def verify_parts(source: DataFrame, target: DataFrame) -> DataFrame:

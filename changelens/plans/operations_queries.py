@@ -129,6 +129,16 @@ def row_differences(spark, d):
     return cov.row_differences(a, i.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") > 0).alias("big")))
 
 
+@register(over_changes("""
+, n AS (SELECT *, row_number() OVER (ORDER BY event_epoch_us DESC, event_id, sql_text) - 1 AS n FROM ev),
+h AS (SELECT table_name, sha256(n || ':' || CAST(to_json({'c0': event_id, 'c1': sql_text}) AS VARCHAR)) AS h FROM n),
+d AS (SELECT table_name, count(*) AS rows, sum(CAST('0x' || h[1:15] AS HUGEINT)) AS a, sum(CAST('0x' || h[16:30] AS HUGEINT)) AS b FROM h GROUP BY 1)
+SELECT table_name, rows, sha256(rows || ',' || a || ',' || b) AS digest FROM d"""))
+def ordered_digests(spark, d):
+    """All change events, newest first: for each table a digest of its rows and their places."""
+    return cov.ordered_digest(i.change_events(spark, d), ["event_id", "sql_text"], [F.desc("event_epoch_us")], ["table_name"])
+
+
 @register(f"""WITH {_SPANS}, w AS (SELECT instance_id, id, lo + {DAY // 4} AS start_us, lo + {DAY} AS end_us FROM f)
   SELECT w.id, CASE WHEN w.end_us <= sp.hi THEN w.start_us WHEN sp.hi - sp.hi % {HOUR} > w.start_us THEN w.start_us END AS aligned_start_us, CASE WHEN w.end_us <= sp.hi THEN w.end_us WHEN sp.hi - sp.hi % {HOUR} > w.start_us THEN sp.hi - sp.hi % {HOUR} END AS aligned_end_us
   FROM w LEFT JOIN sp ON sp.instance_id = w.instance_id AND sp.lo <= w.start_us AND w.start_us < sp.hi""")

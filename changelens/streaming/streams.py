@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .key_index import bucket_of, folders, suspected, write_index
+
 
 def with_event_clock(df: DataFrame, lateness: str, column: str = "event_epoch_us") -> DataFrame:
     return df.withColumn("event_time", F.timestamp_micros(column)).withWatermark("event_time", lateness)
@@ -58,30 +59,42 @@ def once_per_batch(write: Callable[[DataFrame, str], None], base: str) -> Callab
     return run
 
 
+#: Up to so many folders of earlier batches are named to the scan; where more may hold a key, all keys of history are compared.
+MAX_FOLDERS = 2000
+
+
 def insert_only(path: str, key: str = "event_id", buckets: int = 16) -> Callable[[DataFrame, int], None]:
     """Append what is new by key; repeats are dropped and conflicts are kept beside, under ``_conflicts``.
 
-    A batch is judged against the batches before it, of which only the key buckets that it touches are read, and only key
-    and digest. Its own folder is never read, so that a batch may be repeated, also after it broke off half written.
+    A batch is judged against the batches before it. Of those, only the folders (batch and bucket) are read whose filter, under
+    ``_index``, may hold a key of the batch, and of them only key and digest; new keys read no rows but for false alarms. Its own
+    folder is never read, so that a batch may be repeated, also after it broke off half written. Null keys are never compared
+    with earlier batches' and one of them is kept for each batch.
     """
+    index = f"{path}_index"
+
+    def earlier(new: DataFrame, batch_id: int) -> DataFrame:
+        spark = new.sparkSession
+        found = suspected(new, index, batch_id, key)
+        few = found.limit(MAX_FOLDERS + 1).collect() if found is not None else []
+        if not few:
+            return spark.createDataFrame([], f"{key} string, _old string")
+        if len(few) <= MAX_FOLDERS:
+            before = spark.read.option("basePath", path).parquet(*folders(path, few))
+        else:
+            before = spark.read.option("basePath", path).parquet(path).filter(F.col("batch") < batch_id)
+        return before.select(key, F.col("_digest").alias("_old"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rest = [c for c in batch.columns if c != key]
-        new = batch.withColumns({"_digest": F.sha2(F.to_json(F.struct(*rest)), 256), "_bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")})
-        touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]  # at most `buckets`
-        try:
-            before = spark.read.option("basePath", path).parquet(path)
-            before = before.filter((F.col("batch") < batch_id) & F.col("_bucket").isin(touched)).select(key, F.col("_digest").alias("_old"))
-        except AnalysisException as missing:
-            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            before = spark.createDataFrame([], f"{key} string, _old string")
-        first = new.groupBy(key).agg(F.min("_digest").alias("_first"))
-        judged = new.join(before, key, "left").join(first, key)
+        new = batch.withColumns({"_digest": F.sha2(F.to_json(F.struct(*rest)), 256), "_bucket": bucket_of(key, buckets)})
+        first = new.groupBy(F.col(key).alias("_key")).agg(F.min("_digest").alias("_first"))
+        judged = new.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").join(earlier(new, batch_id), key, "left")
+        own = f"{path}/batch={batch_id:012d}"
         fresh = judged.filter("_old IS NULL AND _digest = _first").dropDuplicates([key]).drop("_old", "_first")
-        fresh.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/batch={batch_id:012d}")
+        fresh.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(own)
         judged.filter("_digest <> coalesce(_old, _first)").drop("_old", "_first", "_digest", "_bucket").write.mode("overwrite").parquet(f"{path}_conflicts/batch={batch_id:012d}")
+        write_index(batch.sparkSession.read.schema(fresh.schema).parquet(own), index, batch_id, key, buckets)
 
     return run
 

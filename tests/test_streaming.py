@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from changelens.operators.changes import agg_5m
 from changelens.plans import inputs
-from changelens.streaming import keyed, streams
+from changelens.streaming import key_index, keyed, streams
 
 D = "/root/testdata/sf0.001"
 
@@ -57,6 +57,39 @@ def test_insert_only_batches_repeat_safely(spark, tmp_path):
     assert rows_of(spark.read.parquet(path), "event_id", "sql_text") == want
 
 
+def test_insert_only_reads_suspected_folders_alone(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "audit")
+    write = streams.insert_only(path)
+    make = lambda low, high, text: spark.range(low, high).select(F.concat(F.lit("k"), "id").alias("event_id"), F.lit(text).alias("sql_text"))
+    for batch in range(4):
+        write(make(batch * 2000, batch * 2000 + 2000, "x"), batch)
+    with_buckets = lambda rows: rows.withColumn("_bucket", key_index.bucket_of("event_id", 16))
+    fresh = key_index.suspected(with_buckets(make(90_000, 90_050, "x")), f"{path}_index", 4, "event_id").count()
+    assert fresh <= 3  # of 64 folders; the filters of 8,000 keys see 50 new ones
+    seen = {(r["batch"], r["_bucket"]) for r in key_index.suspected(with_buckets(make(0, 8000, "x")), f"{path}_index", 4, "event_id").collect()}
+    assert seen >= {(b, k) for b in range(4) for k in range(16)}
+    assert key_index.suspected(with_buckets(make(6000, 8000, "x")), f"{path}_index", 0, "event_id") is None
+    again = make(1000, 1003, "x").unionByName(make(5000, 5002, "y")).unionByName(make(90_000, 90_002, "z"))
+    want = [("k5000", "y"), ("k5001", "y")]
+    for most in (2000, 0):  # named folders, then all of history
+        monkeypatch.setattr(streams, "MAX_FOLDERS", most)
+        for _ in range(2):
+            write(again, 4)
+        own = spark.read.parquet(f"{path}/batch={4:012d}")
+        assert rows_of(own, "event_id", "sql_text") == [("k90000", "z"), ("k90001", "z")]
+        assert rows_of(spark.read.parquet(f"{path}_conflicts/batch={4:012d}"), "event_id", "sql_text") == want
+    assert spark.read.parquet(path).count() == 8002
+
+
+def test_insert_only_keeps_null_keys(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    write = streams.insert_only(path)
+    rows = spark.createDataFrame([(None, "x"), (None, "y"), ("1", "x")], "event_id string, sql_text string")
+    write(rows, 0)
+    assert spark.read.parquet(path).count() == 2
+    assert spark.read.parquet(f"{path}_conflicts").count() == 1
+
+
 def test_hours_are_rebuilt_with_late_rows(spark, tmp_path):
     h = 3_600_000_000
     write = streams.rebuild_hours(str(tmp_path / "facts"), str(tmp_path / "hours"), lambda df: df.groupBy("hour_us").agg(F.sum("calls").alias("calls")), "ts_us")

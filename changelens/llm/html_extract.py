@@ -6,10 +6,10 @@ by smoothness edges, stronger the closer they are in the DOM, and blocks of one
 flow from source to sink leaves the labelling of least total cost; what cannot reach the sink any more is content.
 
 The cost is that of a logistic classifier of the block's own text and tag (length, punctuation, share of links, kind of
-tag, ...). It is fitted on weak labels: in pages that mark an article (or main part), blocks within it are content, others
+tag, ...) and of its place. It is fitted on weak labels: in pages that mark an article (or main part), blocks within it are content, others
 and those of menus, footers and the like are not. Where pages mark too little, the weights stay at ``DEFAULTS``, to which
-the fit is drawn. The place in a marked page comes on top, with the classifier's say clipped, so that an article's own
-blocks are content whatever they look like.
+the fit of the own features is drawn; it sees no marks. The place in a marked page is a feature too, whose weights are learned from
+nothing beside what the own features may say at most (``CLIP``); only the weight of excluding words is drawn to its default.
 
 Scripts, styles, comments in the markup, forms and hidden parts have no blocks. Menus, footers, sidebars and notices known by
 tag or role have a sink capacity no neighbour can outweigh. Words of a class or id (adverts, reader comments and the like) are
@@ -81,18 +81,23 @@ DEFAULTS = {
     "likely": 1.0,
     "header": -2.0,
     "rights": -2.0,
+    "inside": 8.0,
+    "beside": -0.5,
+    "outside": -4.5,
+    "word": -12.0,
 }
-#: What the place in a marked page adds: within an article (or a main part without one), in the main part beside its article,
-#: elsewhere; and in any page, below a word of class or id.
-PLACE = {"in_article": 8.0, "in_main": 8.0, "main_only": -0.5, "outside": -4.5, "word": -12.0}
-#: How much the classifier may say of one block: less than two neighbours of one kind can outweigh.
+#: The last of them tell the place: in the article (or in the main part of a page without one), in the main part beside its
+#: article, elsewhere in a marked page; and in any page, below a word of class or id. What a mark says is learned from nothing.
+OWN = len(DEFAULTS) - 4
+START = DEFAULTS | {"inside": 0.0, "beside": 0.0, "outside": 0.0}
+#: How much the block's own features may say: less than two neighbours of one kind can outweigh.
 CLIP = 2.0
 NEVER = 10_000.0
 #: Smoothness between neighbours, halved for each step between them in the DOM, and along a parent.
 SMOOTH, DECAY, SIBLING = 6.0, 0.5, 1.0
 SAMPLE, SAMPLE_CHARS, SAMPLE_BLOCKS, SEED = 500, 200_000, 100, 9
 #: How strongly weights are drawn to their defaults: like so many blocks of either kind.
-PRIOR = 5.0
+PRIOR, PLACE_PRIOR = 5.0, 1.0
 
 
 class Node:
@@ -210,7 +215,7 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def features(block: Block) -> list[float]:
-    """The block by itself, in the order of ``DEFAULTS``."""
+    """The block by itself: the first ``OWN`` of ``DEFAULTS``, in their order."""
     n, text = block.node, block.text
     size = len(text)
     marks = len(_PUNCTUATION.findall(text))
@@ -233,22 +238,29 @@ def features(block: Block) -> list[float]:
     ]
 
 
-def fit(x: np.ndarray, y: np.ndarray, prior: float = PRIOR) -> list[float]:
-    """Logistic weights by Newton's method, both kinds of block weighing alike, drawn to ``DEFAULTS``."""
-    start = np.array(list(DEFAULTS.values()))
-    if not len(y) or y.min() == y.max():
-        return start.tolist()
+def _newton(x: np.ndarray, y: np.ndarray, start: np.ndarray, offset: np.ndarray, prior: float) -> np.ndarray:
+    """Logistic weights beside a fixed ``offset``, both kinds of block weighing alike, drawn to ``start``."""
     weight = np.where(y > 0, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
     w = start.copy()
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
         slope = x.T @ (weight * (p - y)) + prior * (w - start)
         curve = (x * (weight * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x + prior * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return w.tolist()
+    return w
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: float = PRIOR) -> list[float]:
+    """All weights: those of the blocks' own features as if no page had marks, then those of the place beside what the own
+    features may say. The latter know nothing of marks but what the blocks show, and start from none."""
+    if not len(y) or y.min() == y.max():
+        return list(DEFAULTS.values())
+    own, start = np.array(list(DEFAULTS.values()))[:OWN], np.array(list(START.values()))[OWN:]
+    own = _newton(x[:, :OWN], y, own, np.zeros(len(y)), prior)
+    return [*own.tolist(), *_newton(x[:, OWN:], y, start, np.clip(x[:, :OWN] @ own, -CLIP, CLIP), PLACE_PRIOR).tolist()]
 
 
 def labelled(html: str | None, most: int = SAMPLE_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +269,11 @@ def labelled(html: str | None, most: int = SAMPLE_BLOCKS) -> tuple[np.ndarray, n
     if not any(b.node.article or b.node.main for b in blocks):
         return np.zeros((0, len(DEFAULTS))), np.zeros(0)
     marks_article = any(b.node.article for b in blocks)
-    blocks = [blocks[i * len(blocks) // min(most, len(blocks))] for i in range(min(most, len(blocks)))]
-    y = [float((b.node.article if marks_article else b.node.main) and not b.node.never and not b.node.worded) for b in blocks]
-    return np.array([features(b) for b in blocks]), np.array(y)
+    where = places(blocks)
+    chosen = [i * len(blocks) // min(most, len(blocks)) for i in range(min(most, len(blocks)))]
+    nodes = [blocks[i].node for i in chosen]
+    y = [float((n.article if marks_article else n.main) and not n.never and not n.worded) for n in nodes]
+    return np.array([features(blocks[i]) + where[i] for i in chosen]), np.array(y)
 
 
 def _words_of_wholes(blocks: list[Block]) -> None:
@@ -280,8 +294,8 @@ def _words_of_wholes(blocks: list[Block]) -> None:
         b.node.worded = worded
 
 
-def costs(blocks: list[Block], weights: list[float]) -> list[float]:
-    """Log-odds of content of each block."""
+def places(blocks: list[Block]) -> list[list[float]]:
+    """What the page says of each block's place: the last of ``DEFAULTS``, in their order."""
     has_article, has_main = any(b.node.article for b in blocks), any(b.node.main for b in blocks)
     marked = has_article or has_main
     inner = marked and not any((b.node.main if has_main else b.node.article) and not b.node.worded and not b.node.never for b in blocks)
@@ -290,16 +304,21 @@ def costs(blocks: list[Block], weights: list[float]) -> list[float]:
     out = []
     for b in blocks:
         n = b.node
-        if n.never:
+        inside = n.article if has_article else n.main
+        beside = has_article and n.main and not inside
+        out.append([float(inside), float(beside), float(marked and not inside and not beside), float(n.inner if inner else n.worded)])
+    return out
+
+
+def costs(blocks: list[Block], weights: list[float]) -> list[float]:
+    """Log-odds of content of each block, by the learned weights of its own features, bounded, and of its place."""
+    out = []
+    for b, where in zip(blocks, places(blocks), strict=True):
+        if b.node.never:
             out.append(-NEVER)
             continue
-        z = sum(w * v for w, v in zip(weights, features(b), strict=True) if v)
-        z = max(-CLIP, min(CLIP, z))
-        if has_article:
-            z += PLACE["in_article" if n.article else "main_only" if n.main else "outside"]
-        elif has_main:
-            z += PLACE["in_main" if n.main else "outside"]
-        out.append(z + PLACE["word"] * (n.inner if inner else n.worded))
+        z = sum(w * v for w, v in zip(weights, features(b), strict=False) if v)
+        out.append(max(-CLIP, min(CLIP, z)) + sum(w * v for w, v in zip(weights[OWN:], where, strict=True)))
     return out
 
 

@@ -2,7 +2,9 @@ import itertools
 import random
 import re
 
-from changelens.llm.html_extract import DEFAULTS, blocks_of, costs, edges, extract, main_text, minimum_cut, train
+import numpy as np
+
+from changelens.llm.html_extract import CLIP, DEFAULTS, OWN, blocks_of, costs, edges, extract, fit, main_text, minimum_cut, op9_min_cut_extraction, train
 
 PAGE = """<html><head><title>T</title></head><body class="home"><header><h1>Site</h1><p>Our slogan is long and has a point.</p></header><nav><ul><li><a href=x>Home</a><li><a>News</a></ul></nav>
 <div id="cookie-notice">We use cookies, friends.</div><main><article><header><h1>Headline</h1></header><p>First para with <a href="/">a link</a>, and text &lt;b&gt; &amp; more&nbsp;stuff.<p>Second   para<br>goes on.<ul><li>Item one</li><li>Item two</li></ul>
@@ -109,6 +111,28 @@ def test_the_cut_mends_what_the_classifier_alone_gets_wrong(spark):
     assert changed > 100 and f1["cut"] > 0.985 and f1["cut"] > f1["alone"] + 0.03, (f1, changed)
 
 
+def test_place_is_learned_and_marks_are_not_the_only_input(spark):
+    """The whole query against the marks of every given page; then with the marks of article, menu and footer taken away."""
+    d = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    got = {r.page_id: r for r in op9_min_cut_extraction(spark, d).collect()}
+    weights = dict(zip(DEFAULTS, train(pages), strict=True))
+    assert weights["inside"] > CLIP and weights["outside"] < -CLIP and weights["inside"] != DEFAULTS["inside"]
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        want = "\n".join(b.text for b in blocks_of(article) if not b.node.worded)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+        bare = re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", r.html)
+        assert main_text(bare, list(weights.values())) == want
+
+
+def test_place_without_any_marks_to_learn_from():
+    x = np.array([[1.0] * OWN + [0.0] * 4] * 4 + [[0.0] * OWN + [0.0] * 4] * 4)
+    weights = fit(x, np.array([1.0] * 4 + [0.0] * 4))
+    assert weights[OWN:] == [0.0, 0.0, 0.0, DEFAULTS["word"]]
+    assert fit(x[:0], np.zeros(0)) == fit(x, np.ones(8)) == list(DEFAULTS.values())
+
+
 def test_training_on_odd_pages(spark):
     schema = "page_id long, url string, html string, x string, y double, text string"
     assert train(spark.createDataFrame([], schema)) == list(DEFAULTS.values())

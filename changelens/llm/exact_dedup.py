@@ -18,7 +18,7 @@ input are ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLANKS, join_counted, keep_rows, row_key, shared_folder, stash, table, unique_ids
@@ -104,15 +104,13 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut_texts(docs, folder, unique, id_col, text_col, block_bytes)
     ids = name_documents(rows, folder, hash_bits)
     member = rows.drop("blocks").join(ids, "row_key", "left").select("doc_id", "row_key", "n", "sha", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("name", F.lit(-1)).alias("name"))
-    member = stash(member, folder, "members")
-    best = F.struct(-F.col("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+    # several rows may agree in length and id, so that each needs a number, which is stored with it
+    member = stash(member if unique else member.withColumn("number", F.monotonically_increasing_id()), folder, "members")
+    first = [] if unique else [F.col("row_key").alias("key"), F.col("number").alias("number")]
+    best = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), *first)
     classes = stash(member.groupBy("level", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), folder, "classes")
     out = join_counted(member, classes, ["level", "name"], "group_size")
-    kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (-F.col("n") == F.col("best.col1"))
-    if not unique:  # several rows may be the best one; the first of them stays
-        order = Window.partitionBy("level", "name", "doc_id").orderBy(F.desc("n"), "row_key")
-        out = out.withColumn("nth", F.row_number().over(order))
-        kept = kept & (F.col("nth") == 1)
+    kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (-F.col("n") == F.col("best.n")) if unique else F.col("number") == F.col("best.number")
     return out.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row_key")
 
 

@@ -39,6 +39,19 @@ def test_unique_ids(make_docs):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
+def test_one_of_a_pile_of_equal_rows_stays_without_gathering_them(spark, make_docs):
+    """A third of all rows agree in id and text; others in id, length and normalised text, or have no id."""
+    rows = [(5, "a b", "en", "a")] * 40 + [(5, "ab ", "en", "a"), (None, "a b", "en", "b"), (9, "a b c", None, None)] * 20 + [(k, f"t{k}", "en", "a") for k in range(10, 30)]
+    got = exact_classes(make_docs(rows).repartition(7))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = got.collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == expected(rows)
+    kept = [r for r in got if r.kept]
+    assert len(kept) == len({r.text_sha256 for r in got}) == 22
+    assert next(r for r in kept if r.group_size == 80).doc_id == 5
+    assert len({r.row_key for r in got if r.doc_id == 5}) == 2
+
+
 def test_filter_keeps_columns_and_one_row_of_each_class(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     kept = exact_dedup(docs)

@@ -78,7 +78,7 @@ def resolve_pod(events: DataFrame, bindings: DataFrame) -> DataFrame:
     pod = F.struct("uid", "name", "namespace")
     seen = stab(e, held, ["ip"], "event_epoch_us", "first_seen_us", "_end", {"observed": (F.lit(1), "sum"), "pod": (pod, "max")})
     made = bindings.groupBy("ip").agg(F.min("created_us").alias("_created"))
-    out = e.select("event_id", "ip", "event_epoch_us").join(seen, ["ip", "event_epoch_us"], "left").join(made, "ip", "left")
+    out = e.select("event_id", "ip", "event_epoch_us").join(seen.hint("merge"), ["ip", "event_epoch_us"], "left").join(made.hint("merge"), "ip", "left")
     only = F.col("observed") == 1
     reason = F.when(F.col("observed") > 1, "ambiguous_ip").when(only, "observed_interval").when(F.col("_created") <= F.col("event_epoch_us"), "historical_binding_unverified").otherwise("ip_not_observed")
     return out.select("event_id", "ip", reason.alias("reason"), F.when(only, F.col("pod.name")).alias("pod"), F.when(only, F.col("pod.namespace")).alias("namespace"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from changelens.functions.intervals import gather, overlapping, stab
+from changelens.functions.intervals import gather, overlapping, stab, whole_bins
 
 def measures():
     return {"n": (F.lit(1), "sum"), "last": (F.col("name"), "max"), "first": (F.col("name"), "min")}
@@ -75,3 +75,17 @@ def test_a_hot_key_makes_no_pairs(spark):
 
     joins(got._jdf.queryExecution().executedPlan())
     assert made and sum(made) <= 14 * 1000
+
+
+@pytest.mark.parametrize("few", [0, 16, 1000])
+def test_light_and_heavy_keys_agree(spark, monkeypatch, few):
+    """Pairs of keys with few rows and bins of the others give the same measures."""
+    monkeypatch.setattr("changelens.functions.intervals.FEW", few)
+    test_points_in_spans(spark, 6)
+    test_overlapping_spans(spark, 7)
+
+
+def test_bins_take_one_expression_for_all_widths(spark):
+    """The plan of an explosion doesn't hold the expression of each width, which took the driver's memory."""
+    r = spark.range(1).select(F.lit("k").alias("key"), F.col("id").alias("lo"), (F.col("id") + 5).alias("hi"), F.col("id").alias("at"))
+    assert len(r.select(F.explode(whole_bins(F.col("lo"), F.col("hi"))))._jdf.queryExecution().optimizedPlan().toString()) < 10_000

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlapping, stab
 from ..functions.scans import scan
 from ..functions.series import islands
+from ..functions.windows import split_windows
 
 MINUTE_US = 60_000_000
 LAGGING_S, CALM_S, SLOPE = 30.0, 0.5, 0.85
@@ -87,16 +90,42 @@ def nearest_within(left: DataFrame, right: DataFrame, tolerance_us: int, keys: l
 
 
 def held_statements(events: DataFrame, episodes: DataFrame, least_us: int = 60_000_000, slack_us: int = 90_000_000, samples: int = 5) -> DataFrame:
-    """Statements of 60 s or more that ended within 90 s of a stall's release: queued behind it, or possible holders."""
-    stalls = episodes.filter("kind = 'stall'").select("instance_id", "node_id", "origin_us", "release_us")
-    long = events.filter(F.col("duration_us") >= least_us).withColumn("_end", F.col("start_us") + F.col("duration_us"))
-    bins = F.explode(F.array(*[F.floor(F.col("release_us") / slack_us) + d for d in (-1, 0, 1)]))  # so that it is an equi join
-    hit = long.withColumn("_bin", F.floor(F.col("_end") / slack_us)).join(stalls.withColumn("_bin", bins), ["instance_id", "node_id", "_bin"]).drop("_bin")
-    hit = hit.filter(F.abs(F.col("_end") - F.col("release_us")) <= slack_us)
-    marked = hit.withColumn("role", F.when(F.col("start_us") >= F.col("origin_us") - slack_us, "queued").otherwise("possible_holder"))
+    """Statements of 60 s or more that ended within 90 s of a stall's release: queued behind it, or possible holders.
+
+    Time is cut into bins as wide as the slack. The stalls of a bin and its neighbours meet the bin's statements in one task, where a merge sort
+    tree finds counts and samples, without a row for each pair. Stalls of one time are asked once and count as often as there are.
+    """
     keys = ["instance_id", "node_id", "origin_us", "role"]
-    ranked = marked.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("duration_us"), "event_id")))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("statements"), F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.struct("_n", "event_id")))).alias("samples"))
+    place = ["instance_id", "node_id", "_bin"]
+    most = F.greatest(F.lit(slack_us), F.lit(1))
+    stalls = episodes.filter("kind = 'stall'").groupBy("instance_id", "node_id", "origin_us", "release_us").agg(F.count(F.lit(1)).alias("_times"))
+    asked = stalls.withColumn("_bin", F.explode(F.array(*[F.floor(F.col("release_us") / most) + d for d in (-1, 0, 1)])))
+    asked = asked.filter("instance_id IS NOT NULL AND node_id IS NOT NULL AND _bin IS NOT NULL")
+    long = events.filter(F.col("duration_us") >= least_us).withColumn("_end", F.col("start_us") + F.col("duration_us"))
+    long = long.select("instance_id", "node_id", F.floor(F.col("_end") / most).alias("_bin"), "_end", "start_us", "duration_us", "event_id").filter("_bin IS NOT NULL")
+    kinds = dict(asked.dtypes) | dict(long.dtypes)
+    schema = f"instance_id {kinds['instance_id']}, node_id {kinds['node_id']}, origin_us {kinds['origin_us']}, role string, statements long, samples array<struct<least: bigint, event_id: {kinds['event_id']}>>"
+
+    def met(rows: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or windows.empty:
+            return pd.DataFrame(columns=["instance_id", "node_id", "origin_us", "role", "statements", "samples"])
+        rows = rows.sort_values(["duration_us", "event_id"], ascending=[False, True])
+        release, known = windows["release_us"].to_numpy("int64"), windows["origin_us"].notna().to_numpy()
+        bound = np.where(known, windows["origin_us"].fillna(0).to_numpy("int64") - slack_us, np.iinfo(np.int64).max)
+        counts, first = split_windows(rows["_end"].to_numpy("int64"), rows["start_us"].to_numpy("int64"), release - slack_us, release + slack_us, bound, samples)
+        took, names = rows["duration_us"].to_numpy("int64"), rows["event_id"].to_numpy()
+        instance, node = rows["instance_id"].iloc[0], rows["node_id"].iloc[0]
+        out = []
+        for w, (origin, times) in enumerate(zip(windows["origin_us"].to_numpy(), windows["_times"].to_numpy(), strict=True)):
+            for side, role in enumerate(("possible_holder", "queued")):
+                if counts[w, side]:
+                    found = [{"least": -took[n], "event_id": names[n]} for n in first[w, side] if n < len(names) for _ in range(min(times, samples))]
+                    out.append((instance, node, int(origin) if known[w] else None, role, counts[w, side] * times, found[:samples]))
+        return pd.DataFrame(out, columns=["instance_id", "node_id", "origin_us", "role", "statements", "samples"])
+
+    parts = long.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(met, schema)
+    whole = parts.groupBy(*keys).agg(F.sum("statements").alias("statements"), F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, samples).alias("_found"))
+    return whole.select(*keys, "statements", F.transform("_found", lambda x, n: F.struct((n + 1).alias("_n"), x["event_id"].alias("event_id"))).alias("samples"))
 
 
 def describe_lag(episodes: DataFrame, ddl: DataFrame, top: int = 3) -> DataFrame:

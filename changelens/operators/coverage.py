@@ -48,12 +48,15 @@ def coverage_runs(files: DataFrame, ingested: DataFrame, start_us: int, end_us:
     clip = [F.greatest("lo", F.lit(start_us)).alias("lo"), F.least("hi", F.lit(end_us)).alias("hi")]
     inside = covered.select("instance_id", *clip).filter("lo < hi")
     window = files.select("instance_id").distinct().select("instance_id", F.lit(start_us).alias("lo"), F.lit(end_us).alias("hi"))
-    gaps = subtract_intervals(window, inside, ["instance_id"])
+    # what is read several times below is stored, else the driver plans it anew for each
+    folder = scratch_folder(files.sparkSession)
+    inside = stored(inside, folder, "inside")
+    gaps = stored(subtract_intervals(window, inside, ["instance_id"]), folder, "gaps")
     waiting = files.join(ingested.select("id").distinct(), "id", "left_anti").select("instance_id", "lo", F.greatest("hi", F.col("lo") + SECOND).alias("hi"), "state")
     states = {f"_{x}": ((F.col("state") == x).cast("int"), "max") for x in ("missing", "collecting", "pending")}
     told = overlapping(gaps, waiting, ["instance_id"], "lo", "hi", states).select("instance_id", "lo", "hi", *[(F.col(c) == 1).alias(c) for c in states])
     last = files.groupBy("instance_id").agg(F.max("hi").alias("_last"), F.min("lo").alias("_first"))
-    hit = gaps.join(told, ["instance_id", "lo", "hi"], "left").join(last, "instance_id", "left")
+    hit = gaps.join(stored(told, folder, "told"), ["instance_id", "lo", "hi"], "left").join(last, "instance_id", "left")
     reason = (
         F.when(F.col("_missing"), "source_missing")
         .when(F.col("_collecting"), "collecting")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelens.functions.intervals import gather, overlapping, stab, whole_bins
+from changelens.operators.coverage import coverage_runs
 
 def measures():
     return {"n": (F.lit(1), "sum"), "last": (F.col("name"), "max"), "first": (F.col("name"), "min")}
@@ -89,3 +90,13 @@ def test_bins_take_one_expression_for_all_widths(spark):
     """The plan of an explosion doesn't hold the expression of each width, which took the driver's memory."""
     r = spark.range(1).select(F.lit("k").alias("key"), F.col("id").alias("lo"), (F.col("id") + 5).alias("hi"), F.col("id").alias("at"))
     assert len(r.select(F.explode(whole_bins(F.col("lo"), F.col("hi"))))._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+
+
+def test_coverage_plans_are_small(spark):
+    """Runs of coverage read stored parts; planned as one tree they took all of the driver's memory."""
+    rows = [(1, "a", 0, 10, "done"), (2, "a", 20, 30, "pending"), (3, "b", 5, 9, "collecting")]
+    files = spark.createDataFrame(rows, "id long, instance_id string, lo long, hi long, state string")
+    out = coverage_runs(files, files.filter("state = 'done'"), 0, 40 * 1_000_000)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    got = {(r.instance_id, r.lo, r.hi, r.reason) for r in out.collect()}
+    assert got == {("a", 0, 1_000_000, "covered"), ("a", 1_000_000, 40_000_000, "pending"), ("b", 0, 40_000_000, "collecting")}

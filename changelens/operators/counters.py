@@ -262,22 +262,24 @@ def mongo_rollup(events: DataFrame, costs: tuple[str, ...]) -> DataFrame:
     """
     day = 86_400_000_000
     checked = events.withColumn("duration_us", F.when(F.col("duration_us") > day, F.raise_error(F.lit("command longer than a day")).cast("bigint")).otherwise(F.col("duration_us")))
-    keys = ["role", "group_id"]
-    home = checked.groupBy(*keys, bucket(F.col("start_us"), MINUTE_US).alias("bucket_us")).agg(
-        F.count(F.lit(1)).alias("count"),
-        *[F.sum(c).alias(c) for c in costs],
-        *[F.count(c).alias(f"{c}_known") for c in costs],
-        F.max("duration_us").alias("max_us"),
-        F.max_by("event_id", F.struct("duration_us", "start_us", "event_id")).alias("sample"),
-        F.min("start_us").alias("first_us"),
-        F.max("start_us").alias("last_us"),
-    )
+    # one pass over the records: each stands in all minutes that it touches, and counts in its first
     end = F.col("start_us") + F.greatest(F.coalesce("duration_us", F.lit(0)), F.lit(1))
-    minutes = F.sequence(bucket(F.col("start_us"), MINUTE_US), bucket(end - 1, MINUTE_US), F.lit(MINUTE_US).cast("bigint"))
-    spread = checked.withColumns({"_end": F.col("start_us") + F.coalesce("duration_us", F.lit(0)), "bucket_us": F.explode(minutes)})
+    first = bucket(F.col("start_us"), MINUTE_US)
+    minutes = F.sequence(first, bucket(end - 1, MINUTE_US), F.lit(MINUTE_US).cast("bigint"))
+    spread = checked.withColumns({"_end": F.col("start_us") + F.coalesce("duration_us", F.lit(0)), "bucket_us": F.explode(minutes)}).withColumn("_home", F.col("bucket_us") == first)
     overlap = F.greatest(F.least("_end", F.col("bucket_us") + MINUTE_US) - F.greatest("start_us", "bucket_us"), F.lit(0))
-    ran = spread.groupBy(*keys, "bucket_us").agg(F.sum(overlap).alias("overlap_us"))
-    return ran.join(home, [*keys, "bucket_us"], "left")
+    home = lambda c: F.when(F.col("_home"), F.col(c))
+    began = F.count_if("_home") > 0  # else nothing is known of a minute but what ran on in it
+    return spread.groupBy("role", "group_id", "bucket_us").agg(
+        F.sum(overlap).alias("overlap_us"),
+        F.when(began, F.count_if("_home")).alias("count"),
+        *[F.sum(home(c)).alias(c) for c in costs],
+        *[F.when(began, F.count(home(c))).alias(f"{c}_known") for c in costs],
+        F.max(home("duration_us")).alias("max_us"),
+        F.max_by("event_id", F.when(F.col("_home"), F.struct("duration_us", "start_us", "event_id"))).alias("sample"),
+        F.min(home("start_us")).alias("first_us"),
+        F.max(home("start_us")).alias("last_us"),
+    )
 
 
 def merge_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket, key_shape
+from ..functions.storage import scratch_folder, stored
 from ..operators import counters as cn
 from ..operators import mongo
 from ..sources import telemetry
@@ -244,7 +245,8 @@ def olap_workload(spark, d):
 
 def _records(spark, d) -> DataFrame:
     """Slow records of a document store; every 50th is cut off."""
-    e = _events(spark, d)
+    # parsing is most of the work, and a file's narrow columns make few tasks for it; a number that is given isn't coalesced
+    e = _events(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     body = F.concat(F.lit('{"ns":"shop.log_'), (F.col("user_id") % 4).cast("string"), F.lit('","op":"query","command":{"find":"log_'), (F.col("user_id") % 4).cast("string"), F.lit('","filter":{"b":'), F.col("k").cast("string"), F.lit(',"a":"'), F.col("event_type"), F.lit('"},"sort":{"'), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"), F.lit('":-1}},"millis":'), F.col("v").cast("string"), F.lit(',"docsExamined":'), F.col("k").cast("string"), F.lit(',"planSummary":"'), F.when(F.col("k") % 5 == 0, "COLLSCAN").otherwise("IXSCAN"), F.lit('","replRole":{"stateStr":"PRIMARY"}}'))
     return e.select(F.when(F.col("event_id") % 50 == 49, F.substring(body, 1, 30)).otherwise(body).alias("SQLText"), F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ExecutionStartTime"), F.lit(None).cast("bigint").alias("QueryTimes"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 9).cast("string"), F.lit(":27017")).alias("HostAddress"), F.concat(F.lit("acc"), (F.col("user_id") % 5).cast("string")).alias("AccountName"))
 
@@ -288,7 +290,7 @@ _BOTH = f"""n AS (SELECT group_id, sum(count) AS count, sum(duration_us) AS dura
 
 
 def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
-    rolled = _minute_costs(spark, d)
+    rolled = stored(_minute_costs(spark, d), scratch_folder(spark), "minutes")  # both halves read it, some twice
     return rolled.filter(F.col("bucket_us") >= START + 15 * DAY), rolled.filter(F.col("bucket_us") < START + 15 * DAY)
 
 
@@ -311,7 +313,7 @@ def _three_costs(spark, d) -> tuple[DataFrame, DataFrame]:
     """Halves of the month with read bytes known of three quarters of the commands, cpu time of all."""
     m = _commands(spark, d).filter("error IS NULL")
     m = m.withColumns({"bytes_read": F.when(F.col("docs") % 4 > 0, F.col("docs")), "cpu_ns": F.col("docs")})
-    rolled = cn.mongo_rollup(m, ("duration_us", "bytes_read", "cpu_ns")).filter("count > 0")
+    rolled = stored(cn.mongo_rollup(m, ("duration_us", "bytes_read", "cpu_ns")).filter("count > 0"), scratch_folder(spark), "minutes")
     return rolled.filter(F.col("bucket_us") >= START + 15 * DAY), rolled.filter(F.col("bucket_us") < START + 15 * DAY)
 
 
@@ -335,7 +337,7 @@ _ASKED = {"duration_growth": ("duration_growth", ""), "scan_growth": ("scan_tota
 def command_orders(spark, d):
     """Orders asked for and used: scans were not known of all commands, cpu time of none."""
     now, before = _halves(spark, d)
-    groups = mongo.mongo_analyze(now, before, ("duration_us", "docs"))
+    groups = stored(mongo.mongo_analyze(now, before, ("duration_us", "docs")), scratch_folder(spark), "groups")
     parts = []
     for asked in _ASKED:
         used, reason = mongo.effective_order(groups, asked)

@@ -150,8 +150,8 @@ def streamed_counters(spark, d):
 def streamed_changes(spark, d):
     """What changed on a node since its last snapshot."""
     e = _events(spark, d)
-    rows = e.select(F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")).alias("node_id"), F.col("us").alias("ts_us"), F.col("event_type").alias("state"))
-    return _kept(rows, "ts_us", lambda s: stateful.snapshot_changes(s, "state", 3 * DAY), ["node_id", "ts_us"])
+    rows = e.select(F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")).alias("node_id"), F.col("us").alias("ts_us"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    return _kept(rows, "ts_us", lambda s: stateful.snapshot_changes(s, "state", 3 * DAY, seq="seq"), ["node_id", "ts_us", "seq"]).drop("seq")
 
 
 @register("""WITH g AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type, CASE event_type WHEN 'signup' THEN 'shop' WHEN 'purchase' THEN 'db' || (user_id % 3) WHEN 'error' THEN '' END AS mark FROM events),

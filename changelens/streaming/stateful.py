@@ -172,12 +172,23 @@ class _Changes(LateOrdered):
         return items[-1][1]
 
 
-def snapshot_changes(df: DataFrame, field: str, late_us: int = 2 * HOUR_US, idle_ms: int | None = None) -> DataFrame:
-    """An event where a node's field differs from its snapshot before. Result key: ``node_id, ts_us``.
+class _NumberedChanges(_Changes):
+    order = place = "ts_us long, seq long"
 
-    Of two snapshots of one time the smaller value counts, null first.
+    def __init__(self, field, seq, late_us, idle_ms):
+        super().__init__(field, late_us, idle_ms)
+        self.seq = seq
+
+    def read(self, rows):
+        return (((*at, int(n)), now) for (at, now), n in zip(super().read(rows), rows[self.seq], strict=True))
+
+
+def snapshot_changes(df: DataFrame, field: str, late_us: int = 2 * HOUR_US, idle_ms: int | None = None, seq: str | None = None) -> DataFrame:
+    """An event where a node's field differs from its snapshot before. Result key: ``node_id, ts_us``, with ``seq`` also ``seq``.
+
+    Of two snapshots of one time the smaller value counts, null first; where ``seq`` names a number of the snapshots, each counts, in its order.
     """
-    return _through(df, ["node_id"], _Changes(field, late_us, idle_ms))
+    return _through(df, ["node_id"], _NumberedChanges(field, seq, late_us, idle_ms) if seq else _Changes(field, late_us, idle_ms))
 
 
 class _Reads(LateOrdered):

@@ -168,3 +168,12 @@ def test_streams_through_files_and_a_restart(spark, tmp_path):
     assert held(small) == sorted(want)
     store.write(spark.createDataFrame([], "instance_id string, node_id string, session_id string, user string, client string, first_us long, last_us long, seen long, max_seconds long"), 9)
     assert held(store) == sorted(want)
+
+
+def test_numbered_snapshots_of_one_time_all_count():
+    """Two snapshots of one time, in any order of arrival: each is compared with the one before it by number."""
+    rows = [{"ts_us": t, "seq": n, "state": s} for t, n, s in ((1, 1, "a"), (5, 2, "b"), (5, 3, "a"), (5, 4, "a"), (9, 5, "c"))]
+    want = {(5, 2): ("b", "a"), (5, 3): ("a", "b"), (9, 5): ("c", "a")}
+    for order in itertools.permutations(rows):
+        for batches in ([order], [order[:2], order[2:]]):
+            assert played(lambda: stateful._NumberedChanges("state", "seq", 100, None), batches, 2)[0] == want

@@ -6,8 +6,10 @@ A batch is put in its place among them; what changes in the result is emitted as
 placed any more; it is emitted with ``late``, so that it is seen, never dropped silently. With rows at most ``late_us`` late the
 store equals the batch result for any order of files and any cut into batches.
 
-State is ``transformWithStateInPandas`` on RocksDB: a map of recent rows and a value for the floor, so its size follows lateness and keys,
-not history. ``idle_ms`` lets the state of keys that are heard of no more expire.
+State is ``transformWithStateInPandas`` on RocksDB, so its size follows lateness and keys, not history. ``idle_ms`` lets the state of
+keys that are heard of no more expire. A call of the processor has a cost of its own, as has each access to state: the streams are grouped
+by buckets of keys (``Buckets``), and what a key holds, its recent rows and its floor, is one entry of the bucket's map, read and written
+once a batch. ``LateOrdered`` alone is the same for streams grouped by the key itself: a map of recent rows and a value for the floor.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -24,6 +26,7 @@ from ..functions.scalar import is_read
 
 Item = tuple[tuple, tuple]
 HOUR_US = 3_600_000_000
+BUCKETS = 512
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,10 +34,15 @@ def _names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
 
+def _longs(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ") if c.endswith(" long")]
+
+
 class LateOrdered(StatefulProcessor):
-    """``order``: what rows of a key are placed by, event time in microseconds first; ``record``: what is kept of a row;
-    ``state``: what the floor keeps; ``place`` and ``values``: key and other columns of the result."""
+    """``needs``: columns that are read beside the key; ``order``: what rows of a key are placed by, event time in microseconds first;
+    ``record``: what is kept of a row; ``state``: what the floor keeps; ``place`` and ``values``: key and other columns of the result."""
 
+    needs: list[str]
     order: str
     record: str
     state: str
@@ -44,7 +52,8 @@ class LateOrdered(StatefulProcessor):
     def __init__(self, late_us: int, idle_ms: int | None = None):
         self.late_us, self.idle_ms = late_us, idle_ms
 
-    def read(self, rows: pd.DataFrame) -> Iterable[Item]:
+    def read(self, rows: pd.DataFrame) -> Iterable[Item | None]:
+        """An item for each row, None for a row that says nothing."""
         raise NotImplementedError
 
     def same(self, a: tuple, b: tuple) -> tuple:
@@ -70,39 +79,91 @@ class LateOrdered(StatefulProcessor):
         self._rows = handle.getMapState("rows", self.order, self.record, **ttl)
         self._floor = handle.getValueState("floor", f"edge_us long, {self.state}", **ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
-        floor = tuple(self._floor.get()) if self._floor.exists() else None
+    def turn(self, old: dict, floor: tuple | None, items: Iterable[Item]) -> tuple[dict, tuple | None, list[tuple]]:
+        """A key's held rows and floor after ``items``, and the rows of the result that change, without the key."""
         edge, state = (floor[0], floor[1:]) if floor else (None, None)
-        old = {tuple(k): tuple(v) for k, v in self._rows.iterator()}
         new, late = dict(old), []
-        for batch in rows:
-            for at, record in self.read(batch):
-                if edge is not None and at[0] < edge:
-                    late.append(at)
-                else:
-                    new[at] = self.same(new[at], record) if at in new else record
+        for at, record in items:
+            if edge is not None and at[0] < edge:
+                late.append(at)
+            else:
+                new[at] = self.same(new[at], record) if at in new else record
         held = self.compact(sorted(new.items()))
-        before, after = self.outputs(state, sorted(old.items())), self.outputs(state, held)
+        before, after = self.outputs(state, sorted(old.items())) if old else {}, self.outputs(state, held)
         newest = max((k[0] for k, _ in held), default=None)
         if newest is not None and (edge is None or newest - self.late_us > edge):
             past = [x for x in held if self.over(x, newest - self.late_us)]
             if past:
                 held = [x for x in held if not self.over(x, newest - self.late_us)]
-                self._floor.update((newest - self.late_us, *self.retire(state, past)))
-        kept = dict(held)
+                floor = (newest - self.late_us, *self.retire(state, past))
+        nothing = (None,) * len(_names(self.values))
+        out = [(*k, *v, False, False) for k, v in after.items() if before.get(k) != v]
+        out += [(*k, *nothing, True, False) for k in before.keys() - after.keys()]
+        out += [(*k, *nothing, False, True) for k in late]
+        return dict(held), floor, out
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        """Rows of the result, keys first."""
+        out = pd.DataFrame(rows, columns=[*self.keys, *_names(self.place), *_names(self.values), "gone", "late"], dtype=object)
+        return out.astype(dict.fromkeys(_longs(f"{self.place}, {self.values}"), "Int64") | {"gone": bool, "late": bool})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        floor = tuple(self._floor.get()) if self._floor.exists() else None
+        old = {tuple(k): tuple(v) for k, v in self._rows.iterator()}
+        kept, now, out = self.turn(old, floor, (x for batch in rows for x in self.read(batch) if x is not None))
+        if now != floor:
+            self._floor.update(now)
         for k in old.keys() - kept.keys():
             self._rows.removeKey(k)
         for k, v in kept.items():
             if old.get(k) != v:
                 self._rows.updateValue(k, v)
-        nothing = (None,) * len(_names(self.values))
-        out = [(*key, *k, *v, False, False) for k, v in after.items() if before.get(k) != v]
-        out += [(*key, *k, *nothing, True, False) for k in before.keys() - after.keys()]
-        out += [(*key, *k, *nothing, False, True) for k in late]
-        columns = [*self.keys, *_names(self.place), *_names(self.values), "gone", "late"]
-        frame = pd.DataFrame(out, columns=columns)
-        longs = [c.split()[0] for c in f"{self.place}, {self.values}".split(", ") if c.endswith(" long")]
-        yield frame.astype(dict.fromkeys(longs, "Int64"))
+        yield self.frame([(*key, *x) for x in out])
+
+    def close(self) -> None:
+        pass
+
+
+class Buckets(StatefulProcessor):
+    """``rule`` for every key of a bucket. A key's entry in the map is its floor and its recent rows, one array for each of their columns.
+
+    Keys are text where they are whole numbers to Spark, so that a null among them makes no fractions of the others.
+    """
+
+    def __init__(self, rule: LateOrdered, key_ddl: str):
+        self.rule, self.key_ddl = rule, key_ddl
+        self.places, self.known = len(_names(rule.order)), len(_names(rule.state))
+
+    def init(self, handle) -> None:
+        ttl = {} if self.rule.idle_ms is None else {"ttlDurationMs": self.rule.idle_ms}
+        floor = ["edge_us long", *[f"floor_{c}" for c in self.rule.state.split(", ")]]
+        rows = [f"{name} array<{kind}>" for name, kind in (c.split() for c in f"{self.rule.order}, {self.rule.record}".split(", "))]
+        self._held = handle.getMapState("held", self.key_ddl, ", ".join([*floor, *rows]), **ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        items: dict[tuple, list[Item]] = {}
+        for batch in rows:
+            for own, item in zip(zip(*[batch[k] for k in self.rule.keys], strict=True), self.rule.read(batch), strict=True):
+                if item is not None:
+                    items.setdefault(own, []).append(item)
+        out = []
+        for own, fresh in items.items():
+            held = self._held.getValue(own)
+            floor, old = self._loaded(tuple(held)) if held is not None else (None, {})
+            kept, now, changed = self.rule.turn(old, floor, fresh)
+            if now != floor or kept != old:
+                self._held.updateValue(own, self._packed(now, kept))
+            out += [(*own, *x) for x in changed]
+        yield self.rule.frame(out)
+
+    def _loaded(self, held: tuple) -> tuple[tuple | None, dict]:
+        first = 1 + self.known
+        rows = zip(*held[first:], strict=True)
+        return None if held[0] is None else held[:first], {x[: self.places]: x[self.places :] for x in rows}
+
+    def _packed(self, floor: tuple | None, kept: dict) -> tuple:
+        columns = zip(*[(*k, *v) for k, v in kept.items()], strict=True)
+        return (*(floor or (None,) * (1 + self.known)), *(map(list, columns) if kept else [[]] * len(_names(f"{self.rule.order}, {self.rule.record}"))))
 
     def close(self) -> None:
         pass
@@ -112,12 +173,21 @@ def _through(df: DataFrame, keys: list[str], processor: LateOrdered) -> DataFram
     kinds = dict(df.dtypes)
     processor.keys = keys
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), processor.place, processor.values, "gone boolean, late boolean"])
+    whole = {k for k in keys if kinds[k] in ("tinyint", "smallint", "int", "bigint")}
+
+    def key(k: str) -> Column:
+        return (F.col(k).cast("string") if k in whole else F.col(k)).alias(k)
+
+    rows = df.select(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"), *map(key, keys), *processor.needs)
+    key_ddl = ", ".join(f"`{k}` {'string' if k in whole else kinds[k]}" for k in keys)
+    schema = ", ".join([key_ddl, processor.place, processor.values, "gone boolean, late boolean"])
     mode = "None" if processor.idle_ms is None else "ProcessingTime"
-    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Update", mode)
+    out = rows.groupBy("_bucket").transformWithStateInPandas(Buckets(processor, key_ddl), schema, "Update", mode)
+    return out.withColumns({k: F.col(k).cast(kinds[k]) for k in whole}) if whole else out
 
 
 class _Deltas(LateOrdered):
+    needs = ["ts_us", "calls", "usec"]
     order, record, state = "end_us long", "calls long, usec long", "last_us long, calls long, usec long"
     place, values = "end_us long", "start_us long, status string, calls long, usec long"
 
@@ -152,7 +222,7 @@ class _Changes(LateOrdered):
 
     def __init__(self, field, late_us, idle_ms):
         super().__init__(late_us, idle_ms)
-        self.field = field
+        self.field, self.needs = field, ["ts_us", field]
 
     def read(self, rows):
         return (((int(t),), (None if v is None or v != v else v,)) for t, v in zip(rows["ts_us"], rows[self.field], strict=True))
@@ -177,7 +247,7 @@ class _NumberedChanges(_Changes):
 
     def __init__(self, field, seq, late_us, idle_ms):
         super().__init__(field, late_us, idle_ms)
-        self.seq = seq
+        self.seq, self.needs = seq, [*self.needs, seq]
 
     def read(self, rows):
         return (((*at, int(n)), now) for (at, now), n in zip(super().read(rows), rows[self.seq], strict=True))
@@ -192,6 +262,7 @@ def snapshot_changes(df: DataFrame, field: str, late_us: int = 2 * HOUR_US, idle
 
 
 class _Reads(LateOrdered):
+    needs = ["event_epoch_us", "seq", "command", "argument", "user", "is_read"]
     order, record, state = "us long, seq long", "mark string, user string, text string", "mark string"
     place, values = "event_epoch_us long, seq long", "database_name string, user string, sql_text string"
     _connect, _use = re.compile(r"\son\s+(\S+)\s+using\b", re.I), re.compile(r"^\s*use\s+`?([^`;\s]+)", re.I)
@@ -215,8 +286,7 @@ class _Reads(LateOrdered):
     def read(self, rows):
         for t, n, c, a, u, r in zip(rows["event_epoch_us"], rows["seq"], rows["command"], rows["argument"], rows["user"], rows["is_read"], strict=True):
             kept = self._kept(c.lower(), a or "", u, r)
-            if kept is not None:
-                yield (int(t), int(n)), kept
+            yield None if kept is None else ((int(t), int(n)), kept)
 
     def same(self, a, b):
         return min(a, b, key=lambda v: [(x is not None, x or "") for x in v])
@@ -244,6 +314,7 @@ def general_log_reads(df: DataFrame, late_us: int = 2 * HOUR_US, idle_ms: int |
 
 
 class _Sessions(LateOrdered):
+    needs = ["ts_us", "seconds"]
     order, record, state = "first_us long", "last_us long, seen long, max_seconds long", "none string"
     place, values = "first_us long", "last_us long, seen long, max_seconds long"
 

@@ -177,3 +177,58 @@ def test_numbered_snapshots_of_one_time_all_count():
     for order in itertools.permutations(rows):
         for batches in ([order], [order[:2], order[2:]]):
             assert played(lambda: stateful._NumberedChanges("state", "seq", 100, None), batches, 2)[0] == want
+
+
+def test_a_bucket_reads_and_writes_each_key_once_a_batch():
+    """Many keys in one call give what each gives alone; each is read once and written once, however many rows it holds."""
+    rng = random.Random(5)
+    batches = [[{"a": rng.choice(["x", "y", None]), "b": rng.choice("pq"), "ts_us": rng.randrange(60), "calls": rng.randrange(9), "usec": rng.randrange(9)} for _ in range(80)] for _ in range(3)]
+    held, reads, writes = {}, [], []
+
+    class State:
+        getValue = staticmethod(lambda k: reads.append(k) or held.get(k))  # noqa: N815
+        updateValue = staticmethod(lambda k, v: writes.append(k) or held.__setitem__(k, v))  # noqa: N815
+
+    class Handle:
+        getMapState = staticmethod(lambda *_, **__: State)  # noqa: N815
+
+    store, late = {}, []
+    for rows in batches:
+        rule = stateful._Deltas(30, None)
+        rule.keys = ["a", "b"]
+        p = stateful.Buckets(rule, "a string, b string")
+        p.init(Handle)
+        reads.clear(), writes.clear()
+        for out in p.handleInputRows((0,), iter([pd.DataFrame(rows[:50]), pd.DataFrame(rows[50:])]), None):
+            for r in out.itertuples(index=False):
+                if r.late:
+                    late.append((r.a, r.b, r.end_us))
+                else:
+                    store.setdefault((r.a, r.b), {})[(r.end_us,)] = tuple(None if pd.isna(x) else x for x in r[3:-2])
+        keys = {(r["a"], r["b"]) for r in rows}
+        assert len(reads) == len(keys) == 6 and set(reads) == keys
+        assert len(writes) <= len(keys)
+    lates = []
+    for key in held:
+        own = [[r for r in rows if (r["a"], r["b"]) == key] for rows in batches]
+        want, missed, _ = played(lambda: stateful._Deltas(30, None), own, 1)
+        assert store[key] == want
+        lates += [(*key, *at) for at in missed]
+    assert sorted(late, key=str) == sorted(lates, key=str) and late
+
+
+def test_keys_are_grouped_by_bucket_and_stay_exact(spark, tmp_path):
+    """Whole numbers beyond 2^53 beside a null key, over two runs of one checkpoint."""
+    schema = "server string, thread long, seq long, event_epoch_us long, user string, command string, argument string, tag string"
+    big = 2**53 + 1
+    rows = [("s", t, n, n * M, "u", c, a, "not read") for t in (big, big - 1, None) for n, c, a in ((1, "Init DB", f"d{t}"), (2, "Query", "SELECT 1"), (3, "Query", "SELECT 2"))]
+    store = KeyedStore(str(tmp_path / "store"), ["server", "thread", "event_epoch_us", "seq"], 4)
+    for part in (rows[1::3] + rows[:1], rows[2::3] + rows[3::3]):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(str(tmp_path / "rows"))
+        reads = stateful.general_log_reads(spark.readStream.schema(schema).parquet(str(tmp_path / "rows")), 60 * M)
+        writer = reads.writeStream.outputMode("update").foreachBatch(store.write).option("checkpointLocation", str(tmp_path / "state"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    got = store.read(spark)
+    assert dict(got.dtypes)["thread"] == "bigint"
+    want = {(t, f"d{t}", f"SELECT {n}") for t in (big, big - 1, None) for n in (1, 2)}
+    assert {tuple(r) for r in got.select("thread", "database_name", "sql_text").collect()} == want

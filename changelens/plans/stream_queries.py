@@ -142,7 +142,8 @@ def streamed_minutes(spark, d):
   SELECT node_id, command, start_us, ts_us AS end_us, CASE WHEN calls < c OR usec < u THEN 'counter_reset' ELSE 'ok' END AS status, CASE WHEN calls >= c AND usec >= u THEN calls - c END AS calls FROM x WHERE start_us IS NOT NULL""")
 def streamed_counters(spark, d):
     """Each counter against the one before it, held as state."""
-    got = _kept(i.counters(spark, d), "ts_us", lambda s: stateful.counter_deltas(s, 3 * DAY), ["node_id", "command", "end_us"])
+    rows = stored(i.counters(spark, d), scratch_folder(spark), "counters")  # both halves read it
+    got = _kept(rows, "ts_us", lambda s: stateful.counter_deltas(s, 3 * DAY), ["node_id", "command", "end_us"])
     return got.select("node_id", "command", "start_us", "end_us", "status", "calls")
 
 

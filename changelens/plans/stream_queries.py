@@ -87,9 +87,10 @@ def _stream(rows: DataFrame, time_us: str, start) -> None:
     """
     spark = rows.sparkSession
     folder = scratch_folder(spark)
+    files = max(4, spark.sparkContext.defaultParallelism)
     arrival = F.col(time_us) + F.pmod(F.xxhash64(*rows.columns), F.lit(LATE_US))
     for part in (arrival < START + 15 * DAY, arrival >= START + 15 * DAY):
-        rows.filter(part).repartition(4).write.mode("append").parquet(f"{folder}/rows")
+        rows.filter(part).repartition(files).write.mode("append").parquet(f"{folder}/rows")
         writer = start(spark.readStream.schema(rows.schema).parquet(f"{folder}/rows"))
         writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket, fingerprint, normalize_sql
+from ..functions.storage import scratch_folder, stored
 from ..operators import attribution as att
 from ..operators import changes as ch
 from ..operators import lag
@@ -28,7 +29,7 @@ SELECT fingerprint, {", ".join(f"CASE WHEN r_{o} <= 5 THEN r_{o} END AS r_{o}" f
 )
 def statement_orders(spark, d):
     """The first five statements under each of the seven orders; plans are known of statements with a condition."""
-    stats = ch.statement_stats(i.derived_events(spark, d))
+    stats = stored(ch.statement_stats(i.derived_events(spark, d)), scratch_folder(spark), "stats")  # read for the plans and for the orders
     explain = ch.statement_dim(stats).filter(F.col("normalized").contains("WHERE")).select("fingerprint", F.lit("ok").alias("status"), F.length("normalized").cast("bigint").alias("est_rows"))
     out = ch.top_statements(ch.by_statement(stats, explain), 5)
     return out.select("fingerprint", *[F.col(f"r_{o}").cast("bigint").alias(f"r_{o}") for o in _ORDERS])

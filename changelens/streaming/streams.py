@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .key_index import bucket_of, folders, suspected, write_index
@@ -63,6 +63,14 @@ def once_per_batch(write: Callable[[DataFrame, str], None], base: str) -> Callab
 MAX_FOLDERS = 2000
 
 
+def beside_earlier(new: DataFrame, before: DataFrame, key: str) -> DataFrame:
+    """Rows with the least digest of their key in the batch (``_first``) and the one of earlier batches (``_old``).
+
+    Rows are moved by their key once; the window, the join and what is kept of a key later go by it.
+    """
+    return new.withColumn("_first", F.min("_digest").over(Window.partitionBy(key))).join(before, key, "left")
+
+
 def insert_only(path: str, key: str = "event_id", buckets: int = 16) -> Callable[[DataFrame, int], None]:
     """Append what is new by key; repeats are dropped and conflicts are kept beside, under ``_conflicts``.
 
@@ -88,8 +96,7 @@ def insert_only(path: str, key: str = "event_id", buckets: int = 16) -> Callable
     def run(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c != key]
         new = batch.withColumns({"_digest": F.sha2(F.to_json(F.struct(*rest)), 256), "_bucket": bucket_of(key, buckets)})
-        first = new.groupBy(F.col(key).alias("_key")).agg(F.min("_digest").alias("_first"))
-        judged = new.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").join(earlier(new, batch_id), key, "left")
+        judged = beside_earlier(new, earlier(new, batch_id), key)
         own = f"{path}/batch={batch_id:012d}"
         fresh = judged.filter("_old IS NULL AND _digest = _first").dropDuplicates([key]).drop("_old", "_first")
         fresh.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(own)

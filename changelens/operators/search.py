@@ -64,9 +64,13 @@ def search_audit(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     return df.orderBy(F.desc("event_epoch_us"), F.desc("event_id")).offset(offset).limit(limit + 1)
 
 
-def event_detail(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Whole rows of the events named by ``ids(event_id)``."""
-    return one_copy(df.join(ids.select("event_id").distinct(), "event_id", "left_semi"))
+def event_detail(df: DataFrame, ids: DataFrame, few: bool = False) -> DataFrame:
+    """Whole rows of the events named by ``ids(event_id)``.
+
+    A task hashes its share of the ids and lets the rows pass by, so that only rows asked for are sorted. ``few``: the ids of a page go to every task instead.
+    """
+    asked = ids.select("event_id").distinct()
+    return one_copy(df.join(F.broadcast(asked) if few else asked.hint("shuffle_hash"), "event_id", "left_semi"))
 
 
 def with_statement_text(page: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -90,10 +90,12 @@ def audit_page(spark, d):
 
 @register(over_changes("SELECT event_id, event_epoch_us, operation, sql_text, after_json FROM ev WHERE operation = 'DELETE'"))
 def event_details(spark, d):
-    """Whole rows of all deletes, by their ids, one copy of each."""
+    """Whole rows of all deletes, by their ids, one copy of each. Copies are made in one pass: a union would be joined, and the ids hashed, side by side."""
     rows = i.change_events(spark, d)
     ids = rows.filter("operation = 'DELETE'").select("event_id")
-    return search.event_detail(_copies(rows), ids.unionByName(ids)).select("event_id", "event_epoch_us", "operation", "sql_text", "after_json")
+    copies = rows.withColumn("_content_revision", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (1, -1)])))
+    copies = copies.withColumns({"operation": F.when(F.col("_content_revision") == -1, "STALE").otherwise(F.col("operation")), "_source_part_key": F.lit("p")})
+    return search.event_detail(copies, ids.unionByName(ids)).select("event_id", "event_epoch_us", "operation", "sql_text", "after_json")
 
 
 @register(over_changes("SELECT event_id, sql_text AS row_query FROM ev ORDER BY event_epoch_us DESC, start_position DESC, event_id DESC LIMIT 101"))

@@ -2,6 +2,7 @@
 
 from changelens.functions import scalar as sc
 from changelens.functions import udf
+from changelens.operators import search
 from changelens.plans.catalog import QUERIES
 from changelens.streaming import streams
 
@@ -46,3 +47,27 @@ def test_a_text_is_computed_once_to_be_masked(spark):
     out = spark.createDataFrame([("'wp' = drowssap",)], "t string").select(sc.redact_secrets(sc.F.reverse("t")).alias("r"))
     assert out._jdf.queryExecution().analyzed().toString().count("reverse(t") == 1
     assert out.first()["r"]["text"] == "password = '<redacted>'"
+
+
+def test_details_sort_no_rows_that_are_not_asked_for(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        copies = [("1", -1, "p", "old"), ("1", 2, "p", "part p"), ("1", 2, "q", "part q"), ("2", 1, "p", "not asked"), ("3", None, None, "bare"), ("", 1, "p", "blank"), (None, 1, "p", "null")]
+        rows = spark.createDataFrame(copies, "event_id string, _content_revision bigint, _source_part_key string, v string").repartition(3)
+        ids = spark.createDataFrame([("1",), ("1",), ("3",), ("",), ("9",), (None,)], "event_id string").repartition(3)
+        for few, join in ((False, "ShuffledHashJoin"), (True, "BroadcastHashJoin")):
+            out = search.event_detail(rows, ids, few)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert join in plan and "Sort [" not in plan[plan.index(join) :]  # a plan prints what runs first last
+            assert {(r.event_id, r.v) for r in out.collect()} == {("1", "part q"), ("3", "bare"), ("", "blank")} and out.count() == 3
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_details_hash_their_ids_once(spark):
+    plan = QUERIES["event_details"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == plan.count("ShuffledHashJoin ") == 1
